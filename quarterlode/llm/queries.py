@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarterlode.llm.jaccard import OP8_SQL, op8_jaccard
 from quarterlode.llm.langid import op5_langid
 from quarterlode.llm.media import op3_media
 from quarterlode.llm.mixing import OP1_SQL, op1_mixing
@@ -10,8 +11,8 @@ from quarterlode.llm.sharding import op10_sharding
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op3_media": op3_media, "op5_langid": op5_langid, "op7_pieces": op7_pieces, "op10_sharding": op10_sharding}
+    return {"op1_mixing": op1_mixing, "op3_media": op3_media, "op5_langid": op5_langid, "op7_pieces": op7_pieces, "op8_jaccard": op8_jaccard, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op8_jaccard": OP8_SQL}
