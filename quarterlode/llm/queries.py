@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarterlode.llm.forest import OP2_SQL, op2_forest
 from quarterlode.llm.jaccard import OP8_SQL, op8_jaccard
 from quarterlode.llm.langid import op5_langid
 from quarterlode.llm.media import op3_media
@@ -11,8 +12,8 @@ from quarterlode.llm.sharding import op10_sharding
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op3_media": op3_media, "op5_langid": op5_langid, "op7_pieces": op7_pieces, "op8_jaccard": op8_jaccard, "op10_sharding": op10_sharding}
+    return {"op1_mixing": op1_mixing, "op2_forest": op2_forest, "op3_media": op3_media, "op5_langid": op5_langid, "op7_pieces": op7_pieces, "op8_jaccard": op8_jaccard, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op8_jaccard": OP8_SQL}
+    return {"op1_mixing": OP1_SQL, "op2_forest": OP2_SQL, "op8_jaccard": OP8_SQL}
