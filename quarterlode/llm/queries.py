@@ -8,11 +8,13 @@ from quarterlode.llm.langid import op5_langid
 from quarterlode.llm.media import op3_media
 from quarterlode.llm.mixing import OP1_SQL, op1_mixing
 from quarterlode.llm.pieces import op7_pieces
+from quarterlode.llm.privacy import op4_privacy
+from quarterlode.llm.secrets import op6_secrets
 from quarterlode.llm.sharding import op10_sharding
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_forest": op2_forest, "op3_media": op3_media, "op5_langid": op5_langid, "op7_pieces": op7_pieces, "op8_jaccard": op8_jaccard, "op10_sharding": op10_sharding}
+    return {"op1_mixing": op1_mixing, "op2_forest": op2_forest, "op3_media": op3_media, "op4_privacy": op4_privacy, "op5_langid": op5_langid, "op6_secrets": op6_secrets, "op7_pieces": op7_pieces, "op8_jaccard": op8_jaccard, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
