@@ -26,6 +26,17 @@ def freeze(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df as one struct column `_in`, so that no column of its own can clash with an operator's."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of `_in` by name, those in `new` replaced or added."""
+    kept = [new.get(c, F.col("_in").getField(c)).alias(c) for c in columns]
+    return df.select(*kept, *(v.alias(c) for c, v in new.items() if c not in columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import documents, freeze
+from quarterlode.llm.common import documents, freeze, packed, unpacked
 from quarterlode.llm.spans import joined, matches, merged, replaced
 
 # Fixed patterns.
@@ -107,17 +107,11 @@ def stratum(token: Column) -> Column:
     return sum(((token["n"] >= x).cast("int") for x in STRATA), F.lit(0))
 
 
-def find(docs: DataFrame, *, text: str = "text", level: float = LOOKS_RANDOM, rate: float = FALSE_DISCOVERY) -> DataFrame:
-    """docs with _assign, _access, _hex (base spans) and _random (added spans), each an array of (kind, start, end, value).
-
-    Null text counts as empty. Equal texts get equal spans; each row counts as often as it stands in the table. Existing
-    columns of these names are replaced. Empty table: empty result."""
-    made = ["_assign", "_access", "_hex", "_random"]
-    kept = docs.drop(*made, "_tokens", "_classes")
-    body = F.coalesce(F.col(text), F.lit(""))
+def _found(docs: DataFrame, text: str, level: float, rate: float) -> DataFrame:
+    body = F.coalesce(F.col("_in").getField(text), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,n:int,k:int,classes:array<bigint>,p:double>>")
     tokens = F.when(body.rlike("[A-Za-z0-9+/_=-]{20}"), battery(matches(body, TOKEN, "random"))).otherwise(none)
-    rows = freeze(kept.withColumns({f"_{k}": v for k, v in base_spans(body).items()}).withColumn("_tokens", tokens).withColumn("_classes", class_counts(body)))
+    rows = freeze(packed(docs).withColumns({f"_{k}": v for k, v in base_spans(body).items()}).withColumn("_tokens", tokens).withColumn("_classes", class_counts(body)))
     totals = rows.agg(*(F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(4))).first()
     whole = sum((x or 0) for x in totals) + 4
     shares = tuple(((x or 0) + 1) / whole for x in totals)
@@ -135,7 +129,15 @@ def find(docs: DataFrame, *, text: str = "text", level: float = LOOKS_RANDOM, ra
                 limits[s] = b / BIN
     chosen = F.filter("_tokens", lambda t: (t["p"] >= level) & _passes(t, shares, limits))
     span = lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.substring(body, t["start"] + 1, t["end"] - t["start"]).alias("value"))
-    return rows.withColumn("_random", F.transform(chosen, span)).select(*kept.columns, *made)
+    return rows.withColumn("_random", F.transform(chosen, span))
+
+
+def find(docs: DataFrame, *, text: str = "text", level: float = LOOKS_RANDOM, rate: float = FALSE_DISCOVERY) -> DataFrame:
+    """docs with _assign, _access, _hex (base spans) and _random (added spans), each an array of (kind, start, end, value).
+
+    Null text counts as empty. Equal texts get equal spans; each row counts as often as it stands in the table. Existing
+    columns of these names are replaced. Empty table: empty result."""
+    return unpacked(_found(docs, text, level, rate), docs.columns, **{f"_{k}": F.col(f"_{k}") for k in KINDS})
 
 
 def _passes(t: Column, shares: tuple[float, ...], limits: dict[int, float]) -> Column:
@@ -151,12 +153,11 @@ def ordered(spans: Column) -> Column:
     return F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(rank(a) - rank(b)))
 
 
-def redact(docs: DataFrame, *, text: str = "text", **how) -> DataFrame:
+def redact(docs: DataFrame, *, text: str = "text", level: float = LOOKS_RANDOM, rate: float = FALSE_DISCOVERY) -> DataFrame:
     """docs with every secret replaced by [SECRET]; null stays null."""
-    found = find(docs, text=text, **how)
-    spans = merged(F.concat("_assign", "_access", "_hex", "_random"))
-    done = found.withColumn("_spans", spans).withColumn(text, F.when(F.col(text).isNotNull(), replaced(F.col(text), F.col("_spans"), lambda s: F.lit("[SECRET]"))))
-    return done.select(docs.columns)
+    found = _found(docs, text, level, rate).withColumn("_spans", merged(F.concat("_assign", "_access", "_hex", "_random")))
+    body = F.col("_in").getField(text)
+    return unpacked(found, docs.columns, **{text: F.when(body.isNotNull(), replaced(body, F.col("_spans"), lambda s: F.lit("[SECRET]")))})
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
