@@ -53,12 +53,12 @@ def salted_join(big: DataFrame, side: DataFrame, key: str, salt: Column, small:
     """Null-safe join of a skewed table with one that has each key once.
 
     Proven small, the side is broadcast. Otherwise a hot key of `big` is spread over `salts` partitions and `side` is repeated for each of them."""
-    side = side.withColumnRenamed(key, "_key")
+    side = side.withColumnRenamed(key, "_joined_key")
     if small:
-        return big.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("_key")), how).drop("_key")
+        return big.join(F.broadcast(side), F.col(key).eqNullSafe(F.col("_joined_key")), how).drop("_joined_key")
     big = big.withColumn("_salt", F.pmod(salt, F.lit(salts)).cast("int"))
     side = side.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.join(side, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_salt") == F.col("_salt2")), how).drop("_key", "_salt", "_salt2")
+    return big.join(side, F.col(key).eqNullSafe(F.col("_joined_key")) & (F.col("_salt") == F.col("_salt2")), how).drop("_joined_key", "_salt", "_salt2")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

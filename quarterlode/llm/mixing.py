@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import WORD, documents, freeze, is_small, salted_join
+from quarterlode.llm.common import WORD, documents, freeze, is_small, packed, salted_join, unpacked
 
 SOURCE_WEIGHTS = (3, 1, 2)  # by place in code point order, repeating
 SHARE = 1.5  # of all sizes
 MAX_EPOCHS = 2
 ROWS_PER_BUCKET = 2_000
+SEED = 7
 
 
 def word_count(text: Column) -> Column:
@@ -54,16 +55,13 @@ def fill_targets(stats: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, sh
     return t.select("source", "source_size", "n", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, seed: int = 7, weights: tuple[int, ...] = SOURCE_WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Rows (doc_id, source, size, source_size, target, taken), one for each row of docs.
+def sampling_key(doc_id: Column, text: Column, quality: Column | None, seed: int) -> Column:
+    return -F.log(uniform(doc_id, seed)) / (text_quality(text) if quality is None else quality)
 
-    Whole documents are taken; the last one of a sampled epoch only if that brings the source nearer to its budget.
-    Null text: size 0, taken 0. Null source: a source of its own, last. Repeated rows are separate documents whose keys
-    tie; ties go by size. Empty table: empty result. Other columns are ignored.
 
-    Sources may be of any size: the words of key buckets are summed first, so only documents of the one bucket in which
-    a source's budget ends are put in order."""
-    thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), (-F.log(uniform(F.col(doc_id), seed)) / (text_quality(F.col(text)) if quality is None else quality)).alias("key"))
+def decide(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, seed: int = SEED, weights: tuple[int, ...] = SOURCE_WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
+    """mix() with the figures behind it: key, bucket, whole epochs, whether the sampled epoch takes the row."""
+    thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), sampling_key(F.col(doc_id), F.col(text), quality, seed).alias("key"))
     thin = freeze(thin)
     stats = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = fill_targets(stats, weights, share, epochs)
@@ -81,7 +79,37 @@ def mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id:
     edge = rows.where("bucket = cut").withColumn("_upto", F.col("before") + F.sum("size").over(inside) - F.col("size"))
     edge = edge.withColumn("chosen", F.col("_upto") + F.col("size") / 2.0 <= F.col("rest")).drop("_upto")
     rows = rows.where("bucket <> cut").withColumn("chosen", F.col("bucket") < F.col("cut")).unionByName(edge)
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("chosen").cast("long"))).cast("long").alias("taken"), (F.col("whole") + F.col("chosen").cast("long")).cast("long").alias("repeats"))
+    return rows.withColumn("repeats", (F.col("whole") + F.col("chosen").cast("long")).cast("long"))
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """Rows (doc_id, source, size, source_size, target, taken, repeats), one for each row of docs.
+
+    Whole documents are taken; the last one of a sampled epoch only if that brings the source nearer to its budget.
+    Null text: size 0, taken 0. Null source: a source of its own, last. Repeated rows are separate documents whose keys
+    tie; ties go by size. Empty table: empty result. Other columns are ignored.
+
+    Sources may be of any size: the words of key buckets are summed first, so only documents of the one bucket in which
+    a source's budget ends are put in order."""
+    return decide(docs, **how).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken"), "repeats")
+
+
+def mixed_documents(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs as often as the mix takes them, same columns.
+
+    For each source the last document taken in the sampled epoch is kept; a row is taken if it does not come after it.
+    So rows need no identity, and repeated rows that tie at the end of a budget are taken or left together."""
+    own = {"text": text, "source": source, "doc_id": doc_id, **how}
+    rows = decide(docs, **own)
+    last = F.max(F.when(F.col("chosen"), F.struct("bucket", "key", "_id", "size")))
+    ends = freeze(rows.withColumnRenamed("doc_id", "_id").groupBy("source").agg(F.first("whole").alias("_whole"), F.first("buckets").alias("_buckets"), last.alias("_last")).withColumnRenamed("source", "_source"))
+    get = F.col("_in").getField
+    body = packed(docs).withColumns({"_source": get(source), "_key": sampling_key(get(doc_id), get(text), how.get("quality"), how.get("seed", SEED)), "_id": get(doc_id), "_size": word_count(get(text))})
+    body = salted_join(body, ends, "_source", F.xxhash64("_id"), is_small(ends, "_source"))
+    bucket = F.least(F.floor(F.col("_buckets") * (1.0 - F.exp(-F.col("_key")))), F.col("_buckets") - 1)
+    place = F.struct(bucket.alias("bucket"), F.col("_key").alias("key"), F.col("_id"), F.col("_size").alias("size"))
+    times = F.col("_whole") + F.coalesce(place <= F.col("_last"), F.lit(False)).cast("long")
+    return unpacked(body.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))), docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quarterlode.llm.cotrain import op9_cotrain
 from quarterlode.llm.forest import OP2_SQL, op2_forest
 from quarterlode.llm.jaccard import OP8_SQL, op8_jaccard
 from quarterlode.llm.langid import op5_langid
@@ -14,7 +15,7 @@ from quarterlode.llm.sharding import op10_sharding
 
 
 def queries() -> dict:
-    return {"op1_mixing": op1_mixing, "op2_forest": op2_forest, "op3_media": op3_media, "op4_privacy": op4_privacy, "op5_langid": op5_langid, "op6_secrets": op6_secrets, "op7_pieces": op7_pieces, "op8_jaccard": op8_jaccard, "op10_sharding": op10_sharding}
+    return {"op1_mixing": op1_mixing, "op2_forest": op2_forest, "op3_media": op3_media, "op4_privacy": op4_privacy, "op5_langid": op5_langid, "op6_secrets": op6_secrets, "op7_pieces": op7_pieces, "op8_jaccard": op8_jaccard, "op9_cotrain": op9_cotrain, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
