@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only if it has at most this many rows and bytes of strings.
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 4_000_000
+BROADCAST_IDS = 400_000  # of single numbers
 
 
 def freeze(df: DataFrame) -> DataFrame:
@@ -41,12 +42,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def is_small(df: DataFrame, text: str | None = None) -> bool:
-    """Whether df is proven to be within the broadcast bound; reads one row more than the bound at most."""
-    part = df.limit(BROADCAST_ROWS + 1)
+def is_small(df: DataFrame, text: str | None = None, most: int = BROADCAST_ROWS) -> bool:
+    """Whether df is proven to be within the broadcast bound (`most` rows); reads one row more than the bound at most."""
+    part = df.limit(most + 1)
     size = F.sum(F.octet_length(F.coalesce(F.col(text), F.lit("")))) if text else F.lit(0)
     rows, size = part.agg(F.count(F.lit(1)), size).first()
-    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+    return rows <= most and (size or 0) <= BROADCAST_BYTES
 
 
 def salted_join(big: DataFrame, side: DataFrame, key: str, salt: Column, small: bool, how: str = "inner", salts: int = 32) -> DataFrame:

@@ -108,10 +108,12 @@ def stratum(token: Column) -> Column:
 
 
 def _found(docs: DataFrame, text: str, level: float, rate: float) -> DataFrame:
-    body = F.coalesce(F.col("_in").getField(text), F.lit(""))
+    """The rows with spans. Texts are scanned twice (tokens of the corpus, result) and never stored or shuffled."""
     none = F.array().cast("array<struct<start:int,end:int,n:int,k:int,classes:array<bigint>,p:double>>")
-    tokens = F.when(body.rlike("[A-Za-z0-9+/_=-]{20}"), battery(matches(body, TOKEN, "random"))).otherwise(none)
-    rows = freeze(packed(docs).withColumns({f"_{k}": v for k, v in base_spans(body).items()}).withColumn("_tokens", tokens).withColumn("_classes", class_counts(body)))
+    tokens = lambda body: F.when(body.rlike("[A-Za-z0-9+/_=-]{20}"), battery(matches(body, TOKEN, "random"))).otherwise(none)
+    plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    seen = docs.select(tokens(plain).alias("_tokens"), class_counts(plain).alias("_classes"))
+    rows = freeze(seen.select(F.when(F.size("_tokens") > 0, F.transform("_tokens", lambda t: t.dropFields("start", "end"))).alias("_tokens"), "_classes"))
     totals = rows.agg(*(F.sum(F.get("_classes", F.lit(i))).alias(f"c{i}") for i in range(4))).first()
     whole = sum((x or 0) for x in totals) + 4
     shares = tuple(((x or 0) + 1) / whole for x in totals)
@@ -127,9 +129,10 @@ def _found(docs: DataFrame, text: str, level: float, rate: float) -> DataFrame:
             rank += bins[b]
             if math.exp(-b / BIN) <= rate * rank / m:
                 limits[s] = b / BIN
+    body = F.coalesce(F.col("_in").getField(text), F.lit(""))
     chosen = F.filter("_tokens", lambda t: (t["p"] >= level) & _passes(t, shares, limits))
     span = lambda t: F.struct(F.lit("random").alias("kind"), t["start"].alias("start"), t["end"].alias("end"), F.substring(body, t["start"] + 1, t["end"] - t["start"]).alias("value"))
-    return rows.withColumn("_random", F.transform(chosen, span))
+    return packed(docs).withColumns({f"_{k}": v for k, v in base_spans(body).items()}).withColumn("_tokens", tokens(body)).withColumn("_random", F.transform(chosen, span)).drop("_tokens")
 
 
 def find(docs: DataFrame, *, text: str = "text", level: float = LOOKS_RANDOM, rate: float = FALSE_DISCOVERY) -> DataFrame:

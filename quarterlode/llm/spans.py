@@ -12,26 +12,22 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def lit_pattern(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def matches(text: Column, pattern: str, kind: str, maybe: Column | None = None) -> Column:
     """All leftmost non-overlapping matches as (kind, start, end, value); the pattern must not match the empty string.
 
     maybe: a cheap condition without which there is no match."""
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    # Both arrays go in as the aggregate's input: inside a lambda they would be made anew for every match.
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
     state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        value, start = F.get(found, i), acc["at"] + F.length(F.get(between, i))
-        end = start + F.length(value)
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+    def step(acc: Column, part: Column) -> Column:
+        start = acc["at"] + F.length(part["between"])
+        end = start + F.length(part["value"])
+        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), part["value"].alias("value"))
+        return F.when(part["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out")))
 
-    none = F.array().cast(SPAN)
-    walked = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), state, step, lambda acc: acc["out"])
-    sought = F.when(F.size(found) > 0, walked).otherwise(none)
-    return F.when(F.coalesce(maybe, F.lit(False)), sought).otherwise(none) if maybe is not None else F.coalesce(sought, none)
+    sought, none = F.aggregate(parts, state, step, lambda acc: acc["out"]), F.array().cast(SPAN)
+    return F.coalesce(sought if maybe is None else F.when(maybe, sought), none)
 
 
 def joined(spans: Column) -> Column:
