@@ -29,7 +29,7 @@ def reconcile_to_total(rows: DataFrame, totals: DataFrame, least: float = 0.36,
     at = rows.join(totals.select(*QUARTER, "total"), list(QUARTER), "left").withColumn("_sum", F.sum("value").over(Window.partitionBy(*QUARTER)))
     cover = (F.col("_sum").cast("decimal(24,4)") / F.when(F.col("total") > d(0.02), F.col("total").cast("decimal(24,4)"))).cast(D)
     at = at.withColumn("_cover", cover).where(F.col("_cover").isNull() | (F.col("_cover") >= d(least)))
-    scaled = F.when(F.col("_cover") > d(1.12), F.round((F.col("value").cast("decimal(15,2)") * F.col("total").cast("decimal(15,2)") / F.col("_sum").cast("decimal(15,2)")).cast(D), 3)).otherwise(F.col("value")).cast("decimal(24,3)")
+    scaled = F.when(F.col("_cover") > d(1.12), F.round((F.col("value").cast("decimal(15,3)") * F.col("total").cast("decimal(15,2)") / F.col("_sum").cast("decimal(15,3)")).cast(D), 3)).otherwise(F.col("value")).cast("decimal(24,3)")
     out = at.select(*QUARTER, "member_key", scaled.alias("value"))
     rest = at.where((F.col("_cover") < d(0.94)) & (F.col("total") - F.col("_sum") > d(0.03))).select(*QUARTER, (F.col("total") - F.col("_sum")).cast("decimal(24,3)").alias("value")).distinct()
     return out.unionByName(rest.withColumn("member_key", F.lit(residual))).groupBy(*QUARTER, "member_key").agg(F.sum("value").cast("decimal(24,3)").alias("value"))
