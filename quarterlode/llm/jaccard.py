@@ -2,30 +2,34 @@
 
 Distances between texts are exactly 1 but for near copies and shared passages, so pivots drawn from the documents would
 leave nearly all of them in one region. The pivots here are therefore small sets of shingles: the shingle space is cut
-by hash into parts, so many that two linked sets must agree on at least one whole part, and what a set holds of a part
-is a pivot. A document belongs to the regions of its first parts (in hash order), as many as the triangle inequality
-demands (sets within distance 1 - t of each other differ in at most (1 - t) / t of either one's members); documents near
-a size boundary are replicated into both size classes. Common passages do not make large regions, only near copies do.
-
-In every region one document is the pivot, and the exact distance of all others to it is taken: those within the
-threshold are linked to it. Regions that then still hold several components get a second pivot; in what is left after
-that, only pairs whose distances to the region's pivot lie within the triangle inequality's window are compared.
+by hash into parts, and what a set holds of a part is a pivot. Sets within distance 1 - t differ in at most D members, by
+the triangle inequality with either one's subsets, so they agree on all filled parts but D: of the regions of its t
+pivots, rarest first, a set needs to be in D + 1 only. Pivots that no other set has fill these places first, and most
+sets need no region at all; common passages come last. Sets near a size boundary are replicated into both size classes.
+
+In every region one document is the pivot of the next step: the exact distance of the others to it is taken, those
+within the threshold are linked to it. Regions that meet and then still hold several components are compared in blocks
+of bounded size, those outside the triangle inequality's window of sizes (distances to the empty set) left out.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import components, documents, freeze
+from quarterlode.llm.common import BROADCAST_IDS, components, documents, freeze, is_small, packed, unpacked
 from quarterlode.llm.shingles import U, mixed, shingle_sets, text_slices, words
 
 SMALL_SET = 64  # below it twice as many parts
+BLOCK_ROWS = 300
+MARGIN = 1.15
 
 
 def most_different(n: int, percent: int) -> int:
@@ -33,36 +37,43 @@ def most_different(n: int, percent: int) -> int:
     return n * (100 - percent) // percent
 
 
+def least_of(level: int) -> int:
+    """The smallest set of a size class; classes grow by the square root of two."""
+    return math.ceil(2 ** (level / 2))
+
+
+@lru_cache(maxsize=1000)
 def parts_of(level: int, percent: int) -> int:
-    """Into how many parts the space is cut for sets of 2^level to 2^(level+1) - 1 members.
+    """Into how many parts the space is cut for the sets of a size class.
 
-    Sets of r members a part fill (1 - e^-r) / r parts for each member; that must stay 1.3 times above the
+    Sets of r members a part fill (1 - e^-r) / r parts for each member; that must stay MARGIN times above the
     share of members that may differ."""
-    need, r = 1.3 * (100 - percent) / percent, 8.0
+    need, r, top = MARGIN * (100 - percent) / percent, 8.0, least_of(level + 1)
     while r > 0.25 and -math.expm1(-r) / r < need:
         r -= 0.01
-    return math.ceil((2 << level) / r) * (2 if 2 << level <= SMALL_SET else 1)
+    return math.ceil(top / r) * (2 if top <= SMALL_SET else 1)
 
 
-def region_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, bool]:
-    """Keys of the regions of a set, and whether it has too few filled parts to be found by them for certain."""
+def region_keys(s: np.ndarray, percent: int) -> tuple[list[np.ndarray], bool]:
+    """Keys of the regions of a set by size class, and whether it has too few filled parts to be found by them for certain."""
     n, keys, weak = len(s), [], False
-    level, allowed = n.bit_length() - 1, most_different(n, percent)
-    for at in (level, level + 1) if 100 * n >= percent * (2 << level) else (level,):
+    at, allowed = int(2 * math.log2(n) + 1e-9), most_different(n, percent)
+    while not keys or 100 * n >= percent * least_of(at):  # classes of all sets that may be linked with it
         h = mixed(s, 1000 + at)
         part = (h >> U(20)) % U(parts_of(at, percent))
         order = np.argsort(part, kind="stable")
         part, h = part[order], mixed(h[order], 7)
         first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        found = np.sort(mixed(np.add.reduceat(h, first) ^ mixed(part[first], at)))
+        found = mixed(np.add.reduceat(h, first) ^ mixed(part[first], at))
         weak |= len(found) <= allowed
-        keys.append(found[: allowed + 1])
-    return np.concatenate(keys).view(np.int64), weak
+        keys.append(found.view(np.int64))
+        at += 1
+    return keys, weak
 
 
 def _per_set(docs: DataFrame, text: str, size: int, schema: str, row, extra: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs: its columns `extra`, then what row(set) gives."""
-    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<array<long>>": pa.list_(pa.list_(pa.int64())), "boolean": pa.bool_()}
     made = [x.split(" ", 1) for x in schema.split(", ")]
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in extra]
 
@@ -103,45 +114,54 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         raise ValueError("percent must be in (0, 100]")
 
     def first(s: np.ndarray) -> tuple:
-        keys, weak = region_keys(s, percent) if len(s) else (np.zeros(0, np.int64), False)
-        return len(s), set_id(s), keys.tolist(), weak
+        keys, weak = region_keys(s, percent) if len(s) else ([], False)
+        return len(s), set_id(s), [len(k) for k in keys], weak
 
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    base = freeze(_per_set(src, "_text", size, "n_shingles long, set_id long, keys array<long>, weak boolean", first, ("doc_id",)))
+    base = freeze(_per_set(src, "_text", size, "n_shingles long, set_id long, parts array<long>, weak boolean", first, ("doc_id",)))
     filled = base.where("n_shingles > 0")
-    nodes = filled.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("least_id"))
-    regions = filled.select(F.explode("keys").alias("key"), F.col("set_id").alias("node"), F.col("n_shingles").alias("n")).groupBy("key", "node").agg(F.first("n").alias("n"))
-    shared = regions.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    regions = freeze(regions.join(shared, "key"))
-    fits = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    nodes = filled.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
+    # Keys come from a second scan, so they need no room of their own; equal sets fall together before they are laid out.
+    lists = _per_set(src, "_text", size, "node long, keys array<array<long>>", lambda s: (set_id(s), region_keys(s, percent)[0] if len(s) else []))
+    lists = lists.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))
+    rows = lists.select("node", F.posexplode("keys").alias("level", "k")).select("node", F.col("level").cast("byte").alias("level"), F.explode("k").alias("key"))
+    met = rows.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
+    mine = met.groupBy("node", "level").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("met")).join(nodes, "node")
+    alone = F.get("parts", F.col("level").cast("int")) - F.size("met")
+    places = F.floor(F.col("n") * (100 - percent) / F.lit(float(percent)) + 1e-9) + 1 - alone
+    mine = mine.withColumn("places", places.cast("int")).where("places > 0").select("node", F.explode(F.slice("met", F.lit(1), F.col("places"))).alias("m")).select(F.col("m.key").alias("key"), "node")
+    ends = Window.partitionBy("key")
+    regions = freeze(mine.distinct().withColumn("low", F.min("node").over(ends)).withColumn("high", F.max("node").over(ends)).where("low <> high").drop("high"))
 
     star = regions.where("node <> low").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"))
-    star = star.unionByName(regions.where("node <> high and node <> low").select(F.col("node").alias("a"), F.col("high").alias("b")))
     weak_pairs = _weak_pairs(src, base, size, percent)
     if weak_pairs is not None:
         star = star.unionByName(weak_pairs)
     star = freeze(star.distinct())
 
     involved = star.select(F.explode(F.array("a", "b")).alias("node")).unionByName(regions.select("node")).distinct()
-    owner = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(involved, F.col("set_id") == F.col("node"), "left_semi").select("doc_id").distinct()
+    owner = freeze(nodes.join(involved, "node", "left_semi").select(F.col("least_id").alias("doc_id")).distinct())
+    owner = F.broadcast(owner) if is_small(owner, most=BROADCAST_IDS) else owner
     sets = _per_set(src.join(owner, src["doc_id"].eqNullSafe(owner["doc_id"]), "left_semi"), "_text", size, "node long, members array<long>", lambda s: (set_id(s), s.view(np.int64).tolist())).where(F.size("members") > 0)
     sets = freeze(sets.dropDuplicates(["node"]))
     known = freeze(jaccard_links(star, sets, percent))
     labels = components(known.where("linked").select("a", "b"))
 
-    # Regions that still hold several components: all pairs in the window of their distances to the region's pivot.
-    owned = regions.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = owned.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
-    to_low = known.select("a", "b", (F.lit(1.0) - F.col("both") / F.col("all")).alias("d"))
-    left = owned.join(split, "key", "left_semi")
-    left = left.join(to_low, (F.least("low", "node") == F.col("a")) & (F.greatest("low", "node") == F.col("b")), "left").select("key", "node", "n", "component", F.coalesce("d", F.lit(0.0)).alias("d"))
-    other = left.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"), F.col("d").alias("d2"))
-    window = (100 - percent) / 100 + 1e-9
-    rest = left.join(other, "key").where((F.col("node") < F.col("node2")) & (F.col("component") != F.col("component2")) & fits & (F.abs(F.col("d") - F.col("d2")) <= window))
-    rest = rest.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = freeze(jaccard_links(rest, sets, percent).where("linked"))
+    # Regions that meet in a document are one; where one still holds several components, blocks of its members are
+    # compared in the tasks. Blocks are of one size class, and classes too far apart for the threshold never meet.
+    whole = components(star).withColumnRenamed("component", "region")
+    owned = whole.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = owned.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("rows")).where("c1 <> c2 and rows > 2").select("region")
+    left = freeze(owned.join(split, "region", "left_semi").withColumn("level", F.floor(F.log2("n") * 2 + 1e-9).cast("int")).select("region", "node", "component", "level"))
+    chunks = left.groupBy("region", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias("chunks"))
+    mine = left.join(chunks, ["region", "level"]).withColumn("block", F.struct("level", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))).drop("chunks")
+    reach = math.ceil(2 * math.log2(100 / percent) + 1e-9)
+    other = chunks.select("region", F.col("level").alias("level2"), "chunks")
+    pairs = mine.join(other, "region").where(F.abs(F.col("level") - F.col("level2")) <= reach).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("with", F.struct(F.col("level2").alias("level"), "chunk"))
+    pairs = pairs.select("region", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), (F.col("block") == F.col("with")).alias("same"), (F.col("block") < F.col("with")).alias("lower"), "node", "component").join(sets, "node")
+    more = freeze(pairs.groupBy("region", "one", "two").applyInPandas(lambda batch: compare_block(batch, percent), "a long, b long").distinct())
     if not more.isEmpty():
-        labels = components(known.where("linked").select("a", "b").unionByName(more.select("a", "b")))
+        labels = components(known.where("linked").select("a", "b").unionByName(more))
 
     member = nodes.join(labels, "node")
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -151,6 +171,37 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def compare_block(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between members of one block (or pair of blocks) that are in different components: for each linked
+    member one link to its group."""
+    n, members, node = len(batch), batch["members"].to_list(), batch["node"].to_numpy()
+    size = np.array([len(m) for m in members])
+    _, column, times = np.unique(np.concatenate(members), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # of the shingles that two members share
+    row, keep = np.repeat(np.arange(n), size), times[column] > 1
+    row, column = row[keep], place[column[keep]]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(place[-1]) + 1 if len(place) else 0, 4096):
+        here = (column >= at) & (column < at + 4096)
+        has = np.zeros((n, 4096), np.float32)
+        has[row[here], column[here] - at] = 1
+        both += has @ has.T
+    linked = 100 * both.astype(np.float64) >= percent * (size[:, None] + size[None, :] - both.astype(np.float64))
+    component, lower = batch["component"].to_numpy(), batch["lower"].to_numpy()
+    linked &= component[:, None] != component[None, :]
+    if not batch["same"].iloc[0]:
+        linked &= lower[:, None] != lower[None, :]
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label, np.where(linked, label[None, :], n).min(1, initial=n))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    some = np.flatnonzero(label != np.arange(n))
+    return pd.DataFrame({"a": node[some], "b": node[label[some]]})
+
+
 def _weak_pairs(src: DataFrame, base: DataFrame, size: int, percent: int) -> DataFrame | None:
     """Pairs of a weak set (too few filled parts; a few tiny sets in a million) with any that shares a shingle with it."""
     weak = base.where("weak")
@@ -170,10 +221,9 @@ def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without shingles stay. Same columns as docs."""
     found = join_components(docs, size=size, percent=percent)
-    lost = found.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    rest = docs.join(lost, "doc_id", "left_anti")
-    print_of = F.coalesce(F.xxhash64(F.col("text")), F.lit(0))
-    return rest.withColumn("_print", print_of).dropDuplicates(["doc_id", "_print"]).drop("_print").select(docs.columns)
+    lost = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    rows = packed(docs).withColumns({"_id": F.col("_in").getField("doc_id"), "_print": F.coalesce(F.xxhash64(F.col("_in").getField("text")), F.lit(0))})
+    return unpacked(rows.join(lost, "_id", "left_anti").dropDuplicates(["_id", "_print"]), docs.columns)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
