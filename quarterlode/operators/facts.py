@@ -186,3 +186,16 @@ def statements(facts: DataFrame) -> DataFrame:
     fields = ["revenue", "cost_of_revenue", "gross_profit", "sgna", "rnd", "operating_expenses", "operating_income", "pretax_income", "tax", "net_income"]
     wide = series.groupBy("company_id", "quarter").pivot("field", fields).agg(F.max("value")).withColumn("q_index", q_index(F.col("quarter")))
     return growth_calendar(margins(complete_statement(wide)))
+
+
+def breakdown_with_residual(df: DataFrame, parts: Mapping[str, str], total: str, residual: str, least: float = 25_000_000, share: float = 0.01, same: float = 80_000_000) -> DataFrame:
+    """Positive parts of a line (column -> category) as rows, with a residual row where the total leaves more than `least`
+    and 1 %; a lone item that is the total (within `same` or 1 %) goes."""
+    keys = ["company_id", "q_index"]
+    long = df.select(*keys, F.col(total).alias("total"), F.explode(F.array(*(F.struct(F.lit(name).alias("category"), F.col(c).alias("value")) for c, name in parts.items()))).alias("p")).select(*keys, "total", "p.*").where("value > 0")
+    sums = long.groupBy(*keys).agg(F.sum("value").alias("disclosed"), F.first("total").alias("total"))
+    bound = lambda x: F.greatest(F.lit(x).cast("decimal(20,2)"), F.col("total") * F.lit(share).cast("decimal(4,2)"))
+    rest = sums.where((F.col("total") > 0) & (F.col("total") - F.col("disclosed") > bound(least))).select(*keys, "total", F.lit(residual).alias("category"), (F.col("total") - F.col("disclosed")).cast("decimal(20,2)").alias("value"))
+    rows = long.unionByName(rest).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    lone = (F.col("_n") == 1) & (F.abs(F.col("value") - F.col("total")) <= bound(same))
+    return rows.where(~F.coalesce(lone, F.lit(False))).select(*keys, "category", F.col("value").cast("decimal(20,2)").alias("value"))

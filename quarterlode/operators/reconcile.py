@@ -138,3 +138,26 @@ def overlay(base: DataFrame, official: DataFrame, fields: Sequence[str], protect
 def dense_first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """Rows of the first source that has any for a key."""
     return df.withColumn("_r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
+
+
+def stage_mismatch(p: DataFrame, f: DataFrame, agree: Sequence[str], differ: Sequence[str], least: float = 1.2, share: float = 0.24, tolerance: float = 0.02) -> DataFrame:
+    """Quarters in which two statements agree on some lines (within `tolerance` of the line) but an operating line is off
+    by more than `least` and `share`."""
+    other = f.select(*QUARTER, *(F.col(c).alias(f"_{c}") for c in (*agree, *differ)))
+    at = p.join(other, list(QUARTER))
+    gap = lambda c: F.abs(F.col(c) - F.col(f"_{c}"))
+    close, off = F.lit(True), F.lit(False)
+    for c in agree:
+        close = close & F.coalesce(gap(c) <= F.abs(F.col(f"_{c}")) * F.lit(tolerance).cast("decimal(4,2)"), F.lit(False))
+    for c in differ:
+        off = off | F.coalesce(gap(c) > F.greatest(F.lit(least).cast("decimal(10,2)"), F.abs(F.col(f"_{c}")) * F.lit(share).cast("decimal(4,2)")), F.lit(False))
+    return at.select(*QUARTER, (close & off).alias("mismatch"))
+
+
+def merge_fallback(p: DataFrame, f: DataFrame, fields: Sequence[str], bridge: Sequence[str], slack: float = 0.25) -> DataFrame:
+    """Missing values from the fallback; all bridge fields from it where gross profit is missing and operating expenses
+    exceed revenue by more than `slack`. Quarters of either source are kept."""
+    other = f.select(*QUARTER, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_there"))
+    at = p.join(other, list(QUARTER), "full_outer")
+    broken = F.coalesce(F.col("gross_profit").isNull() & (F.col("operating_expenses") > F.col("revenue") + F.lit(slack).cast("decimal(4,2)")), F.lit(False)) & F.col("_there").isNotNull()
+    return at.select(*QUARTER, *(F.when(broken & F.lit(c in bridge), F.col(f"_{c}")).otherwise(F.coalesce(c, f"_{c}")).alias(c) for c in fields))

@@ -1,6 +1,6 @@
 """All registered queries outside the corpus subpackage."""
 
-from quarterlode.plans import corpus_queries, entry_queries, fact_queries, history_queries, label_queries, period_queries  # noqa: F401
+from quarterlode.plans import corpus_queries, entry_queries, fact_queries, history_queries, label_queries, more_queries, period_queries  # noqa: F401
 from quarterlode.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
