@@ -1,13 +1,15 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Every tree splits its nodes again and again at the median of a random projection; rows near the median go to both sides
-(spill overlap), until a node is a leaf of bounded size. Rows that share a leaf in any tree are compared exactly, in
-double precision. A pair is counted only in the first leaf that it shares, which each row's list of leaves tells, so no
+Every tree splits its nodes again and again on random projections, where few rows stand; rows nearer to the split than
+a share of the distance that linked rows may have go to both sides (spill overlap), until a node is a leaf. A node too
+tight to be parted that way (a dense group) stays a leaf of any size, compared in blocks: no group is cut through again
+and again. Rows that share a leaf in any tree are compared exactly, in double precision. A pair is counted only in the first leaf that it shares, which each row's list of leaves tells, so no
 pair ever leaves its task: leaves give counts of links by row and a spanning set of links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,10 @@ from quarterlode.llm.common import components, freeze
 
 TREES = 6
 LEAF_ROWS = 1_000
-SPILL = 0.08  # of a node's rows, on either side of the median
+SPILL = 0.08  # of a node's rows at least, on either side of a split
+REACH = 0.67  # of the largest distance of linked unit vectors, on either side of a split at least
+SIDE, WORK = 0.75, 0.9  # a split is made if no side keeps more of the rows, nor both more of the comparisons
+TRIES = 4  # axes in a row that cannot part a node, until it stays a leaf
 THRESHOLD = 0.9
 
 
@@ -53,25 +58,47 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, seed: int = 5, levels: int = 12) -> DataFrame:
+def cuts(q: Column, spill: float, reach: float) -> Column:
+    """The best split (low, high) of a node by its quantiles in twentieths; null if none makes it smaller.
+
+    Rows up to `high` go to one side, rows from `low` to the other. Best: the fewest rows go to both."""
+
+    def split(i: Column) -> Column:
+        at = F.get(q, i)
+        low, high = at - reach, at + reach
+        beyond = lambda k: F.get(q, F.least(F.greatest(i + k, F.lit(0)), F.size(q) - 1))
+        steps = math.ceil(spill * 20)
+        low, high = F.least(low, beyond(-steps)), F.greatest(high, beyond(steps))
+        # Rows up to the n-th quantile are n twentieths; what lies between two quantiles counts in full.
+        left, right = (F.size(F.filter(q, lambda y: y <= high)) + 1) / 20.0, (F.size(F.filter(q, lambda y: y >= low)) + 1) / 20.0
+        return F.struct((left + right).alias("both"), F.greatest(left, right).alias("side"), (left * left + right * right).alias("work"), low.alias("low"), high.alias("high"))
+
+    tried = F.transform(F.sequence(F.lit(3), F.lit(15)), split)
+    return F.array_min(F.filter(tried, lambda s: (s["side"] <= SIDE + 1e-9) & (s["work"] <= WORK)))
+
+
+def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, threshold: float = THRESHOLD, seed: int = 5, levels: int = 12) -> DataFrame:
     """(node, v) -> (node, leaf, rows): the leaves of all trees that each row is in, with their numbers of rows.
 
     All trees split one level at a time: the quantiles of every open node are aggregated by Spark, no node is gathered.
-    A node that a split would hardly make smaller (many rows on one point of the axis) stays a leaf."""
-    open_ = freeze(project(nodes, trees, 0, levels, seed).withColumn("leaf", F.xxhash64("size", "tree")))
+    A node that no split on TRIES axes would make smaller (a dense group, many rows on one point) stays a leaf."""
+    open_ = freeze(project(nodes, trees, 0, levels, seed).withColumn("leaf", F.xxhash64("size", "tree")).withColumn("failed", F.lit(0)))
     done, depth = None, 0
-    shares = [0.1, 0.5 - spill, 0.5 + spill, 0.9]
+    shares, reach = [i / 20 for i in range(1, 20)], REACH * math.sqrt(max(0.0, 2 - 2 * threshold))
     while True:
-        x, q = F.element_at("p", depth % levels + 1), F.col("q")
-        stats = open_.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.percentile_approx(x, shares, 2000).alias("q"))
-        stats = freeze(stats.withColumn("open", (F.col("rows") > leaf_rows) & (q[0] < q[1]) & (q[2] < q[3])))
+        x = F.element_at("p", depth % levels + 1)
+        stats = open_.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("failed").alias("tried"), F.percentile_approx(x, shares, 2000).alias("q"))
+        stats = stats.withColumn("cut", F.when(F.col("rows") > leaf_rows, cuts(F.col("q"), spill, reach)))
+        stats = freeze(stats.select("leaf", "rows", "cut.low", "cut.high", ((F.col("rows") > leaf_rows) & (F.col("cut").isNotNull() | (F.col("tried") + 1 < TRIES))).alias("open")))
         here = open_.join(stats, "leaf")
         leaves = here.where("not open").select("node", "leaf", "rows")
         done = leaves if done is None else done.unionByName(leaves)
         if stats.where("open").isEmpty():
             return done
-        sides = F.array(F.when(x <= q[2], F.xxhash64("leaf", F.lit(0))), F.when(x >= q[1], F.xxhash64("leaf", F.lit(1))))
-        split = here.where("open").withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "q", "open")
+        # A node without a split on this axis goes on to the next one as it is.
+        stays = F.col("low").isNull()
+        sides = F.array(F.when(stays, F.col("leaf")), F.when(x <= F.col("high"), F.xxhash64("leaf", F.lit(0))), F.when(x >= F.col("low"), F.xxhash64("leaf", F.lit(1))))
+        split = here.where("open").withColumn("failed", F.when(stays, F.col("failed") + 1).otherwise(0)).withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "low", "high", "open")
         depth += 1
         if depth % levels == 0:  # new random directions for the next levels
             split = split.drop("p").join(project(nodes, trees, depth, levels, seed).drop("size"), ["node", "tree"])
@@ -119,7 +146,7 @@ def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "emb
     good = good.withColumn("_n", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, y: a + y * y)))
     good = freeze(good.select("vec_id", "v", F.xxhash64(F.transform("_s", lambda y: F.round(y / F.col("_n"), 12) + 0.0)).alias("node")))
     nodes = freeze(good.groupBy("node").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id")))
-    leaves = grow(nodes, trees=trees, leaf_rows=leaf_rows, spill=spill, seed=seed)
+    leaves = grow(nodes, trees=trees, leaf_rows=leaf_rows, spill=spill, threshold=threshold, seed=seed)
     mine = leaves.groupBy("node").agg(F.collect_set(F.struct("leaf", "rows")).alias("l"))
     placed = nodes.join(mine, "node").select("node", "v", "copies", F.transform("l", lambda y: y["leaf"]).alias("leaves"), F.explode("l").alias("l"))
     blocks = F.ceil(F.col("l.rows") / F.lit(float(leaf_rows))).cast("int")

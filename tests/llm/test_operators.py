@@ -255,6 +255,21 @@ def test_forest_equals_brute_force(spark):
     assert forest.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_forest_finds_the_pairs_of_a_dense_group(spark):
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, group = unit(rng.standard_normal(64)), 1200  # more than ten leaves
+    x = unit(np.concatenate([0.93**0.5 * centre + 0.07**0.5 * unit(rng.standard_normal((group, 64))), rng.standard_normal((2400, 64))]))
+    x[group : group + 200] = unit(x[-200:] + 0.045 * rng.standard_normal((200, 64)))
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in forest.near_duplicates(df, leaf_rows=100).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= near.sum(1)).all()
+    assert found[:group].sum() == near[:group].sum() and found[group:].sum() >= 0.995 * near[group:].sum()
+
+
 # Classifier
 
 
