@@ -21,7 +21,7 @@ from quarterlode.llm.spans import joined, matches, merged, replaced
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
-TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+=*+"  # '=' only ends a token: a name before it is cut off
 KINDS = ("assign", "access", "hex", "random")  # in order of listing
 
 LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -110,7 +110,7 @@ def stratum(token: Column) -> Column:
 def _found(docs: DataFrame, text: str, level: float, rate: float) -> DataFrame:
     """The rows with spans. Texts are scanned twice (tokens of the corpus, result) and never stored or shuffled."""
     none = F.array().cast("array<struct<start:int,end:int,n:int,k:int,classes:array<bigint>,p:double>>")
-    tokens = lambda body: F.when(body.rlike("[A-Za-z0-9+/_=-]{20}"), battery(matches(body, TOKEN, "random"))).otherwise(none)
+    tokens = lambda body: F.when(body.rlike("[A-Za-z0-9+/_-]{16}"), battery(matches(body, TOKEN, "random"))).otherwise(none)
     plain = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     seen = docs.select(tokens(plain).alias("_tokens"), class_counts(plain).alias("_classes"))
     rows = freeze(seen.select(F.when(F.size("_tokens") > 0, F.transform("_tokens", lambda t: t.dropFields("start", "end"))).alias("_tokens"), "_classes"))

@@ -107,6 +107,21 @@ def test_random_tokens(spark):
     assert caught >= 18 and not any(r._random for r in found if "ordinary words ordinary" in r.text)
 
 
+def test_random_tokens_glued_to_a_name_and_short_ones(spark):
+    import random
+
+    rng = random.Random(4)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    make = lambda n: "".join(rng.choice(b64) for _ in range(n))
+    hits = [make(n) for n in [40] * 20 + [18] * 20]
+    texts = [f"url sig={h} AccountKey={h}== in ordinary words" for h in hits[:20]] + [f"short {h} in ordinary words" for h in hits[20:]]
+    texts += ["ordinary words " * 30 + "averyverylongordinaryword=and-another-one"] * 40
+    rows = [(r.text, {r.text[s.start : s.end] for s in r._random}) for r in secrets.find(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    glued = sum({h, h + "=="} <= found for h in hits[:20] for t, found in rows if h in t)
+    short = sum(h in found for h in hits[20:] for t, found in rows if h in t)
+    assert glued >= 17 and short >= 15 and not any(found for t, found in rows if "ordinary words ordinary" in t)
+
+
 @pytest.mark.parametrize("module", [privacy, secrets])
 def test_odd_tables(odd, clashing, empty, module):
     act = module.sanitise if module is privacy else module.redact
