@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def matches(text: Column, pattern: str, kind: str, maybe: Column | None = None) -> Column:
+def matches(text: Column, pattern: str | Column, kind: str, maybe: Column | None = None) -> Column:
     """All leftmost non-overlapping matches as (kind, start, end, value); the pattern must not match the empty string.
 
     maybe: a cheap condition without which there is no match."""
     # Both arrays go in as the aggregate's input: inside a lambda they would be made anew for every match.
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"))
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, pattern if isinstance(pattern, Column) else F.lit(pattern), F.lit(0)).alias("value"))
     state = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:

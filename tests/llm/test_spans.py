@@ -95,6 +95,14 @@ def test_words_that_reveal_an_entity(spark):
     assert clean[100] == rows[6][1]
 
 
+def test_words_far_from_an_entity_reveal_it_everywhere(spark):
+    gap = " ".join(f"filler{j}" for j in range(120))
+    rows = [(i, f"mail joe@site.org {gap} then Zanzibar and zanzibar {i}") for i in range(40)] + [(50, "only zanzibar here, and zanzibars")]
+    rows += [(100 + i, f"plain {gap} then and only here mail note {i}") for i in range(4000)]
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r._terms] for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 110").collect()}
+    assert found[0] == ["Zanzibar", "zanzibar"] and found[50] == ["zanzibar"] and not found[100]
+
+
 def test_random_tokens(spark):
     import random
 
