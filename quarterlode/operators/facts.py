@@ -103,14 +103,24 @@ def one_per_quarter(df: DataFrame, rank: Column, keys: Sequence[str] = SERIES, f
 
 def field_series(facts: DataFrame) -> DataFrame:
     """Mapped facts -> quarterly values of each field: the best concept series of a quarter, else the series of all
-    concepts of the field together (which can derive a quarter from spans of different concepts)."""
-    by_concept = derive_quarters(split_spans(dedupe_facts(facts), (*SERIES, "field", "namespace_priority", "concept_priority")), (*SERIES, "field", "namespace_priority", "concept_priority"))
-    at = by_concept.withColumn("quarter", calendar_quarter(F.col("end_date")))
-    picked = best(at, ["company_id", "field", "quarter"], F.struct((~F.col("derived")).alias("d"), "concept_priority", "namespace_priority", "end_date", "concept"))
-    whole = derive_quarters(split_spans(dedupe_facts(facts), ("company_id", "field"), field_rank()), ("company_id", "field"))
-    spare = best(whole.withColumn("quarter", calendar_quarter(F.col("end_date"))), ["company_id", "field", "quarter"], F.struct("end_date"))
-    spare = spare.join(picked, ["company_id", "field", "quarter"], "left_anti").select("company_id", "field", "quarter", "value", "derived")
-    return picked.select("company_id", "field", "quarter", "value", "derived").unionByName(spare)
+    concepts of the field together (which can derive a quarter from spans of different concepts).
+
+    Both kinds of series go through one pass: each fact is laid out for its concept and for its field."""
+    series = F.array(F.struct(F.col("namespace"), F.col("concept"), "namespace_priority", "concept_priority", F.lit(1).alias("own")), F.struct(*(F.lit(None).cast(k).alias(c) for c, k in (("namespace", "string"), ("concept", "string"), ("namespace_priority", "int"), ("concept_priority", "int"))), F.lit(0).alias("own")))
+    keys = ("company_id", "field", "series")
+    rank = F.when(F.col("series.own") == 1, _same_names(fact_rank(), 0)).otherwise(_same_names(field_rank(), 1))
+    rows = dedupe_facts(facts).withColumn("series", F.explode(series))
+    at = derive_quarters(split_spans(rows, keys, rank), keys).withColumn("quarter", calendar_quarter(F.col("end_date")))
+    own = F.col("series.own") == 1
+    order = F.struct("series.own", (own & ~F.col("derived")).alias("d"), "series.concept_priority", "series.namespace_priority", "end_date", "series.concept")
+    picked = at.groupBy("company_id", "field", "quarter").agg(F.max_by(F.struct("value", "derived"), order).alias("b"))
+    return picked.select("company_id", "field", "quarter", "b.*")
+
+
+def _same_names(rank: Column, kind: int) -> Column:
+    """The ranks have fields of the same types in unlike order; as one type they can stand in one expression."""
+    names = ("timely", "near", "namespace_priority", "concept_priority", "filed", "accession") if kind == 0 else ("timely", "concept_priority", "namespace_priority", "near", "filed", "accession")
+    return F.struct(*(rank[n].alias(f"r{i}") for i, n in enumerate(names)))
 
 
 def composite_field(series: DataFrame, target: str, parts: Sequence[str]) -> DataFrame:

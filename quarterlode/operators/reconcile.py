@@ -46,28 +46,35 @@ def best_field(stacked: DataFrame) -> DataFrame:
     return top.select(*QUARTER, "field", "b.*")
 
 
+def _scored(items: DataFrame, totals: DataFrame) -> DataFrame:
+    """Items with the score of their source's breakdown of the quarter; one sort of each quarter."""
+    w = Window.partitionBy(*QUARTER, "source_id")
+    at = items.withColumns({"items": F.count(F.lit(1)).over(w), "disclosed": F.sum("value").over(w), "_first": F.row_number().over(w.orderBy("category"))}).join(totals, [*QUARTER], "left")
+    share = F.when(F.col("total") > 0, F.least(F.col("disclosed").cast("double") / F.col("total").cast("double"), F.lit(1.0)) * 12.0).otherwise(0.0)
+    return at.withColumn("score", F.col("priority") + F.least("items", F.lit(6)) * 2.0 + share)
+
+
 def collection_score(items: DataFrame, totals: DataFrame) -> DataFrame:
     """Score of each source's breakdown: priority, up to six items, share of the total explained."""
-    sums = items.groupBy(*QUARTER, "source_id").agg(F.count(F.lit(1)).alias("items"), F.sum("value").alias("disclosed"), F.first("priority").alias("priority"))
-    at = sums.join(totals, [*QUARTER], "left")
-    share = F.when(F.col("total") > 0, F.least(F.col("disclosed").cast("double") / F.col("total").cast("double"), F.lit(1.0)) * 12.0).otherwise(0.0)
-    return at.select(*QUARTER, "source_id", "items", "disclosed", "total", (F.col("priority") + F.least("items", F.lit(6)) * 2.0 + share).alias("score"))
+    return _scored(items, totals).where("_first = 1").select(*QUARTER, "source_id", "items", "disclosed", "total", "score")
 
 
 def merge_breakdowns(items: DataFrame, totals: DataFrame, residual_name: str = "other_opex") -> DataFrame:
     """The best source's item of each category; if these exceed the total by 2 % the best single source, else what the
-    total leaves (over 1.5 % and 0.05, two items at least) as a residual item."""
-    scores = collection_score(items, totals)
-    every = items.join(scores.select(*QUARTER, "source_id", "score", "total"), [*QUARTER, "source_id"])
-    each = every.withColumn("item_score", F.col("score") + F.least(F.col("value").cast("double"), F.lit(999.0)) / 1000)
-    best = each.groupBy(*QUARTER, "category").agg(F.max_by(F.struct("value", "source_id", "total"), F.struct("item_score", "source_id")).alias("b")).select(*QUARTER, "category", "b.*")
-    sums = best.groupBy(*QUARTER).agg(F.sum("value").alias("disclosed"), F.count(F.lit(1)).alias("n"), F.first("total").alias("total"))
-    over = sums.where((F.col("total") > 0) & (F.col("disclosed") > F.col("total") * F.lit(1.02).cast("decimal(4,2)"))).select(*QUARTER)
-    single = scores.groupBy(*QUARTER).agg(F.max_by("source_id", F.struct("score", "source_id")).alias("source_id"))
-    instead = items.join(single, [*QUARTER, "source_id"]).join(over, [*QUARTER], "left_semi").select(*QUARTER, "category", "value", "source_id")
-    rest = sums.join(over, [*QUARTER], "left_anti").where((F.col("total") > 0) & (F.col("n") >= 2)).withColumn("value", (F.col("total") - F.col("disclosed")).cast("decimal(20,2)"))
-    rest = rest.where(F.col("value") > F.greatest(F.col("total") * F.lit(0.015).cast("decimal(4,3)"), F.lit(0.05).cast("decimal(3,2)"))).select(*QUARTER, F.lit(residual_name).alias("category"), "value", F.lit("residual").alias("source_id"))
-    return best.join(over, [*QUARTER], "left_anti").select(*QUARTER, "category", "value", "source_id").unionByName(instead).unionByName(rest)
+    total leaves (over 1.5 % and 0.05, two items at least) as a residual item.
+
+    Windows over a quarter's items, one after another: nothing is read or joined twice."""
+    quarter = Window.partitionBy(*QUARTER)
+    at = _scored(items, totals).withColumn("item_score", F.col("score") + F.least(F.col("value").cast("double"), F.lit(999.0)) / 1000)
+    best = F.struct("item_score", "source_id") == F.max(F.struct("item_score", "source_id")).over(Window.partitionBy(*QUARTER, "category"))
+    at = at.withColumns({"_best": best, "_single": F.max(F.struct("score", "source_id")).over(quarter)["source_id"] == F.col("source_id")})
+    at = at.withColumns({"_sum": F.sum(F.when(F.col("_best"), F.col("value"))).over(quarter), "_n": F.count_if("_best").over(quarter), "_place": F.row_number().over(quarter.orderBy("source_id", "category"))})
+    over = F.coalesce((F.col("total") > 0) & (F.col("_sum") > F.col("total") * F.lit(1.02).cast("decimal(4,2)")), F.lit(False))
+    rest = (F.col("total") - F.col("_sum")).cast("decimal(20,2)")
+    much = (F.col("total") > 0) & (F.col("_n") >= 2) & (rest > F.greatest(F.col("total") * F.lit(0.015).cast("decimal(4,3)"), F.lit(0.05).cast("decimal(3,2)")))
+    own = F.when(F.when(over, F.col("_single")).otherwise(F.col("_best")), F.struct("category", F.col("value").cast("decimal(20,2)").alias("value"), "source_id"))
+    left = F.when(~over & much & (F.col("_place") == 1), F.struct(F.lit(residual_name).alias("category"), rest.alias("value"), F.lit("residual").alias("source_id")))
+    return at.select(*QUARTER, F.explode(F.array_compact(F.array(own, left))).alias("r")).select(*QUARTER, "r.*")
 
 
 def completeness(fields: Sequence[str]) -> Column:

@@ -40,13 +40,19 @@ def label_tokens(label: Column) -> Column:
     return F.array_distinct(F.filter(F.split(normal_label(label), " "), lambda w: (w != "") & ~w.isin(*LABEL_STOP)))
 
 
+def combines(name: Column, others: Column) -> Column:
+    """How many of a quarter's labels `others` have all their words, and not all words, in a label with "and"."""
+    tokens = label_tokens(name)
+    part = lambda o: ~is_aggregate(o) & (o != name) & (F.size(label_tokens(o)) > 0) & (F.size(label_tokens(o)) < F.size(tokens)) & (F.size(F.array_except(label_tokens(o), tokens)) == 0)
+    return F.when(F.contains(normal_label(name), F.lit(" and ")) & (F.size(tokens) >= 2), F.size(F.filter(others, part))).otherwise(0)
+
+
 def combined_labels(df: DataFrame, keys: Sequence[str] = QUARTER) -> DataFrame:
-    """(keys, name) of labels with "and" that contain all words of at least two other labels of the quarter."""
-    names = df.select(*keys, "name").distinct().withColumn("_t", label_tokens(F.col("name"))).withColumn("_a", is_aggregate(F.col("name")))
-    wide = names.where(F.contains(normal_label(F.col("name")), F.lit(" and ")) & (F.size("_t") >= 2))
-    part = names.where(~F.col("_a") & (F.size("_t") > 0)).select(*keys, F.col("name").alias("_n"), F.col("_t").alias("_p"))
-    hit = (F.size(F.array_except("_p", "_t")) == 0) & (F.size("_p") < F.size("_t")) & (F.col("_n") != F.col("name"))
-    return wide.join(part, list(keys)).where(hit).groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("parts")).where("parts >= 2")
+    """(keys, name) of labels with "and" that contain all words of at least two other labels of the quarter.
+
+    The few labels of a quarter are collected once and tested in place."""
+    at = df.groupBy(*keys).agg(F.collect_set("name").alias("_all")).select(*keys, "_all", F.explode("_all").alias("name"))
+    return at.select(*keys, "name", combines(F.col("name"), F.col("_all")).cast("long").alias("parts")).where("parts >= 2")
 
 
 def group_members(df: DataFrame) -> DataFrame:
@@ -62,21 +68,20 @@ def best_member_row(df: DataFrame, rank: Column) -> DataFrame:
 
 def merge_same_value(df: DataFrame, tolerance: float = 0.001) -> DataFrame:
     """Drops a row if another of the quarter has the same value and a longer name that contains its own."""
-    other = df.select(*QUARTER, F.col("name").alias("_n"), F.col("value").alias("_v"))
-    longer = F.contains(F.col("_n"), F.col("name")) & (F.length("_n") > F.length("name")) & (F.abs(F.col("_v") - F.col("value")) < tolerance)
-    lost = df.join(other, list(QUARTER)).where(longer).select(*QUARTER, "name").distinct()
-    return df.join(lost, [*QUARTER, "name"], "left_anti").select(df.columns)
+    every = F.collect_list(F.struct("name", "value")).over(Window.partitionBy(*QUARTER))
+    name, value = F.col("name"), F.col("value")
+    longer = lambda o: F.contains(o["name"], name) & (F.length(o["name"]) > F.length(name)) & (F.abs(o["value"] - value) < tolerance)
+    return df.withColumn("_all", every).where(~F.exists("_all", longer)).select(df.columns)
 
 
 def clean_segments(df: DataFrame) -> DataFrame:
     """Positive rows; of three or more, aggregates go if two others stay, then combined labels if any others stay."""
     w = Window.partitionBy(*QUARTER)
-    rows = df.where(F.col("value") > 0.001).withColumn("_a", is_aggregate(F.col("name")))
+    rows = df.withColumn("_all", F.collect_set("name").over(w)).where(F.col("value") > 0.001).withColumn("_a", is_aggregate(F.col("name")))
     rows = rows.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_plain", F.count_if(~F.col("_a")).over(w))
-    rows = rows.where(~(F.col("_a") & (F.col("_n") >= 3) & (F.col("_plain") >= 2)))
-    marks = combined_labels(df).select(*QUARTER, "name", F.lit(True).alias("_c"))
-    rows = rows.join(marks, [*QUARTER, "name"], "left").withColumn("_rest", F.count_if(F.col("_c").isNull()).over(w))
-    return rows.where(F.col("_c").isNull() | (F.col("_n") < 3) | (F.col("_rest") == 0)).select(df.columns)
+    rows = rows.where(~(F.col("_a") & (F.col("_n") >= 3) & (F.col("_plain") >= 2))).withColumn("_c", combines(F.col("name"), F.col("_all")) >= 2)
+    rows = rows.withColumn("_rest", F.count_if(~F.col("_c")).over(w))
+    return rows.where(~F.col("_c") | (F.col("_n") < 3) | (F.col("_rest") == 0)).select(df.columns)
 
 
 def canonical_member(df: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Labels of cost and expense items to a taxonomy. Labels repeat, so they are classified once each, then joined back."""
+"""Labels of cost and expense items to a taxonomy."""
 
 from __future__ import annotations
 
@@ -96,15 +96,29 @@ def keyword_vote(items: DataFrame, name: str = "name") -> DataFrame:
 
 def classify(items: DataFrame) -> DataFrame:
     """(kind, name, category): alias, else keyword vote; labels with neither are left out."""
-    alias = alias_match(items)
-    vote = keyword_vote(items).select("kind", "name", "category").join(alias, ["kind", "name"], "left_anti")
-    return alias.unionByName(vote)
+    labels = items.select("kind", "name").distinct()
+    return labels.withColumn("category", category_of(F.col("kind"), F.col("name"))).where("category is not null")
+
+
+def category_of(kind: Column, name: Column) -> Column:
+    """The category of a label as one expression over the fixed tables: no join, so nothing is shuffled or broadcast."""
+    key = label_key(name)
+    aliases: dict[str, str] = {}
+    for k, cats in TAXONOMY.items():
+        for c, (title, names) in cats.items():
+            for alias in (*names, title):
+                if _key(alias):
+                    aliases.setdefault(f"{k}:{_key(alias)}", c)
+    alias = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))[F.concat(kind, F.lit(":"), key)]
+    votes = F.array(*(F.struct(F.when(kind == k, sum((F.contains(key, F.lit(w)).cast("int") for w in words), F.lit(0))).otherwise(0).alias("n"), F.lit(c).alias("c")) for k, cats in KEYWORDS.items() for c, words in cats.items()))
+    best = F.array_max(F.transform(votes, lambda v: v["n"]))
+    vote = F.array_min(F.transform(F.filter(votes, lambda v: v["n"] == best), lambda v: v["c"]))
+    return F.coalesce(alias, F.when(best > 0, vote))
 
 
 def normalize_breakdown(items: DataFrame, keys: tuple[str, ...] = ("company_id", "q_index", "source_id")) -> DataFrame:
     """One row of each category: values of known categories are summed, of unknown labels the greatest stays; totals go."""
-    kept = reject_totals(items)
-    known = kept.join(F.broadcast(classify(kept)), ["kind", "name"], "left").withColumn("category", F.coalesce("category", F.nullif(member_key(F.col("name")), F.lit("")))).where("category is not null")
+    known = reject_totals(items).withColumn("category", F.coalesce(category_of(F.col("kind"), F.col("name")), F.nullif(member_key(F.col("name")), F.lit("")))).where("category is not null")
     fixed = F.col("category").isin(*(c for cats in TAXONOMY.values() for c in cats))
     return known.groupBy(*keys, "kind", "category").agg(F.when(F.first(fixed), F.sum("value")).otherwise(F.max("value")).cast("decimal(20,2)").alias("value"), F.array_sort(F.collect_set("name")).alias("names"))
 

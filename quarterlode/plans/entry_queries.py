@@ -42,10 +42,7 @@ FINAL = SPANS + ", f1 AS (SELECT company_id, q_index, y, false AS derived, reven
 
 
 def spans(t):
-    t.quarters  # registers the tables
-    from quarterlode.plans.fixtures import ctes
-
-    return t.spark.sql(ctes(SPANS) + "SELECT * FROM spans")
+    return t.sql("SELECT * FROM spans", SPANS)
 
 
 @query("e4_derive_from_cumulative", "SELECT company_id, q_index, derived, revenue, cost, tax FROM f4", FINAL, money="revenue cost tax")

@@ -6,6 +6,8 @@ gap handling have work to do. Nothing is sampled: the views grow with the tables
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -24,14 +26,13 @@ SELECT company_id, start_date, CAST(last_day(start_date + INTERVAL '2' MONTH) AS
   CAST(sum(revenue) AS DECIMAL(20,2)) AS revenue, CAST(sum(cost) AS DECIMAL(20,2)) AS cost, CAST(sum(tax) AS DECIMAL(20,2)) AS tax
 FROM lines GROUP BY company_id, start_date""",
     "measures": """
-SELECT company_id, 'Revenues' AS concept, start_date, end_date, y, qn, revenue AS value FROM quarters
-UNION ALL SELECT company_id, 'CostOfRevenue', start_date, end_date, y, qn, cost FROM quarters
-UNION ALL SELECT company_id, 'IncomeTaxExpenseBenefit', start_date, end_date, y, qn, tax FROM quarters""",
+SELECT company_id, concept, start_date, end_date, y, qn, CASE concept WHEN 'Revenues' THEN revenue WHEN 'CostOfRevenue' THEN cost ELSE tax END AS value
+FROM quarters CROSS JOIN (SELECT 'Revenues' AS concept UNION ALL SELECT 'CostOfRevenue' UNION ALL SELECT 'IncomeTaxExpenseBenefit') c""",
     "disclosed": """
-SELECT company_id, concept, start_date, end_date, y, qn, value FROM measures
-WHERE NOT (qn = 2 AND (company_id + y) % 3 = 0) AND NOT (qn = 4 AND (company_id + y) % 3 <> 2)
-UNION ALL SELECT * FROM (SELECT company_id, concept, CAST(min(start_date) OVER w AS DATE), end_date, y, qn, CAST(sum(value) OVER w AS DECIMAL(20,2)) FROM measures
-WINDOW w AS (PARTITION BY company_id, concept, y ORDER BY qn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x WHERE qn >= 2""",
+SELECT company_id, concept, CASE WHEN k = 0 THEN start_date ELSE ytd_start END AS start_date, end_date, y, qn, CASE WHEN k = 0 THEN value ELSE ytd END AS value
+FROM (SELECT *, CAST(min(start_date) OVER w AS DATE) AS ytd_start, CAST(sum(value) OVER w AS DECIMAL(20,2)) AS ytd FROM measures
+  WINDOW w AS (PARTITION BY company_id, concept, y ORDER BY qn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) spans
+WHERE CASE WHEN k = 0 THEN NOT (qn = 2 AND (company_id + y) % 3 = 0) AND NOT (qn = 4 AND (company_id + y) % 3 <> 2) ELSE qn >= 2 END""",
     "forms": "SELECT '10-Q' AS form, 30 AS lag_days, 0 AS extra UNION ALL SELECT '10-K', 60, 1 UNION ALL SELECT '8-K', 400, 2 UNION ALL SELECT 'S-1', 10, 3",
     "facts": """
 SELECT d.company_id, CASE WHEN d.company_id % 4 = 0 THEN 'ifrs-full' ELSE 'us-gaap' END AS namespace, d.concept,
@@ -64,13 +65,14 @@ SELECT o_custkey AS company_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN
   concat('acc-', o_orderkey % 9973) AS accession, CAST(o_orderdate AS DATE) AS filing_date, concat('doc', o_orderkey, '.htm') AS primary_document, o_orderkey
 FROM orders""",
     "labels_seen": """
-SELECT company_id, q_index, source_id, kind, name, CAST(value AS DECIMAL(20,2)) AS value FROM (
-  SELECT company_id, CAST(year(start_date) * 4 + quarter(start_date) - 1 AS INT) AS q_index, concat('s', l_linestatus) AS source_id, 'opex' AS kind,
-    CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'Sales and distribution expense' WHEN 'AO' THEN 'Advertising and promotion' WHEN 'NF' THEN 'General corporate overhead'
-      WHEN 'NO' THEN 'Product development' WHEN 'RF' THEN 'Interest and other expense' ELSE 'R&D' END AS name, CAST(sum(cost) AS DECIMAL(20,2)) AS value
-  FROM lines GROUP BY company_id, start_date, l_returnflag, l_linestatus
-  UNION ALL SELECT company_id, CAST(year(start_date) * 4 + quarter(start_date) - 1 AS INT), 'sT', 'opex', 'Total operating expenses', CAST(sum(cost) AS DECIMAL(20,2)) FROM lines GROUP BY company_id, start_date
-  UNION ALL SELECT company_id, CAST(year(start_date) * 4 + quarter(start_date) - 1 AS INT), 'sO', 'opex', 'Sundry items', CAST(sum(tax) AS DECIMAL(20,2)) FROM lines GROUP BY company_id, start_date) x""",
+SELECT company_id, CAST(year(start_date) * 4 + quarter(start_date) - 1 AS INT) AS q_index,
+  CASE k WHEN 0 THEN concat('s', l_linestatus) WHEN 1 THEN 'sT' ELSE 'sO' END AS source_id, 'opex' AS kind,
+  CASE WHEN k = 1 THEN 'Total operating expenses' WHEN k = 2 THEN 'Sundry items' ELSE CASE concat(l_returnflag, l_linestatus) WHEN 'AF' THEN 'Sales and distribution expense' WHEN 'AO' THEN 'Advertising and promotion'
+    WHEN 'NF' THEN 'General corporate overhead' WHEN 'NO' THEN 'Product development' WHEN 'RF' THEN 'Interest and other expense' ELSE 'R&D' END END AS name,
+  CASE WHEN k = 2 THEN tax ELSE cost END AS value
+FROM (SELECT company_id, start_date, l_returnflag, l_linestatus, grouping(l_returnflag) AS whole, CAST(sum(cost) AS DECIMAL(20,2)) AS cost, CAST(sum(tax) AS DECIMAL(20,2)) AS tax FROM lines
+  GROUP BY GROUPING SETS ((company_id, start_date, l_returnflag, l_linestatus), (company_id, start_date))) g
+CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) kinds WHERE (k = 0 AND whole = 0) OR (k > 0 AND whole = 1)""",
     "fx_rates": """
 SELECT currency, rate_date, rate FROM (
   SELECT event_type AS currency, CAST(ts AS DATE) AS rate_date, CAST(avg(CAST(value AS DECIMAL(12,4))) AS DECIMAL(12,4)) AS rate FROM events GROUP BY event_type, CAST(ts AS DATE)) x
@@ -84,8 +86,24 @@ def ctes(extra: str = "") -> str:
     return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in VIEWS.items()) + (",\n" + extra if extra else "") + "\n"
 
 
+def reads(sql: str) -> set[str]:
+    """The given tables and views that some SQL reads, through other views."""
+    words = set(re.findall(r"\w+", sql))
+    views = words & VIEWS.keys()
+    return views | (words & set(TABLES)).union(*(reads(VIEWS[v].replace(f" {v} ", " ")) for v in views))
+
+
+def select(spark: SparkSession, sf_dir: str, sql: str, extra: str = "") -> DataFrame:
+    """A query over model views and given tables of one folder; extra: more common table expressions.
+
+    Only what is read is registered."""
+    used = reads(f"{extra} {sql}")
+    for t in used & set(TABLES):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    parts = [f"{k} AS ({v})" for k, v in VIEWS.items() if k in used] + ([extra] if extra else [])
+    return spark.sql(f"WITH {', '.join(parts)} {sql}" if parts else sql)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame over the tables of one folder."""
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(f"{ctes()} SELECT * FROM {name}")
+    return select(spark, sf_dir, f"SELECT * FROM {name}")

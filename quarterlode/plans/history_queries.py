@@ -20,10 +20,7 @@ NAMED = """named AS (SELECT company_id, q_index, member_key, CAST(value AS DECIM
 
 
 def named(t):
-    t.segments  # registers the tables
-    from quarterlode.plans.fixtures import ctes
-
-    return t.spark.sql(ctes(NAMED) + "SELECT * FROM named")
+    return t.sql("SELECT * FROM named", NAMED)
 
 
 TOKENS = f"""tok AS (SELECT DISTINCT company_id, q_index, name, list_distinct(list_filter(string_split({NORM.format('name')}, ' '), lambda w: w <> '' AND w NOT IN ('and', 'other', 'services', 'service'))) AS t, {NORM.format('name')} AS nn FROM named),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlode.plans.fixtures import VIEWS, ctes, view
+from quarterlode.plans.fixtures import VIEWS, ctes, select, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +19,9 @@ class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def sql(self, sql: str, extra: str = "") -> DataFrame:
+        return select(self.spark, self.sf_dir, sql, extra)
+
     def __getattr__(self, name: str) -> DataFrame:
         return view(self.spark, self.sf_dir, name) if name in VIEWS else self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
