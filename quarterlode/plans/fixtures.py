@@ -56,6 +56,17 @@ FROM quarters WHERE (company_id * 7 + q_index) % 11 <> 0""",
 SELECT l.company_id, CAST(year(l.start_date) * 4 + quarter(l.start_date) - 1 AS INT) AS q_index, p.p_type AS member_key, p.p_type AS name,
   CAST(last_day(l.start_date + INTERVAL '2' MONTH) AS DATE) AS period_end, CAST(sum(l.revenue) AS DECIMAL(20,2)) AS value
 FROM lines l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.company_id, l.start_date, p.p_type""",
+    "dim_facts": """
+SELECT concat_ws('-', company_id, y, qn, kind, coalesce(p_type, p_brand, 'all'), k) AS fact_id, company_id, CASE WHEN (company_id + qn) % 4 = 0 THEN 'NetSales' WHEN (company_id + qn) % 4 = 1 THEN 'InterestRevenue' ELSE 'Revenues' END AS concept,
+  CASE WHEN k = 0 OR qn = 1 THEN start_date ELSE ytd_start END AS start_date, end_date, CASE WHEN k = 0 THEN '10-Q' ELSE '10-K' END AS form, CAST(end_date + (CASE WHEN (company_id + y) % 5 = 0 THEN 300 ELSE 40 END + k * 10) * INTERVAL '1' DAY AS DATE) AS filing_date,
+  CASE WHEN k = 0 OR qn = 1 THEN value ELSE ytd END AS value,
+  CASE kind WHEN 'type' THEN concat('us-gaap:StatementBusinessSegmentsAxis=co:', p_type, 'Member', CASE WHEN (company_id + qn) % 3 = 0 THEN ';srt:ConsolidationItemsAxis=us-gaap:OperatingSegmentsMember' WHEN qn = 2 THEN ';us-gaap:StatementBusinessSegmentsAxis=us-gaap:OperatingSegmentsMember' ELSE '' END)
+    WHEN 'brand' THEN concat('srt:ProductOrServiceAxis=co:', replace(p_brand, '#', ''), 'Member') ELSE CASE WHEN company_id % 2 = 0 THEN 'co:SegmentPlaceAxis=co:NorthAmericaMember' ELSE 'srt:StatementGeographicalAxis=country:US' END END AS dims
+FROM (SELECT *, CAST(last_day(start_date + INTERVAL '2' MONTH) AS DATE) AS end_date, CAST(min(start_date) OVER w AS DATE) AS ytd_start, CAST(sum(value) OVER w AS DECIMAL(20,2)) AS ytd FROM (
+  SELECT l.company_id, l.start_date, CAST(year(l.start_date) AS INT) AS y, CAST(quarter(l.start_date) AS INT) AS qn, p.p_type, p.p_brand, CASE WHEN grouping(p.p_type) = 0 THEN 'type' WHEN grouping(p.p_brand) = 0 THEN 'brand' ELSE 'place' END AS kind, CAST(sum(l.revenue) AS DECIMAL(20,2)) AS value
+  FROM lines l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY GROUPING SETS ((l.company_id, l.start_date, p.p_type), (l.company_id, l.start_date, p.p_brand), (l.company_id, l.start_date))) g
+  WINDOW w AS (PARTITION BY company_id, kind, p_type, p_brand, y ORDER BY qn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) h CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1) ks
+WHERE (k = 0 AND NOT (kind = 'type' AND qn = 3 AND company_id % 2 = 0)) OR (k = 1 AND (qn = 1 OR kind <> 'brand'))""",
     "details": """
 SELECT l.company_id, CAST(year(l.start_date) * 4 + quarter(l.start_date) - 1 AS INT) AS q_index, p.p_brand AS member_key, p.p_type AS target_name,
   CAST(sum(l.revenue) AS DECIMAL(20,2)) AS value
