@@ -26,17 +26,24 @@ def gross_stage(df: DataFrame) -> DataFrame:
 
 
 def resolve_opex(df: DataFrame) -> DataFrame:
-    """Operating expenses as stated if they agree with gross less operating profit (0.25 or 8 %) and do not exceed gross
-    profit, else that difference; without it as stated, or 0 if more than revenue or gross profit."""
+    """Operating expenses as stated if they agree with gross less operating profit (0.25 or 8 %; 12 % where the column
+    `opex_items`, the sum of a breakdown, is within 0.35 or 5 % of them) and do not exceed gross profit by over 0.25, else that
+    difference; without it as stated, or 0 if they exceed revenue or gross profit by over 0.25."""
     stated, gross = F.greatest(F.col("operating_expenses"), F.lit(0).cast(M)), F.col("gross_profit")
     stated = F.when(F.col("operating_expenses").isNotNull(), stated)
     derived = F.when(F.col("operating_income").isNotNull() & gross.isNotNull(), m(F.greatest(gross - F.col("operating_income"), F.lit(0))))
-    slack = F.lit("0.25").cast("decimal(4,2)")
-    near = F.abs(stated - derived) <= F.greatest(slack, derived * F.lit("0.08").cast("decimal(3,2)"))
-    over = F.coalesce(stated > gross + slack, F.lit(False))
-    alone = F.when(over | F.coalesce(stated > F.col("revenue") + slack, F.lit(False)), F.lit(0).cast(M)).otherwise(stated)
-    value = F.when(stated.isNull(), derived).when(derived.isNull(), alone).when(near & ~over, stated).otherwise(derived)
-    return df.withColumn("opex_reliable", F.coalesce(stated.isNotNull() & ~over & F.when(derived.isNull(), ~F.coalesce(stated > F.col("revenue") + slack, F.lit(False))).otherwise(near), F.lit(False))).withColumn("operating_expenses", m(value))
+    d = lambda x: F.lit(x).cast("decimal(10,4)")
+    off = F.abs(stated - derived)
+    within = lambda share: F.when(derived > d("0.05"), off <= derived * d(share)).otherwise(off <= d(share))
+    near = (off <= d("0.25")) | within("0.08")
+    if "opex_items" in df.columns:
+        items = F.col("opex_items")
+        near = near | (F.coalesce((items > d("0.05")) & (F.abs(items - stated) <= F.greatest(d("0.35"), items * d("0.05"))), F.lit(False)) & within("0.12"))
+    over = F.coalesce(stated > gross + d("0.25"), F.lit(False))
+    much = over | F.coalesce(stated > F.greatest(F.col("revenue"), F.lit(0)) + d("0.25"), F.lit(False))
+    value = F.when(stated.isNull(), derived).when(derived.isNull(), F.when(much, F.lit(0).cast(M)).otherwise(stated)).when(near & ~over, stated).otherwise(derived)
+    reliable = F.when(stated.isNull(), False).when(derived.isNull(), ~much).otherwise(near & ~over)
+    return df.withColumn("opex_reliable", F.coalesce(reliable, F.lit(False))).withColumn("operating_expenses", m(value))
 
 
 def resolve_pretax(df: DataFrame) -> DataFrame:

@@ -98,7 +98,7 @@ def select_axis(facts: DataFrame, dims: str = "dims") -> DataFrame:
     named = F.filter(dims, lambda x: (x["dimension"] != "") & (x["member"] != "") & ~F.lower(x["dimension"]).isin(*IGNORED_AXES))
     at = facts.withColumn("_d", named).where(F.size("_d") > 0)
     at = at.withColumn("axis_priority", F.array_max(F.transform("_d", lambda x: axis_priority(x["dimension"])))).where("axis_priority > 0")
-    at = at.withColumn("axis", F.filter("_d", lambda x: axis_priority(x["dimension"]) == F.col("axis_priority"))[0]["dimension"])
+    at = at.withColumn("axis", F.get(F.filter("_d", lambda x: axis_priority(x["dimension"]) == F.col("axis_priority")), F.lit(0))["dimension"])
     members = F.transform(F.filter("_d", lambda x: x["dimension"] == F.col("axis")), lambda x: x["member"])
     at = at.withColumn("_m", members).withColumn("_some", F.filter("_m", lambda m: ~F.lower(m).isin(*GENERIC_MEMBERS)))
     at = at.withColumn("_kept", F.filter("_some", lambda m: ~is_generic(m, F.col("_m")))).withColumn("_own", F.filter("_kept", lambda m: ~is_place(m)))

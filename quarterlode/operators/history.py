@@ -48,8 +48,9 @@ def taxonomy_profile(rows: DataFrame, optional: tuple[str, ...] = ("otherrevenue
 def key_overlap(rows: DataFrame, span: int = 4) -> DataFrame:
     """Jaccard of member sets of quarters at most `span` apart; quarters of a company are few."""
     sets = rows.groupBy(*QUARTER).agg(F.array_sort(F.collect_set("member_key")).alias("k"))
-    a, b = sets.alias("a"), sets.select("company_id", F.col("q_index").alias("q2"), F.col("k").alias("k2"))
-    pairs = a.join(b, "company_id").where((F.col("q2") > F.col("q_index")) & (F.col("q2") - F.col("q_index") <= span))
+    # Each quarter is laid out for those before it: an equality join, `span` rows a quarter.
+    b = sets.select("company_id", F.explode(F.transform(F.sequence(F.lit(1), F.lit(span)), lambda i: F.col("q_index") - i)).alias("q_index"), F.col("q_index").alias("q2"), F.col("k").alias("k2"))
+    pairs = sets.join(b, list(QUARTER))
     return pairs.select("company_id", "q_index", "q2", F.round(F.size(F.array_intersect("k", "k2")) / F.size(F.array_union("k", "k2")), 6).alias("jaccard"), F.size(F.array_except("k", "k2")).alias("missing"), F.size(F.array_except("k2", "k")).alias("extra"))
 
 
@@ -59,21 +60,6 @@ def flag_gaps(rows: DataFrame) -> DataFrame:
     return n.withColumn("gap", (F.col("segments") <= 1) & (F.max("segments").over(Window.partitionBy("company_id")) >= 2))
 
 
-def fill_missing_keys(rows: DataFrame, totals: DataFrame, least: float = 0.12) -> DataFrame:
-    """A quarter between two neighbours of equal member sets that lacks one or two of these: the part of its total that
-    is not explained goes to them by their mean shares in the neighbours. Neighbours are those before any filling."""
-    total = totals.select(*QUARTER, F.col("total").cast("double").alias("total"))
-    q = rows.groupBy(*QUARTER).agg(F.map_from_entries(F.collect_list(F.struct("member_key", F.col("value").cast("double")))).alias("m"), F.sum("value").cast("double").alias("s")).join(total, list(QUARTER))
-    q = q.withColumn("k", F.array_sort(F.map_keys("m")))
-    w = Window.partitionBy("company_id").orderBy("q_index")
-    for name, shift in (("p", F.lag), ("n", F.lead)):
-        q = q.withColumns({f"{c}_{name}": shift(c).over(w) for c in ("q_index", "m", "k", "s")})
-    lack = F.array_except("k_p", "k")
-    ok = (F.col("q_index_p") == F.col("q_index") - 1) & (F.col("q_index_n") == F.col("q_index") + 1) & (F.col("k_p") == F.col("k_n")) & F.size(lack).between(1, 2) & (F.size(F.array_except("k", "k_p")) == 0) & (F.col("total") - F.col("s") > least)
-    at = q.where(ok).withColumn("gap", F.col("total") - F.col("s")).select(*QUARTER, "gap", F.explode(F.transform(lack, lambda k: F.struct(k.alias("member_key"), ((F.col("m_p")[k] / F.col("s_p") + F.col("m_n")[k] / F.col("s_n")) / 2).alias("share")))).alias("x")).select(*QUARTER, "gap", "x.*")
-    return at.select(*QUARTER, "member_key", F.round(F.col("gap") * F.col("share") / F.sum("share").over(Window.partitionBy(*QUARTER)), 3).alias("value"))
-
-
 def history_window(df: DataFrame, n: int = 30, anchor: int | None = None) -> DataFrame:
     """The last n quarters of each company up to the anchor."""
     at = df if anchor is None else df.where(F.col("q_index") <= anchor)
@@ -99,13 +85,16 @@ def history_summary(rows: DataFrame, statements: DataFrame) -> DataFrame:
     return at.join(order, "company_id", "left")
 
 
-def axis_step(df: DataFrame, column: str = "max_total", ticks: int = 5) -> DataFrame:
-    """A step of 1, 2, 2.5, 5 or 10 times a power of ten that divides the axis in about `ticks` parts."""
-    raw = F.col(column).cast("double") / ticks
+def axis_step(df: DataFrame, column: str = "max_total", ticks: int = 6) -> DataFrame:
+    """unit (0.1 where the maximum is below 3, else 1) and step: 1, 2, 5 or 10 times a power of ten near a `ticks`-th of
+    the maximum in units; 1 where there is none."""
+    top = F.greatest(F.col(column).cast("double"), F.lit(0.0))
+    unit = F.when((top > 0) & (top < 3), 0.1).otherwise(1.0)
+    raw = top / unit / ticks
     base = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     part = raw / base
-    nice = F.when(part <= 1, 1.0).when(part <= 2, 2.0).when(part <= 2.5, 2.5).when(part <= 5, 5.0).otherwise(10.0)
-    return df.withColumn("step", F.when(raw > 0, F.round(nice * base, 6)))
+    nice = F.when(part < 1.5, 1.0).when(part < 3, 2.0).when(part < 7, 5.0).otherwise(10.0)
+    return df.withColumn("unit", unit).withColumn("step", F.when(top > 0, F.round(nice * base, 6)).otherwise(1.0))
 
 
 def stack_offsets(rows: DataFrame) -> DataFrame:

@@ -77,13 +77,16 @@ def merge_breakdowns(items: DataFrame, totals: DataFrame, residual_name: str = "
     return at.select(*QUARTER, F.explode(F.array_compact(F.array(own, left))).alias("r")).select(*QUARTER, "r.*")
 
 
-def completeness(fields: Sequence[str]) -> Column:
-    return sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0)) + F.when(F.col("source_url").isNotNull(), 0.5).otherwise(0.0) + F.when(F.size("quality_flags") > 0, 0.25).otherwise(0.0)
+def completeness(fields: Sequence[str], items: Column | None = None) -> Column:
+    """Fields that are there, up to six breakdown items a fifth each, a little for a url and for flags."""
+    listed = F.lit(0.0) if items is None else F.least(items, F.lit(6)) * 0.2
+    return sum((F.col(f).isNotNull().cast("int") for f in fields), F.lit(0)) + listed + F.when(F.col("source_url").isNotNull(), 0.5).otherwise(0.0) + F.when(F.size("quality_flags") > 0, 0.25).otherwise(0.0)
 
 
 def representative(entries: DataFrame, fields: Sequence[str], enabled: DataFrame) -> DataFrame:
     """The source whose entry stands for a quarter: completeness, then priority; first in order on ties."""
-    at = entries.join(F.broadcast(enabled), "source_id").withColumn("score", completeness(fields) + F.col("priority") / 100.0)
+    items = F.coalesce("breakdown_items", F.lit(0)) if "breakdown_items" in entries.columns else None
+    at = entries.join(F.broadcast(enabled), "source_id").withColumn("score", completeness(fields, items) + F.col("priority") / 100.0)
     return at.groupBy(*QUARTER).agg(F.max_by("source_id", F.struct("score", (-F.col("ord")).alias("o"))).alias("source_id"), F.max("score").alias("score"))
 
 
@@ -95,17 +98,39 @@ def best_segments(rows: DataFrame, enabled: DataFrame) -> DataFrame:
     return rows.join(pick, [*QUARTER, "source_id"], "left_semi")
 
 
-def diagnostics(df: DataFrame, required: Sequence[str], tolerance: float = 0.02) -> DataFrame:
-    """Coverage of required fields, residuals of the identities, issues and a score of 0 to 100 for each quarter."""
-    n = len(required)
-    have = sum((F.col(f).isNotNull().cast("int") for f in required), F.lit(0))
-    off = lambda a, b, c: F.abs(F.col(a) - F.col(b) - F.col(c))
-    gross, operating = off("revenue", "cost_of_revenue", "gross_profit"), off("gross_profit", "operating_expenses", "operating_income")
-    limit = F.col("revenue") * F.lit(tolerance).cast("decimal(4,3)")
-    missing = [F.when(F.col(f).isNull(), F.lit(f"missing_{f}")) for f in required]
-    issues = F.array_compact(F.array(*missing, F.when(gross > limit, "gross_residual"), F.when(operating > limit, "operating_residual")))
-    score = F.greatest(F.lit(0), F.lit(100) - 10 * F.size("issues"))
-    return df.withColumn("issues", issues).select(*QUARTER, F.round(have * 100 / F.lit(n), 1).alias("coverage_pct"), gross.alias("gross_residual"), operating.alias("operating_residual"), F.array_join("issues", ",").alias("issues"), score.alias("score"))
+REQUIRED = ("revenue", "operating_income", "net_income")
+
+
+def coverage(total: Column, listed: Column) -> Column:
+    """Share of a positive total that a breakdown explains, 1 at most, 4 places; null without such a total."""
+    share = F.coalesce(listed, F.lit(0)).cast("decimal(24,4)") / F.when(total > 0, total.cast("decimal(24,4)"))
+    return F.when(total > 0, F.round(F.least(share, F.lit(1)).cast("decimal(38,10)"), 4).cast("decimal(10,4)"))
+
+
+def diagnostics(df: DataFrame, required: Sequence[str] = REQUIRED) -> DataFrame:
+    """Score of 0 to 100, issues, coverages, residuals and modes of each quarter.
+
+    Besides statement fields: segments, cost_items, opex_items (sums of the breakdowns, null if there is none),
+    has_profile, value_mode, flags, source_fields (how many fields have a source)."""
+    c, d = F.col, lambda x: F.lit(x).cast("decimal(10,4)")
+    missing = F.array_compact(F.array(*(F.when(c(f).isNull(), F.lit(f)) for f in required)))
+    seg, cost, opex = coverage(c("revenue"), c("segments")), coverage(c("cost_of_revenue"), c("cost_items")), coverage(c("operating_expenses"), c("opex_items"))
+    plain = ~c("has_profile")
+    issues = F.array_compact(F.array(
+        F.when(F.size(missing) > 0, F.concat(F.lit("missing-required:"), F.array_join(missing, ","))),
+        F.when(seg < d(0.85), "revenue-segment-coverage-low"),
+        F.when(plain & (cost < d(0.6)), "cost-breakdown-coverage-low"),
+        F.when(opex < d(0.6), "opex-breakdown-coverage-low"),
+        F.when(c("value_mode") == "derived", "statement-derived-quarter"),
+        F.when(F.array_contains("flags", "summary-quarter-report"), "statement-summary-quarter-report"),
+    ))
+    lost = lambda share, at, weight: F.coalesce(F.floor(F.greatest(d(at) - share, d(0)) * weight), F.lit(0))
+    score = 100 - F.size(missing) * 14 - lost(seg, 0.85, 24) - F.when(plain, lost(cost, 0.75, 18)).otherwise(0) - lost(opex, 0.75, 18) + F.least("source_fields", F.lit(6))
+    rest = lambda total, listed: F.when((c(total) > 0) & c(listed).isNotNull(), F.greatest(c(total) - c(listed), F.lit(0)).cast("decimal(20,2)"))
+    pct = lambda share: F.round(share * 100, 1).cast("double")
+    mode = F.when(c("cost_items").isNotNull(), "explicit").when(c("has_profile"), "profile-assisted").otherwise("none")
+    return df.select(*QUARTER, F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long").alias("score"), (len(required) - F.size(missing)).alias("available"), F.array_join(issues, ";").alias("issues"), mode.alias("cost_mode"), F.when(c("opex_items").isNotNull(), "explicit").otherwise("none").alias("opex_mode"),
+        pct(seg).alias("segment_pct"), F.when(plain, pct(cost)).alias("cost_pct"), pct(opex).alias("opex_pct"), rest("revenue", "segments").alias("segment_residual"), F.when(plain, rest("cost_of_revenue", "cost_items")).alias("cost_residual"), rest("operating_expenses", "opex_items").alias("opex_residual"))
 
 
 def fill_missing(base: DataFrame, unified: DataFrame, fields: Sequence[str]) -> DataFrame:
@@ -122,17 +147,41 @@ def apply_overrides(base: DataFrame, overrides: DataFrame, fields: Sequence[str]
     return base.join(o, [*QUARTER], "full_outer").select(*QUARTER, *(F.coalesce(f"_{f}", f).alias(f) for f in fields))
 
 
-def name_variants(name: Column) -> Column:
-    """Keys under which a company may be asked for: its own key and those without trailing numbers or signs."""
-    key = F.regexp_replace(F.lower(name), "[^0-9a-z]+", "")
-    return F.array_distinct(F.filter(F.array(key, F.regexp_replace(key, "[0-9]+$", ""), F.regexp_replace(F.lower(name), "#.*$", "")), lambda k: k != ""))
+# Fixed values. Endings and words that company keys go without.
+SUFFIXES = ("-inc", "-corp", "-corporation", "-co", "inc", "corporation", "company", "-")
+ENDINGS = ("inc", "corp", "corporation", "company")
+
+
+def name_variants(*keys: Column) -> Column:
+    """Keys under which a company may be asked for: each key, its letters and digits alone, and both without the usual
+    words and endings."""
+    values = F.array_distinct(F.transform(F.array(*(F.lower(F.trim(F.coalesce(k, F.lit("")))) for k in keys)), lambda v: v))
+    bare = lambda v: F.regexp_replace(v, "[^a-z0-9]+", "")
+    compact = F.transform(values, bare)
+    dropped = [F.transform(values, _without(x)) for x in SUFFIXES]
+    ended = [F.transform(F.filter(compact, _ends(x)), _shorter(len(x))) for x in ENDINGS]
+    return F.filter(F.array_distinct(F.concat(values, compact, *dropped, *ended)), lambda k: k != "")
+
+
+def _without(word: str):
+    return lambda v: F.replace(v, F.lit(word), F.lit(""))
+
+
+def _ends(word: str):
+    return lambda v: F.endswith(v, F.lit(word))
+
+
+def _shorter(n: int):
+    return lambda v: F.substring(v, F.lit(1), F.length(v) - n)
+
 
+def resolve_company(asked: DataFrame, companies: DataFrame, keys: Sequence[str] = ("id", "ticker", "slug")) -> DataFrame:
+    """asked(name) -> the company one of whose variants (of its keys) is the name; of several the least id.
 
-def resolve_company(asked: DataFrame, companies: DataFrame) -> DataFrame:
-    """asked(name) -> the company that shares the earliest variant; of several, the least id."""
-    a = asked.select("name", F.posexplode(name_variants(F.col("name"))).alias("pos", "key"))
-    c = companies.select("company_id", F.explode(name_variants(F.col("company_name"))).alias("key"))
-    return a.join(c, "key").groupBy("name").agg(F.min_by("company_id", F.struct("pos", "company_id")).alias("company_id"))
+    An equality join on exploded variants: a company has a few dozen."""
+    c = companies.select("company_id", F.explode(name_variants(*(F.col(k) for k in keys))).alias("key"))
+    a = asked.select("name", F.lower(F.trim("name")).alias("key")).distinct()
+    return a.join(c, "key").groupBy("name").agg(F.min("company_id").alias("company_id"))
 
 
 def overlay(base: DataFrame, official: DataFrame, fields: Sequence[str], protected: Sequence[str]) -> DataFrame:
@@ -147,24 +196,49 @@ def dense_first(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     return df.withColumn("_r", F.dense_rank().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")
 
 
-def stage_mismatch(p: DataFrame, f: DataFrame, agree: Sequence[str], differ: Sequence[str], least: float = 1.2, share: float = 0.24, tolerance: float = 0.02) -> DataFrame:
-    """Quarters in which two statements agree on some lines (within `tolerance` of the line) but an operating line is off
-    by more than `least` and `share`."""
-    other = f.select(*QUARTER, *(F.col(c).alias(f"_{c}") for c in (*agree, *differ)))
-    at = p.join(other, list(QUARTER))
-    gap = lambda c: F.abs(F.col(c) - F.col(f"_{c}"))
-    close, off = F.lit(True), F.lit(False)
-    for c in agree:
-        close = close & F.coalesce(gap(c) <= F.abs(F.col(f"_{c}")) * F.lit(tolerance).cast("decimal(4,2)"), F.lit(False))
-    for c in differ:
-        off = off | F.coalesce(gap(c) > F.greatest(F.lit(least).cast("decimal(10,2)"), F.abs(F.col(f"_{c}")) * F.lit(share).cast("decimal(4,2)")), F.lit(False))
-    return at.select(*QUARTER, (close & off).alias("mismatch"))
-
-
-def merge_fallback(p: DataFrame, f: DataFrame, fields: Sequence[str], bridge: Sequence[str], slack: float = 0.25) -> DataFrame:
-    """Missing values from the fallback; all bridge fields from it where gross profit is missing and operating expenses
-    exceed revenue by more than `slack`. Quarters of either source are kept."""
-    other = f.select(*QUARTER, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_there"))
-    at = p.join(other, list(QUARTER), "full_outer")
-    broken = F.coalesce(F.col("gross_profit").isNull() & (F.col("operating_expenses") > F.col("revenue") + F.lit(slack).cast("decimal(4,2)")), F.lit(False)) & F.col("_there").isNotNull()
-    return at.select(*QUARTER, *(F.when(broken & F.lit(c in bridge), F.col(f"_{c}")).otherwise(F.coalesce(c, f"_{c}")).alias(c) for c in fields))
+# Fixed values. Lines that must agree: least difference and share that still count as equal.
+ALIGNED = (("revenue", "0.12", "0.006"), ("gross_profit", "0.12", "0.008"), ("pretax_income", "0.18", "0.012"), ("tax", "0.18", "0.02"), ("net_income", "0.18", "0.012"))
+# Fixed values. Operating lines that may be off: share of the fallback's line, and what is added to that.
+OPERATING = (("operating_expenses", "0.24", "0"), ("operating_income", "0.24", "0.4"), ("non_operating", "0.4", "0.4"))
+BRIDGE = ("revenue", "cost_of_revenue", "gross_profit", "sgna", "rnd", "other_opex", "operating_expenses", "operating_income", "non_operating", "pretax_income", "tax", "net_income")
+STAGE = BRIDGE[3:]
+
+
+def mismatch(first: Column, other: Column) -> Column:
+    """Whether two statements (structs) agree in all lines of ALIGNED, missing ones aside, while one of the operating lines is off
+    by more than 1.2 and its share, and the other one's bridge is sane (expenses are gross less operating income, 0.35 or 3 %)."""
+    d = lambda x: F.lit(x).cast("decimal(10,4)")
+    same, off = F.lit(True), F.lit(False)
+    for name, least, share in ALIGNED:
+        a, b = first[name], other[name]
+        same = same & F.coalesce(F.abs(a - b) <= F.greatest(d(least), F.greatest(F.abs(a), F.abs(b)) * d(share)), F.lit(True))
+    for name, share, more in OPERATING:
+        a, b = first[name], other[name]
+        off = off | F.coalesce(F.abs(a - b) > F.greatest(d("1.2"), F.abs(b) * d(share) + d(more)), F.lit(False))
+    expected = F.greatest(other["gross_profit"] - other["operating_income"], F.lit(0))
+    sane = F.coalesce(F.abs(other["operating_expenses"] - expected) <= F.greatest(d("0.35"), other["gross_profit"] * d("0.03")), F.lit(False))
+    return same & sane & off
+
+
+def stage_mismatch(p: DataFrame, f: DataFrame) -> DataFrame:
+    """(company_id, q_index, mismatch) of quarters that both statements have."""
+    lines = sorted({n for n, *_ in (*ALIGNED, *OPERATING)})
+    other = f.select(*QUARTER, F.struct(*lines).alias("_f"))
+    return p.select(*QUARTER, F.struct(*lines).alias("_p")).join(other, list(QUARTER)).select(*QUARTER, mismatch(F.col("_p"), F.col("_f")).alias("mismatch"))
+
+
+def merge_fallback(p: DataFrame, f: DataFrame, slack: float = 0.25) -> DataFrame:
+    """Missing lines from the fallback. All bridge lines that it has come from it where cost and gross profit are both
+    missing, it has revenue, cost and gross profit, and operating expenses (or the segments' sum, column `segments`)
+    exceed revenue by more than `slack` (or 8 %); the lines from SG&A on where mismatch() says so."""
+    d = lambda x: F.lit(str(x)).cast("decimal(10,4)")
+    other = f.select(*QUARTER, F.struct(*BRIDGE).alias("_f"))
+    at = p.select(*QUARTER, F.struct(*BRIDGE, "segments").alias("_p")).join(other, list(QUARTER), "full_outer")
+    first, back = F.col("_p"), F.col("_f")
+    lacks = first["cost_of_revenue"].isNull() & first["gross_profit"].isNull()
+    whole = back["revenue"].isNotNull() & back["cost_of_revenue"].isNotNull() & back["gross_profit"].isNotNull()
+    over = F.coalesce(first["operating_expenses"] > first["revenue"] + d(slack), F.lit(False)) | F.coalesce(first["segments"] > first["revenue"] + F.greatest(d(slack), first["revenue"] * d(0.08)), F.lit(False))
+    there = first.isNotNull() & back.isNotNull()
+    broken, off = there & lacks & whole & over, there & mismatch(first, back)
+    line = lambda n: F.when(broken | (off & F.lit(n in STAGE)), F.coalesce(back[n], first[n])).otherwise(F.coalesce(first[n], back[n])).alias(n)
+    return at.select(*QUARTER, *(line(n) for n in BRIDGE), F.when(broken, "financial-fallback").when(off, "operating-stage-fallback").otherwise("").alias("fallback"))

@@ -99,9 +99,9 @@ def q4(t):
     return Q.eligible_quarters(t.statements, t.segments.where("company_id % 4 <> 0"), (2, 4))
 
 
-@query("q5_rank_companies", "SELECT company_id, name, lower(name || ' ' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g')) AS search, s_acctbal FROM companies ORDER BY s_acctbal DESC, name LIMIT 50")
+@query("q5_rank_companies", "SELECT company_id, name, lower(name || ' ' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g')) AS search, s_acctbal FROM companies")
 def q5(t):
-    return Q.rank_companies(t.companies, 50)
+    return Q.rank_companies(t.companies)
 
 
 @query("q6_coverage", "SELECT company_id, count(*) AS quarters, count(gross_profit) AS n_gross_profit, count(tax) AS n_tax, min(q_index) AS first_q, max(q_index) AS last_q FROM statements GROUP BY 1")

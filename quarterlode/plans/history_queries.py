@@ -193,9 +193,10 @@ def b26(t):
     return B.history_summary(t.segments.where("q_index % 7 <> 0"), t.statements)
 
 
-@query("b27_axis_step", "SELECT company_id, round(CASE WHEN p <= 1 THEN 1 WHEN p <= 2 THEN 2 WHEN p <= 2.5 THEN 2.5 WHEN p <= 5 THEN 5 ELSE 10 END * b, 6) AS step FROM (SELECT company_id, pow(10.0, floor(log10(max_total::DOUBLE / 5))) AS b, max_total::DOUBLE / 5 / pow(10.0, floor(log10(max_total::DOUBLE / 5))) AS p FROM summary)", SUMMARY)
+@query("b27_axis_step", "SELECT company_id, u AS unit, CASE WHEN t > 0 THEN round(CASE WHEN p < 1.5 THEN 1 WHEN p < 3 THEN 2 WHEN p < 7 THEN 5 ELSE 10 END * b, 6) ELSE 1 END AS step FROM (SELECT *, pow(10.0, floor(log10(t / u / 6))) AS b, t / u / 6 / pow(10.0, floor(log10(t / u / 6))) AS p FROM (SELECT company_id, greatest(max_total::DOUBLE, 0) / 1e5 AS t, CASE WHEN max_total::DOUBLE / 1e5 > 0 AND max_total::DOUBLE / 1e5 < 3 THEN 0.1::DOUBLE ELSE 1.0::DOUBLE END AS u FROM summary))", SUMMARY)
 def b27(t):
-    return B.axis_step(B.history_summary(t.segments.where("q_index % 7 <> 0"), t.statements)).select("company_id", "step")
+    at = B.history_summary(t.segments.where("q_index % 7 <> 0"), t.statements).withColumn("max_total", F.col("max_total").cast("double") / 1e5)
+    return B.axis_step(at).select("company_id", "unit", "step")
 
 
 @query("b28_stack_offsets", "SELECT company_id, q_index, member_key, sum(value) OVER w - value AS low, sum(value) OVER w AS high FROM segments WINDOW w AS (PARTITION BY company_id, q_index ORDER BY value DESC, member_key ROWS UNBOUNDED PRECEDING)", money="low high")
@@ -203,12 +204,6 @@ def b28(t):
     return B.stack_offsets(t.segments)
 
 
-@query("b14_fill_missing_keys", None)
-def b14(t):
-    holes = t.segments.where("(company_id + q_index) % 6 <> 0 or ascii(member_key) % 3 <> 0")
-    return B.fill_missing_keys(holes, t.quarters.select("company_id", "q_index", F.col("revenue").alias("total")))
-
-
 STAGE = """stage AS (SELECT *, CASE WHEN gross_profit IS NOT NULL AND cost2 IS NOT NULL THEN 'full' ELSE 'revenue-only' END AS coverage FROM (SELECT company_id, q_index, revenue, g AS gross_profit, coalesce(cost_of_revenue, CASE WHEN g IS NOT NULL THEN greatest(revenue - g, 0) END) AS cost2, operating_expenses, operating_income, pretax_income, tax, net_income
   FROM (SELECT *, coalesce(gross_profit, revenue - cost_of_revenue, operating_income + operating_expenses) AS g FROM statements)))"""
 
@@ -226,11 +221,6 @@ def staged(t):
     return V.resolve_opex(V.gross_stage(t.statements))
 
 
-@query("v3_resolve_opex", "SELECT company_id, q_index, opex AS operating_expenses, st IS NOT NULL AND NOT ov AND CASE WHEN dv IS NULL THEN NOT coalesce(st > revenue + 0.25, false) ELSE nr END AS opex_reliable FROM opex", OPEX, money="operating_expenses")
-def v3(t):
-    return staged(t).select("company_id", "q_index", "operating_expenses", "opex_reliable")
-
-
 PRETAX = """pre AS (SELECT company_id, q_index, CASE WHEN p IS NULL THEN coalesce(bn, bo) WHEN coalesce(abs(p - bn) <= greatest(0.25, abs(bn) * 0.05), false) OR coalesce(abs(p - bo) <= greatest(0.25, abs(bo) * 0.05), false) OR coalesce(bn, bo) IS NULL THEN p ELSE coalesce(bn, bo) END AS pretax_income, operating_income FROM (
   SELECT company_id, q_index, CASE q_index % 3 WHEN 0 THEN pretax_income WHEN 1 THEN CAST(pretax_income * 1.2 AS DECIMAL(20,2)) END AS p, net_income + tax AS bn, CAST(NULL AS DECIMAL(20,2)) AS bo, operating_income FROM statements))"""
 

@@ -123,9 +123,9 @@ def r4(t):
 _FULL = " + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in FIELDS)
 
 
-@query("r5_representative", f"SELECT company_id, q_index, source_id, CAST(score AS DOUBLE) AS score FROM (SELECT e.*, s.ord, {_FULL} + CASE WHEN source_url IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN flags > 0 THEN 0.25 ELSE 0 END + s.priority / 100.0 AS score FROM entries e JOIN source_t s USING (source_id)) QUALIFY row_number() OVER (PARTITION BY company_id, q_index ORDER BY score DESC, ord) = 1", ENTRIES)
+@query("r5_representative", f"SELECT company_id, q_index, source_id, CAST(score AS DOUBLE) AS score FROM (SELECT e.*, s.ord, {_FULL} + least((company_id + q_index) % 9, 6) * 0.2 + CASE WHEN source_url IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN flags > 0 THEN 0.25 ELSE 0 END + s.priority / 100.0 AS score FROM entries e JOIN source_t s USING (source_id)) QUALIFY row_number() OVER (PARTITION BY company_id, q_index ORDER BY score DESC, ord) = 1", ENTRIES)
 def r5(t):
-    e = entries(t)
+    e = entries(t).withColumn("breakdown_items", (F.col("company_id") + F.col("q_index")) % 9)
     return R.representative(e, FIELDS, R.sources(e)).withColumn("score", F.round("score", 6))
 
 
@@ -140,14 +140,18 @@ def r6(t):
     return R.best_segments(rows, R.sources(rows))
 
 
-REQUIRED = ("revenue", "cost_of_revenue", "gross_profit", "operating_expenses", "operating_income", "net_income")
-_ISSUE = ", ".join([*(f"CASE WHEN {f} IS NULL THEN 'missing_{f}' END" for f in REQUIRED), "CASE WHEN gr > revenue * 0.020 THEN 'gross_residual' END", "CASE WHEN op > revenue * 0.020 THEN 'operating_residual' END"])
-_HAVE = " + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in REQUIRED)
+DIAG = """diag AS (SELECT company_id, q_index, revenue, cost_of_revenue, operating_expenses, operating_income, net_income, CAST(CASE q_index % 4 WHEN 0 THEN NULL WHEN 1 THEN revenue * 0.5 WHEN 2 THEN revenue * 1.2 ELSE revenue * 0.9 END AS DECIMAL(20,2)) AS segments, CAST(CASE WHEN q_index % 3 <> 0 THEN cost_of_revenue * 0.4 END AS DECIMAL(20,2)) AS cost_items,
+  CAST(CASE WHEN q_index % 5 <> 0 THEN operating_expenses * 0.7 END AS DECIMAL(20,2)) AS opex_items, company_id % 3 = 0 AS has_profile, CASE WHEN q_index % 2 = 0 THEN 'derived' ELSE 'direct' END AS value_mode, CASE WHEN company_id % 4 = 0 THEN 'summary-quarter-report' ELSE 'x' END AS flag, CAST(q_index % 10 AS INT) AS source_fields FROM statements),
+  diag2 AS (SELECT *, CASE WHEN revenue > 0 THEN round(least(coalesce(segments, 0) / revenue, 1), 4) END AS seg, CASE WHEN cost_of_revenue > 0 THEN round(least(coalesce(cost_items, 0) / cost_of_revenue, 1), 4) END AS cst, CASE WHEN operating_expenses > 0 THEN round(least(coalesce(opex_items, 0) / operating_expenses, 1), 4) END AS opx,
+    list_filter(['revenue', CASE WHEN operating_income IS NULL THEN 'operating_income' END, CASE WHEN net_income IS NULL THEN 'net_income' END], lambda x: x IS NOT NULL AND x <> 'revenue') AS missing FROM (FROM diag))"""
 
 
-@query("r7_diagnostics", f"SELECT company_id, q_index, coverage_pct, gr AS gross_residual, op AS operating_residual, array_to_string(i, ',') AS issues, greatest(0, 100 - 10 * len(i)) AS score FROM (SELECT *, list_filter([{_ISSUE}], lambda x: x IS NOT NULL) AS i, round(({_HAVE}) * 100 / 6.0::DOUBLE, 1) AS coverage_pct FROM (SELECT *, abs(revenue - cost_of_revenue - gross_profit) AS gr, abs(gross_profit - operating_expenses - operating_income) AS op FROM statements))", money="gross_residual operating_residual")
+@query("r7_diagnostics", """SELECT company_id, q_index, greatest(0, least(100, 100 - len(missing) * 14 - coalesce(floor(greatest(0.85 - seg, 0) * 24 + 1e-9), 0) - CASE WHEN has_profile THEN 0 ELSE coalesce(floor(greatest(0.75 - cst, 0) * 18 + 1e-9), 0) END - coalesce(floor(greatest(0.75 - opx, 0) * 18 + 1e-9), 0) + least(source_fields, 6)))::BIGINT AS score, (3 - len(missing))::INT AS available,
+  array_to_string(list_filter([CASE WHEN len(missing) > 0 THEN 'missing-required:' || array_to_string(missing, ',') END, CASE WHEN seg < 0.85 THEN 'revenue-segment-coverage-low' END, CASE WHEN NOT has_profile AND cst < 0.6 THEN 'cost-breakdown-coverage-low' END, CASE WHEN opx < 0.6 THEN 'opex-breakdown-coverage-low' END, CASE WHEN value_mode = 'derived' THEN 'statement-derived-quarter' END, CASE WHEN flag = 'summary-quarter-report' THEN 'statement-summary-quarter-report' END], lambda x: x IS NOT NULL), ';') AS issues,
+  CASE WHEN cost_items IS NOT NULL THEN 'explicit' WHEN has_profile THEN 'profile-assisted' ELSE 'none' END AS cost_mode, CASE WHEN opex_items IS NOT NULL THEN 'explicit' ELSE 'none' END AS opex_mode, round(seg * 100, 1) AS segment_pct, CASE WHEN NOT has_profile THEN round(cst * 100, 1) END AS cost_pct, round(opx * 100, 1) AS opex_pct,
+  CASE WHEN revenue > 0 AND segments IS NOT NULL THEN greatest(revenue - segments, 0) END AS segment_residual, CASE WHEN NOT has_profile AND cost_of_revenue > 0 AND cost_items IS NOT NULL THEN greatest(cost_of_revenue - cost_items, 0) END AS cost_residual, CASE WHEN operating_expenses > 0 AND opex_items IS NOT NULL THEN greatest(operating_expenses - opex_items, 0) END AS opex_residual FROM diag2""", DIAG, money="segment_residual cost_residual opex_residual")
 def r7(t):
-    return R.diagnostics(t.statements, REQUIRED)
+    return R.diagnostics(t.sql("SELECT *, array(flag) AS flags FROM diag", DIAG.split(",\n  diag2")[0]))
 
 
 UNIFIED = f"unified AS (SELECT company_id, q_index, {', '.join(f'CAST({f} + 1 AS DECIMAL(20,2)) AS {f}' for f in FIELDS)} FROM statements), based AS (SELECT company_id, q_index, {_F} FROM statements WHERE company_id % 4 <> 0 AND q_index % 3 <> 0)"
@@ -170,13 +174,20 @@ def r9(t):
     return R.apply_overrides(b, u.where("q_index % 5 = 0"), FIELDS)
 
 
-_VAR = """var AS (SELECT company_id, name, unnest([1, 2, 3]) AS pos, unnest([regexp_replace(lower(name), '[^0-9a-z]+', '', 'g'), regexp_replace(regexp_replace(lower(name), '[^0-9a-z]+', '', 'g'), '[0-9]+$', ''), regexp_replace(lower(name), '#.*$', '')]) AS key FROM companies)"""
+COMP = """comp AS (SELECT c_custkey AS company_id, concat('C-', c_custkey, CASE c_custkey % 4 WHEN 0 THEN '-Inc' WHEN 1 THEN '-corporation' WHEN 2 THEN ' Company' ELSE '' END) AS id, CASE WHEN c_custkey % 3 = 0 THEN concat('T.', c_custkey) END AS ticker, CASE WHEN c_custkey % 5 = 0 THEN concat('slug-', c_custkey, '-co') END AS slug FROM customer),
+  ask AS (SELECT unnest([concat('c', company_id), concat('c-', company_id), concat(' T', company_id), concat('slug-', company_id), concat('slug', company_id, 'co'), concat('nobody', company_id)]) AS name FROM comp)"""
+_VALUES = "list_distinct([lower(trim(coalesce(id, ''))), lower(trim(coalesce(ticker, ''))), lower(trim(coalesce(slug, '')))])"
+_DROP = " UNION ALL ".join(f"SELECT company_id, replace(v, '{w}', '') AS key FROM vals" for w in R.SUFFIXES)
+_END = " UNION ALL ".join(f"SELECT company_id, k[:len(k) - {len(w)}] AS key FROM bare WHERE k LIKE '%{w}'" for w in R.ENDINGS)
 
 
-@query("r10_resolve_company", "SELECT name, arg_min(id, (pos, id)) AS company_id FROM (SELECT a.name, a.pos, b.company_id AS id FROM var a JOIN var b ON a.key = b.key WHERE a.key <> '') GROUP BY name", _VAR)
+@query("r10_resolve_company", "SELECT a.name, min(k.company_id) AS company_id FROM (SELECT DISTINCT name FROM ask) a JOIN keys_ k ON k.key = lower(trim(a.name)) WHERE k.key <> '' GROUP BY a.name",
+       f"{COMP}, vals AS (SELECT company_id, unnest({_VALUES}) AS v FROM comp), bare AS (SELECT company_id, regexp_replace(v, '[^a-z0-9]+', '', 'g') AS k FROM vals), keys_ AS (SELECT company_id, v AS key FROM vals UNION ALL SELECT company_id, k FROM bare UNION ALL {_DROP} UNION ALL {_END})")
 def r10(t):
-    c = t.companies
-    return R.resolve_company(c.select("name"), c.select("company_id", F.col("name").alias("company_name")))
+    comp = t.sql("SELECT * FROM comp", COMP.split(",\n  ask")[0])
+    key = F.col("company_id").cast("string")
+    asked = comp.select(F.explode(F.array(F.concat(F.lit("c"), key), F.concat(F.lit("c-"), key), F.concat(F.lit(" T"), key), F.concat(F.lit("slug-"), key), F.concat(F.lit("slug"), key, F.lit("co")), F.concat(F.lit("nobody"), key))).alias("name"))
+    return R.resolve_company(asked, comp)
 
 
 @query("r11_overlay", f"SELECT company_id, q_index, {', '.join((f'coalesce(b.{f}, u.{f})' if f == 'net_income' else f'coalesce(u.{f}, b.{f})') + f' AS {f}' for f in FIELDS)} FROM based b FULL JOIN unified u USING (company_id, q_index)", UNIFIED, money=" ".join(FIELDS))

@@ -22,29 +22,30 @@ def f12(t):
     return A.breakdown_with_residual(wide, {"a": "products", "n": "services", "r": "tac"}, "total", "other_cost", least=100, same=100)
 
 
-FALL = """fall AS (SELECT company_id, q_index, revenue, CAST(gross_profit + 1 AS DECIMAL(20,2)) AS gross_profit, CAST(operating_expenses * CASE q_index % 3 WHEN 0 THEN 1.5 ELSE 1.0 END AS DECIMAL(20,2)) AS operating_expenses, net_income FROM statements WHERE company_id % 5 <> 0),
-  first_ AS (SELECT company_id, q_index, revenue, gross_profit, CAST(CASE WHEN q_index % 7 = 0 THEN revenue * 2 ELSE operating_expenses END AS DECIMAL(20,2)) AS operating_expenses, net_income FROM statements WHERE q_index % 11 <> 0)"""
-FIELDS = ("revenue", "gross_profit", "operating_expenses", "net_income")
+FALL = """whole AS (SELECT s.company_id, s.q_index, s.revenue, s.cost_of_revenue, s.gross_profit, s.sgna, s.rnd, CAST(NULL AS DECIMAL(20,2)) AS other_opex, s.operating_expenses, s.operating_income, CAST(pretax_income - operating_income AS DECIMAL(20,2)) AS non_operating, s.pretax_income, s.tax, s.net_income FROM statements s),
+  fall AS (SELECT company_id, q_index, revenue, CAST(revenue * 0.6 AS DECIMAL(20,2)) AS cost_of_revenue, CAST(coalesce(gross_profit, revenue * 0.4) AS DECIMAL(20,2)) AS gross_profit, sgna, CAST(rnd + 1 AS DECIMAL(20,2)) AS rnd, other_opex,
+    CAST(greatest(coalesce(gross_profit, revenue * 0.4) - revenue * 0.05, 0) AS DECIMAL(20,2)) AS operating_expenses, CAST(revenue * 0.05 AS DECIMAL(20,2)) AS operating_income, CAST(non_operating + 100 AS DECIMAL(20,2)) AS non_operating, CAST(pretax_income + CASE WHEN q_index % 4 = 0 THEN 5000 ELSE 1 END AS DECIMAL(20,2)) AS pretax_income, tax, net_income FROM whole WHERE company_id % 5 <> 0),
+  first_ AS (SELECT company_id, q_index, revenue, CASE WHEN q_index % 3 = 0 THEN NULL ELSE cost_of_revenue END AS cost_of_revenue, CASE WHEN q_index % 3 = 0 THEN NULL ELSE gross_profit END AS gross_profit, sgna, CASE WHEN q_index % 2 = 0 THEN rnd END AS rnd, other_opex,
+    CAST(CASE WHEN q_index % 7 = 0 THEN revenue * 2 ELSE operating_expenses END AS DECIMAL(20,2)) AS operating_expenses, operating_income, non_operating, pretax_income, tax, net_income, CAST(CASE WHEN q_index % 5 = 0 THEN revenue * 1.5 ELSE 0 END AS DECIMAL(20,2)) AS segments FROM whole WHERE q_index % 11 <> 0)"""
 
 
 def two(t):
-    s, m = t.statements, "decimal(20,2)"
-    factor = F.when(F.col("q_index") % 3 == 0, F.lit(1.5)).otherwise(F.lit(1.0)).cast("decimal(2,1)")
-    f = s.where("company_id % 5 <> 0").select("company_id", "q_index", "revenue", (F.col("gross_profit") + 1).cast(m).alias("gross_profit"), (F.col("operating_expenses") * factor).cast(m).alias("operating_expenses"), "net_income")
-    p = s.where("q_index % 11 <> 0").select("company_id", "q_index", "revenue", "gross_profit", F.when(F.col("q_index") % 7 == 0, F.col("revenue") * 2).otherwise(F.col("operating_expenses")).cast(m).alias("operating_expenses"), "net_income")
-    return p, f
+    return t.sql("SELECT * FROM first_", FALL), t.sql("SELECT * FROM fall", FALL)
 
 
-_BROKEN = "coalesce(p.gross_profit IS NULL AND p.operating_expenses > p.revenue + 0.25, false) AND f.company_id IS NOT NULL"
+_SAME = " AND ".join(f"coalesce(abs(p.{n} - f.{n}) <= greatest({a}, greatest(abs(p.{n}), abs(f.{n})) * {b}), true)" for n, a, b in R.ALIGNED)
+_OFF = " OR ".join(f"coalesce(abs(p.{n} - f.{n}) > greatest(1.2, abs(f.{n}) * {a} + {b}), false)" for n, a, b in R.OPERATING)
+_MISMATCH = f"({_SAME} AND ({_OFF}) AND coalesce(abs(f.operating_expenses - greatest(f.gross_profit - f.operating_income, 0)) <= greatest(0.35, f.gross_profit * 0.03), false))"
+_BROKEN = "(p.cost_of_revenue IS NULL AND p.gross_profit IS NULL AND f.revenue IS NOT NULL AND f.cost_of_revenue IS NOT NULL AND f.gross_profit IS NOT NULL AND (coalesce(p.operating_expenses > p.revenue + 0.25, false) OR coalesce(p.segments > p.revenue + greatest(0.25, p.revenue * 0.08), false)))"
+_THERE = "p.company_id IS NOT NULL AND f.company_id IS NOT NULL"
+_LINES = ", ".join(f"CASE WHEN {_THERE} AND ({_BROKEN}{' OR ' + _MISMATCH if n in R.STAGE else ''}) THEN coalesce(f.{n}, p.{n}) ELSE coalesce(p.{n}, f.{n}) END AS {n}" for n in R.BRIDGE)
 
 
-@query("r12_merge_fallback", f"SELECT company_id, q_index, coalesce(p.revenue, f.revenue) AS revenue, CASE WHEN {_BROKEN} THEN f.gross_profit ELSE coalesce(p.gross_profit, f.gross_profit) END AS gross_profit, CASE WHEN {_BROKEN} THEN f.operating_expenses ELSE coalesce(p.operating_expenses, f.operating_expenses) END AS operating_expenses, coalesce(p.net_income, f.net_income) AS net_income FROM first_ p FULL JOIN fall f USING (company_id, q_index)", FALL, money=" ".join(FIELDS))
+@query("r12_merge_fallback", f"SELECT company_id, q_index, {_LINES}, CASE WHEN {_THERE} AND {_BROKEN} THEN 'financial-fallback' WHEN {_THERE} AND {_MISMATCH} THEN 'operating-stage-fallback' ELSE '' END AS fallback FROM first_ p FULL JOIN fall f USING (company_id, q_index)", FALL, money=" ".join(R.BRIDGE))
 def r12(t):
-    p, f = two(t)
-    return R.merge_fallback(p, f, FIELDS, ("gross_profit", "operating_expenses"))
+    return R.merge_fallback(*two(t))
 
 
-@query("r13_stage_mismatch", "SELECT p.company_id, p.q_index, coalesce(abs(p.revenue - f.revenue) <= abs(f.revenue) * 0.02, false) AND coalesce(abs(p.net_income - f.net_income) <= abs(f.net_income) * 0.02, false) AND coalesce(abs(p.operating_expenses - f.operating_expenses) > greatest(1.2, abs(f.operating_expenses) * 0.24), false) AS mismatch FROM first_ p JOIN fall f USING (company_id, q_index)", FALL)
+@query("r13_stage_mismatch", f"SELECT p.company_id, p.q_index, {_MISMATCH} AS mismatch FROM first_ p JOIN fall f USING (company_id, q_index)", FALL)
 def r13(t):
-    p, f = two(t)
-    return R.stage_mismatch(p, f, ("revenue", "net_income"), ("operating_expenses",))
+    return R.stage_mismatch(*two(t))
