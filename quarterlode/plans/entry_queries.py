@@ -12,15 +12,15 @@ from quarterlode.sources import filings as S
 
 _F = ", ".join(FIELDS)
 _HAVE = " + ".join(f"CASE WHEN {f} IS NOT NULL THEN 1 ELSE 0 END" for f in FIELDS)
-RANKED = f"{ENTRIES}, ranked AS (SELECT *, {_HAVE} AS have, coalesce(abs(revenue), 0) AS sz FROM entries)"
-_R = "(have, sz, source_id)"
+RANKED = f"{ENTRIES}, ranked AS (SELECT *, {_HAVE} AS have, coalesce(abs(revenue), 0) AS sz, CASE WHEN cost_of_revenue IS NULL THEN 0 ELSE 1 END AS hc FROM entries)"
+_R = "(have, flags, hc, sz, source_id)"
 
 
 def rank():
-    return F.struct(E.entry_score(FIELDS).alias("s"), "source_id")
+    return F.struct(E.entry_score(FIELDS, F.size("quality_flags") > 0).alias("s"), "source_id")
 
 
-@query("e1_entry_score", "SELECT company_id, q_index, source_id, row_number() OVER (PARTITION BY company_id, q_index ORDER BY have DESC, sz DESC, source_id DESC) AS place FROM ranked", RANKED)
+@query("e1_entry_score", "SELECT company_id, q_index, source_id, row_number() OVER (PARTITION BY company_id, q_index ORDER BY have DESC, flags DESC, hc DESC, sz DESC, source_id DESC) AS place FROM ranked", RANKED)
 def e1(t):
     from pyspark.sql import Window
 
@@ -32,20 +32,20 @@ def e2(t):
     return E.merge_period_entries(entries(t), FIELDS, rank())
 
 
-SPANS = """spans AS (SELECT company_id, q_index, 1 AS span, qn, y, revenue, cost, tax FROM quarters WHERE (company_id + q_index) % 3 <> 0
-  UNION ALL SELECT * FROM (SELECT company_id, q_index, qn AS span, qn, y, CAST(sum(revenue) OVER w AS DECIMAL(20,2)), CAST(sum(cost) OVER w AS DECIMAL(20,2)), CAST(sum(tax) OVER w AS DECIMAL(20,2)) FROM quarters WINDOW w AS (PARTITION BY company_id, y ORDER BY qn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x WHERE span >= 2 AND (company_id * 3 + q_index) % 5 <> 0)"""
-_STEP = """f{k} AS (SELECT * FROM f{j} UNION ALL SELECT company_id, q_index, y, true, revenue - r, cost - c, tax - x FROM (
-  SELECT s.company_id, s.q_index, s.y, s.revenue, s.cost, s.tax, coalesce(any_value(p.revenue), sum(h.revenue)) AS r, coalesce(any_value(p.cost), sum(h.cost)) AS c, coalesce(any_value(p.tax), sum(h.tax)) AS x, any_value(p.revenue) IS NOT NULL AS direct, count(h.q_index) AS n
+SPANS = """spans AS (SELECT *, CASE WHEN (company_id + q_index) % 7 = 0 THEN 'EUR' WHEN q_index % 5 = 0 THEN '' ELSE 'USD' END AS currency FROM (SELECT company_id, q_index, 1 AS span, qn, y, revenue, cost, tax FROM quarters WHERE (company_id + q_index) % 3 <> 0
+  UNION ALL SELECT * FROM (SELECT company_id, q_index, qn AS span, qn, y, CAST(sum(revenue) OVER w AS DECIMAL(20,2)), CAST(sum(cost) OVER w AS DECIMAL(20,2)), CAST(sum(tax) OVER w AS DECIMAL(20,2)) FROM quarters WINDOW w AS (PARTITION BY company_id, y ORDER BY qn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) x WHERE span >= 2 AND (company_id * 3 + q_index) % 5 <> 0) every_)"""
+_STEP = """f{k} AS (SELECT * FROM f{j} UNION ALL SELECT company_id, q_index, y, true, currency, revenue - r, cost - c, tax - x FROM (
+  SELECT s.company_id, s.q_index, s.y, s.currency, s.revenue, s.cost, s.tax, s.currency = '' OR bool_and(p.currency IN ('', s.currency)) AS pc, s.currency = '' OR bool_and(h.currency IN ('', s.currency)) AS mc, coalesce(any_value(p.revenue), sum(h.revenue)) AS r, coalesce(any_value(p.cost), sum(h.cost)) AS c, coalesce(any_value(p.tax), sum(h.tax)) AS x, any_value(p.revenue) IS NOT NULL AS direct, count(h.q_index) AS n
   FROM spans s LEFT JOIN spans p ON p.company_id = s.company_id AND p.q_index = s.q_index - 1 AND p.span = {k} - 1 LEFT JOIN f{j} h ON h.company_id = s.company_id AND h.q_index < s.q_index AND h.q_index > s.q_index - {k}
-  WHERE s.span = {k} AND NOT EXISTS (SELECT 1 FROM f{j} z WHERE z.company_id = s.company_id AND z.q_index = s.q_index) GROUP BY 1, 2, 3, 4, 5, 6) WHERE (direct OR n = {k} - 1) AND revenue - r >= -0.001 AND cost - c >= -0.001)"""
-FINAL = SPANS + ", f1 AS (SELECT company_id, q_index, y, false AS derived, revenue, cost, tax FROM spans WHERE span = 1), " + ", ".join(_STEP.format(k=k, j=k - 1) for k in (2, 3, 4))
+  WHERE s.span = {k} AND NOT EXISTS (SELECT 1 FROM f{j} z WHERE z.company_id = s.company_id AND z.q_index = s.q_index) GROUP BY s.company_id, s.q_index, s.y, s.currency, s.revenue, s.cost, s.tax) WHERE CASE WHEN direct THEN pc ELSE n = {k} - 1 AND mc END AND revenue - r >= -0.001 AND cost - c >= -0.001)"""
+FINAL = SPANS + ", f1 AS (SELECT company_id, q_index, y, false AS derived, currency, revenue, cost, tax FROM spans WHERE span = 1), " + ", ".join(_STEP.format(k=k, j=k - 1) for k in (2, 3, 4))
 
 
 def spans(t):
     return t.sql("SELECT * FROM spans", SPANS)
 
 
-@query("e4_derive_from_cumulative", "SELECT company_id, q_index, derived, revenue, cost, tax FROM f4", FINAL, money="revenue cost tax")
+@query("e4_derive_from_cumulative", "SELECT company_id, q_index, derived, currency, revenue, cost, tax FROM f4", FINAL, money="revenue cost tax")
 def e4(t):
     return E.finalize_quarters(spans(t), ["revenue", "cost", "tax"], ["revenue", "cost"])
 
