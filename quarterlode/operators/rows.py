@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarterlode.operators.bridge import resolve_opex
 from quarterlode.operators.candidates import MONEY, OTHER
 from quarterlode.operators.history import QUARTER
-from quarterlode.operators.segments import is_aggregate
+from quarterlode.operators.segments import combines, is_aggregate, normal_label
 
 RESERVED = (OTHER, "reportedrevenue")
 NEAR = (-2, -1, 1, 2)
@@ -235,3 +235,20 @@ def choose_rows(preset: DataFrame, official: DataFrame, history: DataFrame, quar
     reported = quarters.where(F.col("revenue") > d(0.02)).select(*QUARTER, F.lit("reportedrevenue").alias("member_key"), F.col("revenue").cast(MONEY).alias("value"))
     take = lambda df: df.where(F.col("value") > d(0.02)).select(*QUARTER, "member_key", F.col("value").cast(MONEY).alias("value"))
     return first_rows([("preset", take(preset)), ("official", take(official)), ("history", history_groups(history, quarters).select(columns)), ("reported", reported)])
+
+
+# Fixed values. More labels that stand for all or the rest of the segments.
+REST_LABELS = ("other segments", "all other segments", "corporate non")
+
+
+def prune_labels(rows: DataFrame, most: int = 12, least: int = 3) -> DataFrame:
+    """The `most` largest named rows of a quarter above 0.02; of `least` or more, those go whose label has an "other" twin,
+    reads like a total, or combines two others, unless none would be left."""
+    w = Window.partitionBy(*QUARTER)
+    at = rows.where(F.col("value") > d(0.02)).withColumn("_r", F.row_number().over(w.orderBy(F.col("value").desc(), "name"))).where(F.col("_r") <= most)
+    at = at.withColumns({"_all": F.collect_set("name").over(w), "_n": F.count(F.lit(1)).over(w)})
+    label = normal_label(F.col("name"))
+    twin = ~label.startswith("other ") & F.exists("_all", lambda o: normal_label(o) == F.concat(F.lit("other "), label))
+    bad = twin | is_aggregate(F.col("name")) | label.isin(*REST_LABELS) | (combines(F.col("name"), F.filter("_all", lambda o: ~normal_label(o).isin(*REST_LABELS))) >= 2)
+    at = at.withColumn("_keep", (F.col("_n") < least) | ~bad)
+    return at.withColumn("_some", F.max("_keep").over(w)).where(F.col("_keep") | ~F.col("_some")).select(*rows.columns)

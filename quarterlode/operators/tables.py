@@ -161,3 +161,30 @@ def document_context(pages: DataFrame, doc: str, page_no: str, text: str, first:
     number = F.when(kind == "quarterly", _table(CJK_QUARTER)[F.nullif(quarter, F.lit(""))]).when(kind == "half-year", 2).when(kind == "annual", 4)
     money = F.coalesce(*(F.when(F.upper(t).contains(c), "CNY" if c == "RMB" else c) for c in CURRENCIES), F.lit("USD"))
     return cover.select(doc, kind.alias("report_type"), F.when(kind.isNotNull(), year.try_cast("int")).alias("report_year"), number.alias("report_quarter"), money.alias("currency"))
+
+
+# Fixed values. Fields that a statement begins with, and those that its continuation has.
+OPENING = ("revenue", "cost_of_revenue", "gross_profit", "operating_income", "sales_marketing", "general_administrative", "rnd")
+CLOSING = ("pretax_income", "tax", "net_income")
+
+
+def usable_pages(pages: DataFrame, text: str = "text") -> DataFrame:
+    """Pages of four lines or more that are neither of one segment (by their last eight lines) nor a reconciliation of
+    other measures (by their first twenty)."""
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    at = pages.withColumn("_l", lines).where(F.size("_l") >= 4)
+    foot = F.lower(F.array_join(F.slice("_l", F.greatest(F.size("_l") - 7, F.lit(1)), F.lit(8)), " "))
+    head = F.lower(F.array_join(F.slice("_l", 1, 20), " "))
+    segment = foot.rlike(r"\b(segment|division|business unit)\b") & ~foot.rlike(r"\b(segments|segment information|segment data)\b")
+    other = head.contains("reconciliations of non-gaap financial measures") | head.contains("impact per diluted share")
+    return at.where(~segment & ~other).drop("_l")
+
+
+def carry_columns(pages: DataFrame, keys: Sequence[str], page_no: str, columns: str = "columns", fields: str = "fields") -> DataFrame:
+    """Pages with their period columns: their own, or those of the last page of the document that had any, if the page's
+    fields are those of a statement's end and none of its beginning. Pages without either go."""
+    own = F.when(F.size(columns) > 0, F.col(columns))
+    last = F.last(own, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(page_no).rowsBetween(Window.unboundedPreceding, -1))
+    has = lambda names: F.arrays_overlap(F.col(fields), F.array(*map(F.lit, names)))
+    follows = F.coalesce(has(CLOSING) & ~has(OPENING), F.lit(False))
+    return pages.withColumns({"_last": last, "_own": own}).withColumn(columns, F.coalesce("_own", F.when(follows, F.col("_last")))).where(F.col(columns).isNotNull()).drop("_last", "_own")

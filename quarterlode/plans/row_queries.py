@@ -154,3 +154,15 @@ def v8(t):
     take = lambda df: df.select("company_id", "q_index", "name", "value")
     rows = t.labels_seen
     return W.first_rows([("snapshot", take(rows.where("source_id = 'sF' and q_index % 3 <> 0"))), ("official", take(rows.where("source_id = 'sO' and q_index % 2 <> 0"))), ("generic", take(rows.where("source_id = 'sT'")))])
+
+
+LABELS = """labelled AS (SELECT company_id, q_index, name, CAST(value AS DECIMAL(24,3)) AS value FROM segments UNION ALL SELECT company_id, q_index, 'Other ' || min(name), CAST(sum(value) / 10 AS DECIMAL(24,3)) FROM segments WHERE q_index % 2 = 0 GROUP BY company_id, q_index
+  UNION ALL SELECT company_id, q_index, min(name) || ' and ' || max(name), CAST(sum(value) / 3 AS DECIMAL(24,3)) FROM segments WHERE q_index % 3 = 0 GROUP BY company_id, q_index HAVING count(*) > 1 UNION ALL SELECT company_id, q_index, CASE WHEN q_index % 4 = 0 THEN 'All other segments' ELSE 'Consolidated things' END, CAST(sum(value) AS DECIMAL(24,3)) FROM segments WHERE q_index % 4 < 2 GROUP BY company_id, q_index)"""
+_PRUNE = LABELS + """, twelve AS (SELECT *, count(*) OVER (PARTITION BY company_id, q_index) AS n, lower(name) AS l, list_filter(string_split(lower(name), ' '), lambda w: w NOT IN ('and', 'other', 'services', 'service')) AS t FROM (SELECT * FROM labelled WHERE value > 0.02 QUALIFY row_number() OVER (PARTITION BY company_id, q_index ORDER BY value DESC, name) <= 12)),
+  judged AS (SELECT *, n < 3 OR NOT ((l NOT LIKE 'other %' AND EXISTS (SELECT 1 FROM twelve o WHERE o.company_id = a.company_id AND o.q_index = a.q_index AND o.l = 'other ' || a.l)) OR contains(l, 'consolidated') OR l = 'all other segments' OR (contains(l, ' and ') AND len(t) >= 2
+    AND (SELECT count(*) FROM twelve o WHERE o.company_id = a.company_id AND o.q_index = a.q_index AND o.name <> a.name AND NOT contains(o.l, 'consolidated') AND o.l <> 'all other segments' AND len(o.t) > 0 AND len(o.t) < len(a.t) AND len(list_filter(o.t, lambda w: NOT list_contains(a.t, w))) = 0) >= 2)) AS keep FROM twelve a)"""
+
+
+@query("v14_prune_labels", "SELECT company_id, q_index, name, value FROM (SELECT *, bool_or(keep) OVER (PARTITION BY company_id, q_index) AS some_ FROM judged) WHERE keep OR NOT some_", _PRUNE, money="value")
+def v14(t):
+    return W.prune_labels(t.sql("SELECT * FROM labelled", LABELS))

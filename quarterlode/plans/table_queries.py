@@ -86,3 +86,18 @@ _MONEY = " ".join(f"WHEN contains(upper(t), '{c}') THEN '{'CNY' if c == 'RMB' el
 @query("c12_document_context", f"SELECT conv_id, CASE k WHEN 0 THEN 'quarterly' WHEN 1 THEN 'half-year' WHEN 2 THEN 'annual' END AS report_type, CASE k WHEN 0 THEN 2023 WHEN 1 THEN 2022 WHEN 2 THEN 2021 END AS report_year, CASE k WHEN 0 THEN 3 WHEN 1 THEN 2 WHEN 2 THEN 4 END AS report_quarter, CASE {_MONEY} ELSE 'USD' END AS currency FROM (SELECT conv_id, CASE WHEN max(turn) >= 1 THEN conv_id % 5 ELSE 9 END AS k, string_agg(coalesce(text, ''), ' ' ORDER BY turn) AS t FROM covers WHERE turn < 6 GROUP BY conv_id)", COVERS)
 def c12(t):
     return E.document_context(t.sql("SELECT * FROM covers", COVERS), "conv_id", "turn", "text")
+
+
+#: Pages with headers, rows and footers by their number; the text of a conversation stands between.
+PAGES = """paged AS (SELECT conv_id, turn, concat(CASE (conv_id + turn) % 5 WHEN 0 THEN 'Statement Q1 2023 Q1 2022' WHEN 1 THEN 'continued' WHEN 2 THEN 'Reconciliations of non-GAAP financial measures' ELSE 'more' END, chr(10), CASE turn % 3 WHEN 0 THEN 'Net income 5 6' WHEN 1 THEN 'Revenue 1 2' ELSE 'Income tax expense 3 4' END, chr(10), 'a line', chr(10), 'b line', chr(10),
+  CASE conv_id % 4 WHEN 0 THEN 'the Cloud segment' WHEN 1 THEN 'segment data by division' ELSE 'page' END) AS text FROM conversations)"""
+
+
+@query("c10_page_entries", """SELECT conv_id, turn, CASE WHEN own THEN '2023Q1,2022Q1' ELSE prior END AS columns FROM (SELECT *, last_value(CASE WHEN own THEN '2023Q1,2022Q1' END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM (
+  SELECT conv_id, turn, (conv_id + turn) % 5 = 0 AS own FROM conversations WHERE conv_id % 4 <> 0 AND (conv_id + turn) % 5 <> 2)) WHERE own OR (prior IS NOT NULL AND turn % 3 <> 1)""")
+def c10(t):
+    pages = E.usable_pages(t.sql("SELECT * FROM paged", PAGES.replace("chr(10)", "'\\n'")))
+    found = F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit(r"Q([1-4]) (\d{4})"), F.lit(2)).alias("y"), F.regexp_extract_all("text", F.lit(r"Q([1-4]) (\d{4})"), F.lit(1)).alias("q")), lambda x: F.concat(x["y"], F.lit("Q"), x["q"]))
+    fields = F.array_compact(F.transform(F.split("text", "\n"), lambda x: E.match_field(F.regexp_replace(x, "[0-9 ]+$", ""))))
+    at = E.carry_columns(pages.select("conv_id", "turn", found.alias("columns"), fields.alias("fields")), ("conv_id",), "turn")
+    return at.select("conv_id", "turn", F.array_join("columns", ",").alias("columns"))
