@@ -19,14 +19,30 @@ BROADCAST_IDS = 400_000  # of single numbers
 def freeze(df: DataFrame) -> DataFrame:
     """Cuts the lineage: a reliable checkpoint in the folder that spark.checkpoint.dir names.
 
+    Nothing needs the shuffle files of a frozen step any more, so Spark is told to drop them when a query ends.
+
     A folder of its own is made only where the session names none (tests on one machine)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    df.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return df.checkpoint(eager=True)
 
 
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the rows of the session's Arrow batches: texts are long, and a worker holds a whole batch."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if int(conf.get(name)) not in range(1, BATCH_ROWS + 1):
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def packed(df: DataFrame) -> DataFrame:
     """df as one struct column `_in`, so that no column of its own can clash with an operator's."""
     return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_in"))
@@ -62,14 +78,14 @@ def salted_join(big: DataFrame, side: DataFrame, key: str, salt: Column, small:
     return big.join(side, F.col(key).eqNullSafe(F.col("_joined_key")) & (F.col("_salt") == F.col("_salt2")), how).drop("_joined_key", "_salt", "_salt2")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (a, b): rows (node, component), component = smallest node.
 
     Alternating large-star and small-star steps; only nodes with an edge are returned. Every step is joins and
     pre-aggregated minima, and each round is checkpointed; nothing but one number comes to the driver."""
     now = freeze(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
-    for _ in range(max_rounds):
+    while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -80,6 +96,4 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if tuple(row) == mark:
             break
         mark = tuple(row)
-    else:
-        raise RuntimeError("components did not converge")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -21,15 +21,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import BROADCAST_IDS, components, documents, freeze, is_small, packed, unpacked
+from quarterlode.llm.common import BROADCAST_IDS, components, documents, freeze, is_small, packed, small_batches, unpacked
 from quarterlode.llm.shingles import U, mixed, shingle_sets, text_slices, words
 
-SMALL_SET = 64  # below it twice as many parts
+SMALL_SET = 32  # classes up to it take every member as a part of its own, so that none of their sets is weak
+MEDIUM_SET = 192  # classes up to it get a quarter more parts, up to half of SMALL_SET more
+PIVOTS = 8  # of the main component of a region that is in several parts
 BLOCK_ROWS = 300
 MARGIN = 1.15
+SAMPLE_SETS, HOT_TIMES = 5_000, 10  # keys found so often in a sample of sets are dealt to SALTS tasks; results do not depend on it
+SALTS = 64
+SKETCH = 64
+LEVELS = 64
+MASK = 0xFFFFFFFFFFFFFFFF ^ (LEVELS - 1)
 
 
 def most_different(n: int, percent: int) -> int:
@@ -51,7 +58,7 @@ def parts_of(level: int, percent: int) -> int:
     need, r, top = MARGIN * (100 - percent) / percent, 8.0, least_of(level + 1)
     while r > 0.25 and -math.expm1(-r) / r < need:
         r -= 0.01
-    return math.ceil(top / r) * (2 if top <= SMALL_SET else 1)
+    return math.ceil(top / r * (1.6 if top <= 2 * SMALL_SET else 1.25 if top <= MEDIUM_SET else 1))
 
 
 def region_keys(s: np.ndarray, percent: int) -> tuple[list[np.ndarray], bool]:
@@ -60,34 +67,46 @@ def region_keys(s: np.ndarray, percent: int) -> tuple[list[np.ndarray], bool]:
     at, allowed = int(2 * math.log2(n) + 1e-9), most_different(n, percent)
     while not keys or 100 * n >= percent * least_of(at):  # classes of all sets that may be linked with it
         h = mixed(s, 1000 + at)
-        part = (h >> U(20)) % U(parts_of(at, percent))
-        order = np.argsort(part, kind="stable")
-        part, h = part[order], mixed(h[order], 7)
-        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        found = mixed(np.add.reduceat(h, first) ^ mixed(part[first], at))
+        if least_of(at + 1) <= SMALL_SET:
+            found = h
+        else:
+            part = (h >> U(20)) % U(parts_of(at, percent))
+            order = np.argsort(part, kind="stable")
+            part, h = part[order], mixed(h[order], 7)
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            found = mixed(np.add.reduceat(h, first) ^ mixed(part[first], at))
         weak |= len(found) <= allowed
-        keys.append(found.view(np.int64))
+        keys.append(((found & U(MASK)) | U(at % LEVELS)).view(np.int64))  # the last bits tell the class
         at += 1
     return keys, weak
 
 
-def _per_set(docs: DataFrame, text: str, size: int, schema: str, row, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each row of docs: its columns `extra`, then what row(set) gives."""
-    kinds = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<array<long>>": pa.list_(pa.list_(pa.int64())), "boolean": pa.bool_()}
+def _per_set(docs: DataFrame, text: str, size: int, schema: str, row, extra: tuple[str, ...] = (), once: bool = False) -> DataFrame:
+    """One row for each row of docs: its columns `extra`, then what row(set) gives; once: equal sets only once in a task."""
+    kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<array<long>>": pa.list_(pa.list_(pa.int64())), "boolean": pa.bool_()}
     made = [x.split(" ", 1) for x in schema.split(", ")]
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in extra]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             column = batch.column(text)
             kept = batch.select(list(extra))
             for at, raw, offsets in text_slices(column):
                 w, before = words(raw, offsets)
-                rows = [row(s) for s in shingle_sets(w, before, size)]
+                sets = shingle_sets(w, before, size)
+                if once:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    ids = ((set_id(s), s) for s in sets if len(s))
+                    sets = [s for i, s in ids if not (i in seen or seen.add(i))]
+                rows = [row(s) for s in sets]
+                if not rows:
+                    continue
                 part = kept.slice(at, len(rows))
                 yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), made, strict=True))], names=[*part.schema.names, *(n for n, _ in made)])
 
-    return docs.select(*extra, text).mapInArrow(run, ", ".join([*fields, schema]))
+    return small_batches(docs).select(*extra, text).mapInArrow(run, ", ".join([*fields, schema]))
 
 
 def set_id(s: np.ndarray) -> int:
@@ -95,16 +114,80 @@ def set_id(s: np.ndarray) -> int:
     return int(mixed(np.array([mixed(s, 5).sum(dtype=U) ^ U(len(s) * 0x9E3779B9)]))[0].astype(np.int64)) if len(s) else 0
 
 
+def sketch(s: np.ndarray) -> list[int]:
+    """How many members of a set fall into each of SKETCH parts."""
+    return np.bincount((mixed(s, 11) % U(SKETCH)).astype(np.int64), minlength=SKETCH).tolist()
+
+
 def jaccard_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b) with the exact size of intersection and union."""
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("members").alias("_y")), "b")
-    both = F.size(F.array_intersect("_x", "_y")).cast("long")
-    one = one.select("a", "b", both.alias("both"), (F.size("_x") + F.size("_y") - both).alias("all"))
-    return one.withColumn("linked", F.col("both") * 100 >= F.col("all") * percent)
+    """(a, b, linked) of those pairs that may be linked, from exact sizes of intersection and union.
+
+    sets: (node, parts, members). Members are joined only where the counts by part leave room for a link."""
+
+    def side(name: str, *columns: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), *(F.col(c).alias(f"_{c}_{name}") for c in columns))
+
+    def enough(both: Column, all_: Column) -> Column:
+        return both * 100 >= (all_ - both) * percent
+
+    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda x, y: x + y)
+    one = pairs.join(side("a", "parts"), "a").join(side("b", "parts"), "b")
+    most = total(F.zip_with("_parts_a", "_parts_b", lambda x, y: F.least(x, y)))
+    one = one.where(enough(most, total(F.col("_parts_a")) + total(F.col("_parts_b")))).select("a", "b")
+    one = one.join(side("a", "members"), "a").join(side("b", "members"), "b")
+    both = F.size(F.array_intersect("_members_a", "_members_b")).cast("long")
+    return one.select("a", "b", enough(both, F.size("_members_a") + F.size("_members_b")).alias("linked"))
+
+
+def hot_keys(src: DataFrame, n_rows: int, size: int, percent: int) -> DataFrame | None:
+    """(key, hot_times, hot_low) of keys that very many sets hold, from a sample of about SAMPLE_SETS of them.
+
+    Only how rows are dealt to tasks, the order of such keys and the pivot of their regions come from it."""
+    share = SAMPLE_SETS / max(1, n_rows)
+    some = src.where(F.pmod(F.xxhash64("_print", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    keys = _per_set(some, "_text", size, "node long, keys array<long>", lambda s: (set_id(s), np.concatenate(region_keys(s, percent)[0]) if len(s) else []), once=True)
+    keys = keys.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hot_low"), F.max("node").alias("high"))
+    hot = freeze(keys.where(F.col("n") >= HOT_TIMES).where("hot_low <> high").select("key", (F.col("n") + F.lit(1 << 40)).alias("hot_times"), "hot_low"))
+    return hot if is_small(hot) else None
+
+
+def region_members(src: DataFrame, n_rows: int, nodes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(key, node, low): the regions that each set must be in, low being the pivot. nodes: (node, n, parts, …).
+
+    A function of its own: what it shuffles can be cleaned up once the table is written."""
+    # Keys come from a second scan, so they need no room of their own. A task lays out equal sets once; what copies in
+    # other tasks add to the count of a key only changes the order of places, which any function of the key may give.
+    rows = _per_set(src, "_text", size, "node long, keys array<array<long>>", lambda s: (set_id(s), region_keys(s, percent)[0] if len(s) else []), once=True)
+    rows = rows.select("node", F.explode(F.flatten("keys")).alias("key"))
+    hot = hot_keys(src, n_rows, size, percent)
+    level = F.col("key").bitwiseAND(F.lit(LEVELS - 1).cast("long"))
+
+    def by_key(df: DataFrame, known: tuple[str, ...]) -> tuple[DataFrame, Window]:
+        """df with what is known of hot keys, and a window over keys: rows of hot keys are dealt out by set, so that no
+        task gets a hot group; their count and pivot are known already."""
+        types = {"hot_times": "long", "hot_low": "long"}
+        df = df.join(F.broadcast(hot.select("key", *known)), "key", "left") if hot is not None else df.withColumns({c: F.lit(None).cast(types[c]) for c in known})
+        return df, Window.partitionBy("key", F.when(F.col(known[0]).isNotNull(), F.pmod("node", F.lit(SALTS))))
+
+    rows, keyed = by_key(rows, ("hot_times",))
+    met = rows.select("node", "key", F.coalesce("hot_times", F.count(F.lit(1)).over(keyed)).alias("times")).where("times > 1")
+    mine = met.groupBy("node").agg(F.array_sort(F.collect_set(F.struct(level.cast("int").alias("level"), "times", "key"))).alias("met")).join(nodes, "node")
+    first_level = F.floor(F.log2("n") * 2 + 1e-9).cast("int")  # of a set's own classes; they follow each other
+    differ = F.floor(F.col("n") * (100 - percent) / F.lit(float(percent)) + 1e-9) + 1
+
+    def placed(parts: Column, i: Column) -> Column:
+        own = F.filter("met", lambda m: m["level"] == F.pmod(first_level + i, F.lit(LEVELS)))
+        return F.slice(own, F.lit(1), F.greatest(differ - (parts - F.size(own)), F.lit(0)).cast("int"))
+
+    mine = mine.select("node", F.explode(F.flatten(F.transform("parts", placed))).alias("m")).select("node", "m.key")
+    mine, keyed = by_key(mine, ("hot_low",))
+    low, high = F.coalesce("hot_low", F.min("node").over(keyed)), F.max("node").over(keyed)
+    return freeze(mine.withColumn("low", low).withColumn("high", high).where("low <> high or hot_low is not null").select("key", "node", "low"))
 
 
 def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_id, component_id), one for each row of docs.
+    """Rows (doc_id, print, n_shingles, set_id, group, component_id), one for each row of docs; print: xxhash64 of its text;
+    group: a number of its component, null without shingles (where ids repeat, components may share a component_id).
 
     Linked: 100 * |intersection| >= percent * |union| of the sets of distinct `size`-word shingles (lower-cased A-Z; with
     fewer words the whole sequence is one shingle). Null texts and texts without words have no shingles and stand alone.
@@ -117,21 +200,11 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         keys, weak = region_keys(s, percent) if len(s) else ([], False)
         return len(s), set_id(s), [len(k) for k in keys], weak
 
-    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    base = freeze(_per_set(src, "_text", size, "n_shingles long, set_id long, parts array<long>, weak boolean", first, ("doc_id",)))
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).withColumn("_print", F.xxhash64("_text"))
+    base = freeze(_per_set(src, "_text", size, "n_shingles long, set_id long, parts array<long>, weak boolean", first, ("doc_id", "_print")))
     filled = base.where("n_shingles > 0")
     nodes = filled.groupBy(F.col("set_id").alias("node")).agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("parts").alias("parts"))
-    # Keys come from a second scan, so they need no room of their own; equal sets fall together before they are laid out.
-    lists = _per_set(src, "_text", size, "node long, keys array<array<long>>", lambda s: (set_id(s), region_keys(s, percent)[0] if len(s) else []))
-    lists = lists.where(F.size("keys") > 0).groupBy("node").agg(F.first("keys").alias("keys"))
-    rows = lists.select("node", F.posexplode("keys").alias("level", "k")).select("node", F.col("level").cast("byte").alias("level"), F.explode("k").alias("key"))
-    met = rows.withColumn("times", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("times > 1")
-    mine = met.groupBy("node", "level").agg(F.sort_array(F.collect_list(F.struct("times", "key"))).alias("met")).join(nodes, "node")
-    alone = F.get("parts", F.col("level").cast("int")) - F.size("met")
-    places = F.floor(F.col("n") * (100 - percent) / F.lit(float(percent)) + 1e-9) + 1 - alone
-    mine = mine.withColumn("places", places.cast("int")).where("places > 0").select("node", F.explode(F.slice("met", F.lit(1), F.col("places"))).alias("m")).select(F.col("m.key").alias("key"), "node")
-    ends = Window.partitionBy("key")
-    regions = freeze(mine.distinct().withColumn("low", F.min("node").over(ends)).withColumn("high", F.max("node").over(ends)).where("low <> high").drop("high"))
+    regions = region_members(src, base.count(), nodes, size, percent)
 
     star = regions.where("node <> low").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b"))
     weak_pairs = _weak_pairs(src, base, size, percent)
@@ -142,33 +215,52 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     involved = star.select(F.explode(F.array("a", "b")).alias("node")).unionByName(regions.select("node")).distinct()
     owner = freeze(nodes.join(involved, "node", "left_semi").select(F.col("least_id").alias("doc_id")).distinct())
     owner = F.broadcast(owner) if is_small(owner, most=BROADCAST_IDS) else owner
-    sets = _per_set(src.join(owner, src["doc_id"].eqNullSafe(owner["doc_id"]), "left_semi"), "_text", size, "node long, members array<long>", lambda s: (set_id(s), s.view(np.int64).tolist())).where(F.size("members") > 0)
+    sets = _per_set(src.join(owner, src["doc_id"].eqNullSafe(owner["doc_id"]), "left_semi"), "_text", size, "node long, parts array<int>, members array<long>", lambda s: (set_id(s), sketch(s), s.view(np.int64))).where(F.size("members") > 0)
     sets = freeze(sets.dropDuplicates(["node"]))
     known = freeze(jaccard_links(star, sets, percent))
     labels = components(known.where("linked").select("a", "b"))
 
-    # Regions that meet in a document are one; where one still holds several components, blocks of its members are
-    # compared in the tasks. Blocks are of one size class, and classes too far apart for the threshold never meet.
+    # Regions that meet in a document are one. Where one holds several components, the sets outside its main one are
+    # first held against PIVOTS sets of that; what is still apart then is compared in blocks in the tasks: sets outside
+    # the main component with all others. Blocks are of one size class, and classes too far apart never meet.
     whole = components(star).withColumnRenamed("component", "region")
-    owned = whole.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = owned.groupBy("region").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("rows")).where("c1 <> c2 and rows > 2").select("region")
-    left = freeze(owned.join(split, "region", "left_semi").withColumn("level", F.floor(F.log2("n") * 2 + 1e-9).cast("int")).select("region", "node", "component", "level"))
-    chunks = left.groupBy("region", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias("chunks"))
-    mine = left.join(chunks, ["region", "level"]).withColumn("block", F.struct("level", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))).drop("chunks")
+    owned = parted(whole, nodes, labels)
+    pivots = owned.where("main").groupBy("region").agg(F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(i))) for i in range(PIVOTS)))).alias("p"))
+    pairs = owned.where("not main").join(pivots, "region").select("node", F.explode("p").alias("p")).select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
+    some = owned.select("node").distinct()
+    sets = sets.join(F.broadcast(some) if is_small(some, most=BROADCAST_IDS) else some, "node", "left_semi")
+    near = freeze(jaccard_links(pairs, sets, percent).where("linked").select("a", "b"))
+    linked = known.where("linked").select("a", "b")
+    if not near.isEmpty():
+        linked = linked.unionByName(near)
+        labels = components(linked)
+        owned = parted(whole, nodes, labels)
+    left = owned.withColumn("level", F.floor(F.log2("n") * 2 + 1e-9).cast("int"))
+    chunks = left.groupBy("region", "main", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias("chunks"))
+    mine = left.join(chunks, ["region", "main", "level"]).withColumn("block", F.struct("main", "level", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))).drop("chunks")
     reach = math.ceil(2 * math.log2(100 / percent) + 1e-9)
-    other = chunks.select("region", F.col("level").alias("level2"), "chunks")
-    pairs = mine.join(other, "region").where(F.abs(F.col("level") - F.col("level2")) <= reach).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("with", F.struct(F.col("level2").alias("level"), "chunk"))
-    pairs = pairs.select("region", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), (F.col("block") == F.col("with")).alias("same"), (F.col("block") < F.col("with")).alias("lower"), "node", "component").join(sets, "node")
+    other = chunks.select("region", F.col("main").alias("main2"), F.col("level").alias("level2"), "chunks")
+    pairs = mine.join(other, "region").where((F.abs(F.col("level") - F.col("level2")) <= reach) & ~(F.col("main") & F.col("main2"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("with", F.struct(F.col("main2").alias("main"), F.col("level2").alias("level"), "chunk"))
+    pairs = pairs.select("region", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), (F.col("block") == F.col("with")).alias("same"), (F.col("block") < F.col("with")).alias("lower"), "node", "component").join(sets.select("node", "members"), "node")
     more = freeze(pairs.groupBy("region", "one", "two").applyInPandas(lambda batch: compare_block(batch, percent), "a long, b long").distinct())
     if not more.isEmpty():
-        labels = components(known.where("linked").select("a", "b").unionByName(more))
+        labels = components(linked.unionByName(more))
 
     member = nodes.join(labels, "node")
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    member = member.join(least, "component").select("node", F.col("component_id").alias("_joined"))
-    alone = nodes.join(member, "node", "left").select(F.col("node"), F.coalesce("_joined", "least_id").alias("_component"))
-    out = base.select("doc_id", "n_shingles", "set_id").join(alone, F.col("set_id") == F.col("node"), "left")
-    return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
+    member = member.join(least, "component").select("node", "component", F.col("component_id").alias("_joined"))
+    alone = nodes.join(member, "node", "left").select(F.col("node"), F.coalesce("component", "node").alias("group"), F.coalesce("_joined", "least_id").alias("_component"))
+    out = base.select("doc_id", "_print", "n_shingles", "set_id").join(alone, F.col("set_id") == F.col("node"), "left")
+    return out.select("doc_id", F.col("_print").alias("print"), "n_shingles", "set_id", "group", F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def parted(whole: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(node, n, region, component, main) of the regions that hold several components; main: of the largest one."""
+    owned = whole.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = owned.groupBy("region", "component").agg(F.count(F.lit(1)).alias("rows"))
+    main = sizes.groupBy("region").agg(F.max_by("component", F.struct("rows", "component")).alias("main_component"), F.count(F.lit(1)).alias("parts"), F.sum("rows").alias("rows"))
+    main = main.where("parts > 1 and rows > 2").select("region", "main_component")
+    return freeze(owned.join(main, "region").withColumn("main", F.col("component") == F.col("main_component")).drop("main_component"))
 
 
 def compare_block(batch: pd.DataFrame, percent: int) -> pd.DataFrame:
@@ -209,21 +301,31 @@ def _weak_pairs(src: DataFrame, base: DataFrame, size: int, percent: int) -> Dat
     if low is None:
         return None
     least, most = low * percent // 100, high * 100 // percent + 1
-    near = base.where(F.col("n_shingles").between(least, most)).select("doc_id").distinct()
-    rows = _per_set(src.join(near, "doc_id", "left_semi"), "_text", size, "node long, members array<long>", lambda s: (set_id(s), s.view(np.int64).tolist() if least <= len(s) <= most else []))
+    rows = _per_set(src, "_text", size, "node long, members array<long>", lambda s: (set_id(s), s.view(np.int64) if least <= len(s) <= most else []), once=True).where(F.size("members") > 0)
     rows = freeze(rows.dropDuplicates(["node"]).select("node", F.explode("members").alias("m")))
     mine = rows.join(weak.select(F.col("set_id").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("w"), "m")
     return rows.join(mine, "m").where("node <> w").select(F.least("node", "w").alias("a"), F.greatest("node", "w").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but one document of each component: the row of the smallest doc_id (of repeated ids, one row).
-
-    Documents without shingles stay. Same columns as docs."""
-    found = join_components(docs, size=size, percent=percent)
-    lost = found.where(F.col("doc_id") > F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    rows = packed(docs).withColumns({"_id": F.col("_in").getField("doc_id"), "_print": F.coalesce(F.xxhash64(F.col("_in").getField("text")), F.lit(0))})
-    return unpacked(rows.join(lost, "_id", "left_anti").dropDuplicates(["_id", "_print"]), docs.columns)
+    """docs without all but one row of each component: the row of the smallest doc_id (null last), then of the smallest
+    text hash. Rows are told apart by doc_id and text, so another text of a repeated id is judged for itself.
+
+    Rows without shingles (null or empty text) all stay. Of rows that repeat both id and text one stays. Same columns
+    as docs, empty table: empty result. Texts are shuffled only where the removed rows pass the broadcast bound."""
+    found = freeze(join_components(docs, size=size, percent=percent).where("n_shingles > 0").select("doc_id", "print", "group").groupBy("doc_id", "print").agg(F.first("group").alias("group"), F.count(F.lit(1)).alias("times")))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")
+    first = found.groupBy("group").agg(F.min(place).alias("first"))
+    lost = freeze(found.join(first, "group").where(place != F.col("first")).select(F.col("doc_id").alias("_lost_id"), F.col("print").alias("_lost")))
+    rows = packed(docs).withColumns({"_id": F.col("_in").getField("doc_id"), "_print": F.xxhash64(F.col("_in").getField("text"))})
+    same = lambda a, b: F.col("_id").eqNullSafe(F.col(a)) & (F.col("_print") == F.col(b))
+    rows = rows.join(F.broadcast(lost) if is_small(lost, most=BROADCAST_IDS) else lost, same("_lost_id", "_lost"), "left_anti")
+    again = freeze(found.where("times > 1").select(F.col("doc_id").alias("_again_id"), F.col("print").alias("_again")))
+    if not again.isEmpty():
+        again = F.broadcast(again) if is_small(again, most=BROADCAST_IDS) else again
+        repeated = rows.join(again, same("_again_id", "_again"), "left_semi").groupBy("_id", "_print").agg(F.first("_in").alias("_in"))
+        rows = rows.join(again, same("_again_id", "_again"), "left_anti").select("_in").unionByName(repeated.select("_in"))
+    return unpacked(rows, docs.columns)
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
