@@ -1,11 +1,15 @@
 """Quality classifier by co-training of a text view and a metadata view.
 
-Both views start from the labelled sample. In each round either view labels the documents of an unlabelled pool that it
-is sure of and hands them to the other view's training set. In the end each view is calibrated on labelled rows that no
-view was trained on, the calibrated views are combined there too, and the result scores every document.
-
-Fitting takes bounded samples: at most SAMPLE labelled documents and about POOL unlabelled ones, by hash of the id. Only
-their features (some 60 numbers a document) reach the driver. Scoring reads all texts whole, in the tasks.
+Text view: shares of sign classes, figures of the words, hashed words and word pairs. Metadata view: language, source,
+length. Both start from the labelled sample. In each round every document outside that sample is scored by both views;
+those that one view is sure of are handed to the other view's training set, as means of the documents of one label and
+cell (a hash), weighted by their numbers: sums are built in the tasks, so a round covers all documents whatever their
+number and only 2 x 2 x CELLS mean rows come to the driver. In the end each view is calibrated on labelled rows that no
+view was trained on (they are in no round either), the calibrated views are combined there too, and the result scores
+every document.
+
+Bound: at most SAMPLE labelled documents, by hash of the id; their features (some 400 numbers a document) reach the
+driver. Everything else reads all documents, texts whole, in the tasks.
 """
 
 from __future__ import annotations
@@ -19,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import documents, unpacked
-from quarterlode.llm.shingles import SPACE, text_slices, words
+from quarterlode.llm.common import documents, packed, small_batches, unpacked
+from quarterlode.llm.shingles import PLACE, SPACE, U, mixed, text_slices, words
 
-SAMPLE, POOL = 20_000, 20_000
-ROUNDS, SURE, SHARE = 4, 0.97, 0.1  # of the pool that a view may label in a round
-PSEUDO_WEIGHT = 0.3
+SAMPLE = 20_000
+ROUNDS, SURE, CELLS = 2, 0.97, 32
+PSEUDO_WEIGHT = 0.3  # of all pseudo-labels of a class, against its labelled rows
+WORD_SLOTS, PAIR_SLOTS = 128, 128
 KEEP = 0.5
 MARKS = b"|*#$%&!?.,;:@/<>[]{}()\"'-_=+~^\\"
 LANG_SLOTS, SOURCE_SLOTS, SIZE_SLOTS = 16, 32, 24
@@ -41,12 +46,13 @@ def _class_table() -> np.ndarray:
 
 
 CLASSES = _class_table()
-N_TEXT = 7 + len(MARKS) + 8
+FIGURES = 7 + len(MARKS) + 8
+N_TEXT = FIGURES + WORD_SLOTS + PAIR_SLOTS
 
 
 def text_view(column: pa.Array) -> np.ndarray:
     """A row of N_TEXT numbers for each text: shares of sign classes and figures of its words."""
-    out = np.zeros((len(column), N_TEXT))
+    out = np.zeros((len(column), N_TEXT), np.float32)
     for at, raw, offsets in text_slices(column):
         n = len(offsets) - 1
         of = np.repeat(np.arange(n), np.diff(offsets))
@@ -56,15 +62,25 @@ def text_view(column: pa.Array) -> np.ndarray:
         rows = out[at : at + n]
         rows[:, :kinds] = np.sqrt(counts / size[:, None])
         w, before = words(raw, offsets)
+        owner = np.repeat(np.arange(n), np.diff(before))
+        rows[:, FIGURES : FIGURES + WORD_SLOTS] = slot_shares(w, owner, n, WORD_SLOTS)
+        inner = owner[1:] == owner[:-1]
+        rows[:, FIGURES + WORD_SLOTS :] = slot_shares((w[:-1] * PLACE[0] + w[1:] * PLACE[1])[inner], owner[1:][inner], n, PAIR_SLOTS)
         for i, (a, b) in enumerate(zip(before[:-1].tolist(), before[1:].tolist(), strict=True)):
             if b > a:
                 own = w[a:b]
                 _, times = np.unique(own, return_counts=True)
                 m = b - a
-                rows[i, kinds:] = (np.log1p(m), len(times) / m, times.max() / m, (own[1:] == own[:-1]).sum() / m, (own[2:] == own[:-2]).sum() / m, np.log1p(size[i] / m), len(times) / m**0.8, (times == 1).sum() / len(times))
+                rows[i, kinds:FIGURES] = (np.log1p(m), len(times) / m, times.max() / m, (own[1:] == own[:-1]).sum() / m, (own[2:] == own[:-2]).sum() / m, np.log1p(size[i] / m), len(times) / m**0.8, (times == 1).sum() / len(times))
     return out
 
 
+def slot_shares(h: np.ndarray, of: np.ndarray, n: int, slots: int) -> np.ndarray:
+    """Roots of the shares of each text's hashes that fall into each of `slots`."""
+    counts = np.bincount(of * slots + (mixed(h, 23) % U(slots)).astype(np.int64), minlength=n * slots).reshape(n, slots)
+    return np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
+
+
 def metadata_view(lang: list, source: list, n_chars: list) -> np.ndarray:
     out = np.zeros((len(lang), LANG_SLOTS + SOURCE_SLOTS + SIZE_SLOTS + 1))
     slot = lambda v, n: 0 if v is None else 1 + zlib.crc32(str(v).encode()) % (n - 1)
@@ -86,14 +102,15 @@ class Logistic:
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1.0, steps: int = 25) -> Logistic:
         """Weighted ridge logistic regression by Newton steps."""
-        mean, scale = x.mean(0), x.std(0) + 1e-9
+        x = x.astype(np.float64, copy=False)
+        mean, scale = x.mean(0), x.std(0) + 1e-6
         z = np.c_[(x - mean) / scale, np.ones(len(x))]
         b, penalty = np.zeros(z.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
         for _ in range(steps):
             p = sigmoid(z @ b)
             step = np.linalg.solve((z * (w * p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), z.T @ (w * (y - p)) - penalty * b)
             b = b + step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-4:
                 break
         return cls(mean, scale, b)
 
@@ -117,73 +134,117 @@ class Model:
     def score(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
         if self.views is None:
             return np.full(len(text), self.prior)
-        return sigmoid(self.combined.logit(self._logits((text, meta))))
+        return sigmoid(self.combined.logit(self.logits((text, meta))))
 
-    def _logits(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def logits(self, views: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         return np.stack([c.logit(v.logit(x)[:, None]) for c, v, x in zip(self.calibrated, self.views, views, strict=True)], 1)
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, held: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> Model:
-    """held: labelled rows set aside for calibration."""
-    prior = (y.sum() + 1) / (len(y) + 2)
-    train = ~held
-    if min((y[train] == c).sum() for c in (0, 1)) < 2 or min((y[held] == c).sum() for c in (0, 1)) < 1:
-        return Model(float(prior))
-    own, views = (text, meta), [None, None]
-    given: list[dict[int, float]] = [{}, {}]  # by view: pool row -> pseudo-label
-    for _ in range(rounds + 1):
-        for v in (0, 1):
-            rows = np.array(list(given[v]), int)
-            x = np.r_[own[v][train], pool[v][rows]]
-            views[v] = Logistic.fit(x, np.r_[y[train], np.array([given[v][r] for r in rows])], np.r_[np.ones(train.sum()), np.full(len(rows), PSEUDO_WEIGHT)])
-        if not len(pool[0]):
-            break
-        for v in (0, 1):
-            p = sigmoid(views[v].logit(pool[v]))
-            for label, sure in ((1.0, p), (0.0, 1 - p)):
-                most = int(SHARE * len(p) * (prior if label else 1 - prior)) + 1
-                for r in np.argsort(-sure, kind="stable")[:most]:
-                    if sure[r] >= SURE:
-                        given[1 - v].setdefault(int(r), label)
-    model = Model(float(prior), tuple(views))
-    ones = np.ones(held.sum())
+def start(own: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray) -> Model:
+    """The model of the labelled rows alone. held: rows set aside for calibration."""
+    prior = float((y.sum() + 1) / (len(y) + 2))
+    if min((y[~held] == c).sum() for c in (0, 1)) < 2 or min((y[held] == c).sum() for c in (0, 1)) < 1:
+        return Model(prior)
+    return calibrated(Model(prior), own, y, held, [None, None])
+
+
+def calibrated(model: Model, own: tuple[np.ndarray, np.ndarray], y: np.ndarray, held: np.ndarray, given: list) -> Model:
+    """model with views fitted to the labelled rows and to what each was given (mean rows, labels, weights), calibrated and combined on `held`."""
+    views = []
+    for x, more in zip(own, given, strict=True):
+        x, labels, weights = x[~held], y[~held], np.ones((~held).sum())
+        if more is not None:
+            x, labels, weights = np.r_[x, more[0]], np.r_[labels, more[1]], np.r_[weights, more[2]]
+        views.append(Logistic.fit(x, labels, weights))
+    model.views, ones = tuple(views), np.ones(held.sum())
     model.calibrated = tuple(Logistic.fit(v.logit(x[held])[:, None], y[held], ones) for v, x in zip(views, own, strict=True))
-    model.combined = Logistic.fit(model._logits((text[held], meta[held])), y[held], ones)
+    model.combined = Logistic.fit(model.logits((own[0][held], own[1][held])), y[held], ones)
     return model
 
 
-def _features(rows: DataFrame) -> DataFrame:
-    """(doc_id, label, _text, lang, source, n_chars) -> (doc_id, label, text_view, meta_view)."""
+SOURCES = ("lang", "source", "n_chars")
+
+
+def _columns(docs: DataFrame, text: str) -> list:
+    """_text and the metadata; a column that docs has not is null."""
+    kinds = {"lang": "string", "source": "string", "n_chars": "long"}
+    return [F.col(f"`{text}`").alias("_text"), *((F.col(c) if c in docs.columns else F.lit(None)).cast(kinds[c]).alias(f"_{c}") for c in SOURCES)]
+
+
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return text_view(batch.column("_text")), metadata_view(*(batch.column(f"_{c}").to_pylist() for c in SOURCES))
+
+
+def _labelled(docs: DataFrame, known: DataFrame, text: str) -> tuple[np.ndarray, ...]:
+    """Hashes, labels and both views of the labelled documents; of a repeated doc_id one row (the least text) counts."""
+    rows = docs.select("doc_id", *_columns(docs, text)).join(F.broadcast(known), "doc_id").groupBy("doc_id", "h", "label").agg(F.min(F.struct("_text", *(f"_{c}" for c in SOURCES))).alias("r"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = text_view(batch.column("_text"))
-            meta = metadata_view(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-            lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (text, meta)]
+            lists = [pa.array(list(x), pa.list_(pa.float32())) for x in _views(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("label"), *lists], names=["h", "label", "text_view", "meta_view"])
 
-    return rows.mapInArrow(run, "h long, label double, text_view array<double>, meta_view array<double>")
+    found = rows.select("h", "label", "r.*").mapInArrow(run, "h long, label double, text_view array<float>, meta_view array<float>").toArrow()
+    views = [found[c].combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1) for c in ("text_view", "meta_view")] if found.num_rows else [np.zeros((0, 1))] * 2
+    h = found["h"].to_numpy()
+    order = np.argsort(h, kind="stable")
+    return h[order], found["label"].to_numpy()[order], *(v[order] for v in views)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", sample: int = SAMPLE, pool: int = POOL, rounds: int = ROUNDS) -> Model:
-    """labels: (doc_id, label 0 or 1 or null); of several labels of a document the mean, from 0.5 up good."""
-    h = F.xxhash64("doc_id", F.lit(17))
+def _round(docs: DataFrame, known: DataFrame, model: Model, text: str) -> list:
+    """For each view the mean rows, labels and numbers of the documents that the other view is sure of.
+
+    All documents but the labelled sample are scored; equal texts with equal metadata fall into one cell."""
+    rows = docs.select("doc_id", *_columns(docs, text)).join(F.broadcast(known.select("doc_id")), "doc_id", "left_anti").withColumn("_cell", F.pmod(F.xxhash64("_text"), F.lit(CELLS)).cast("int")).drop("doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            own, cell = _views(batch), batch.column("_cell").to_numpy()
+            logits = model.logits(own)
+            for v in (0, 1):
+                p = sigmoid(logits[:, 1 - v])
+                for label, sure in ((1, p >= SURE), (0, p <= 1 - SURE)):
+                    for c in np.unique(cell[sure]).tolist():
+                        x = own[v][sure & (cell == c)].astype(np.float64)
+                        sums[v, label, c] = sums.get((v, label, c), 0.0) + np.r_[len(x), x.sum(0)]
+        if sums:
+            keys = [pa.array([k[i] for k in sums], pa.int32()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(list(sums.values()), pa.list_(pa.float64()))], names=["view", "label", "cell", "sums"])
+
+    parts = small_batches(rows).mapInArrow(run, "view int, label int, cell int, sums array<double>")
+    cells = parts.select("view", "label", "cell", F.posexplode("sums").alias("i", "x")).groupBy("view", "label", "cell", "i").agg(F.sum("x").alias("x"))
+    found = sorted(cells.groupBy("view", "label", "cell").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda y: y["x"]).alias("sums")).collect())  # at most 2 x 2 x CELLS rows
+    given: list = [None, None]
+    for v in (0, 1):
+        mine = [r for r in found if r["view"] == v]
+        if mine:
+            sums = np.array([r["sums"] for r in mine])
+            given[v] = sums[:, 1:] / sums[:, :1], np.array([float(r["label"]) for r in mine]), sums[:, 0]
+    return given
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", label: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
+    """labels: (doc_id, label 0 or 1 or null); of several labels of a document the mean, from 0.5 up good.
+
+    Documents of null doc_id have no label; of rows that repeat a labelled doc_id one counts as labelled. Without labels
+    of both classes the model gives every document its prior. Extra columns are ignored, missing metadata are null."""
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("label"))
-    known = known.orderBy(h, "doc_id").limit(sample)  # a proven bound: at most `sample` rows of two numbers are broadcast
-    src = docs.select("doc_id", F.col(text).alias("_text"), *(F.col(c) if c in docs.columns else F.lit(None).alias(c) for c in ("lang", "source", "n_chars")))
-    good = src.join(F.broadcast(known), "doc_id").withColumn("h", h)
-    share = pool / max(1, docs.count())
-    unknown = src.where(F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1_000_000)) < int(share * 1_000_000) + 1).withColumn("label", F.lit(None).cast("double")).withColumn("h", h)
-    columns = ["doc_id", "h", "label", "_text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars")]
-    rows = _features(good.select(*columns).unionByName(unknown.select(*columns))).toArrow()
-    if not rows.num_rows:
-        return Model(0.5)
-    y = np.array(rows["label"].to_pylist(), float)
-    views = [np.array(rows[c].to_pylist(), float) for c in ("text_view", "meta_view")]
-    order = np.lexsort((views[0].sum(1), np.nan_to_num(y, nan=2), rows["h"].to_numpy()))
-    y, hashes, views = y[order], rows["h"].to_numpy()[order], [v[order] for v in views]
-    has = ~np.isnan(y)
-    return cotrain(views[0][has], views[1][has], y[has], hashes[has] % 4 == 0, (views[0][~has], views[1][~has]), rounds)
+    h = F.xxhash64("doc_id", F.lit(17))
+    known = known.withColumn("h", h).orderBy("h", "doc_id").limit(sample)  # a proven bound: at most `sample` rows of three numbers are broadcast
+    small_batches(docs)
+    hashes, y, *own = _labelled(docs, known, text)
+    held = hashes % 4 == 0
+    model = start(tuple(own), y, held)
+    for _ in range(rounds if model.views is not None else 0):
+        given = _round(docs, known, model, text)
+        for more in given:
+            if more is not None:
+                for c in (0, 1):  # whatever their number, pseudo-labels of a class weigh this share of its labelled rows
+                    of = more[1] == c
+                    more[2][of] *= PSEUDO_WEIGHT * (y[~held] == c).sum() / max(1.0, more[2][of].sum())
+        model = calibrated(model, tuple(own), y, held, given)
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", keep: float = KEEP) -> DataFrame:
@@ -191,18 +252,21 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", keep: float = KE
 
     Null texts and texts without words: score 0, not kept. A model without labels of both classes gives every other
     document its prior and keeps it. Missing or null metadata have slots of their own. Equal rows, equal scores."""
-    get = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_in"), F.col(text).alias("_text"), get("lang", "string").alias("_lang"), get("source", "string").alias("_source"), get("n_chars", "long").alias("_n_chars"))
+    rows = packed(docs)
+    at = {c: docs.columns.index(c) for c in (text, *SOURCES) if c in docs.columns}
+
+    def column(batch: pa.RecordBatch, c: str, kind: pa.DataType) -> pa.Array:
+        return batch.column(0).field(at[c]).cast(kind) if c in at else pa.nulls(batch.num_rows, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            features = text_view(batch.column("_text"))
-            p = model.score(features, metadata_view(*(batch.column(c).to_pylist() for c in ("_lang", "_source", "_n_chars"))))
+            features = text_view(column(batch, text, pa.string()))
+            p = model.score(features, metadata_view(*(column(batch, c, k).to_pylist() for c, k in zip(SOURCES, (pa.string(), pa.string(), pa.int64()), strict=True))))
             filled = features[:, 7 + len(MARKS)] > 0
             p = np.where(filled, p, 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column("_in"), pa.array(p), pa.array(filled & ((p >= keep) | (model.views is None)))], names=["_in", "_score", "_kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(filled & ((p >= keep) | (model.views is None)))], names=["_in", "_score", "_kept"])
 
-    done = rows.mapInArrow(run, f"_in {rows.schema['_in'].dataType.simpleString()}, _score double, _kept boolean")
+    done = small_batches(rows).mapInArrow(run, f"_in {rows.schema['_in'].dataType.simpleString()}, _score double, _kept boolean")
     return unpacked(done, docs.columns, score=F.col("_score"), kept=F.col("_kept"))
 
 
