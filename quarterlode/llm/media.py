@@ -7,6 +7,7 @@ last corrects the declared type; valid media further inside are carved out.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import struct
 import zlib
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import documents
+from quarterlode.llm.common import documents, small_batches
 
 # Fixed values of the public formats: magic bytes.
 MAGIC = {
@@ -35,11 +36,43 @@ MAGIC = {
 UNKNOWN = "application/octet-stream"
 
 
-def png_length(b: memoryview, at: int) -> int | None:
-    i, first = at + 8, True
+class Payload:
+    """Bytes with what validators of several hits share, so that a payload full of signatures is walked once."""
+
+    def __init__(self, content: bytes):
+        self.content, self.view = content, memoryview(content)
+        self.found: dict[bytes, list[int]] = {}
+        self.gif_ends: dict[int, int | None] = {}
+
+    def places(self, token: bytes) -> list[int]:
+        """Where a token stands, in order."""
+        if token not in self.found:
+            out, at = [], self.content.find(token)
+            while at >= 0:
+                out.append(at)
+                at = self.content.find(token, at + 1)
+            self.found[token] = out
+        return self.found[token]
+
+    def gif_blocks(self, i: int) -> int | None:
+        """End of the data blocks that begin at i."""
+        path, b = [], self.view
+        while i < len(b) and i not in self.gif_ends:
+            path.append(i)
+            if b[i] == 0:
+                self.gif_ends[i] = i + 1
+                break
+            i += 1 + b[i]
+        end = self.gif_ends.get(i)
+        self.gif_ends.update(dict.fromkeys(path, end))
+        return end
+
+
+def png_length(p: Payload, at: int) -> int | None:
+    b, i, first = p.view, at + 8, True
     while i + 12 <= len(b):
         n, kind = int.from_bytes(b[i : i + 4], "big"), bytes(b[i + 4 : i + 8])
-        if (first and kind != b"IHDR") or i + 12 + n > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != int.from_bytes(b[i + 8 + n : i + 12 + n], "big"):
+        if (first and (kind != b"IHDR" or n != 13)) or not kind.isalpha() or i + 12 + n > len(b) or zlib.crc32(b[i + 4 : i + 8 + n]) != int.from_bytes(b[i + 8 + n : i + 12 + n], "big"):
             return None
         i, first = i + 12 + n, False
         if kind == b"IEND":
@@ -47,8 +80,8 @@ def png_length(b: memoryview, at: int) -> int | None:
     return None
 
 
-def jpeg_length(b: memoryview, at: int) -> int | None:
-    i = at + 2
+def jpeg_length(p: Payload, at: int) -> int | None:
+    b, i = p.view, at + 2
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind = b[i + 1]
         if kind == 0xD9:
@@ -58,41 +91,34 @@ def jpeg_length(b: memoryview, at: int) -> int | None:
             return None
         i += 2 + n
         if kind == 0xDA:  # entropy-coded data up to the next true marker
-            raw = bytes(b[i:])
-            j = raw.find(b"\xff")
-            while j >= 0 and j + 1 < len(raw) and (raw[j + 1] == 0 or 0xD0 <= raw[j + 1] <= 0xD7):
-                j = raw.find(b"\xff", j + 2)
-            if j < 0 or j + 1 >= len(raw):
+            j = p.content.find(b"\xff", i)
+            while j >= 0 and j + 1 < len(b) and (b[j + 1] == 0 or 0xD0 <= b[j + 1] <= 0xD7):
+                j = p.content.find(b"\xff", j + 2)
+            if j < 0 or j + 1 >= len(b):
                 return None
-            i += j
+            i = j
     return i + 2 - at if i + 2 <= len(b) and bytes(b[i : i + 2]) == b"\xff\xd9" else None
 
 
-def gif_length(b: memoryview, at: int) -> int | None:
+def gif_length(p: Payload, at: int) -> int | None:
+    b = p.view
     if at + 13 > len(b):
         return None
     i = at + 13 + (3 << ((b[at + 10] & 7) + 1) if b[at + 10] & 0x80 else 0)
-
-    def blocks(i: int) -> int | None:
-        while i < len(b):
-            if b[i] == 0:
-                return i + 1
-            i += 1 + b[i]
-        return None
-
     while i is not None and i < len(b):
         if b[i] == 0x3B:
             return i + 1 - at
         if b[i] == 0x21:
-            i = blocks(i + 2)
+            i = p.gif_blocks(i + 2)
         elif b[i] == 0x2C and i + 11 <= len(b):
-            i = blocks(i + 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0))
+            i = p.gif_blocks(i + 11 + (3 << ((b[i + 9] & 7) + 1) if b[i + 9] & 0x80 else 0))
         else:
             return None
     return None
 
 
-def bmp_length(b: memoryview, at: int) -> int | None:
+def bmp_length(p: Payload, at: int) -> int | None:
+    b = p.view
     if at + 54 > len(b):
         return None
     size, zero, start, header, width, height, planes, bits, packed = struct.unpack_from("<IIIIiiHHI", b, at + 2)
@@ -101,51 +127,54 @@ def bmp_length(b: memoryview, at: int) -> int | None:
     return size if good else None
 
 
-def riff_length(b: memoryview, at: int) -> int | None:
+def riff_length(p: Payload, at: int) -> int | None:
+    b = p.view
     if at + 12 > len(b):
         return None
-    end = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little")
-    i, seen = at + 12, []
-    if end > len(b):
+    end, need = at + 8 + int.from_bytes(b[at + 4 : at + 8], "little"), {b"WAVE": {b"fmt ", b"data"}, b"WEBP": set()}.get(bytes(b[at + 8 : at + 12]))
+    i, seen = at + 12, set()
+    if need is None or end > len(b):
         return None
     while i + 8 <= end:
         n = int.from_bytes(b[i + 4 : i + 8], "little")
-        seen.append(bytes(b[i : i + 4]))
+        seen.add(bytes(b[i : i + 4]))
         i += 8 + n + n % 2
-    need = {b"WAVE": {b"fmt ", b"data"}, b"WEBP": set()}.get(bytes(b[at + 8 : at + 12]))
-    return end - at if need is not None and i == end and need <= {*seen} and seen else None
+    return end - at if i == end and need <= seen and seen else None
 
 
-def pgm_length(b: memoryview, at: int) -> int | None:
-    parts = bytes(b[at : at + 64]).split(b"\n", 3)
+def pgm_length(p: Payload, at: int) -> int | None:
+    parts = p.content[at : at + 64].split(b"\n", 3)
     size = parts[1].split(b" ") if len(parts) == 4 else []
     if len(size) != 2 or not (size[0].isdigit() and size[1].isdigit()) or parts[2] != b"255":
         return None
     n = sum(len(x) + 1 for x in parts[:3]) + int(size[0]) * int(size[1])
-    return n if at + n <= len(b) else None
+    return n if at + n <= len(p.content) else None
 
 
-def pdf_length(b: memoryview, at: int) -> int | None:
-    raw = bytes(b[at:])
-    end = raw.rfind(b"%%EOF")
-    return end + 5 + (raw[end + 5 : end + 6] == b"\n") if end > 0 and 0 < raw.find(b"startxref") < end else None
+def pdf_length(p: Payload, at: int) -> int | None:
+    ends, tables = p.places(b"%%EOF"), p.places(b"startxref")
+    table = bisect.bisect_right(tables, at)
+    if not ends or table == len(tables) or not tables[table] < ends[-1]:
+        return None
+    end = ends[-1] + 5
+    return end + (p.content[end : end + 1] == b"\n") - at
 
 
-def ogg_length(b: memoryview, at: int) -> int | None:
-    i, last = at, False
+def ogg_length(p: Payload, at: int) -> int | None:
+    b, i, last = p.view, at, False
     while i + 27 <= len(b) and bytes(b[i : i + 5]) == b"OggS\0" and not last:
         n, last = b[i + 26], bool(b[i + 5] & 4)
         i += 27 + n + sum(b[i + 27 : i + 27 + n])
     return i - at if last and i <= len(b) else None
 
 
-def zip_length(b: memoryview, at: int) -> int | None:
-    raw = bytes(b[at:])
-    end = raw.rfind(b"PK\x05\x06")
-    if end < 0 or end + 22 > len(raw):
+def zip_length(p: Payload, at: int) -> int | None:
+    ends = p.places(b"PK\x05\x06")
+    if not ends or ends[-1] < at or ends[-1] + 22 > len(p.content):
         return None
-    size, start, note = struct.unpack_from("<IIH", raw, end + 12)
-    return end + 22 + note if start + size == end and end + 22 + note <= len(raw) else None
+    end = ends[-1]
+    size, start, note = struct.unpack_from("<IIH", p.content, end + 12)
+    return end + 22 + note - at if start + size == end - at and end + 22 + note <= len(p.content) else None
 
 
 VALIDATORS = {"image/png": png_length, "image/jpeg": jpeg_length, "image/gif": gif_length, "image/bmp": bmp_length, "riff": riff_length, "image/x-portable-graymap": pgm_length, "application/pdf": pdf_length, "audio/ogg": ogg_length, "application/zip": zip_length}
@@ -164,10 +193,10 @@ def automaton():
 
 def scan(content: bytes) -> list[tuple[str, int, int]]:
     """Valid media as (type, start, length), outermost first from the left; none inside one that came before."""
-    view, out, free = memoryview(content), [], 0
+    payload, out, free = Payload(content), [], 0
     for end, (n, kind) in automaton().iter(content.decode("latin-1")):
         start = end + 1 - n
-        if start >= free and (length := VALIDATORS[kind](view, start)):
+        if start >= free and (length := VALIDATORS[kind](payload, start)):
             if kind == "riff":
                 kind = "audio/wav" if content[start + 8 : start + 12] == b"WAVE" else "image/webp"
             out.append((kind, start, length))
@@ -254,7 +283,12 @@ def unpack(kind: str, media: bytes) -> bytes:
 def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
     """Stores each text as 8-bit samples of a medium: columns n_bytes, declared ('text/plain'), content.
 
-    The format goes by the CRC of the text, so equal texts are stored alike. Null text counts as empty (64 zero bytes)."""
+    The format goes by the CRC of the text, so equal texts are stored alike. Null text counts as empty (64 zero bytes).
+    Existing columns of the new names are replaced, others stay; rows are independent, so ties and repeated rows give
+    equal values; a text of any length is one payload. Empty table: empty result."""
+    made = ["n_bytes", "declared", "content"]
+    docs = docs.drop(*(c for c in made if c != text)) if text not in made else docs.withColumnRenamed(text, "_media_text").drop(*made)
+    text = "_media_text" if text in made else text
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +297,11 @@ def text_media(docs: DataFrame, text: str = "text") -> DataFrame:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 raw = [(t or "").encode() for t in batch.column(text).to_pylist()]
-                made = [PACK[kinds[zlib.crc32(r) % len(kinds)]](r + b"\0" * (-len(r) % 64 if r else 64)) for r in raw]
+                stored = [PACK[kinds[zlib.crc32(r) % len(kinds)]](r + b"\0" * (-len(r) % 64 if r else 64)) for r in raw]
                 rest = batch.drop_columns([text])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([len(r) for r in raw], pa.int64()), pa.array(["text/plain"] * len(raw)), pa.array(made, pa.binary())], names=[*rest.schema.names, "n_bytes", "declared", "content"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array([len(r) for r in raw], pa.int64()), pa.array(["text/plain"] * len(raw)), pa.array(stored, pa.binary())], names=[*rest.schema.names, *made])
 
-    return docs.mapInArrow(run, ", ".join([*fields, "n_bytes long, declared string, content binary"]))
+    return small_batches(docs).mapInArrow(run, ", ".join([*fields, "n_bytes long, declared string, content binary"]))
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
