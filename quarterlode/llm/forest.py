@@ -3,8 +3,9 @@
 Every tree splits its nodes again and again on random projections, where few rows stand; rows nearer to the split than
 a share of the distance that linked rows may have go to both sides (spill overlap), until a node is a leaf. A node too
 tight to be parted that way (a dense group) stays a leaf of any size, compared in blocks: no group is cut through again
-and again. Rows that share a leaf in any tree are compared exactly, in double precision. A pair is counted only in the first leaf that it shares, which each row's list of leaves tells, so no
-pair ever leaves its task: leaves give counts of links by row and a spanning set of links.
+and again. Rows that share a leaf in any tree are compared exactly, in double precision. A pair is counted only in the
+first leaf that it shares, which each row's list of leaves tells, so no pair ever leaves its task: leaves give counts of
+links by row and a spanning set of links.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from quarterlode.llm.common import components, freeze
 
-TREES = 6
-LEAF_ROWS = 1_000
+TREES = 4
+LEAF_ROWS = 4_000
+CHUNK = 500  # rows of a leaf that are compared with all of it at once
+SPARSE_PAIRS = 200_000
 SPILL = 0.08  # of a node's rows at least, on either side of a split
 REACH = 0.67  # of the largest distance of linked unit vectors, on either side of a split at least
 SIDE, WORK = 0.75, 0.9  # a split is made if no side keeps more of the rows, nor both more of the comparisons
@@ -48,9 +51,9 @@ def project(nodes: DataFrame, trees: int, depth: int, count: int, seed: int) ->
                 axes = [np.random.default_rng([seed, size, t, depth]).standard_normal((size, count)) for t in range(trees)]
                 own = ids.take(pa.array(rows))
                 for t, a in enumerate(axes):
-                    yield pa.RecordBatch.from_arrays([own, pa.array([t] * len(rows), pa.int32()), pa.array([size] * len(rows), pa.int64()), pa.array(list(x @ a), pa.list_(pa.float64()))], names=["node", "tree", "size", "p"])
+                    yield pa.RecordBatch.from_arrays([own, pa.array([t] * len(rows), pa.int32()), pa.array([size] * len(rows), pa.int64()), pa.array(list((x @ a).astype(np.float32)), pa.list_(pa.float32()))], names=["node", "tree", "size", "p"])
 
-    return nodes.select("node", "v").mapInArrow(run, "node long, tree int, size long, p array<double>")
+    return nodes.select("node", "v").mapInArrow(run, "node long, tree int, size long, p array<float>")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -86,7 +89,7 @@ def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sp
     done, depth = None, 0
     shares, reach = [i / 20 for i in range(1, 20)], REACH * math.sqrt(max(0.0, 2 - 2 * threshold))
     while True:
-        x = F.element_at("p", depth % levels + 1)
+        x = F.element_at("p", 1)
         stats = open_.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("failed").alias("tried"), F.percentile_approx(x, shares, 2000).alias("q"))
         stats = stats.withColumn("cut", F.when(F.col("rows") > leaf_rows, cuts(F.col("q"), spill, reach)))
         stats = freeze(stats.select("leaf", "rows", "cut.low", "cut.high", ((F.col("rows") > leaf_rows) & (F.col("cut").isNotNull() | (F.col("tried") + 1 < TRIES))).alias("open")))
@@ -98,37 +101,66 @@ def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sp
         # A node without a split on this axis goes on to the next one as it is.
         stays = F.col("low").isNull()
         sides = F.array(F.when(stays, F.col("leaf")), F.when(x <= F.col("high"), F.xxhash64("leaf", F.lit(0))), F.when(x >= F.col("low"), F.xxhash64("leaf", F.lit(1))))
-        split = here.where("open").withColumn("failed", F.when(stays, F.col("failed") + 1).otherwise(0)).withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "low", "high", "open")
+        split = here.where("open").withColumn("failed", F.when(stays, F.col("failed") + 1).otherwise(0)).withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "low", "high", "open").withColumn("p", F.slice("p", 2, levels))
         depth += 1
         if depth % levels == 0:  # new random directions for the next levels
             split = split.drop("p").join(project(nodes, trees, depth, levels, seed).drop("size"), ["node", "tree"])
         open_ = freeze(split)
 
 
+def seen_before(one: np.ndarray, two: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
+    """Whether the rows of each pair share one of the leaves that come before this one."""
+    sets: dict[int, frozenset] = {}
+    for i in np.unique(np.r_[one, two]).tolist():
+        sets[i] = frozenset(before[i].tolist())
+    return np.array([not sets[i].isdisjoint(sets[j]) for i, j in zip(one.tolist(), two.tolist(), strict=True)], bool)
+
+
 def compare(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links inside one leaf (or one pair of its blocks) of rows that share no leaf of a smaller id.
 
-    Returns the number of linked rows by node, and a link of each node to one of its connected group."""
-    x, n, leaf = unit(np.stack(batch["v"].to_numpy()).astype(np.float64)), len(batch), batch["leaf"].iloc[0]
+    Rows are taken CHUNK at a time against all others. Returns the number of linked rows by node, and a link of each
+    node to one of its connected group."""
+    x, n = unit(np.stack(batch["v"].to_numpy()).astype(np.float64)), len(batch)
     ids, copies, block = batch["node"].to_numpy(), batch["copies"].to_numpy(), batch["block"].to_numpy()
-    linked = x @ x.T >= threshold
-    np.fill_diagonal(linked, False)
-    if batch["one"].iloc[0] != batch["two"].iloc[0]:
-        linked &= block[:, None] != block[None, :]
-    before = [np.asarray(r)[np.asarray(r) < leaf] for r in batch["leaves"]]
-    known, column = np.unique(np.concatenate(before), return_inverse=True)
-    member = np.zeros((n, len(known)), np.float32)
-    member[np.repeat(np.arange(n), [len(b) for b in before]), column] = 1
-    linked &= member @ member.T == 0
-    label = np.arange(n)
-    while True:
-        least = np.minimum(label, np.where(linked, label[None, :], n).min(1, initial=n))
-        least = least[least]
-        if (least == label).all():
-            break
-        label = least
-    some = np.flatnonzero(linked.any(1))
-    return pd.DataFrame({"node": ids[some], "links": (linked[some] @ copies).astype(np.int64), "other": ids[label[some]]})
+    before = [np.asarray(r) for r in batch["before"]]
+    apart = batch["one"].iloc[0] != batch["two"].iloc[0]
+    column = None
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    for at in range(0, n, CHUNK):
+        linked = x[at : at + CHUNK] @ x.T >= threshold
+        linked[np.arange(len(linked)), np.arange(at, at + len(linked))] = False
+        if apart:
+            linked &= block[at : at + CHUNK, None] != block[None, :]
+        one, two = np.nonzero(linked)
+        if len(one) > SPARSE_PAIRS:  # a dense group: its rows share few leaves
+            if column is None:
+                flat = np.concatenate(before)
+                owner = np.repeat(np.arange(n), [len(b) for b in before])
+                _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+                column, owner = column[times[column] > 1], owner[times[column] > 1]
+                _, column = np.unique(column, return_inverse=True)
+            for low in range(0, int(column.max()) + 1 if len(column) else 0, 4_096):
+                here = (column >= low) & (column < low + 4_096)
+                member = np.zeros((n, 4_096), np.float32)
+                member[owner[here], column[here] - low] = 1
+                linked &= member[at : at + CHUNK] @ member.T == 0
+            one, two = np.nonzero(linked)
+        elif len(one):
+            fresh = ~seen_before(one + at, two, before)
+            one, two = one[fresh], two[fresh]
+        one = one + at
+        np.add.at(links, one, copies[two])
+        while len(one):  # the smallest label of a connected group, over the links of this chunk
+            least = label.copy()
+            np.minimum.at(least, one, label[two])
+            np.minimum.at(least, two, label[one])
+            least = least[least]
+            if (least == label).all():
+                break
+            label = least
+    some = np.flatnonzero(links)
+    return pd.DataFrame({"node": ids[some], "links": links[some], "other": ids[label[some]]})
 
 
 def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, seed: int = 5) -> DataFrame:
@@ -140,18 +172,20 @@ def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "emb
     linked with each other and never expanded into pairs. component_id: the smallest vec_id reachable; a null vec_id
     counts for nothing in it. Empty table: empty result; other columns are ignored."""
     rows = df.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"))
-    good = rows.where(_is_usable(F.col("v"))).withColumn("v", F.col("v").cast("array<double>"))
-    top = F.aggregate("v", F.lit(0.0), lambda a, y: F.greatest(a, F.abs(y)))
-    good = good.withColumn("_m", top).withColumn("_s", F.transform("v", lambda y: y / F.col("_m")))
+    good = rows.where(_is_usable(F.col("v")))  # components keep their type: floats are half the bytes, and exact in double
+    top = F.aggregate("v", F.lit(0.0), lambda a, y: F.greatest(a, F.abs(y.cast("double"))))
+    good = good.withColumn("_m", top).withColumn("_s", F.transform("v", lambda y: y.cast("double") / F.col("_m")))
     good = good.withColumn("_n", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, y: a + y * y)))
     good = freeze(good.select("vec_id", "v", F.xxhash64(F.transform("_s", lambda y: F.round(y / F.col("_n"), 12) + 0.0)).alias("node")))
     nodes = freeze(good.groupBy("node").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id")))
     leaves = grow(nodes, trees=trees, leaf_rows=leaf_rows, spill=spill, threshold=threshold, seed=seed)
     mine = leaves.groupBy("node").agg(F.collect_set(F.struct("leaf", "rows")).alias("l"))
-    placed = nodes.join(mine, "node").select("node", "v", "copies", F.transform("l", lambda y: y["leaf"]).alias("leaves"), F.explode("l").alias("l"))
-    blocks = F.ceil(F.col("l.rows") / F.lit(float(leaf_rows))).cast("int")
-    placed = placed.where("l.rows > 1").select("node", "v", "copies", "leaves", F.col("l.leaf").alias("leaf"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "v", "copies", "leaves", "leaf", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
+    # Rows alone in a leaf need not go there. Each row takes along only the leaves before the one it goes to.
+    placed = nodes.join(mine, "node").select("node", "v", "copies", "l", F.explode("l").alias("leaf")).where("leaf.rows > 1")
+    blocks = F.ceil(F.col("leaf.rows") / F.lit(float(leaf_rows))).cast("int")
+    earlier = F.transform(F.filter("l", lambda y: (y["leaf"] < F.col("leaf.leaf")) & (y["rows"] > 1)), lambda y: y["leaf"])
+    placed = placed.select("node", "v", "copies", earlier.alias("before"), F.col("leaf.leaf").alias("leaf"), blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "v", "copies", "before", "leaf", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"))
     found = freeze(placed.groupBy("leaf", "one", "two").applyInPandas(lambda batch: compare(batch, threshold), "node long, links long, other long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
