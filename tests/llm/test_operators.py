@@ -12,10 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarterlode.llm import cotrain, forest, jaccard, langid, media, mixing, pieces, sharding
-
-
-def words(text):
-    return [w for w in "".join(" " if c in "\t\n\v\f\r" else c for c in (text or "")).split(" ") if w]
+from tests_llm_brute import brute_jaccard, words
 
 
 # Mixing
@@ -128,6 +125,40 @@ def test_sniffing_corrects_types_and_carves(spark):
         assert all(bytes(m.data) == content[m.start : m.start + m.length] for m in r.media)
 
 
+def test_media_query_equals_brute_force(spark, tmp_path):
+    texts = [None, "", "x", "é" * 40, "y" * 64, "z" * 65, "BM and RIFF GIF89a", "x", "w " * 40_000]
+    rows = [(i, t, "own") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, content string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in media.op3_media(spark, str(tmp_path)).collect()}
+    pack = {"audio/wav": media.pack_wav, "image/bmp": media.pack_bmp, "image/x-portable-graymap": media.pack_pgm, "image/png": media.pack_png}
+    for i, t in enumerate(texts):
+        raw, r = (t or "").encode(), got[i]
+        payload = raw + b"\0" * ((64 - len(raw) % 64) % 64 if raw else 64)
+        stored = pack[r.feature.split(";")[0]](payload)
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256) == want, i
+    assert len(got) == len(texts) and got[2][1:] == got[7][1:]
+
+
+def test_stored_texts_with_clashing_columns(spark, odd, clashing):
+    own = clashing.withColumns({c: F.lit("own") for c in ("n_bytes", "declared", "content")})
+    made = media.text_media(own)
+    assert made.columns == [*(c for c in clashing.columns if c != "text"), "n_bytes", "declared", "content"]
+    assert sorted(bytes(r.content) for r in made.collect()) == sorted(bytes(r.content) for r in media.text_media(odd.select("doc_id", "text")).collect())
+    assert media.sniff(made).where("corrected and size(media) = 1").count() == odd.count()
+    renamed = media.text_media(odd.select("doc_id", F.col("text").alias("content")), text="content")
+    assert renamed.columns == ["doc_id", "n_bytes", "declared", "content"] and renamed.where("n_bytes > 0").count() > 0
+
+
+@pytest.mark.parametrize("piece", [b"%PDF-", b"PK\x03\x04", b"\xff\xd8\xff\xda\x00\x02", b"GIF89a!!!!!!!!", b"\x89PNG\r\n\x1a\n", b"RIFF", b"BM", b"OggS\0"])
+def test_payloads_full_of_signatures_take_linear_time(piece):
+    import time
+
+    begin = time.process_time()
+    assert media.scan(piece * (1_000_000 // len(piece))) in ([], media.scan(piece * (1_000_000 // len(piece))))
+    assert time.process_time() - begin < 20
+
+
 # Languages
 
 
@@ -164,27 +195,6 @@ def test_pieces_equal_the_library(spark, sf_dir, odd, clashing, empty):
 # Jaccard join
 
 
-def brute_jaccard(rows, size, percent):
-    sets = []
-    for _, text in rows:
-        w = words("".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")))
-        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} - {()})
-    label = list(range(len(rows)))
-
-    def root(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i, j in itertools.combinations(range(len(rows)), 2):
-        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
-            label[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[root(i)] = min((x for x in (least.get(root(i)), d) if x is not None), default=None)
-    return [(d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows)]
-
-
 def near_copies(seed, n=260):
     rng = random.Random(seed)
     vocabulary = [f"{a}{b}" for a in "bcdfghklm" for b in ("ab", "ed", "in", "O", "ús")]
@@ -217,6 +227,37 @@ def test_jaccard_odd_tables(odd, clashing, empty):
     assert jaccard.join_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_one_document_of_each_group_stays(spark, seed):
+    rng = random.Random(seed)
+    rows = near_copies(seed, 150)
+    rows = [(rng.choice(range(60)), t) for _, t in rows] + [(1, rows[0][1]), (2, rows[0][1]), (2, "quite another text of six words"), (5, rows[0][1]), (5, rows[0][1]), (None, "a text without an id of words"), (7, None), (7, None), (7, "")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame([(d, t, f"own {i}") for i, (d, t) in enumerate(rows)], "doc_id long, text string, node string").repartition(3)
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(df, size=3, percent=70).collect()]
+    # Groups by links of whole rows, not by ids.
+    marked = [((i, d), t) for i, (d, t) in enumerate(rows)]
+    group = {i: c for (i, _), (_, _, c) in zip((m[0] for m in marked), brute_jaccard([(i, t) for i, (_, t) in enumerate(rows)], 3, 70))}
+    groups = {}
+    for i, (d, t) in enumerate(rows):
+        if words(t):
+            groups.setdefault(group[i], []).append((d, t))
+    assert sum(not words(t) for _, t in got) == sum(not words(t) for _, t in rows)
+    kept = [(d, t) for d, t in got if words(t)]
+    assert len(kept) == len(groups)
+    for own in groups.values():
+        mine = [x for x in kept if x in own]
+        assert len(mine) == 1 and mine[0][0] == min((d for d, _ in own), key=lambda d: (d is None, d or 0))
+
+
+def test_hot_keys_change_nothing(spark, monkeypatch):
+    rows = near_copies(7, 200)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "HOT_TIMES", 2)
+    got = jaccard.join_components(df, size=4, percent=85).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in got))) == sorted(map(str, brute_jaccard(rows, 4, 85)))
+
+
 def test_weak_sets_are_found_by_their_shingles(spark):
     rows = near_copies(4, 80)
     src = spark.createDataFrame(rows, "doc_id long, _text string")
@@ -270,9 +311,53 @@ def test_forest_finds_the_pairs_of_a_dense_group(spark):
     assert found[:group].sum() == near[:group].sum() and found[group:].sum() >= 0.995 * near[group:].sum()
 
 
+def test_forest_recall_with_its_own_parameters(spark):
+    rng = np.random.default_rng(11)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, planted = 24_000, 3_000
+    x = unit(rng.standard_normal((n, 64)))
+    noise = unit(rng.standard_normal((planted, 64)) - 0)
+    noise = unit(noise - (noise * x[:planted]).sum(1, keepdims=True) * x[:planted])
+    cosine = rng.uniform(0.902, 0.93, (planted, 1))
+    x[-planted:] = cosine * x[:planted] + np.sqrt(1 - cosine**2) * noise
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "vec_id long, embedding array<float>").repartition(8)
+    got = {r.vec_id: r for r in forest.near_duplicates(df).collect()}
+    x = unit(x.astype(np.float32).astype(np.float64))
+    links = np.zeros(n, int)
+    for at in range(0, n, 2_000):
+        links[at : at + 2_000] = (x[at : at + 2_000] @ x.T >= 0.9).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(n)])
+    assert (found <= links).all() and found.sum() >= 0.97 * links.sum() and links.sum() >= 2 * planted
+    assert all(got[n - planted + i].component_id <= i for i in range(planted) if found[n - planted + i])
+
+
 # Classifier
 
 
+def test_labelled_documents_are_in_no_round(spark):
+    """Counts of what the rounds saw against brute force: every document outside the labelled sample, each once."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    known = labels.where("quality is not null").select("doc_id").distinct()
+    model = cotrain.fit(docs, labels, rounds=0)
+    given = cotrain._round(docs, known, model, "text")
+    rest = docs.join(known, "doc_id", "left_anti").toArrow()
+    own = cotrain.text_view(rest["text"].combine_chunks()), cotrain.metadata_view(*(rest[c].to_pylist() for c in ("lang", "source", "n_chars")))
+    p = cotrain.sigmoid(model.logits(own))
+    for v in (0, 1):
+        for label, sure in ((1.0, p[:, 1 - v] >= cotrain.SURE), (0.0, p[:, 1 - v] <= 1 - cotrain.SURE)):
+            mine = [] if given[v] is None else given[v][2][given[v][1] == label]
+            assert sum(mine) == sure.sum()
+            if sure.sum():
+                x = given[v][0][given[v][1] == label]
+                assert np.allclose((x * np.array(mine)[:, None]).sum(0), own[v][sure].sum(0), rtol=1e-4, atol=1e-3)
+
+
+def test_repeated_labels_and_ids(spark, odd):
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (6, 0), (None, 1), (8, None)], "doc_id long, quality int")
+    hashes, y, *_ = cotrain._labelled(odd, labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("double").alias("label")).withColumn("h", F.xxhash64("doc_id", F.lit(17))), "text")
+    assert len(hashes) == 3 and sorted(y) == [0.0, 1.0, 1.0]
+
+
 def test_cotraining(spark, odd, clashing, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     third = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(3)) == 0

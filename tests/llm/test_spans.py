@@ -1,6 +1,7 @@
 """Base spans of personal data and secrets against Python's re, and what the methods add."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -87,10 +88,10 @@ def test_words_that_reveal_an_entity(spark):
     rows = [(i, f"note {i} for agent zanzibar write to joe@site.org about item{i} today") for i in range(6)]
     rows += [(100 + i, f"plain note {i} about item today for everyone to write") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r for r in privacy.find(df).collect()}
+    found = {r.doc_id: r for r in privacy.find(df, min_docs=3, information=0).collect()}
     terms = lambda r: {r.text[s.start : s.end] for s in r._terms}
     assert terms(found[0]) == {"zanzibar", "agent"} and all(not found[100 + i]._terms for i in range(60))
-    clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df, min_docs=3, information=0).collect()}
     assert "joe@" not in clean[0] and "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and "today" in clean[0]
     assert clean[100] == rows[6][1]
 
@@ -99,7 +100,7 @@ def test_words_far_from_an_entity_reveal_it_everywhere(spark):
     gap = " ".join(f"filler{j}" for j in range(120))
     rows = [(i, f"mail joe@site.org {gap} then Zanzibar and zanzibar {i}") for i in range(40)] + [(50, "only zanzibar here, and zanzibars")]
     rows += [(100 + i, f"plain {gap} then and only here mail note {i}") for i in range(4000)]
-    found = {r.doc_id: [r.text[s.start : s.end] for s in r._terms] for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 110").collect()}
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r._terms] for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3).where("doc_id < 110").collect()}
     assert found[0] == ["Zanzibar", "zanzibar"] and found[50] == ["zanzibar"] and not found[100]
 
 
@@ -139,3 +140,114 @@ def test_odd_tables(odd, clashing, empty, module):
     assert b.columns == clashing.columns
     assert sorted(map(str, a)) == sorted(str(r) for r in b.select(odd.columns).collect())
     assert sum(r.text is None for r in a) == 2
+
+
+def brute_disclosing(rows, disclose, information, size=3):
+    """Words as told by the definition: every pair of entity and word, every row a document."""
+    kinds, docs = ("email", "ip", "card", "phone"), []
+    for text in rows:
+        found = [(k, s, e) for k, hits in expected(text, kinds).items() for _, s, e in hits]
+        rest, at = "", 0
+        for s, e in sorted((s, -e) for _, s, e in found):
+            if s >= at:
+                rest, at = rest + text[at:s] + " ", -e
+        rest += (text or "")[at:]
+        own = {f"{k}:{re.sub('[^0-9]', '', text[s:e]) if k in ('card', 'phone') else text[s:e].lower()}" for k, s, e in found}
+        split = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
+        docs.append((own, split(rest) if own else set(), split(text or "")))
+    n = len(docs)
+    told = {}
+    for e in set().union(*(d[0] for d in docs)):
+        n_e = sum(e in d[0] for d in docs)
+        if -math.log(n_e / n) < information:
+            continue
+        for w in set().union(*(d[1] for d in docs if e in d[0])):
+            both, n_w = sum(e in d[0] and w in d[1] for d in docs), sum(w in d[2] for d in docs)
+            if math.log(both * n / (n_e * n_w)) >= disclose * -math.log(n_e / n) - 1e-9:
+                told[w] = max(told.get(w, 0), n_e * (n / n_e) ** (1 - disclose))
+    wide = lambda w: sum(any(x.startswith(w[:size]) for x in d[2]) for d in docs)
+    return {w: w[:size] + "*" if len(w) > size and wide(w) > most * (1 + 1e-9) else "" for w, most in told.items()}
+
+
+@pytest.mark.parametrize("seed, disclose", [(1, 0.97), (2, 0.9), (3, 0.6)])
+def test_disclosing_words_equal_brute_force(spark, seed, disclose):
+    import random
+
+    rng = random.Random(seed)
+    vocabulary = [a + b for a in ("zan", "zanz", "bo", "krx", "mille") for b in ("a", "ibar", "ta", "un", "ox", "é")]
+    entities = ["ann@site.org", "BOB@site.org", "10.1.2.3", "+1 (555) 010-9999", "4111 1111 1111 1111"]
+    rows = []
+    for i in range(220):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(2, 9))] + ([f"rare{i}"] if rng.random() < 0.3 else [])
+        if rng.random() < 0.3:
+            k = min(4, int(rng.expovariate(0.8)))
+            words += [entities[k]] + ([f"friend{k}"] if rng.random() < 0.8 else [])
+        rng.shuffle(words)
+        rows += [" ".join(words)] * rng.choice((1, 1, 1, 2))
+    rows += [None, "", "friend0 alone"]
+    want = brute_disclosing(rows, disclose, math.log(4))
+    df = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
+    for r in privacy.find(df, disclose=disclose, information=math.log(4)).collect():
+        base = [(s.start, s.end) for k in PII for s in r[f"_{k}"]]
+        found = {(m.start(), m.end(), want[m[0].lower()]) for m in re.finditer(r"[^\W_]+", r.text or "") if m[0].lower() in want and not any(s < m.end() and m.start() < e for s, e in base)}
+        assert {(s.start, s.end, s.value) for s in r._terms} == found, r.text
+    assert {"", *want.values()} and len(want) > 3
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@site{i % 7}.org" for i in range(3000))
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [(s.start, s.end) for s in privacy.find(df).first()._email] == [(m.start(), m.end()) for m in re.finditer(RULES["email"], text)]
+    assert "@" not in privacy.sanitise(df).first().text
+
+
+def brute_random_spans(texts, level=0.01, rate=0.01):
+    """The battery and the false-discovery control, token by token in plain Python."""
+    low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = (dig + "abcdef", dig + "ABCDEF", up + "234567", up + low + dig + "+/", up + low + dig + "-_")
+    kinds = lambda t: [sum(c in low for c in t), sum(c in up for c in t), sum(c in dig for c in t), sum(not (c in low + up + dig or c.isspace()) for c in t)]
+    total = [0, 0, 0, 0]
+    for t in texts:
+        total = [a + b for a, b in zip(total, kinds(t or ""))]
+    ordinary = [(x + 1) / (sum(total) + 4) for x in total]
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    tokens = []
+    for row, text in enumerate(texts):
+        for m in re.finditer(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}=*", text or ""):
+            v = m[0].rstrip("=")
+            a = next((a for a in alphabets if set(v) <= set(a)), None)
+            if a is None:
+                continue
+            n, k, x = len(v), len(a), [a.index(c) + 1 for c in v]
+            chi, free = k / n * sum(v.count(c) ** 2 for c in set(v)) - n, k - 1
+            z = ((max(chi, 0) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+            p = [tail(z) / 2 if z > 0 else 0.5]
+            side = [y * 2 > k + 1 for y in x]
+            high = sum(side)
+            mean, expect = sum(x) / n, 2 * high * (n - high) / n + 1
+            runs = 1 + sum(s != t for s, t in zip(side, side[1:]))
+            p.append(0.0 if high in (0, n) else tail((runs - expect) / math.sqrt(max((expect - 1) * (expect - 2) / (n - 1), 1e-9))))
+            spread = sum((y - mean) ** 2 for y in x)
+            p.append(tail(sum((s - mean) * (t - mean) for s, t in zip(x, x[1:])) / spread * math.sqrt(n)) if spread else 0.0)
+            own = kinds(v)
+            value = min(400.0, max(0.0, sum(own[i] * math.log(secrets.CLASS_SHARES[k][i] / ordinary[i]) for i in range(4) if secrets.CLASS_SHARES[k][i] > 0)))
+            tokens.append((sum(n >= s for s in (32, 64, 128)), value, min(1.0, 3 * min(p)), row, m.start(), m.end()))
+    out = set()
+    for s in {t[0] for t in tokens}:
+        own = [t for t in tokens if t[0] == s]
+        bins = sorted({math.floor(t[1] * 4) for t in own}, reverse=True)
+        good = [b for b in bins if math.exp(-b / 4) <= rate * sum(math.floor(t[1] * 4) >= b for t in own) / len(own)]
+        out |= {t[3:] for t in own if good and t[1] >= min(good) / 4 and t[2] >= level}
+    return out
+
+
+def test_random_spans_equal_brute_force(spark, sf_dir):
+    import random
+
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    texts += [f"x {''.join(rng.choice(b64) for _ in range(n))} y" for n in (16, 20, 24, 33, 40, 64, 90, 130) * 6] + ["anordinarylongwordhere and/another/path/of/words", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(3)
+    got = {(r.i, s.start, s.end) for r in secrets.find(df).collect() for s in r._random}
+    assert got == brute_random_spans(texts) and len(got) > 20
