@@ -81,19 +81,35 @@ def salted_join(big: DataFrame, side: DataFrame, key: str, salt: Column, small:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an edge table (a, b): rows (node, component), component = smallest node.
 
-    Alternating large-star and small-star steps; only nodes with an edge are returned. Every step is joins and
-    pre-aggregated minima, and each round is checkpointed; nothing but one number comes to the driver."""
+    Alternating large-star and small-star steps until every node hangs on one root; only nodes with an edge are
+    returned. Every step is joins and pre-aggregated minima, and each round is checkpointed; nothing but whether a round
+    was the last comes to the driver."""
     now = freeze(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
+    while not _is_stars(now):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(low, F.col("a") == F.col("n")).select("a", "b", "m")
         now = freeze(small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(small.select("a", F.col("m").alias("b"))).distinct())
-        row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if tuple(row) == mark:
-            break
-        mark = tuple(row)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every child has one parent and no parent is a child."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("child"), F.lit(1).alias("parent")))
+    return ends.groupBy("node").agg(F.sum("child").alias("c"), F.max("parent").alias("p")).where("c > 1 or (c > 0 and p > 0)").isEmpty()
+
+
+def joined_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels (node, component) after more edges (a, b): components are joined as wholes, so few rounds are needed."""
+
+    def root(name: str) -> DataFrame:
+        return labels.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
+
+    ends = edges.join(root("a"), "a", "left").join(root("b"), "b", "left").select("a", "b", F.coalesce("_a", "a").alias("x"), F.coalesce("_b", "b").alias("y"))
+    ends = freeze(ends)
+    over = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("component", "top")
+    fresh = ends.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("component")), F.struct(F.col("b").alias("node"), F.col("y").alias("component")))).alias("e")).select("e.*")
+    every = labels.unionByName(fresh).distinct()
+    return freeze(every.join(over, every["component"] == over["node"], "left").select(every["node"], F.coalesce("top", "component").alias("component")))

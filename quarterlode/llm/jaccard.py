@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import BROADCAST_IDS, components, documents, freeze, is_small, packed, small_batches, unpacked
+from quarterlode.llm.common import BROADCAST_IDS, components, documents, freeze, is_small, joined_components, packed, small_batches, unpacked
 from quarterlode.llm.shingles import U, mixed, shingle_sets, text_slices, words
 
 SMALL_SET = 32  # classes up to it take every member as a part of its own, so that none of their sets is weak
@@ -230,10 +230,8 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     some = owned.select("node").distinct()
     sets = sets.join(F.broadcast(some) if is_small(some, most=BROADCAST_IDS) else some, "node", "left_semi")
     near = freeze(jaccard_links(pairs, sets, percent).where("linked").select("a", "b"))
-    linked = known.where("linked").select("a", "b")
     if not near.isEmpty():
-        linked = linked.unionByName(near)
-        labels = components(linked)
+        labels = joined_components(labels, near)
         owned = parted(whole, nodes, labels)
     left = owned.withColumn("level", F.floor(F.log2("n") * 2 + 1e-9).cast("int"))
     chunks = left.groupBy("region", "main", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias("chunks"))
@@ -244,7 +242,7 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     pairs = pairs.select("region", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("two"), (F.col("block") == F.col("with")).alias("same"), (F.col("block") < F.col("with")).alias("lower"), "node", "component").join(sets.select("node", "members"), "node")
     more = freeze(pairs.groupBy("region", "one", "two").applyInPandas(lambda batch: compare_block(batch, percent), "a long, b long").distinct())
     if not more.isEmpty():
-        labels = components(linked.unionByName(more))
+        labels = joined_components(labels, more)
 
     member = nodes.join(labels, "node")
     least = member.groupBy("component").agg(F.min("least_id").alias("component_id"))
