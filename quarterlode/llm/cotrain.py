@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quarterlode.llm.common import documents, packed, small_batches, unpacked
 from quarterlode.llm.shingles import PLACE, SPACE, U, mixed, text_slices, words
 
-SAMPLE = 20_000
+SAMPLE = 10_000
 ROUNDS, SURE, CELLS = 2, 0.97, 32
 PSEUDO_WEIGHT = 0.3  # of all pseudo-labels of a class, against its labelled rows
 WORD_SLOTS, PAIR_SLOTS = 128, 128
