@@ -28,7 +28,7 @@ SPARSE_PAIRS = 200_000
 SPILL = 0.08  # of a node's rows at least, on either side of a split
 REACH = 0.67  # of the largest distance of linked unit vectors, on either side of a split at least
 SIDE, WORK = 0.75, 0.9  # a split is made if no side keeps more of the rows, nor both more of the comparisons
-TRIES = 4  # axes in a row that cannot part a node, until it stays a leaf
+AXES = 3  # looked at for each split; a node that none of them can part stays a leaf
 THRESHOLD = 0.9
 
 
@@ -80,31 +80,32 @@ def cuts(q: Column, spill: float, reach: float) -> Column:
     return F.array_min(F.filter(tried, lambda s: (s["side"] <= SIDE + 1e-9) & (s["work"] <= WORK)))
 
 
-def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, threshold: float = THRESHOLD, seed: int = 5, levels: int = 12) -> DataFrame:
+def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, threshold: float = THRESHOLD, seed: int = 5, levels: int = 6) -> DataFrame:
     """(node, v) -> (node, leaf, rows): the leaves of all trees that each row is in, with their numbers of rows.
 
-    All trees split one level at a time: the quantiles of every open node are aggregated by Spark, no node is gathered.
-    A node that no split on TRIES axes would make smaller (a dense group, many rows on one point) stays a leaf."""
-    open_ = freeze(project(nodes, trees, 0, levels, seed).withColumn("leaf", F.xxhash64("size", "tree")).withColumn("failed", F.lit(0)))
+    All trees split one level at a time: the quantiles of every open node on AXES axes are aggregated by Spark, no node is
+    gathered. A node that no split on these would make smaller (a dense group, many rows on one point) stays a leaf."""
+    width = levels * AXES
+    open_ = freeze(project(nodes, trees, 0, width, seed).withColumn("leaf", F.xxhash64("size", "tree")))
     done, depth = None, 0
     shares, reach = [i / 20 for i in range(1, 20)], REACH * math.sqrt(max(0.0, 2 - 2 * threshold))
     while True:
-        x = F.element_at("p", 1)
-        stats = open_.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), F.max("failed").alias("tried"), F.percentile_approx(x, shares, 2000).alias("q"))
-        stats = stats.withColumn("cut", F.when(F.col("rows") > leaf_rows, cuts(F.col("q"), spill, reach)))
-        stats = freeze(stats.select("leaf", "rows", "cut.low", "cut.high", ((F.col("rows") > leaf_rows) & (F.col("cut").isNotNull() | (F.col("tried") + 1 < TRIES))).alias("open")))
+        stats = open_.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), *(F.percentile_approx(F.element_at("p", i + 1), shares, 2000).alias(f"q{i}") for i in range(AXES)))
+        best = F.array(*(cuts(F.col(f"q{i}"), spill, reach).alias(f"c{i}") for i in range(AXES)))
+        best = F.transform(best, lambda c, i: F.when(c.isNotNull(), F.struct(c["both"].alias("both"), i.alias("axis"), c["low"].alias("low"), c["high"].alias("high"))))
+        stats = stats.withColumn("cut", F.when(F.col("rows") > leaf_rows, F.array_min(best)))
+        stats = freeze(stats.select("leaf", "rows", "cut.axis", "cut.low", "cut.high", F.col("cut").isNotNull().alias("open")))
         here = open_.join(stats, "leaf")
         leaves = here.where("not open").select("node", "leaf", "rows")
         done = leaves if done is None else done.unionByName(leaves)
         if stats.where("open").isEmpty():
             return done
-        # A node without a split on this axis goes on to the next one as it is.
-        stays = F.col("low").isNull()
-        sides = F.array(F.when(stays, F.col("leaf")), F.when(x <= F.col("high"), F.xxhash64("leaf", F.lit(0))), F.when(x >= F.col("low"), F.xxhash64("leaf", F.lit(1))))
-        split = here.where("open").withColumn("failed", F.when(stays, F.col("failed") + 1).otherwise(0)).withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "low", "high", "open").withColumn("p", F.slice("p", 2, levels))
+        x = F.element_at("p", F.col("axis") + 1)
+        sides = F.array(F.when(x <= F.col("high"), F.xxhash64("leaf", F.lit(0))), F.when(x >= F.col("low"), F.xxhash64("leaf", F.lit(1))))
+        split = here.where("open").withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "axis", "low", "high", "open").withColumn("p", F.slice("p", AXES + 1, width))
         depth += 1
         if depth % levels == 0:  # new random directions for the next levels
-            split = split.drop("p").join(project(nodes, trees, depth, levels, seed).drop("size"), ["node", "tree"])
+            split = split.drop("p").join(project(nodes, trees, depth * AXES, width, seed).drop("size"), ["node", "tree"])
         open_ = freeze(split)
 
 
