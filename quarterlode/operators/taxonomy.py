@@ -94,31 +94,48 @@ def keyword_vote(items: DataFrame, name: str = "name") -> DataFrame:
     return top.select("kind", "name", "t.*")
 
 
+def _label_table(items: DataFrame) -> DataFrame:
+    """(kind, name, label): one row of each label. `label` is the name as an aggregate's result, so that what is told of it
+    is computed here once and no filter on it moves down to the items."""
+    return items.groupBy("kind", "name").agg(F.first("name").alias("label"))
+
+
 def classify(items: DataFrame) -> DataFrame:
     """(kind, name, category): alias, else keyword vote; labels with neither are left out."""
-    labels = items.select("kind", "name").distinct()
-    return labels.withColumn("category", category_of(F.col("kind"), F.col("name"))).where("category is not null")
+    told = _label_table(items).select("kind", "name", category_of(F.col("kind"), F.col("label")).alias("category"))
+    return told.where("category is not null")
 
 
 def category_of(kind: Column, name: Column) -> Column:
-    """The category of a label as one expression over the fixed tables: no join, so nothing is shuffled or broadcast."""
-    key = label_key(name)
+    """The category of a label as one expression over the fixed tables; meant for distinct labels.
+
+    The key is made once and bound as a variable, and the votes are named once, so nothing is computed again."""
     aliases: dict[str, str] = {}
     for k, cats in TAXONOMY.items():
         for c, (title, names) in cats.items():
             for alias in (*names, title):
                 if _key(alias):
                     aliases.setdefault(f"{k}:{_key(alias)}", c)
-    alias = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))[F.concat(kind, F.lit(":"), key)]
-    votes = F.array(*(F.struct(F.when(kind == k, sum((F.contains(key, F.lit(w)).cast("int") for w in words), F.lit(0))).otherwise(0).alias("n"), F.lit(c).alias("c")) for k, cats in KEYWORDS.items() for c, words in cats.items()))
-    best = F.array_max(F.transform(votes, lambda v: v["n"]))
-    vote = F.array_min(F.transform(F.filter(votes, lambda v: v["n"] == best), lambda v: v["c"]))
-    return F.coalesce(alias, F.when(best > 0, vote))
+    known = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+    # Categories last in order lose ties: the greatest of (votes, place from the end, category) wins.
+    ranked = [(k, c, words) for k, cats in KEYWORDS.items() for c, words in sorted(cats.items(), reverse=True)]
+
+    def told(key: Column) -> Column:
+        votes = (F.struct(F.when(kind == k, sum((F.contains(key, F.lit(w)).cast("int") for w in words), F.lit(0))).otherwise(0).alias("n"), F.lit(i).alias("place"), F.lit(c).alias("c")) for i, (k, c, words) in enumerate(ranked))
+        vote = F.filter(F.array(F.array_max(F.array(*votes))), lambda v: v["n"] > 0)
+        return F.coalesce(known[F.concat(kind, F.lit(":"), key)], F.get(vote, F.lit(0))["c"])
+
+    return F.transform(F.array(label_key(name)), told)[0]
 
 
 def normalize_breakdown(items: DataFrame, keys: tuple[str, ...] = ("company_id", "q_index", "source_id")) -> DataFrame:
-    """One row of each category: values of known categories are summed, of unknown labels the greatest stays; totals go."""
-    known = reject_totals(items).withColumn("category", F.coalesce(category_of(F.col("kind"), F.col("name")), F.nullif(member_key(F.col("name")), F.lit("")))).where("category is not null")
+    """One row of each category: values of known categories are summed, of unknown labels the greatest stays; totals go.
+
+    Labels are judged once each and joined back; adaptive execution broadcasts them where they are few."""
+    labels = _label_table(items)
+    labels = reject_totals(labels, "label").withColumn("category", F.coalesce(category_of(F.col("kind"), F.col("label")), F.nullif(member_key(F.col("label")), F.lit(""))))
+    labels = labels.where("category is not null").select(F.col("kind").alias("_kind"), F.col("name").alias("_name"), "category")
+    known = items.join(labels, F.col("kind").eqNullSafe(F.col("_kind")) & F.col("name").eqNullSafe(F.col("_name")))
     fixed = F.col("category").isin(*(c for cats in TAXONOMY.values() for c in cats))
     return known.groupBy(*keys, "kind", "category").agg(F.when(F.first(fixed), F.sum("value")).otherwise(F.max("value")).cast("decimal(20,2)").alias("value"), F.array_sort(F.collect_set("name")).alias("names"))
 
