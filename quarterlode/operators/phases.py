@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterlode.operators.history import QUARTER, reconcile_to_total
-from quarterlode.operators.segments import is_aggregate
+from quarterlode.operators.segments import is_aggregate, normal_label
 
 ROWS = "array<struct<key:string,v:bigint,opt:boolean>>"
 RESIDUALS = ("otherrevenue", "reportedrevenue")
+# Fixed values. Names of revenue components that are no segments.
+CONCEPTS = ("sales and other operating revenue", "income from equity affiliates", "other revenue interest", "fees and commissions", "service charges", "noninterest income", "interest income expense net")
 LEAST = 20  # thousandths; what is not above is no row
 
 
@@ -56,13 +58,18 @@ def comparable_rows(rows: Column) -> Column:
 
 
 def profiles(segments: DataFrame, quarters: DataFrame) -> DataFrame:
-    """quarters with `total` in thousandths, `rows` and `profile` (comparable rows); empty where there are no segments.
+    """quarters with `total` in thousandths, `rows` and `profile` (comparable rows; both empty where there are no segments),
+    `substantive` (how many rows are no optional ones) and `conceptual` (two or more of these, all of CONCEPTS).
 
     segments: member_key, name (may be null), value; a member is in a quarter once."""
     opt = F.col("member_key").isin(*RESIDUALS, "") | F.coalesce(is_aggregate(F.col("name")), F.lit(False))
     item = F.struct(F.col("member_key").alias("key"), thousandths(F.col("value")).alias("v"), opt.alias("opt"))
-    per = segments.groupBy(*QUARTER).agg(F.collect_list(item).alias("rows"))
-    at = quarters.join(per, list(QUARTER), "left").withColumns({"rows": ordered(F.coalesce("rows", F.array().cast(ROWS))), "total": thousandths(F.col("total"))})
+    real = ~opt & (thousandths(F.col("value")) > LEAST)
+    concept = F.regexp_like(normal_label(F.coalesce("name", "member_key")), F.lit("|".join(CONCEPTS)))
+    counts = F.count_if(real).alias("substantive"), F.count_if(real & ~concept).alias("_segments")
+    per = segments.groupBy(*QUARTER).agg(F.collect_list(item).alias("rows"), *counts)
+    per = per.withColumn("conceptual", (F.col("substantive") >= 2) & (F.col("_segments") == 0)).drop("_segments")
+    at = quarters.join(per, list(QUARTER), "left").withColumns({"rows": ordered(F.coalesce("rows", F.array().cast(ROWS))), "total": thousandths(F.col("total")), "substantive": F.coalesce("substantive", F.lit(0)), "conceptual": F.coalesce("conceptual", F.lit(False))})
     return at.withColumn("profile", comparable_rows(F.col("rows")))
 
 

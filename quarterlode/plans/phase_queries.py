@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarterlode.operators import phases as P
+from quarterlode.operators import templates as T
 from quarterlode.plans.registry import query
 
 #: Histories with changing members: bundled before a cut, renamed for a while, dropped, reported as one; styles that change.
@@ -14,7 +15,8 @@ REGIME = """regime AS (SELECT company_id, q_index, member_key, member_key AS nam
     FROM segments WHERE NOT (company_id % 4 = 0 AND q_index % 3 = 0 AND member_key IN ('PROMO', 'ECONOMY')) AND (company_id * 5 + q_index) % 17 <> 0) x GROUP BY company_id, q_index, member_key),
   stretch AS (SELECT company_id, q_index, CAST(CASE WHEN q_index % 5 = 1 THEN revenue * 1.25 WHEN q_index % 7 = 3 THEN revenue * 0.75 ELSE revenue END AS DECIMAL(20,2)) AS total,
     CASE WHEN company_id % 4 = 3 THEN CASE WHEN q_index < 7990 THEN 'classic' ELSE 'modern' END WHEN company_id % 8 = 0 THEN 'plain' END AS style,
-    (company_id + q_index) % 9 <> 0 AS reliable, q_index % 7 * 100000 AS source_score, CAST(CASE WHEN q_index % 2 = 0 THEN 0.9 ELSE 1 END AS DECIMAL(10,4)) AS coverage FROM quarters)"""
+    (company_id + q_index) % 9 <> 0 AS reliable, q_index % 7 * 100000 AS source_score, company_id % 4 = 3 AND q_index % 6 = 2 AS reported_only, (company_id + q_index) % 8 = 3 AS insufficient, company_id % 5 = 0 AS harmonize, q_index % 11 = 5 AS partial,
+    CASE WHEN q_index % 10 = 4 THEN 'fallback-reported' ELSE 'official-segments' END AS source, CASE company_id % 3 WHEN 0 THEN CASE WHEN q_index < 7990 THEN 'old' ELSE 'new' END WHEN 1 THEN concat('s', q_index) ELSE concat('t', q_index % 16) END AS schema, concat('f', q_index % 2) AS family, CAST(CASE WHEN q_index % 2 = 0 THEN 0.9 ELSE 1 END AS DECIMAL(10,4)) AS coverage FROM quarters)"""
 _KEYS = "list_transform({0}, lambda r: r.key)"
 _SUM = "coalesce(list_sum(list_transform({0}, lambda r: r.v)), 0)::BIGINT"
 _OUT = "list_filter({0}, lambda r: NOT list_contains({1}, r.key))"
@@ -96,3 +98,70 @@ def b11(t):
   UNION ALL SELECT DISTINCT company_id, q_index, 'otherrevenue', (total - s)::HUGEINT FROM fit WHERE cov < 0.94 AND total - s > 30) GROUP BY 1, 2, 3""", ALIGNED)
 def b11_rows(t):
     return P.align_to_phase(P.phases(regime(t)))[1]
+
+
+_TOTAL = "coalesce(list_sum(list_transform({0}, lambda r: r.v)), 0)::DOUBLE"
+
+
+def _templates(h: str, name: str) -> str:
+    """Reliable templates and dominant phase over quarters `h`; name: of the last table."""
+    return f"""{name}0 AS (SELECT *, row_number() OVER (PARTITION BY company_id ORDER BY q_index) AS idx, len(list_filter(rows, lambda r: NOT r.opt AND r.v > 20)) AS substantive, max(len(rows) >= 2) OVER (PARTITION BY company_id) AS several FROM {h}),
+  {name}1 AS (SELECT *, len(rows) > 0 AND has_raw AND NOT reported_only AND NOT insufficient AND (NOT several OR len(rows) >= 2) AND (harmonize OR (source <> 'fallback-reported' AND coverage BETWEEN 0.78 AND 1.22)) AS template FROM {name}0),
+  {name}2 AS (SELECT company_id, phase, count(*) AS n FROM {name}1 WHERE template GROUP BY ALL),
+  {name} AS (SELECT t.*, d.dominant, coalesce(d.n_dominant, 0) AS n_dominant, coalesce(d.n_templates, 0) AS n_templates FROM {name}1 t LEFT JOIN (SELECT company_id, arg_min(phase, (-n, phase)) FILTER (phase IS NOT NULL) AS dominant, coalesce(max(n) FILTER (phase IS NOT NULL), 0) AS n_dominant, sum(n) AS n_templates FROM {name}2 GROUP BY 1) d USING (company_id))"""
+
+
+STATE = f"""{PHASES}, state AS (SELECT *, len(rows) > 0 AS has_raw FROM bridged), {_templates('state', 'tm')}"""
+
+
+def state(t):
+    return P.phases(regime(t)).withColumn("has_raw", F.size("rows") > 0)
+
+
+@query("b13_reliable_templates", "SELECT company_id, q_index, idx, template, dominant, n_dominant, n_templates FROM tm", STATE)
+def b13(t):
+    return T.reliable_templates(state(t)).select("company_id", "q_index", F.col("idx").cast("long").alias("idx"), "template", "dominant", "n_dominant", "n_templates")
+
+
+_NEAR = "(SELECT arg_min(x.idx, (abs(x.idx - h.idx), x.idx)) FROM tm x WHERE x.template AND x.company_id = h.company_id AND {0})"
+_COARSE = "(NOT has_raw OR reported_only OR substantive <= 1)"
+PICKED = f"""{STATE},
+  tried AS (SELECT h.*, {_NEAR.format('x.schema = h.schema')} AS by_schema, {_NEAR.format('x.phase = h.phase')} AS by_phase, CASE WHEN h.phase IS NULL THEN {_NEAR.format('x.family = h.family')} END AS by_family, {_NEAR.format('x.phase = h.dominant')} AS by_dominant,
+    (SELECT max(x.idx) FROM tm x WHERE x.template AND x.company_id = h.company_id AND x.idx < h.idx) AS past, (SELECT min(x.idx) FROM tm x WHERE x.template AND x.company_id = h.company_id AND x.idx > h.idx) AS future FROM tm h),
+  told AS (SELECT *, CASE WHEN NOT harmonize AND n_dominant >= 6 AND ({_COARSE} OR partial) AND by_dominant IS NOT NULL THEN 'dominant' WHEN by_schema IS NOT NULL THEN 'schema' WHEN by_phase IS NOT NULL THEN 'phase' WHEN by_family IS NOT NULL THEN 'family' WHEN partial AND future IS NOT NULL THEN 'future' WHEN past IS NOT NULL THEN 'past' WHEN future IS NOT NULL THEN 'future' END AS tier0 FROM tried
+    WHERE total > 20 AND (len(rows) < 2 OR reported_only OR insufficient)),
+  at_ AS (SELECT *, CASE tier0 WHEN 'dominant' THEN by_dominant WHEN 'schema' THEN by_schema WHEN 'phase' THEN by_phase WHEN 'family' THEN by_family WHEN 'past' THEN past ELSE future END AS from_ FROM told),
+  picked AS (SELECT a.company_id, a.q_index, a.total, a.from_ AS from_idx, a.tier0 AS tier, x.phase AS of_phase, x.rows AS rows FROM at_ a JOIN tm x ON x.company_id = a.company_id AND x.idx = a.from_
+    WHERE (a.harmonize OR (x.phase = a.dominant AND a.n_dominant >= 6 AND ((NOT a.has_raw OR a.reported_only OR a.substantive <= 1) OR a.partial))) AND abs(a.from_ - a.idx) <= CASE WHEN NOT a.harmonize OR a.partial THEN 16 ELSE 4 END)"""
+
+
+def _filled(tm: str, picked: str, name: str) -> str:
+    """Rows of the picked quarters from their templates in `tm`."""
+    return f"""{name}0 AS (SELECT p.*, (SELECT min(q_index) FROM {tm} x WHERE x.template AND x.company_id = p.company_id AND x.phase = p.of_phase) AS low, (SELECT max(q_index) FROM {tm} x WHERE x.template AND x.company_id = p.company_id AND x.phase = p.of_phase) AS high FROM {picked} p),
+  {name}1 AS (SELECT * EXCLUDE (low, high), CASE WHEN q_index < low THEN (SELECT list(x.rows) FROM (SELECT rows FROM {tm} x WHERE x.template AND x.company_id = f.company_id AND x.phase = f.of_phase ORDER BY idx LIMIT 3) x WHERE len(x.rows) >= 2) WHEN q_index > high THEN (SELECT list(x.rows) FROM (SELECT rows FROM {tm} x WHERE x.template AND x.company_id = f.company_id AND x.phase = f.of_phase ORDER BY idx DESC LIMIT 3) x WHERE len(x.rows) >= 2) END AS edge FROM {name}0 f),
+  {name}2 AS (SELECT company_id, q_index, total, from_idx, r.key AS key, sum(r.v::DOUBLE / s) AS s FROM (SELECT company_id, q_index, total, from_idx, unnest(rs) AS r, {_TOTAL.format('rs')} AS s FROM (SELECT company_id, q_index, total, from_idx, unnest(coalesce(edge, [rows])) AS rs FROM {name}1)) GROUP BY ALL),
+  {name}3 AS (SELECT *, round(total::DOUBLE * (s / sum(s) OVER (PARTITION BY company_id, q_index)))::BIGINT AS v, row_number() OVER (PARTITION BY company_id, q_index ORDER BY s DESC, key) AS k FROM {name}2),
+  {name} AS (SELECT company_id, q_index, from_idx, key, v + CASE WHEN k = 1 AND abs(total - sum(v) OVER (PARTITION BY company_id, q_index)) > 4 THEN total - sum(v) OVER (PARTITION BY company_id, q_index) ELSE 0 END AS v FROM {name}3)"""
+
+
+@query("b16_pick_templates", "SELECT company_id, q_index, from_idx, tier FROM picked", PICKED)
+def b16(t):
+    at = T.pick_templates(T.reliable_templates(state(t))).where("from_idx is not null")
+    return at.select("company_id", "q_index", F.col("from_idx").cast("long").alias("from_idx"), "tier")
+
+
+@query("b16_template_fill", "SELECT company_id, q_index, from_idx, key AS member_key, v::BIGINT AS thousandths FROM filled", f"{PICKED}, {_filled('tm', 'picked', 'filled')}")
+def b16_fill(t):
+    at = T.fill(T.pick_templates(T.reliable_templates(state(t))))
+    return at.select("company_id", "q_index", F.col("from_idx").cast("long").alias("from_idx"), F.explode("rows").alias("r")).select("company_id", "q_index", "from_idx", F.col("r.key").alias("member_key"), F.col("r.v").alias("thousandths"))
+
+
+LAST = f"""{PHASES}, bare AS (SELECT * EXCLUDE (rows), len(rows) > 0 AS has_raw, CASE WHEN len(rows) = 0 AND total > 20 THEN [{{'key': 'reportedrevenue', 'v': total, 'opt': true}}] ELSE rows END AS rows FROM bridged), state AS (SELECT *, len(rows) > 0 AS has_raw FROM bridged), {_templates('state', 'tm')},
+  only_ AS (SELECT b.company_id, b.q_index, b.total, b.rows, h.dominant, (SELECT arg_min(x.idx, (abs(x.idx - h.idx), x.idx)) FROM tm x WHERE x.template AND x.company_id = h.company_id AND x.phase = h.dominant) AS from_idx FROM bare b JOIN tm h USING (company_id, q_index) WHERE len(b.rows) = 1 AND b.rows[1].key = 'reportedrevenue' AND h.n_dominant >= 6 AND h.n_dominant >= 0.75 * h.n_templates),
+  picked AS (SELECT o.company_id, o.q_index, o.total, o.from_idx, x.phase AS of_phase, x.rows FROM only_ o JOIN tm x ON x.company_id = o.company_id AND x.idx = o.from_idx), {_filled('tm', 'picked', 'filled')}"""
+
+
+@query("b21_fallback_fill", "SELECT company_id, q_index, key AS member_key, v::BIGINT AS thousandths, true AS filled FROM filled UNION ALL SELECT company_id, q_index, r.key, r.v, false FROM (SELECT company_id, q_index, unnest(rows) AS r FROM bare b WHERE NOT EXISTS (SELECT 1 FROM filled f WHERE f.company_id = b.company_id AND f.q_index = b.q_index))", LAST)
+def b21(t):
+    at = T.fallback_fill(T.reliable_templates(state(t)))
+    return at.select("company_id", "q_index", F.explode("rows").alias("r"), "filled").select("company_id", "q_index", F.col("r.key").alias("member_key"), F.col("r.v").alias("thousandths"), "filled")
