@@ -39,7 +39,7 @@ def best_subset(rows: DataFrame, quarters: DataFrame, targets: DataFrame) -> Dat
     subset of at most MOST_ROWS with the best score is taken ('subset'): off by how far its sum is from revenue, how many rows
     it has, its coverage, and labels that read like sums or share words; of scores nearer than 0.01 the smaller subset
     wins over one met before. Where none is within 45 to 135 % of revenue the MOST_ROWS largest stay ('largest'). Quarters
-    without revenue keep all. Subsets are numbers of bits folded over in the row, so nothing is exploded."""
+    without revenue keep all. Subsets are elements of one array of the row, at most 4,096, so nothing is exploded."""
     wanted = targets.groupBy(*QUARTER).agg(F.collect_set(label_key(F.col("target"))).alias("targets"))
     item = F.struct((-F.col("value")).alias("o"), "name", "member_key", thousandths(F.col("value")).alias("v"), "value", label_penalty(F.col("name")).alias("cost"), F.array_distinct(F.array(label_key(F.coalesce("member_key", "name")), label_key(F.col("name")))).alias("keys"))
     per = rows.where(F.col("value") > F.lit("0.02").cast("decimal(10,4)")).groupBy(*QUARTER).agg(F.slice(F.array_sort(F.collect_list(item)), 1, MOST_CANDIDATES).alias("items"))
@@ -52,43 +52,40 @@ def best_subset(rows: DataFrame, quarters: DataFrame, targets: DataFrame) -> Dat
     required = F.size(F.filter("items", lambda x: F.arrays_overlap(x["keys"], F.col("targets"))))
     whole = ((required > 0) & (required == F.size("targets")) & (n <= MOST_ROWS) & ratio.between(0.72, 1.18)) | (F.col("styled") & ratio.between(0.78, 1.18)) | (n.between(3, 6) & ratio.between(0.88, 1.18))
     every = (revenue <= 0) | F.coalesce(whole, F.lit(False))
-    # Two items that share words cost as often as both are in: bits of the two, and the cost.
-    places = F.sequence(F.lit(0), n - 1)
-    pairs = F.flatten(F.transform(places, lambda i: F.transform(F.filter(places, lambda j: j > i), lambda j: F.struct((_bit(i) + _bit(j)).alias("bits"), (F.size(F.array_intersect(F.get("items", i)["words"], F.get("items", j)["words"])) * OVERLAP_PENALTY).alias("cost")))))
-    at = at.withColumns({"_every": every, "_need": required > 0}).withColumn("_pairs", F.when(~F.col("_every"), F.filter(pairs, lambda p: p["cost"] > 0)))
-
-    def score(mask: Column) -> Column:
-        """(score, n) of a subset; no score if it cannot be taken."""
-        chosen = F.filter("items", lambda x, i: F.bit_get(mask, i) == 1)
-
-        def judged(s: Column) -> Column:
-            count, value = F.size(s), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x["v"])
-            return bound(F.struct(s.alias("s"), count.alias("n"), value.alias("v"), (value.cast("double") / revenue.cast("double")).alias("r")), scored)
-
-        def scored(x: Column) -> Column:
-            covers = ~F.col("_need") | F.forall("targets", lambda t: F.exists(x["s"], lambda y: F.array_contains(y["keys"], t)))
-            fits = (x["n"] <= MOST_ROWS) & ((x["n"] > 1) | (n == 1)) & x["r"].between(0.45, 1.35) & covers
-            shared = F.aggregate(F.col("_pairs"), F.lit(0), lambda a, p: a + F.when(mask.bitwiseAND(p["bits"]) == p["bits"], p["cost"]).otherwise(0))
-            labels = F.aggregate(x["s"], F.lit(0), lambda a, y: a + y["cost"])
-            distance = F.abs(x["v"] - revenue).cast("double") / 1000 * 110
-            counts = F.when(x["n"] > 5, (x["n"] - 5) * 18).when((x["n"] < 3) & (n > 3), (3 - x["n"]) * 40).otherwise(0)
-            cover = F.when(x["r"] < 0.78, (0.78 - x["r"]) * 260).when(x["r"] > 1.08, (x["r"] - 1.08) * 360).otherwise(0.0)
-            reward = F.when(x["n"].between(3, 6), 44).otherwise(0)
-            return F.struct(F.when(fits, reward - distance - counts - cover - labels - shared).alias("score"), x["n"].alias("n"), mask.alias("mask"))
-
-        return bound(chosen, judged)
-
-    def better(best: Column, mask: Column) -> Column:
-        take = lambda b, x: x["score"].isNotNull() & (b["score"].isNull() | (x["score"] > b["score"]) | ((F.abs(x["score"] - b["score"]) < 0.01) & (x["n"] < b["n"])))
-        return bound(score(mask), lambda x: F.when(take(best, x), x).otherwise(best))
+    # Every subset by the item it begins to hold last: those without the item, then the same with it. A subset is its sum, number
+    # of items, cost of labels and shared words, and bits of the targets that it holds; its place in the array is its bits.
+    at = at.withColumns({"_every": every, "_need": F.when(required > 0, F.pow(F.lit(2), F.size("targets")).cast("int") - 1).otherwise(0)})
+    bits = lambda x: F.aggregate(F.transform("targets", lambda t, k: F.when(F.array_contains(x["keys"], t), F.pow(F.lit(2), k).cast("int")).otherwise(0)), F.lit(0), lambda a, y: a + y)
+    shared = lambda x: F.transform(F.col("items"), lambda y: F.size(F.array_intersect(x["words"], y["words"])) * OVERLAP_PENALTY)
+    at = at.withColumn("_i", F.when(~F.col("_every"), F.transform("items", lambda x: F.struct(x["v"].alias("v"), x["cost"].alias("cost"), bits(x).alias("t"), shared(x).alias("shared")))))
+
+    def grown(subsets: Column, i: Column) -> Column:
+        item = F.get("_i", i)
+        with_earlier = F.aggregate(F.when(i > 0, F.sequence(F.lit(0), i - 1)).otherwise(F.array().cast("array<int>")), F.array(item["cost"]), lambda e, j: bound(F.get(item["shared"], j), lambda c: F.concat(e, F.transform(e, lambda y: y + c))))
+        more = bound(item, lambda x: F.zip_with(subsets, with_earlier, lambda s, c: F.struct((s["v"] + x["v"]).alias("v"), (s["n"] + 1).alias("n"), (s["cost"] + c).alias("cost"), s["t"].bitwiseOR(x["t"]).alias("t"))))
+        return F.concat(subsets, more)
+
+    empty = F.array(F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).alias("n"), F.lit(0).alias("cost"), F.lit(0).alias("t")))
+    subsets = F.aggregate(F.sequence(F.lit(0), n - 1), empty, grown)
+
+    def scored(x: Column, mask: Column) -> Column:
+        """(score, n, mask) of a subset; no score if it cannot be taken."""
+        part = x["v"].cast("double") / revenue.cast("double")
+        fits = (x["n"] <= MOST_ROWS) & ((x["n"] > 1) | (n == 1)) & part.between(0.45, 1.35) & (x["t"].bitwiseAND(F.col("_need")) == F.col("_need"))
+        distance = F.abs(x["v"] - revenue).cast("double") / 1000 * 110
+        counts = F.when(x["n"] > 5, (x["n"] - 5) * 18).when((x["n"] < 3) & (n > 3), (3 - x["n"]) * 40).otherwise(0)
+        cover = bound(part, lambda r: F.when(r < 0.78, (0.78 - r) * 260).when(r > 1.08, (r - 1.08) * 360).otherwise(0.0))
+        reward = F.when(x["n"].between(3, 6), 44).otherwise(0)
+        return F.struct(F.when(fits, reward - distance - counts - cover - x["cost"]).alias("score"), x["n"].alias("n"), mask.alias("mask"))
+
+    def better(best: Column, x: Column) -> Column:
+        take = best["score"].isNull() | (x["score"] > best["score"]) | ((F.abs(x["score"] - best["score"]) < 0.01) & (x["n"] < best["n"]))
+        return F.when(take, x).otherwise(best)
 
     none = F.struct(F.lit(None).cast("double").alias("score"), F.lit(0).alias("n"), F.lit(0).alias("mask"))
-    mask = F.aggregate(F.sequence(F.lit(1), F.pow(F.lit(2), n).cast("int") - 1), none, better)["mask"]
+    mask = F.aggregate(F.filter(F.transform(subsets, scored), lambda x: x["score"].isNotNull()), none, better)["mask"]
     at = at.withColumn("_mask", F.when(~F.col("_every"), mask))
     how = F.when(F.col("_every"), "all").when(F.col("_mask") > 0, "subset").otherwise("largest")
     kept = F.when(F.col("_every"), F.col("items")).when(F.col("_mask") > 0, F.filter("items", lambda x, i: F.bit_get(F.col("_mask"), i) == 1)).otherwise(F.slice("items", 1, MOST_ROWS))
     return at.select(*QUARTER, how.alias("how"), F.explode(kept).alias("x")).select(*QUARTER, "x.name", "x.member_key", "x.value", "how")
 
-
-def _bit(i: Column) -> Column:
-    return F.pow(F.lit(2), i).cast("int")
