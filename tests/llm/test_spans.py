@@ -85,22 +85,22 @@ def test_base_spans_of_made_up_texts(spark, texts, bits):
 
 
 def test_words_that_reveal_an_entity(spark):
-    rows = [(i, f"note {i} for agent zanzibar write to joe@site.org about item{i} today") for i in range(6)]
+    rows = [(i, f"note {i} for agent zanzibar write to joe@site.org about item{i} today") for i in range(8)]
     rows += [(100 + i, f"plain note {i} about item today for everyone to write") for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = {r.doc_id: r for r in privacy.find(df, min_docs=3, information=0).collect()}
+    found = {r.doc_id: r for r in privacy.find(df).collect()}
     terms = lambda r: {r.text[s.start : s.end] for s in r._terms}
     assert terms(found[0]) == {"zanzibar", "agent"} and all(not found[100 + i]._terms for i in range(60))
-    clean = {r.doc_id: r.text for r in privacy.sanitise(df, min_docs=3, information=0).collect()}
+    clean = {r.doc_id: r.text for r in privacy.sanitise(df).collect()}
     assert "joe@" not in clean[0] and "zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and "today" in clean[0]
-    assert clean[100] == rows[6][1]
+    assert clean[100] == rows[8][1]
 
 
 def test_words_far_from_an_entity_reveal_it_everywhere(spark):
     gap = " ".join(f"filler{j}" for j in range(120))
     rows = [(i, f"mail joe@site.org {gap} then Zanzibar and zanzibar {i}") for i in range(40)] + [(50, "only zanzibar here, and zanzibars")]
     rows += [(100 + i, f"plain {gap} then and only here mail note {i}") for i in range(4000)]
-    found = {r.doc_id: [r.text[s.start : s.end] for s in r._terms] for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3).where("doc_id < 110").collect()}
+    found = {r.doc_id: [r.text[s.start : s.end] for s in r._terms] for r in privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 110").collect()}
     assert found[0] == ["Zanzibar", "zanzibar"] and found[50] == ["zanzibar"] and not found[100]
 
 
@@ -142,7 +142,7 @@ def test_odd_tables(odd, clashing, empty, module):
     assert sum(r.text is None for r in a) == 2
 
 
-def brute_disclosing(rows, disclose, information, size=3):
+def brute_disclosing(rows, disclose, common, size=3):
     """Words as told by the definition: every pair of entity and word, every row a document."""
     kinds, docs = ("email", "ip", "card", "phone"), []
     for text in rows:
@@ -154,44 +154,66 @@ def brute_disclosing(rows, disclose, information, size=3):
         rest += (text or "")[at:]
         own = {f"{k}:{re.sub('[^0-9]', '', text[s:e]) if k in ('card', 'phone') else text[s:e].lower()}" for k, s, e in found}
         split = lambda t: {w for w in re.split(r"[\W_]+", t.lower()) if w}
-        docs.append((own, split(rest) if own else set(), split(text or "")))
+        docs.append((own, split(rest) if own else set(), split(text or ""), text))
     n = len(docs)
     told = {}
     for e in set().union(*(d[0] for d in docs)):
         n_e = sum(e in d[0] for d in docs)
-        if -math.log(n_e / n) < information:
+        if n_e > common * n and n_e > privacy.FEW:
             continue
         for w in set().union(*(d[1] for d in docs if e in d[0])):
-            both, n_w = sum(e in d[0] and w in d[1] for d in docs), sum(w in d[2] for d in docs)
-            if math.log(both * n / (n_e * n_w)) >= disclose * -math.log(n_e / n) - 1e-9:
+            holding = [d[3] for d in docs if e in d[0] and w in d[1]]
+            both, texts, n_w = len(holding), len(set(holding)), sum(w in d[2] for d in docs)
+            if texts >= 3 and math.log(both * texts / (texts + privacy.DOUBT) * n / (n_e * n_w)) >= disclose * -math.log(n_e / n) - 1e-9:
                 told[w] = max(told.get(w, 0), n_e * (n / n_e) ** (1 - disclose))
     wide = lambda w: sum(any(x.startswith(w[:size]) for x in d[2]) for d in docs)
     return {w: w[:size] + "*" if len(w) > size and wide(w) > most * (1 + 1e-9) else "" for w, most in told.items()}
 
 
-@pytest.mark.parametrize("seed, disclose", [(1, 0.97), (2, 0.9), (3, 0.6)])
-def test_disclosing_words_equal_brute_force(spark, seed, disclose):
+@pytest.mark.parametrize("seed, disclose, common", [(1, privacy.DISCLOSE, privacy.COMMON), (2, privacy.DISCLOSE, 0.25), (3, 0.6, 0.25)])
+def test_disclosing_words_equal_brute_force(spark, seed, disclose, common):
     import random
 
     rng = random.Random(seed)
     vocabulary = [a + b for a in ("zan", "zanz", "bo", "krx", "mille") for b in ("a", "ibar", "ta", "un", "ox", "é")]
-    entities = ["ann@site.org", "BOB@site.org", "10.1.2.3", "+1 (555) 010-9999", "4111 1111 1111 1111"]
+    entities = ["ann@site.org", "BOB@site.org", "10.1.2.3", "+1 (555) 010-9999", "4111 1111 1111 1111", "eve@site.org", "kim@site.org"]
     rows = []
-    for i in range(220):
+    for i in range(260):
         words = [rng.choice(vocabulary) for _ in range(rng.randint(2, 9))] + ([f"rare{i}"] if rng.random() < 0.3 else [])
         if rng.random() < 0.3:
-            k = min(4, int(rng.expovariate(0.8)))
-            words += [entities[k]] + ([f"friend{k}"] if rng.random() < 0.8 else [])
+            k = min(6, int(rng.expovariate(0.5)))
+            words += [entities[k]] + ([f"friend{k}"] if rng.random() < 0.9 else [])
         rng.shuffle(words)
         rows += [" ".join(words)] * rng.choice((1, 1, 1, 2))
     rows += [None, "", "friend0 alone"]
-    want = brute_disclosing(rows, disclose, math.log(4))
+    want = brute_disclosing(rows, disclose, common)
     df = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
-    for r in privacy.find(df, disclose=disclose, information=math.log(4)).collect():
+    for r in privacy.find(df, disclose=disclose, common=common).collect():
         base = [(s.start, s.end) for k in PII for s in r[f"_{k}"]]
         found = {(m.start(), m.end(), want[m[0].lower()]) for m in re.finditer(r"[^\W_]+", r.text or "") if m[0].lower() in want and not any(s < m.end() and m.start() < e for s, e in base)}
         assert {(s.start, s.end, s.value) for s in r._terms} == found, r.text
-    assert {"", *want.values()} and len(want) > 3
+    assert len(want) >= 1
+
+
+def test_rare_words_beside_an_entity_stay(spark):
+    """An ordinary document with an address keeps its words, however rare; copies of it are no further support."""
+    rows = [(i, f"common words of every note and {' '.join(f'own{i}x{j}' for j in range(60))}") for i in range(300)]
+    rows += [(1000 + i, f"write to ann{i // 3}@site.org about {' '.join(f'rare{i // 3}y{j}' for j in range(60))}") for i in range(60)]
+    got = privacy.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(len(r._email) == (r.doc_id >= 1000) and not r._terms for r in got)
+
+
+def test_a_long_text_beside_an_entity_takes_linear_time(spark):
+    import time
+
+    words = " ".join(f"new{i}word" for i in range(20_000))
+    rows = [(i, f"plain note {i}") for i in range(400)] + [(1000, f"ann@site.org {words}")] + [(2000 + i, f"bob@site.org shared {i} {words[: 13 * 4000]}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    privacy.find(df.limit(5)).count()
+    began = time.time()
+    got = {r.doc_id: len(r._terms) for r in privacy.find(df).collect()}
+    assert got[1000] > 3000 and got[2000] == got[2007] > 3000 and got[0] == 0
+    assert time.time() - began < 60
 
 
 def test_many_matches_in_one_text(spark):
