@@ -91,12 +91,14 @@ def weighted_metric(rows: DataFrame, metric: str, value: str = "value") -> DataF
 
 
 def net_bridge(df: DataFrame) -> DataFrame:
-    """Steps from operating profit to net income: non-operating gain or loss, tax or tax benefit, and a closing residual
-    where the three leave more than 0.08 and 1 %."""
+    """Steps from operating profit to net income: a loss beyond 0.05 that gross profit does not cover, non-operating gain or
+    loss, tax or tax benefit, and a closing residual where these leave more than 0.08 and 1 %."""
     c = F.col
     zero = F.lit(0).cast(M)
     gap = m(c("net_income") - (c("operating_income") + F.coalesce("non_operating", zero) - F.coalesce("tax", zero)))
+    overflow = c("gross_profit").isNotNull() & (c("operating_income") < F.lit("-0.05").cast("decimal(4,2)"))
     steps = F.array(
+        F.struct(F.lit("operating_loss_overflow").alias("step"), F.when(overflow, m(c("operating_income"))).alias("amount")),
         F.struct(F.when(c("non_operating") >= 0, "non_operating_gain").otherwise("non_operating_loss").alias("step"), c("non_operating").alias("amount")),
         F.struct(F.when(c("tax") >= 0, "tax").otherwise("tax_benefit").alias("step"), m(-c("tax")).alias("amount")),
         F.struct(F.lit("other").alias("step"), F.when(F.abs(gap) > limit(F.abs(c("net_income")), "0.08", "0.01"), gap).alias("amount")),
@@ -106,23 +108,25 @@ def net_bridge(df: DataFrame) -> DataFrame:
 
 def bridge_edges(df: DataFrame) -> DataFrame:
     """Flows revenue -> cost and gross, gross -> opex and operating profit, operating profit -> net income and tax and
-    other; a loss flows in from 'loss', so what enters a stage leaves it."""
+    other; a loss flows in from 'loss', so what enters a stage leaves it. Costs above revenue are such a loss too; no opex is
+    covered by gross profit then. Quarters without gross profit have no edges."""
     c, zero = F.col, F.lit(0).cast(M)
     pos = lambda x: m(F.greatest(x, zero))
     operating = m(c("gross_profit") - c("operating_expenses"))
     rest = m(operating - c("net_income"))
     edges = [
-        ("revenue", "cost_of_revenue", pos(c("revenue") - c("gross_profit"))),
-        ("revenue", "gross_profit", m(c("gross_profit"))),
-        ("gross_profit", "operating_expenses", m(F.least(c("operating_expenses"), c("gross_profit")))),
-        ("loss", "operating_expenses", pos(-operating)),
+        ("revenue", "cost_of_revenue", pos(F.least(c("revenue"), m(c("revenue") - c("gross_profit"))))),
+        ("loss", "cost_of_revenue", pos(-c("gross_profit"))),
+        ("revenue", "gross_profit", pos(c("gross_profit"))),
+        ("gross_profit", "operating_expenses", m(F.least(c("operating_expenses"), pos(c("gross_profit"))))),
+        ("loss", "operating_expenses", pos(c("operating_expenses") - pos(c("gross_profit")))),
         ("gross_profit", "operating_income", pos(operating)),
         ("operating_income", "net_income", m(F.least(pos(operating), pos(c("net_income"))))),
         ("operating_income", "deductions", F.when(operating > 0, pos(operating - pos(c("net_income"))))),
         ("gains", "net_income", pos(pos(c("net_income")) - pos(operating))),
     ]
     flows = F.array(*(F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), v.alias("amount")) for a, b, v in edges))
-    return df.where(c("gross_profit") >= 0).withColumn("_rest", rest).select(*QUARTER, F.explode(flows).alias("f")).select(*QUARTER, "f.*").where("amount > 0")
+    return df.where(c("gross_profit").isNotNull()).withColumn("_rest", rest).select(*QUARTER, F.explode(flows).alias("f")).select(*QUARTER, "f.*").where("amount > 0")
 
 
 def outcome_flags(df: DataFrame) -> DataFrame:

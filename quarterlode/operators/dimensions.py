@@ -22,7 +22,7 @@ SERVICE_MEMBERS = ("servicemember", "servicesmember", "serviceothermember")
 SERVICE_WORDS = ("service", "cloud", "subscription", "seller", "advertising", "webservices")
 # Fixed values. Places, and words that only places are made of.
 PLACES = ("americas", "asia pacific", "canada", "china", "domestic", "emea", "europe", "foreign", "greater china", "international", "japan", "latin america", "north america", "rest of asia pacific", "rest of world", "south america", "united states", "worldwide")
-PLACE_WORDS = ("americas", "america", "north", "south", "east", "west", "international", "europe", "asia", "pacific", "greater", "china", "japan", "domestic", "foreign", "world", "worldwide", "global", "region", "regions", "rest", "of", "the", "united", "states")
+PLACE_WORDS = ("americas", "america", "north", "south", "east", "west", "international", "europe", "asia", "pacific", "greater", "china", "japan", "domestic", "foreign", "world", "worldwide", "global", "region", "regions", "rest", "of", "the", "united", "states", "us", "canada", "latin", "emea", "apac")
 # Fixed values. Revenue concepts and their priority; any other name that ends like revenue has 70.
 REVENUE_CONCEPTS = {
     "RevenueFromContractWithCustomerExcludingAssessedTax": 120,

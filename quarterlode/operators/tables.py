@@ -97,7 +97,7 @@ def period_columns(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def row_series(cells: Column, count: Column, absolute: Column) -> Column:
     """The first `count` numbers of a row after its label; null if there are fewer. A small whole number before much
     larger ones is a footnote and skipped."""
-    values = F.filter(F.transform(F.slice(cells, 2, 1_000), parse_number), lambda v: v.isNotNull())
+    values = F.filter(F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells), F.lit(1))), parse_number), lambda v: v.isNotNull())
     values = F.transform(values, lambda v: F.when(absolute, F.abs(v)).otherwise(v))
     first, rest = F.get(values, F.lit(0)), F.slice(values, F.lit(2), F.greatest(count, F.lit(1)))
     note = (F.size(values) > count) & (F.abs(first - F.round(first)) < 1e-9) & first.between(0, 999) & (F.array_max(F.transform(rest, lambda v: F.abs(v))) > F.greatest(F.abs(first) * 100, F.lit(10_000.0)))

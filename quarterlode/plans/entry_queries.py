@@ -87,11 +87,10 @@ def q2(t):
     return Q.clear_bridge(s, ["gross_profit", "net_income"]).select("company_id", "q_index", "gross_profit", "net_income", "cleared")
 
 
-@query("q3_repair_units", "SELECT company_id, q_index, member_key, CASE WHEN coalesce(mx > 500 AND mx > revenue * 8 AND sm > revenue * 8, false) THEN CAST(value AS DECIMAL(24,2)) ELSE value / 1000 END AS value FROM (SELECT a.*, CASE WHEN a.q_index % 3 = 0 THEN value * 1000 ELSE value END AS v, s.revenue, max(CASE WHEN a.q_index % 3 = 0 THEN value * 1000 ELSE value END) OVER w AS mx, sum(CASE WHEN a.q_index % 3 = 0 THEN value * 1000 ELSE value END) OVER w AS sm FROM segments a LEFT JOIN statements s USING (company_id, q_index) WINDOW w AS (PARTITION BY a.company_id, a.q_index)) WHERE q_index % 3 = 0 AND revenue IS NOT NULL", money="value")
+@query("q3_repair_units", "SELECT company_id, q_index, member_key, CASE WHEN NOT coalesce(mx > 500 AND mx > revenue * 8 AND sm > revenue * 8, false) THEN v::DOUBLE WHEN q_index % 3 = 0 THEN value::DOUBLE ELSE round(value::DOUBLE / 1000, 3) END AS value FROM (SELECT *, max(v) OVER w AS mx, sum(v) OVER w AS sm FROM (SELECT a.*, CASE WHEN a.q_index % 3 = 0 THEN value * 1000 ELSE value END AS v, s.revenue FROM segments a LEFT JOIN statements s USING (company_id, q_index)) WINDOW w AS (PARTITION BY company_id, q_index))", money="value")
 def q3(t):
     rows = t.segments.select("company_id", "q_index", "member_key", F.when(F.col("q_index") % 3 == 0, F.col("value") * 1000).otherwise(F.col("value")).cast("decimal(24,2)").alias("value"))
-    done = Q.repair_units(rows, t.statements).join(t.statements.select("company_id", "q_index"), ["company_id", "q_index"], "left_semi")
-    return done.where("q_index % 3 = 0")
+    return Q.repair_units(rows, t.statements)
 
 
 @query("q4_eligible_quarters", "SELECT company_id, q_index FROM (SELECT *, bool_or(ok) OVER (PARTITION BY company_id) AS some_ FROM (SELECT s.company_id, s.q_index, company_id % 4 <> 0 AND s.q_index % 4 IN (1, 3) AND EXISTS (SELECT 1 FROM segments g WHERE g.company_id = s.company_id AND g.q_index = s.q_index) AS ok FROM statements s)) WHERE ok OR NOT some_")

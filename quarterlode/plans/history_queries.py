@@ -264,21 +264,27 @@ def v18(t):
     return V.weighted_metric(t.segments.withColumn("metric", F.when(F.ascii("member_key") % 3 > 0, F.ascii("member_key"))), "metric")
 
 
+LOSSES = COMPLETE + """, lossy AS (SELECT * REPLACE (CASE WHEN (company_id + q_index) % 6 = 4 THEN -operating_income ELSE operating_income END AS operating_income) FROM full_)"""
+
+
 @query("v19_net_bridge", """SELECT company_id, q_index, step, amount FROM (
-  SELECT company_id, q_index, CASE WHEN non_operating >= 0 THEN 'non_operating_gain' ELSE 'non_operating_loss' END AS step, non_operating AS amount FROM full_ UNION ALL SELECT company_id, q_index, CASE WHEN tax >= 0 THEN 'tax' ELSE 'tax_benefit' END, -tax FROM full_
-  UNION ALL SELECT company_id, q_index, 'other', gap FROM (SELECT *, net_income - (operating_income + coalesce(non_operating, 0) - coalesce(tax, 0)) AS gap FROM full_) WHERE abs(gap) > greatest(0.08, abs(net_income) * 0.01)) WHERE amount <> 0""", COMPLETE, money="amount")
+  SELECT company_id, q_index, CASE WHEN non_operating >= 0 THEN 'non_operating_gain' ELSE 'non_operating_loss' END AS step, non_operating AS amount FROM lossy UNION ALL SELECT company_id, q_index, CASE WHEN tax >= 0 THEN 'tax' ELSE 'tax_benefit' END, -tax FROM lossy
+  UNION ALL SELECT company_id, q_index, 'operating_loss_overflow', operating_income FROM lossy WHERE operating_income < -0.05 AND gross_profit IS NOT NULL
+  UNION ALL SELECT company_id, q_index, 'other', gap FROM (SELECT *, net_income - (operating_income + coalesce(non_operating, 0) - coalesce(tax, 0)) AS gap FROM lossy) WHERE abs(gap) > greatest(0.08, abs(net_income) * 0.01)) WHERE amount <> 0""", LOSSES, money="amount")
 def v19(t):
-    return V.net_bridge(A.complete_statement(t.statements))
+    loss = (F.col("company_id") + F.col("q_index")) % 6 == 4
+    return V.net_bridge(A.complete_statement(t.statements).withColumn("operating_income", F.when(loss, -F.col("operating_income")).otherwise(F.col("operating_income"))))
 
 
-EDGES = """e AS (SELECT company_id, q_index, revenue, gross_profit AS g, opex AS o, net_income AS n, gross_profit - opex AS p FROM opex WHERE gross_profit >= 0),
-  edges AS (SELECT * FROM (SELECT company_id, q_index, unnest(['revenue', 'revenue', 'gross_profit', 'loss', 'gross_profit', 'operating_income', 'operating_income', 'gains']) AS source, unnest(['cost_of_revenue', 'gross_profit', 'operating_expenses', 'operating_expenses', 'operating_income', 'net_income', 'deductions', 'net_income']) AS target,
-    unnest([greatest(revenue - g, 0), g, least(o, g), greatest(-p, 0), greatest(p, 0), least(greatest(p, 0), greatest(n, 0)), CASE WHEN p > 0 THEN greatest(greatest(p, 0) - greatest(n, 0), 0) END, greatest(greatest(n, 0) - greatest(p, 0), 0)]) AS amount FROM e) WHERE amount > 0)"""
+EDGES = """e AS (SELECT company_id, q_index, revenue, g, o, n, g - o AS p FROM (SELECT company_id, q_index, revenue, CASE WHEN (company_id + q_index) % 7 = 5 THEN -gross_profit ELSE gross_profit END AS g, opex AS o, net_income AS n FROM opex) WHERE g IS NOT NULL),
+  edges AS (SELECT * FROM (SELECT company_id, q_index, unnest(['revenue', 'loss', 'revenue', 'gross_profit', 'loss', 'gross_profit', 'operating_income', 'operating_income', 'gains']) AS source, unnest(['cost_of_revenue', 'cost_of_revenue', 'gross_profit', 'operating_expenses', 'operating_expenses', 'operating_income', 'net_income', 'deductions', 'net_income']) AS target,
+    unnest([greatest(least(revenue, revenue - g), 0), greatest(-g, 0), greatest(g, 0), least(o, greatest(g, 0)), greatest(o - greatest(g, 0), 0), greatest(p, 0), least(greatest(p, 0), greatest(n, 0)), CASE WHEN p > 0 THEN greatest(greatest(p, 0) - greatest(n, 0), 0) END, greatest(greatest(n, 0) - greatest(p, 0), 0)]) AS amount FROM e) WHERE amount > 0)"""
 
 
 @query("v20_bridge_edges", "SELECT * FROM edges", f"{OPEX}, {EDGES}", money="amount")
 def v20(t):
-    return V.bridge_edges(staged(t))
+    loss = (F.col("company_id") + F.col("q_index")) % 7 == 5
+    return V.bridge_edges(staged(t).withColumn("gross_profit", F.when(loss, -F.col("gross_profit")).otherwise(F.col("gross_profit"))))
 
 
 @query("v24_outcome_flags", "SELECT company_id, q_index, coalesce(operating_income < -0.02, false) AS operating_loss, coalesce(net_income < -0.05, false) AS net_loss, CASE WHEN abs(net_income) < 0.05 THEN 'near-zero' WHEN net_income < -0.05 THEN 'loss' ELSE 'profit' END AS outcome FROM statements")

@@ -41,10 +41,9 @@ def s6(t):
     return S.read_wide_statement(table).select("company_id", "quarter", "revenue", "cost_of_revenue", "net_income")
 
 
-@query("s7_read_overrides", "SELECT CAST(company_id AS VARCHAR) AS company, quarter, revenue, CAST(NULL AS DOUBLE) AS tax FROM statements WHERE q_index % 5 = 0", money="revenue")
+@query("s7_read_overrides", "SELECT CAST(company_id AS VARCHAR) AS company, quarter, revenue, CAST(NULL AS DOUBLE) AS tax FROM statements", money="revenue")
 def s7(t):
-    s = t.statements.where("q_index % 5 = 0")
-    q = s.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("quarter", F.struct("revenue", F.lit("n/a").alias("tax"))))).alias("q"))
+    q = t.statements.groupBy("company_id").agg(F.map_from_entries(F.collect_list(F.struct("quarter", F.struct("revenue", F.lit("n/a").alias("tax"))))).alias("q"))
     docs = q.select(F.to_json(F.create_map(F.col("company_id").cast("string"), "q")).alias("body"))
     return S.read_overrides(docs, ("revenue", "tax"))
 
@@ -69,9 +68,9 @@ def s9(t):
     return S.derive_opex_from_profit_items(at).select("company_id", "q_index", F.get("opex", F.lit(0))["name"].alias("first_item"), F.size("opex").alias("items"))
 
 
-@query("s12_write_dataset", "SELECT c.company_id, count(s.q_index) AS quarter_count, count(g.q_index) AS segment_quarter_count, min(s.q_index) AS first_q, coalesce(sum(g.n), 0)::BIGINT AS segment_rows FROM companies c LEFT JOIN statements s USING (company_id) LEFT JOIN (SELECT company_id, q_index, count(*) AS n FROM segments WHERE q_index % 2 = 0 GROUP BY ALL) g ON g.company_id = s.company_id AND g.q_index = s.q_index GROUP BY c.company_id")
+@query("s12_write_dataset", "SELECT c.company_id, count(s.q_index) AS quarter_count, count(g.q_index) AS segment_quarter_count, min(s.q_index) AS first_q, coalesce(sum(g.n), 0)::BIGINT AS segment_rows FROM companies c LEFT JOIN statements s USING (company_id) LEFT JOIN (SELECT company_id, q_index, count(*) AS n FROM segments GROUP BY ALL) g ON g.company_id = s.company_id AND g.q_index = s.q_index GROUP BY c.company_id")
 def s12(t):
-    docs = S.dataset(t.companies.select("company_id", "name"), t.statements, t.segments.where("q_index % 2 = 0"))
+    docs = S.dataset(t.companies.select("company_id", "name"), t.statements, t.segments)
     rows = F.aggregate(F.coalesce("quarters", F.array()), F.lit(0).cast("long"), lambda a, q: a + F.greatest(F.size(q["segments"]), F.lit(0)))
     return docs.select("company_id", "quarter_count", "segment_quarter_count", F.get("quarters", F.lit(0))["q_index"].alias("first_q"), rows.alias("segment_rows"))
 

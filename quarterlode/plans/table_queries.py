@@ -54,14 +54,13 @@ def c5(t):
     return t.sql("SELECT * FROM named", NAMES).select("p_partkey", E.match_field(F.col("label")).alias("field"))
 
 
-@query("c6_row_series", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(12,2)) * CASE WHEN l_linenumber % 4 = 1 AND l_linenumber % 2 = 0 THEN -1 ELSE 1 END END AS first_number, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE 2 END AS numbers FROM lineitem WHERE l_extendedprice > 10001", money="first_number")
+@query("c6_row_series", "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 4 = 3 THEN NULL WHEN l_linenumber % 4 = 2 AND l_extendedprice <= 10000 THEN 7 ELSE CAST(l_extendedprice AS DECIMAL(12,2)) END AS first_number, CASE WHEN l_linenumber % 4 = 3 THEN NULL ELSE 2 END AS numbers FROM lineitem", money="first_number")
 def c6(t):
     price = F.format_number(F.col("l_extendedprice").cast("decimal(12,2)"), 2)
     k = F.col("l_linenumber") % 4
-    lead = F.when(F.col("l_extendedprice") > 99900, "7").otherwise("7")
-    cells = F.when(k == 0, F.array(F.lit("x"), price, price)).when(k == 1, F.array(F.lit("x"), F.concat(F.lit("("), price, F.lit(")")), price)).when(k == 2, F.array(F.lit("x"), lead, price, F.lit("$"), price)).otherwise(F.array(F.lit("x"), price, F.lit("—")))
+    cells = F.when(k == 0, F.array(F.lit("x"), price, price)).when(k == 1, F.array(F.lit("x"), F.concat(F.lit("("), price, F.lit(")")), price)).when(k == 2, F.array(F.lit("x"), F.lit("7"), price, F.lit("$"), price)).otherwise(F.array(F.lit("x"), price, F.lit("—")))
     v = E.row_series(cells, F.lit(2), k == 1)
-    return t.lineitem.where("l_extendedprice > 10001").select("l_orderkey", "l_linenumber", F.get(v, F.lit(0)).alias("first_number"), F.when(v.isNotNull(), F.size(v)).alias("numbers"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.get(v, F.lit(0)).alias("first_number"), F.when(v.isNotNull(), F.size(v)).alias("numbers"))
 
 
 @query("c9_table_entries", f"""SELECT company_id, doc, q_index, span, CASE WHEN span = 1 THEN 'direct' ELSE 'cumulative' END AS value_mode, CAST(r * 1000 AS DECIMAL(20,2)) AS revenue, CAST(c * 1000 AS DECIMAL(20,2)) AS cost_of_revenue, CAST((r - c) * 1000 AS DECIMAL(20,2)) AS gross_profit FROM (
@@ -71,12 +70,12 @@ def c9(t):
     return E.table_entries(rows, ("company_id", "doc")).select("company_id", "doc", "q_index", "span", "value_mode", "revenue", "cost_of_revenue", "gross_profit")
 
 
-@query("c7_line_rows", """SELECT company_id, q_index, 1 AS line_no, 'Total revenue' AS label, 'revenue' AS field, 2 AS numbers, revenue AS first_number FROM pairs UNION ALL SELECT company_id, q_index, 2, 'Cost of sales', 'revenue', 2, -cost FROM pairs
+@query("c7_line_rows", """SELECT company_id, q_index, 0 AS line_no, 'Notes and things Total revenue' AS label, 'revenue' AS field, 2 AS numbers, revenue AS first_number FROM pairs UNION ALL SELECT company_id, q_index, 1 AS line_no, 'Total revenue' AS label, 'revenue' AS field, 2 AS numbers, revenue AS first_number FROM pairs UNION ALL SELECT company_id, q_index, 2, 'Cost of sales', 'revenue', 2, -cost FROM pairs
   UNION ALL SELECT company_id, q_index, 4, 'Operating expenses', 'operating_expenses', 0, NULL FROM pairs UNION ALL SELECT company_id, q_index, 5, 'of which tax', NULL, 2, tax FROM pairs""", PAIRS, money="first_number")
 def c7(t):
     money = lambda c: F.format_number(F.col(c), 2)
     text = F.concat_ws("\n", F.lit("Notes and things"), F.concat_ws("  ", F.lit("Total revenue"), money("revenue"), F.lit("and"), money("r4")), F.lit("Cost of sales:"), F.concat(F.lit("("), money("cost"), F.lit(") ("), money("c4"), F.lit(")")), F.lit("Operating expenses"), F.concat_ws(" ", F.lit("of which tax"), money("tax"), F.lit("1"))).alias("text")
-    return E.line_rows(pairs(t).select("company_id", "q_index", text), KEYS).where("line_no > 0").select("company_id", "q_index", "line_no", "label", "field", F.size("numbers").alias("numbers"), F.get("numbers", F.lit(0)).alias("first_number"))
+    return E.line_rows(pairs(t).select("company_id", "q_index", text), KEYS).select("company_id", "q_index", "line_no", "label", "field", F.size("numbers").alias("numbers"), F.get("numbers", F.lit(0)).alias("first_number"))
 
 
 COVERS = """covers AS (SELECT conv_id, turn, concat(text, CASE WHEN turn = 1 THEN CASE conv_id % 5 WHEN 0 THEN ' 2023 年 第三季度报告 rmb' WHEN 1 THEN ' 2022年半年度报告 ' WHEN 2 THEN ' 2021年年度报告 HKD' WHEN 3 THEN ' 2020年 ' ELSE '' END ELSE '' END) AS text FROM conversations)"""
