@@ -153,6 +153,22 @@ def opens_phase(anchor: Column, quarter: Column) -> Column:
     return ~same & bound(pair, told)
 
 
+def reconciled(rows: Column, total: Column, least: float) -> Column:
+    """Rows against a total, as history.reconcile_to_total: none below the least coverage, over 1.12 scaled down, under 0.94
+    with the rest as a residual row."""
+
+    def told(s: Column) -> Column:
+        cover, rest = s.cast("double") / total.cast("double"), total - s
+        scaled = F.transform(rows, lambda r: F.struct(r["key"].alias("key"), F.round((r["v"].cast("decimal(18,0)") * total.cast("decimal(18,0)") / s.cast("decimal(18,0)")).cast("decimal(38,6)"), 0).cast("long").alias("v"), r["opt"].alias("opt")))
+        own = F.exists(rows, lambda r: r["key"] == "otherrevenue")
+        grown = F.transform(rows, lambda r: F.struct(r["key"].alias("key"), (r["v"] + F.when(r["key"] == "otherrevenue", rest).otherwise(0)).alias("v"), r["opt"].alias("opt")))
+        added = F.concat(rows, F.array(F.struct(F.lit("otherrevenue").alias("key"), rest.alias("v"), F.lit(True).alias("opt"))))
+        full = F.when(cover > 1.12, scaled).when((cover < 0.94) & (rest > 30), F.when(own, grown).otherwise(added)).otherwise(rows)
+        return F.when(cover < least, F.array().cast(ROWS)).otherwise(ordered(full))
+
+    return F.when((total > LEAST) & (F.size(rows) > 0), bound(sum_of(rows), told)).otherwise(rows)
+
+
 def phases(quarters: DataFrame) -> DataFrame:
     """quarters with `phase` (null outside phases), `anchor` (q_index of the phase's anchor) and `member` (whether the
     quarter is of the phase itself, not a single hole in it).

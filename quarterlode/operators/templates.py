@@ -79,7 +79,7 @@ def fill(picked: DataFrame) -> DataFrame:
     the last template of the template's phase the mean shares of the EDGE templates there, times the quarter's total.
 
     What rounding leaves above four thousandths goes to the row of the largest share (ties: the first key)."""
-    shares = F.when(sum_of(F.col("rows")) > LEAST, F.transform("rows", lambda r: F.struct((r["v"].cast("double") / sum_of(F.col("rows")).cast("double")).alias("s"), r["key"].alias("key")))).otherwise(F.array().cast("array<struct<s:double,key:string>>"))
+    shares = shares_of(F.col("rows"))
     wp = Window.partitionBy("company_id", "phase")
     named = F.col("phase").isNotNull()
     first, last = (F.row_number().over(wp.orderBy(o)) for o in (F.col("idx").asc(), F.col("idx").desc()))
@@ -93,10 +93,16 @@ def fill(picked: DataFrame) -> DataFrame:
     at = picked.where("from_idx is not null").select(*QUARTER, "from_idx", "total").join(of, ["company_id", "from_idx"])
     at = at.withColumn("_side", F.when(F.col("q_index") < F.col("_low"), "before").when(F.col("q_index") > F.col("_high"), "behind"))
     at = at.join(ends, ["company_id", "_edge", "_side"], "left").withColumn("_use", F.coalesce("_mean", "_s"))
-    return at.select(*QUARTER, "from_idx", _from_shares(F.col("_use"), F.col("total")).alias("rows")).where(F.size("rows") > 0)
+    return at.select(*QUARTER, "from_idx", from_shares(F.col("_use"), F.col("total")).alias("rows")).where(F.size("rows") > 0)
 
 
-def _from_shares(shares: Column, total: Column) -> Column:
+def shares_of(rows: Column) -> Column:
+    """(s, key) of rows that add up to more than LEAST."""
+    none = F.array().cast("array<struct<s:double,key:string>>")
+    return bound(sum_of(rows), lambda t: F.when(t > LEAST, F.transform(rows, lambda r: F.struct((r["v"].cast("double") / t.cast("double")).alias("s"), r["key"].alias("key")))).otherwise(none))
+
+
+def from_shares(shares: Column, total: Column) -> Column:
     """Rows of a total by shares made to add up to 1; nothing without a total."""
 
     def valued(x: Column) -> Column:
