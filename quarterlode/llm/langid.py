@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarterlode.llm.common import documents
+from quarterlode.llm.common import documents, small_batches
 
 SAMPLE_DOCS = 150  # of each language, those of the least hash: the bound of what is collected
+MOST_LANGUAGES = 200
 SAMPLE_CHARS = 6_000  # of a sampled document, cut at a place that its hash gives
 DICTIONARIES, DICTIONARY_BYTES = 1, 64_000  # of each language
 PIECE = 6_000  # characters compressed at once
@@ -32,11 +33,16 @@ def plain(text: str) -> str:
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> dict[str, tuple[bytes, ...]]:
     """Dictionaries by language from rows with text and language; a language of few texts gets what there is.
 
-    Window and limit are pushed below the shuffle, so a language that holds most rows sends sample_docs rows a task."""
-    h = F.xxhash64(F.col(key), F.lit(3))
-    size = F.length(F.col(text))
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (size > 0)).select(F.col(lang).alias("lang"), h.alias("h"), F.expr(f"substring({text}, cast(1 + pmod(xxhash64({key}, 5), greatest(1, length({text}) - {SAMPLE_CHARS})) as int), {SAMPLE_CHARS})").alias("part"))
+    Rows of null text, empty text or null language teach nothing; repeated rows count once in a dictionary; an empty table
+    gives no dictionary. Columns may have any names. What is collected is sample_docs times SAMPLE_CHARS of each language, for
+    at most MOST_LANGUAGES languages, an error beyond. Window and limit are pushed below the shuffle, so a language that
+    holds most rows sends sample_docs rows a task."""
+    own, name, key_ = (F.col(f"`{c}`") for c in (text, lang, key))
+    at = 1 + F.pmod(F.xxhash64(key_, F.lit(5)), F.greatest(F.lit(1), F.length(own) - SAMPLE_CHARS)).cast("int")
+    rows = docs.where(name.isNotNull() & (F.length(own) > 0)).select(name.alias("lang"), F.xxhash64(key_, F.lit(3)).alias("h"), F.substring(own, at, F.lit(SAMPLE_CHARS)).alias("part"))
     top = rows.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("r") <= sample_docs)
+    if top.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     texts: dict[str, list[tuple[int, str]]] = {}
     for row in top.select("lang", "r", "part").toLocalIterator():
         texts.setdefault(row.lang, []).append((row.r, plain(row.part)))
@@ -94,7 +100,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, tuple[bytes, ...]], *, tex
                 score.append(1.0 if len(found) == 1 else (found[1][0] - found[0][0]) / max(found[1][0], 1.0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array([s >= margin and p != "und" for p, s in zip(pred, score, strict=True)])], names=[*batch.schema.names, *made])
 
-    return kept.mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, lang_sure boolean"]))
+    return small_batches(kept).mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, lang_sure boolean"]))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -15,7 +15,8 @@ from quarterlode.llm.common import WORD, documents, freeze, is_small, packed, sa
 SOURCE_WEIGHTS = (3, 1, 2)  # by place in code point order, repeating
 SHARE = 1.5  # of all sizes
 MAX_EPOCHS = 2
-ROWS_PER_BUCKET = 2_000
+EDGES = 255  # quantiles of a source's keys that its budget's end is sought between, LEVELS times
+LEVELS = 2
 SEED = 7
 
 
@@ -59,26 +60,39 @@ def sampling_key(doc_id: Column, text: Column, quality: Column | None, seed: int
     return -F.log(uniform(doc_id, seed)) / (text_quality(text) if quality is None else quality)
 
 
+def _narrowed(rows: DataFrame, salt: Column) -> DataFrame:
+    """(source, before, low, high): the keys between two quantiles among which a source's budget ends, and the words before
+    them. rows: key, size, rest, and before, the words before all of them."""
+    edges = freeze(rows.groupBy("source").agg(F.percentile_approx("key", [(i + 1) / (EDGES + 1) for i in range(EDGES)], 10 * EDGES).alias("edges")))
+    rows = salted_join(rows, edges, "source", salt, is_small(edges, "source", most=200))
+    jumps = F.array(*(F.lit(1 << s) for s in range(EDGES.bit_length() - 1, -1, -1)))
+    bucket = F.aggregate(jumps, F.lit(0), lambda at, jump: F.when(F.get("edges", at + jump - 1) < F.col("key"), at + jump).otherwise(at))
+    sums = rows.withColumn("bucket", bucket).groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"), F.min("key").alias("low"), F.max("key").alias("high"))
+    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    ends = sums.withColumn("before", (F.col("before") + F.sum("words").over(order) - F.col("words")).cast("long")).where(F.col("before") <= F.col("rest"))
+    cut = ends.groupBy("source").agg(F.max(F.struct("bucket", "before", "low", "high")).alias("c"))
+    return freeze(cut.select("source", "c.before", "c.low", "c.high"))
+
+
 def decide(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", quality: Column | None = None, seed: int = SEED, weights: tuple[int, ...] = SOURCE_WEIGHTS, share: float = SHARE, epochs: int = MAX_EPOCHS) -> DataFrame:
-    """mix() with the figures behind it: key, bucket, whole epochs, whether the sampled epoch takes the row."""
+    """mix() with the figures behind it: key, whole epochs, whether the sampled epoch takes the row."""
     thin = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), sampling_key(F.col(doc_id), F.col(text), quality, seed).alias("key"))
     thin = freeze(thin)
     stats = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     plan = fill_targets(stats, weights, share, epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-    plan = freeze(plan.withColumn("buckets", F.ceil(F.col("n") / F.lit(float(ROWS_PER_BUCKET)))))
-    small, salt = is_small(plan, "source"), F.xxhash64("doc_id")
+    plan = freeze(plan)
+    small, salt = is_small(plan, "source"), F.xxhash64("doc_id", "key")
     rows = salted_join(thin, plan, "source", salt, small)
-    rows = rows.withColumn("bucket", F.least(F.floor(F.col("buckets") * (1.0 - F.exp(-F.col("key")))), F.col("buckets") - 1))
-    sums = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    order = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    ends = sums.withColumn("before", F.sum("words").over(order) - F.col("words")).where(F.col("before") <= F.col("rest"))
-    cut = ends.groupBy("source").agg(F.max(F.struct("bucket", "before")).alias("c")).select("source", F.col("c.bucket").alias("cut"), F.col("c.before").alias("before"))
-    rows = salted_join(rows, freeze(cut), "source", salt, small)
-    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.where("bucket = cut").withColumn("_upto", F.col("before") + F.sum("size").over(inside) - F.col("size"))
-    edge = edge.withColumn("chosen", F.col("_upto") + F.col("size") / 2.0 <= F.col("rest")).drop("_upto")
-    rows = rows.where("bucket <> cut").withColumn("chosen", F.col("bucket") < F.col("cut")).unionByName(edge)
+    inside = rows.withColumn("before", F.lit(0).cast("long"))
+    for _ in range(LEVELS):
+        cut = _narrowed(inside, salt)
+        inside = salted_join(rows, cut, "source", salt, small).where("key between low and high")
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.col("before") + F.sum("size").over(order) - F.col("size")
+    edge = inside.withColumn("chosen", upto + F.col("size") / 2.0 <= F.col("rest"))
+    rest = salted_join(rows, cut, "source", salt, small).where("not key between low and high")
+    rows = rest.withColumn("chosen", F.col("key") < F.col("low")).unionByName(edge)
     return rows.withColumn("repeats", (F.col("whole") + F.col("chosen").cast("long")).cast("long"))
 
 
@@ -89,8 +103,9 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     Null text: size 0, taken 0. Null source: a source of its own, last. Repeated rows are separate documents whose keys
     tie; ties go by size. Empty table: empty result. Other columns are ignored.
 
-    Sources may be of any size: the words of key buckets are summed first, so only documents of the one bucket in which
-    a source's budget ends are put in order."""
+    Sources may be of any size and their keys of any distribution: words are summed between quantiles of a source's keys,
+    twice, so only one of some 65,000 documents, those among which the budget ends, is put in order. Rows of one key stay
+    together. Targets are computed over one row of each source, sorted in one task: sources are names, not hosts."""
     return decide(docs, **how).select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("repeats")).cast("long").alias("taken"), "repeats")
 
 
@@ -101,13 +116,12 @@ def mixed_documents(docs: DataFrame, *, text: str = "text", source: str = "sourc
     So rows need no identity, and repeated rows that tie at the end of a budget are taken or left together."""
     own = {"text": text, "source": source, "doc_id": doc_id, **how}
     rows = decide(docs, **own)
-    last = F.max(F.when(F.col("chosen"), F.struct("bucket", "key", "_id", "size")))
-    ends = freeze(rows.withColumnRenamed("doc_id", "_id").groupBy("source").agg(F.first("whole").alias("_whole"), F.first("buckets").alias("_buckets"), last.alias("_last")).withColumnRenamed("source", "_source"))
+    last = F.max(F.when(F.col("chosen"), F.struct("key", "_id", "size")))
+    ends = freeze(rows.withColumnRenamed("doc_id", "_id").groupBy("source").agg(F.first("whole").alias("_whole"), last.alias("_last")).withColumnRenamed("source", "_source"))
     get = F.col("_in").getField
     body = packed(docs).withColumns({"_source": get(source), "_key": sampling_key(get(doc_id), get(text), how.get("quality"), how.get("seed", SEED)), "_id": get(doc_id), "_size": word_count(get(text))})
     body = salted_join(body, ends, "_source", F.xxhash64("_id"), is_small(ends, "_source"))
-    bucket = F.least(F.floor(F.col("_buckets") * (1.0 - F.exp(-F.col("_key")))), F.col("_buckets") - 1)
-    place = F.struct(bucket.alias("bucket"), F.col("_key").alias("key"), F.col("_id"), F.col("_size").alias("size"))
+    place = F.struct(F.col("_key").alias("key"), F.col("_id"), F.col("_size").alias("size"))
     times = F.col("_whole") + F.coalesce(place <= F.col("_last"), F.lit(False)).cast("long")
     return unpacked(body.withColumn("_times", times).where("_times > 0").withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))), docs.columns)
 

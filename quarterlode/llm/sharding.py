@@ -58,13 +58,13 @@ def descend(doc_id: Column, leaves: tuple[Leaf, ...], seed: int = 11) -> Column:
 def shard(docs: DataFrame, leaves: tuple[Leaf, ...], *, grown: tuple[Leaf, ...] | None = None, doc_id: str = "doc_id", text: str = "text", seed: int = 11) -> DataFrame:
     """Rows (doc_id, size, text_crc32, shard, slot, grown_shard), one for each row of docs.
 
-    Null text: size 1, CRC of nothing (0). Rows with the same id share a shard. Slots follow the chunk and hash of the
-    id, then id, CRC and size; rows equal in these are alike. Empty table: empty result. Other columns are ignored.
+    Null text: size 1, CRC of nothing (0). Rows with the same id share a shard. Slots follow the chunk and hash of id
+    and CRC, then id, CRC and size; rows equal in these are alike. Empty table: empty result. Other columns are ignored.
 
     A shard may hold any share of the rows: rows are numbered in chunks by hash, offset by the chunks before."""
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     thin = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(F.coalesce(F.col(text), F.lit(""))) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    thin = freeze(thin.withColumns({"shard": descend(F.col("doc_id"), leaves, seed), "grown_shard": descend(F.col("doc_id"), grown, seed) if grown else F.lit(None).cast("int"), "_h": F.xxhash64("doc_id", F.lit(seed))}))
+    thin = freeze(thin.withColumns({"shard": descend(F.col("doc_id"), leaves, seed), "grown_shard": descend(F.col("doc_id"), grown, seed) if grown else F.lit(None).cast("int"), "_h": F.xxhash64("doc_id", "text_crc32", F.lit(seed))}))
     chunks = max(1, thin.count() // (ROWS_PER_CHUNK * max(1, len(leaves))))
     thin = thin.withColumn("_chunk", F.pmod("_h", F.lit(chunks)))
     counts = thin.groupBy("shard", "_chunk").agg(F.count(F.lit(1)).alias("_n"))

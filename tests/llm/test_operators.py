@@ -371,3 +371,47 @@ def test_cotraining(spark, odd, clashing, empty):
     assert cotrain.score(empty, model).count() == 0
     none = cotrain.fit(odd, labels.limit(0))
     assert none.views is None and cotrain.score(odd, none).where("kept").count() == sum(bool(words(r.text)) for r in odd.collect())
+
+
+def test_mix_with_keys_far_from_uniform(spark):
+    """A source of poor quality keeps its order and budget, whatever its keys look like."""
+    rng = random.Random(8)
+    rows = [(i, "; ".join(f"{rng.randint(0, 99)},{rng.randint(0, 9)}" for _ in range(rng.randint(1, 20))), "table") for i in range(4000)] + [(5000 + i, "plain words here", "prose") for i in range(300)] + [(9000, "same ; row 1", "table")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.decide(df, epochs=1, share=0.4).collect()
+    for source in ("table", "prose"):
+        own = sorted((r for r in got if r.source == source), key=lambda r: (r.key, r.doc_id, r["size"]))
+        before = 0
+        for r in own:
+            assert r.chosen == (before + r["size"] / 2 <= r.rest), r
+            before += r["size"]
+    assert 100 < sum(r.chosen for r in got if r.source == "table") < 3950
+
+
+def plain_costs(text, model):
+    import re
+
+    import zstandard as z
+
+    clean = " " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " "
+    out = {}
+    for name, parts in model.items():
+        total = 0
+        for d in parts:
+            c = z.ZstdCompressor(level=7, dict_data=z.ZstdCompressionDict(d, dict_type=z.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            total += sum(len(c.compress(clean[i : i + langid.PIECE].encode())) for i in range(0, len(clean), langid.PIECE)) / len(parts)
+        out[name] = total
+    return out
+
+
+def test_languages_equal_a_plain_version(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumnRenamed("text", "my text")
+    model = langid.fit(docs, text="my text")
+    got = {r.doc_id: r for r in langid.identify(docs, model, text="my text").collect()}
+    assert len(model) >= 3 and langid.identify(docs, model, text="my text").columns[: len(docs.columns)] == docs.columns
+    for doc_id, text in ((r.doc_id, r["my text"]) for r in docs.collect()):
+        if text is None or not any(map(str.isalpha, text)):
+            assert got[doc_id].lang_pred == "und" and got[doc_id].score == 0
+            continue
+        order = sorted((c, name) for name, c in plain_costs(text, model).items())
+        assert got[doc_id].lang_pred == order[0][1] and math.isclose(got[doc_id].score, (order[1][0] - order[0][0]) / order[1][0])
