@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarterlode.operators import headers as H
 from quarterlode.operators import sections as S
 from quarterlode.plans.registry import query
 
@@ -43,3 +44,17 @@ _REL = RELEASES + """, told AS (SELECT *, CASE WHEN company_id % 4 = 1 THEN 2001
 def c11(t):
     pages = t.sql("SELECT * FROM release", RELEASES).select(F.struct("company_id", F.col("q_index").alias("q")).alias("doc"), F.lit(0).alias("page_no"), F.replace("text", F.lit("NL"), F.lit("\n")).alias("text"), "filing_date")
     return S.release_summary(pages, "doc").select("doc.company_id", F.col("doc.q").alias("doc_q"), "q_index", "fiscal_year", "fiscal_quarter", "revenue", "operating_income", "net_income")
+
+
+#: Pages for each statement whose first lines tell their periods in six ways.
+HEADS = """heads AS (SELECT company_id, q_index AS doc, y + 10 AS y, qn, (company_id + q_index) % 6 AS k, concat('Statement NL', CASE (company_id + q_index) % 6 WHEN 0 THEN concat('Income | Three Months Ended | Nine Months Ended NL | ', mon, ' 28, NL | ', y + 10, ' | ', y + 9, ' | ', y + 10, ' | ', y + 9) WHEN 1 THEN concat('Q', qn, ' ', y + 10, ' and ', qn, 'Q', y + 9, ' NL ', y + 10, 'Q', qn)
+    WHEN 2 THEN concat('Fiscal Year ended June 30 NL Q', qn, ' YTD NL FY', y + 10, ' Fiscal Year ', y + 9) WHEN 3 THEN concat('Fiscal year ended ', mon, ' 30 NL FY', y + 10, ' NL First NL quarter NL fourth quarter and 2nd Quarter') WHEN 4 THEN concat('Six months ended ', mon, ' 28, NL ', y + 10, ' ', y + 9, ' ', y + 8) ELSE concat('截至', y + 10, '年', qn * 3, '月28日止六个月期间') END) AS text
+  FROM (SELECT *, CASE qn WHEN 1 THEN 'February' WHEN 2 THEN 'May' WHEN 3 THEN 'August' ELSE 'November' END AS mon FROM statements) s)"""
+_HEADS = HEADS + """, posed AS (SELECT *, (y - 1) * 12 + (CASE WHEN k = 2 THEN 6 ELSE qn * 3 - 1 END) - 1 AS last_, unnest(CASE k WHEN 0 THEN [0, 1, 2, 3] WHEN 1 THEN [0, 1] WHEN 2 THEN [0, 1] WHEN 3 THEN [0, 1, 2] WHEN 4 THEN [0, 1] ELSE [0] END) AS pos FROM heads)"""
+
+
+@query("c18_page_periods", """SELECT company_id, doc, pos::INT AS pos, (CASE k WHEN 0 THEN (y - pos % 2) * 4 + qn - 1 WHEN 2 THEN (last_ + 12 - pos * 12 - (4 - qn) * 3) // 3 WHEN 3 THEN (last_ + 12 - (4 - [1, 4, 2][pos + 1]) * 3) // 3 ELSE (y - pos) * 4 + qn - 1 END)::INT AS q_index,
+  CASE k WHEN 0 THEN CASE WHEN pos < 2 THEN 1 ELSE 3 END WHEN 2 THEN qn WHEN 4 THEN 2 WHEN 5 THEN 2 ELSE 1 END AS span FROM posed""", _HEADS)
+def c18(t):
+    pages = t.sql("SELECT company_id, doc, text FROM heads", HEADS).withColumn("text", F.replace("text", F.lit("NL"), F.lit("\n")))
+    return H.page_periods(pages, ("company_id", "doc"))
