@@ -1,7 +1,9 @@
 """Near-duplicate embeddings by a forest of random-projection trees.
 
-Every tree splits its nodes again and again on random projections, where few rows stand; rows nearer to the split than
-a share of the distance that linked rows may have go to both sides (spill overlap), until a node is a leaf. A node too
+Every tree splits its nodes again and again on random projections, where few rows stand; in its first SPILL_LEVELS levels
+rows nearer to the split than a share of the distance that linked rows may have go to both sides (spill overlap), below
+these every row goes to one side, until a node is a leaf. So a row has a bounded number of copies in a tree, and larger
+tables get more trees instead. A node too
 tight to be parted that way (a dense group) stays a leaf of any size, compared in blocks: no group is cut through again
 and again. Rows that share a leaf in any tree are compared exactly, in double precision. A pair is counted only in the
 first leaf that it shares, which each row's list of leaves tells, so no pair ever leaves its task: leaves give counts of
@@ -21,7 +23,10 @@ from pyspark.sql import functions as F
 
 from quarterlode.llm.common import components, freeze
 
-TREES = 4
+TREES = 4  # at least; see trees_for
+SPILL_LEVELS = 4
+KEPT_SPILLED, KEPT_HARD = 0.98, 0.856  # shares of pairs at the threshold that a split leaves together, with and without overlap
+MISSED = 0.03  # of such pairs by all trees
 LEAF_ROWS = 4_000
 CHUNK = 500  # rows of a leaf that are compared with all of it at once
 SPARSE_PAIRS = 200_000
@@ -62,9 +67,10 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cuts(q: Column, spill: float, reach: float) -> Column:
-    """The best split (low, high) of a node by its quantiles in twentieths; null if none makes it smaller.
+    """The best split (low, high, at) of a node by its quantiles in twentieths; null if none makes it smaller.
 
-    Rows up to `high` go to one side, rows from `low` to the other. Best: the fewest rows go to both."""
+    Rows up to `high` go to one side, rows from `low` to the other. Best: the fewest rows go to both. A hard split is at
+    `at`, and only made where this one can be."""
 
     def split(i: Column) -> Column:
         at = F.get(q, i)
@@ -74,12 +80,22 @@ def cuts(q: Column, spill: float, reach: float) -> Column:
         low, high = F.least(low, beyond(-steps)), F.greatest(high, beyond(steps))
         # Rows up to the n-th quantile are n twentieths; what lies between two quantiles counts in full.
         left, right = (F.size(F.filter(q, lambda y: y <= high)) + 1) / 20.0, (F.size(F.filter(q, lambda y: y >= low)) + 1) / 20.0
-        return F.struct((left + right).alias("both"), F.greatest(left, right).alias("side"), (left * left + right * right).alias("work"), low.alias("low"), high.alias("high"))
+        return F.struct((left + right).alias("both"), F.greatest(left, right).alias("side"), (left * left + right * right).alias("work"), low.alias("low"), high.alias("high"), at.alias("at"))
 
     tried = F.transform(F.sequence(F.lit(3), F.lit(15)), split)
     return F.array_min(F.filter(tried, lambda s: (s["side"] <= SIDE + 1e-9) & (s["work"] <= WORK)))
 
 
+def trees_for(rows: int, leaf_rows: int) -> int:
+    """How many trees leave MISSED of the pairs at the threshold unfound: the more levels split hard, the more."""
+    at, levels = rows, 0.0
+    for _ in range(SPILL_LEVELS):
+        if at > leaf_rows:
+            at, levels = at * 0.62, levels + 1
+    kept = KEPT_SPILLED**levels * KEPT_HARD ** max(0.0, math.log2(max(at, 1) / leaf_rows))
+    return max(TREES, math.ceil(math.log(MISSED) / math.log(max(1 - kept, 1e-9))))
+
+
 def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, threshold: float = THRESHOLD, seed: int = 5, levels: int = 6) -> DataFrame:
     """(node, v) -> (node, leaf, rows): the leaves of all trees that each row is in, with their numbers of rows.
 
@@ -92,17 +108,18 @@ def grow(nodes: DataFrame, *, trees: int = TREES, leaf_rows: int = LEAF_ROWS, sp
     while True:
         stats = open_.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows"), *(F.percentile_approx(F.element_at("p", i + 1), shares, 2000).alias(f"q{i}") for i in range(AXES)))
         best = F.array(*(cuts(F.col(f"q{i}"), spill, reach).alias(f"c{i}") for i in range(AXES)))
-        best = F.transform(best, lambda c, i: F.when(c.isNotNull(), F.struct(c["both"].alias("both"), i.alias("axis"), c["low"].alias("low"), c["high"].alias("high"))))
+        best = F.transform(best, lambda c, i: F.when(c.isNotNull(), F.struct(c["both"].alias("both"), i.alias("axis"), c["low"].alias("low"), c["high"].alias("high"), c["at"].alias("at"))))
         stats = stats.withColumn("cut", F.when(F.col("rows") > leaf_rows, F.array_min(best)))
-        stats = freeze(stats.select("leaf", "rows", "cut.axis", "cut.low", "cut.high", F.col("cut").isNotNull().alias("open")))
+        stats = freeze(stats.select("leaf", "rows", "cut.axis", "cut.low", "cut.high", "cut.at", F.col("cut").isNotNull().alias("open")))
         here = open_.join(stats, "leaf")
         leaves = here.where("not open").select("node", "leaf", "rows")
         done = leaves if done is None else done.unionByName(leaves)
         if stats.where("open").isEmpty():
             return done
         x = F.element_at("p", F.col("axis") + 1)
-        sides = F.array(F.when(x <= F.col("high"), F.xxhash64("leaf", F.lit(0))), F.when(x >= F.col("low"), F.xxhash64("leaf", F.lit(1))))
-        split = here.where("open").withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "axis", "low", "high", "open").withColumn("p", F.slice("p", AXES + 1, width))
+        left, right = (x <= F.col("high"), x >= F.col("low")) if depth < SPILL_LEVELS else (x <= F.col("at"), x > F.col("at"))
+        sides = F.array(F.when(left, F.xxhash64("leaf", F.lit(0))), F.when(right, F.xxhash64("leaf", F.lit(1))))
+        split = here.where("open").withColumn("leaf", F.explode(F.array_compact(sides))).drop("rows", "axis", "low", "high", "at", "open").withColumn("p", F.slice("p", AXES + 1, width))
         depth += 1
         if depth % levels == 0:  # new random directions for the next levels
             split = split.drop("p").join(project(nodes, trees, depth * AXES, width, seed).drop("size"), ["node", "tree"])
@@ -164,11 +181,11 @@ def compare(batch: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"node": ids[some], "links": links[some], "other": ids[label[some]]})
 
 
-def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, trees: int = TREES, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, seed: int = 5) -> DataFrame:
+def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, trees: int | None = None, leaf_rows: int = LEAF_ROWS, spill: float = SPILL, seed: int = 5) -> DataFrame:
     """Rows (vec_id, n_links, component_id, kept), one for each row of df.
 
     Linked: cosine >= threshold in double precision; no pair below it is linked, a pair above it is missed only if all
-    trees part it. Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
+    trees part it (trees: None means as many as trees_for says). Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
     unlike sizes do not link. Rows of one direction (to 12 places; repeated rows, scaled copies) are one node, all
     linked with each other and never expanded into pairs. component_id: the smallest vec_id reachable; a null vec_id
     counts for nothing in it. Empty table: empty result; other columns are ignored."""
@@ -179,7 +196,7 @@ def near_duplicates(df: DataFrame, *, vec_id: str = "vec_id", vector: str = "emb
     good = good.withColumn("_n", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda a, y: a + y * y)))
     good = freeze(good.select("vec_id", "v", F.xxhash64(F.transform("_s", lambda y: F.round(y / F.col("_n"), 12) + 0.0)).alias("node")))
     nodes = freeze(good.groupBy("node").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id")))
-    leaves = grow(nodes, trees=trees, leaf_rows=leaf_rows, spill=spill, threshold=threshold, seed=seed)
+    leaves = grow(nodes, trees=trees or trees_for(nodes.count(), leaf_rows), leaf_rows=leaf_rows, spill=spill, threshold=threshold, seed=seed)
     mine = leaves.groupBy("node").agg(F.collect_set(F.struct("leaf", "rows")).alias("l"))
     # Rows alone in a leaf need not go there. Each row takes along only the leaves before the one it goes to.
     placed = nodes.join(mine, "node").select("node", "v", "copies", "l", F.explode("l").alias("leaf")).where("leaf.rows > 1")
