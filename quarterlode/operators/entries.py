@@ -18,6 +18,18 @@ def entry_score(fields: Sequence[str], breakdown: Column | None = None, cost: st
     return F.struct(have.alias("fields"), listed.alias("breakdown"), F.col(cost).isNotNull().cast("int").alias("cost"), F.round(F.coalesce(F.abs("revenue"), F.lit(0).cast(M)) * 1000).alias("size"))
 
 
+# Fixed values. How sources and value modes of entries read from pages rank; others have 0.
+PAGE_SOURCES = {"generic-ir-pdf-release-summary": 2, "generic-ir-pdf-summary": 1}
+VALUE_MODES = {"direct": 2, "derived": 1}
+
+
+def page_entry_score(fields: Sequence[str], breakdown: Column, source: str = "source", value_mode: str = "value_mode", cost: str = "cost_of_revenue") -> Column:
+    """entry_score of entries read from pages: before size come the rank of the source and of the value mode."""
+    rank = lambda table, c: F.coalesce(F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[c], F.lit(0))
+    plain = entry_score(fields, breakdown, cost)
+    return F.struct(*(plain[c].alias(c) for c in ("fields", "breakdown", "cost")), rank(PAGE_SOURCES, F.col(source)).alias("source"), rank(VALUE_MODES, F.lower(F.coalesce(value_mode, F.lit("")))).alias("mode"), plain["size"].alias("size"))
+
+
 def merge_period_entries(df: DataFrame, fields: Sequence[str], rank: Column, keys: Sequence[str] = QUARTER) -> DataFrame:
     """One entry of each key: every field from the highest ranked entry that has it; flags united."""
     picks = [F.max_by(f, F.when(F.col(f).isNotNull(), rank)).alias(f) for f in fields]

@@ -84,14 +84,18 @@ def alias_match(items: DataFrame, name: str = "name") -> DataFrame:
     return labels.join(_aliases(items), ["kind", "key"]).groupBy("kind", "name").agg(F.min_by("category", "ord").alias("category"))
 
 
-def keyword_vote(items: DataFrame, name: str = "name") -> DataFrame:
-    """(kind, name, category, votes): the category with most keywords inside the label; ties by category id."""
+def keyword_vote(items: DataFrame, name: str = "name", *more: str) -> DataFrame:
+    """(kind, name, more…, category, votes): the category with most keywords inside the label and its further texts (names in
+    another language, keys, targets), each text counting for itself; ties by category id."""
+    texts = ["name", *more]
     rows = [(kind, c, w) for kind, cats in KEYWORDS.items() for c, words in cats.items() for w in words]
-    rules = F.broadcast(items.sparkSession.createDataFrame(rows, "kind string, category string, word string"))
-    labels = items.select("kind", F.col(name).alias("name")).distinct().withColumn("key", label_key(F.col("name")))
-    votes = labels.join(rules, (labels["kind"] == rules["kind"]) & F.contains(labels["key"], rules["word"])).groupBy(labels["kind"], "name", "category").agg(F.count(F.lit(1)).alias("votes"))
-    top = votes.groupBy("kind", "name").agg(F.min_by(F.struct("category", "votes"), F.struct((-F.col("votes")).alias("v"), "category")).alias("t"))
-    return top.select("kind", "name", "t.*")
+    rules = F.broadcast(items.sparkSession.createDataFrame(rows, "rule_kind string, category string, word string"))
+    labels = items.select("kind", F.col(name).alias("name"), *more).distinct().withColumns({f"_key{i}": label_key(F.col(c)) for i, c in enumerate(texts)})
+    hits = sum((F.contains(f"_key{i}", "word").cast("int") for i in range(len(texts))), F.lit(0))
+    found = labels.join(rules, (F.col("kind") == F.col("rule_kind")) & (hits > 0))
+    votes = found.groupBy("kind", *texts, "category").agg(F.sum(hits).alias("votes"))
+    top = votes.groupBy("kind", *texts).agg(F.min_by(F.struct("category", "votes"), F.struct((-F.col("votes")).alias("v"), "category")).alias("t"))
+    return top.select("kind", *texts, "t.*")
 
 
 def _label_table(items: DataFrame) -> DataFrame:

@@ -27,6 +27,20 @@ def e1(t):
     return entries(t).select("company_id", "q_index", "source_id", F.row_number().over(Window.partitionBy("company_id", "q_index").orderBy(rank().desc())).alias("place"))
 
 
+_PAGED = f"""{ENTRIES}, paged AS (SELECT *, CASE (company_id + q_index + length(source_id)) % 3 WHEN 0 THEN 'generic-ir-pdf-release-summary' WHEN 1 THEN 'generic-ir-pdf-summary' ELSE 'generic-ir-pdf' END AS source, CASE (company_id * 2 + q_index + length(source_id)) % 3 WHEN 0 THEN 'Direct' WHEN 1 THEN 'derived' END AS value_mode, (company_id + q_index) % 2 = 0 AND source_id <> 'manual_financials' AS listed FROM entries)"""
+
+
+@query("e1_page_entry_score", f"""SELECT company_id, q_index, source_id, row_number() OVER (PARTITION BY company_id, q_index ORDER BY {_HAVE} DESC, listed DESC, (cost_of_revenue IS NOT NULL) DESC, CASE source WHEN 'generic-ir-pdf-release-summary' THEN 2 WHEN 'generic-ir-pdf-summary' THEN 1 ELSE 0 END DESC,
+  CASE lower(value_mode) WHEN 'direct' THEN 2 WHEN 'derived' THEN 1 ELSE 0 END DESC, coalesce(abs(revenue), 0) DESC, source_id DESC) AS place FROM paged""", _PAGED)
+def e1_page(t):
+    from pyspark.sql import Window
+
+    k, n = F.col("company_id") + F.col("q_index"), F.length("source_id")
+    at = entries(t).withColumns({"source": F.when((k + n) % 3 == 0, "generic-ir-pdf-release-summary").when((k + n) % 3 == 1, "generic-ir-pdf-summary").otherwise("generic-ir-pdf"), "value_mode": F.when((k + F.col("company_id") + n) % 3 == 0, "Direct").when((k + F.col("company_id") + n) % 3 == 1, "derived")})
+    score = F.struct(E.page_entry_score(FIELDS, (k % 2 == 0) & (F.col("source_id") != "manual_financials")).alias("s"), "source_id")
+    return at.select("company_id", "q_index", "source_id", F.row_number().over(Window.partitionBy("company_id", "q_index").orderBy(score.desc())).alias("place"))
+
+
 @query("e2_merge_period_entries", f"SELECT company_id, q_index, {', '.join(f'arg_max({f}, {_R}) FILTER ({f} IS NOT NULL) AS {f}' for f in FIELDS)}, arg_max(source_id, {_R}) AS source_id, CASE WHEN max(flags) > 0 THEN 'x' ELSE '' END AS flags FROM ranked GROUP BY 1, 2", RANKED, money=" ".join(FIELDS))
 def e2(t):
     return E.merge_period_entries(entries(t), FIELDS, rank())

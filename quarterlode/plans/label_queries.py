@@ -45,6 +45,17 @@ def t4(t):
     return T.keyword_vote(t.labels_seen)
 
 
+_NOTED = """noted AS (SELECT DISTINCT kind, name, CASE company_id % 4 WHEN 0 THEN 'Research & development' WHEN 1 THEN 'Shipping, delivery' WHEN 2 THEN 'advertising' ELSE '' END AS target FROM labels_seen),
+  hits AS (SELECT n.kind, n.name, n.target, w.category, sum(contains({0}, w.word)::INT + contains({1}, w.word)::INT) AS votes FROM noted n JOIN word_t w ON w.kind = n.kind AND (contains({0}, w.word) OR contains({1}, w.word)) GROUP BY ALL)""".format(KEY.format("n.name"), KEY.format("n.target"))
+
+
+@query("t4_keyword_vote_texts", "SELECT kind, name, target, category, votes::BIGINT AS votes FROM hits QUALIFY row_number() OVER (PARTITION BY kind, name, target ORDER BY votes DESC, category) = 1", f"{ALIAS}, {_NOTED}")
+def t4_texts(t):
+    k = F.col("company_id") % 4
+    target = F.when(k == 0, "Research & development").when(k == 1, "Shipping, delivery").when(k == 2, "advertising").otherwise("")
+    return T.keyword_vote(t.labels_seen.withColumn("target", target), "name", "target")
+
+
 @query("t5_normalize_breakdown", "SELECT * FROM normal", NORMAL, money="value")
 def t5(t):
     return T.normalize_breakdown(t.labels_seen).drop("names")

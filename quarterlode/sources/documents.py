@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from quarterlode.functions.periods import q_index
 from quarterlode.operators.dimensions import DIMS, local_name, revenue_priority
@@ -72,13 +73,15 @@ def read_overrides(docs: DataFrame, fields: Sequence[str], body: str = "body") -
 
 def expand_supplements(supplements: DataFrame, quarters: DataFrame, fields: Sequence[str] = tuple(SUPPLEMENT_ITEMS)) -> DataFrame:
     """supplements: (company_id, quarter or '_default', fields…, profile map) -> one row of each asked quarter of a
-    company that has any: its own values over the default ones, the profile map as a whole likewise, and the single
-    values as breakdown items. A company has one default row, so the join repeats nothing."""
+    company that has any: its own values over the default ones, and the single values as breakdown items. Maps among these (the profile, and
+    margins by segment) are merged key by key. A company has one default row, so the join repeats nothing."""
+    maps = {f.name for f in supplements.schema.fields if isinstance(f.dataType, MapType)}
     own = supplements.where("quarter <> '_default'")
     default = supplements.where("quarter = '_default'").select("company_id", *(F.col(f).alias(f"_{f}") for f in (*fields, "profile")))
     any_ = supplements.select("company_id").distinct()
     at = quarters.select("company_id", "quarter").join(any_, "company_id", "left_semi").join(own, ["company_id", "quarter"], "left").join(default, "company_id", "left")
-    at = at.select("company_id", "quarter", *(F.coalesce(f, f"_{f}").alias(f) for f in (*fields, "profile")))
+    over = lambda f: F.coalesce(F.map_zip_with(f"_{f}", f, lambda k, a, b: F.coalesce(b, a)), F.col(f), F.col(f"_{f}")) if f in maps else F.coalesce(f, f"_{f}")
+    at = at.select("company_id", "quarter", *(over(f).alias(f) for f in (*fields, "profile")))
     at = at.where(" or ".join(f"{f} is not null" for f in (*fields, "profile")))
     items = [F.when(F.col(f).isNotNull(), F.struct(F.lit(kind).alias("kind"), F.lit(name).alias("name"), F.col(f).alias("value"))) for f, (kind, name) in SUPPLEMENT_ITEMS.items() if f in fields]
     return at.withColumn("items", F.array_compact(F.array(*items)))
