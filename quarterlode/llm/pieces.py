@@ -26,7 +26,7 @@ from quarterlode.llm.common import documents, small_batches
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_SEGMENTS = 400_000  # in each of two generations
+CACHE_SEGMENTS = 200_000  # in each of two generations
 CACHE_LENGTH = 48  # of a segment, in code points
 
 
