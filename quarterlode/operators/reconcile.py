@@ -202,6 +202,9 @@ ALIGNED = (("revenue", "0.12", "0.006"), ("gross_profit", "0.12", "0.008"), ("pr
 OPERATING = (("operating_expenses", "0.24", "0"), ("operating_income", "0.24", "0.4"), ("non_operating", "0.4", "0.4"))
 BRIDGE = ("revenue", "cost_of_revenue", "gross_profit", "sgna", "rnd", "other_opex", "operating_expenses", "operating_income", "non_operating", "pretax_income", "tax", "net_income")
 STAGE = BRIDGE[3:]
+# Fixed values. Rates that go with the lines; those from the operating margin on go with the operating stage.
+RATES = ("revenue_yoy_pct", "revenue_qoq_pct", "gross_margin_pct", "gross_margin_yoy_delta_pp", "operating_margin_pct", "operating_margin_yoy_delta_pp", "net_income_yoy_pct", "profit_margin_pct", "profit_margin_yoy_delta_pp", "effective_tax_rate_pct")
+STAGE_RATES = RATES[4:]
 
 
 def mismatch(first: Column, other: Column) -> Column:
@@ -230,15 +233,17 @@ def stage_mismatch(p: DataFrame, f: DataFrame) -> DataFrame:
 def merge_fallback(p: DataFrame, f: DataFrame, slack: float = 0.25) -> DataFrame:
     """Missing lines from the fallback. All bridge lines that it has come from it where cost and gross profit are both
     missing, it has revenue, cost and gross profit, and operating expenses (or the segments' sum, column `segments`)
-    exceed revenue by more than `slack` (or 8 %); the lines from SG&A on where mismatch() says so."""
+    exceed revenue by more than `slack` (or 8 %); the lines from SG&A on where mismatch() says so. Rates that both sides have
+    (RATES) go with the lines."""
+    rates = [c for c in RATES if c in p.columns and c in f.columns]
     d = lambda x: F.lit(str(x)).cast("decimal(10,4)")
-    other = f.select(*QUARTER, F.struct(*BRIDGE).alias("_f"))
-    at = p.select(*QUARTER, F.struct(*BRIDGE, "segments").alias("_p")).join(other, list(QUARTER), "full_outer")
+    other = f.select(*QUARTER, F.struct(*BRIDGE, *rates).alias("_f"))
+    at = p.select(*QUARTER, F.struct(*BRIDGE, *rates, "segments").alias("_p")).join(other, list(QUARTER), "full_outer")
     first, back = F.col("_p"), F.col("_f")
     lacks = first["cost_of_revenue"].isNull() & first["gross_profit"].isNull()
     whole = back["revenue"].isNotNull() & back["cost_of_revenue"].isNotNull() & back["gross_profit"].isNotNull()
     over = F.coalesce(first["operating_expenses"] > first["revenue"] + d(slack), F.lit(False)) | F.coalesce(first["segments"] > first["revenue"] + F.greatest(d(slack), first["revenue"] * d(0.08)), F.lit(False))
     there = first.isNotNull() & back.isNotNull()
     broken, off = there & lacks & whole & over, there & mismatch(first, back)
-    line = lambda n: F.when(broken | (off & F.lit(n in STAGE)), F.coalesce(back[n], first[n])).otherwise(F.coalesce(first[n], back[n])).alias(n)
-    return at.select(*QUARTER, *(line(n) for n in BRIDGE), F.when(broken, "financial-fallback").when(off, "operating-stage-fallback").otherwise("").alias("fallback"))
+    line = lambda n: F.when(broken | (off & F.lit(n in (*STAGE, *STAGE_RATES))), F.coalesce(back[n], first[n])).otherwise(F.coalesce(first[n], back[n])).alias(n)
+    return at.select(*QUARTER, *(line(n) for n in (*BRIDGE, *rates)), F.when(broken, "financial-fallback").when(off, "operating-stage-fallback").otherwise("").alias("fallback"))

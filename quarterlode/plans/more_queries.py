@@ -46,6 +46,20 @@ def r12(t):
     return R.merge_fallback(*two(t))
 
 
+_RATED = FALL + """, first_r AS (SELECT *, q_index % 7 AS revenue_yoy_pct, CASE WHEN q_index % 2 = 0 THEN company_id % 5 END AS operating_margin_pct, q_index % 4 AS effective_tax_rate_pct FROM first_), fall_r AS (SELECT *, 100 + q_index % 7 AS revenue_yoy_pct, 200 + company_id % 5 AS operating_margin_pct, CASE WHEN q_index % 3 = 1 THEN 300 END AS effective_tax_rate_pct FROM fall)"""
+_RATES = {"revenue_yoy_pct": False, "operating_margin_pct": True, "effective_tax_rate_pct": True}
+_RATE_LINES = ", ".join(f"CASE WHEN {_THERE} AND ({_BROKEN}{' OR ' + _MISMATCH if stage else ''}) THEN coalesce(f.{n}, p.{n}) ELSE coalesce(p.{n}, f.{n}) END AS {n}" for n, stage in _RATES.items())
+
+
+@query("r12_merge_fallback_rates", f"SELECT company_id, q_index, {_RATE_LINES} FROM first_r p FULL JOIN fall_r f USING (company_id, q_index)", _RATED)
+def r12_rates(t):
+    p, f = two(t)
+    q, c = F.col("q_index"), F.col("company_id")
+    p = p.withColumns({"revenue_yoy_pct": q % 7, "operating_margin_pct": F.when(q % 2 == 0, c % 5), "effective_tax_rate_pct": q % 4})
+    f = f.withColumns({"revenue_yoy_pct": 100 + q % 7, "operating_margin_pct": 200 + c % 5, "effective_tax_rate_pct": F.when(q % 3 == 1, 300)})
+    return R.merge_fallback(p, f).select("company_id", "q_index", *_RATES)
+
+
 @query("r13_stage_mismatch", f"SELECT p.company_id, p.q_index, {_MISMATCH} AS mismatch FROM first_ p JOIN fall f USING (company_id, q_index)", FALL)
 def r13(t):
     return R.stage_mismatch(*two(t))
