@@ -156,6 +156,14 @@ def s11(t):
     return S.keep_last_good(s, s.where("company_id % 5 = 0 and q_index % 2 = 0").withColumn("revenue", (F.col("revenue") + 1).cast("decimal(20,2)")))
 
 
+@query("s11_merge_errors", "SELECT company_id, CASE WHEN company_id % 4 = 1 THEN concat('b', company_id % 2, ',c') WHEN company_id % 5 <> 0 THEN concat('a,b', company_id % 3) ELSE concat('a,b', company_id % 3, CASE WHEN company_id % 3 <> company_id % 2 THEN concat(',b', company_id % 2) ELSE '' END, ',c') END AS errors FROM companies WHERE company_id % 4 <> 1 OR company_id % 5 = 0")
+def s11_errors(t):
+    b = lambda n: F.concat(F.lit("b"), (F.col("company_id") % n).cast("string"))
+    old = t.companies.where("company_id % 4 <> 1").select("company_id", F.array(F.lit("a"), b(3), F.lit("a")).alias("errors"))
+    new = t.companies.where("company_id % 5 = 0").select("company_id", F.array(b(2), F.lit("c")).alias("errors"))
+    return S.merge_errors(old, new).select("company_id", F.array_join("errors", ",").alias("errors"))
+
+
 @query("s13_resolve_identifier", "SELECT c.company_id, c.name AS ticker, r.registry_id FROM companies c LEFT JOIN (SELECT regexp_replace(upper(replace(c_name, 'Customer', 'Supplier')), '[^A-Z0-9]+', '', 'g') AS k, min(c_custkey) AS registry_id FROM customer GROUP BY 1) r ON r.k = regexp_replace(upper(c.name), '[^A-Z0-9]+', '', 'g')")
 def s13(t):
     registry = t.customer.select(F.replace("c_name", F.lit("Customer"), F.lit("Supplier")).alias("ticker"), F.col("c_custkey").alias("registry_id"))

@@ -40,6 +40,13 @@ def keep_last_good(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.unionByName(old.join(new.select("company_id").distinct(), "company_id", "left_anti"))
 
 
+def merge_errors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(company_id, errors) of both: a company's old errors, then those of the refresh that it had not yet, each once."""
+    a, b = old.select("company_id", F.col("errors").alias("_a")), new.select("company_id", F.col("errors").alias("_b"))
+    none = F.array().cast("array<string>")
+    return a.join(b, "company_id", "full_outer").select("company_id", F.array_distinct(F.concat(F.coalesce("_a", none), F.coalesce("_b", none))).alias("errors"))
+
+
 def ticker_key(ticker: Column) -> Column:
     return F.regexp_replace(F.upper(ticker), "[^A-Z0-9]+", "")
 
