@@ -64,7 +64,7 @@ def b22_groups(t):
 REBALANCE = f"""{BETWEEN},
   same AS (SELECT *, list_sort({_KEYS.format('rows')}) AS keys FROM near2 WHERE len(rows) >= 2 AND len(pr) >= 2 AND len(nr) >= 2 AND total > 20 AND list_sort({_KEYS.format('rows')}) = list_sort({_KEYS.format('pr')}) AND list_sort({_KEYS.format('rows')}) = list_sort({_KEYS.format('nr')})
     AND NOT coalesce(has_raw AND NOT reported_only AND NOT insufficient AND NOT filled AND source <> 'fallback-reported' AND (coverage IS NULL OR coverage BETWEEN 0.94 AND 1.12) AND {_SUM.format("list_filter(rows, lambda r: r.key = 'otherrevenue')")}::DOUBLE / total <= 0.05, false) AND CASE WHEN mean > 20 THEN total::DOUBLE / mean ELSE 1 END < 1.3),
-  spread AS (SELECT company_id, q_index, total, r.key AS key, i, r.v::DOUBLE / cs AS s, {_MEAN.format('r.key')} AS m FROM (SELECT *, unnest(rows) AS r, unnest(range(1, len(rows) + 1)) AS i FROM same)),
+  spread AS (SELECT company_id, q_index, total, k AS key, i, own / cs AS s, {_MEAN.format('k')} AS m FROM (SELECT * EXCLUDE (r), r.key AS k, r.v::DOUBLE AS own FROM (SELECT *, unnest(rows) AS r, unnest(range(1, len(rows) + 1)) AS i FROM same) x) y),
   off AS (SELECT company_id, q_index FROM spread GROUP BY 1, 2 HAVING max(abs(s - m)) > 0.3 AND max(s) > 0.68),
   even AS (SELECT *, round(total::DOUBLE * least(m, 1))::BIGINT AS v FROM spread SEMI JOIN off USING (company_id, q_index))"""
 
