@@ -51,7 +51,15 @@ def sourced(t):
     return t.sql("SELECT * FROM sourced", SOURCED), t.sql("SELECT * FROM entry_t", SOURCED)
 
 
-@query("b4_score_candidate", "SELECT company_id, q_index, source, score::BIGINT AS score, n FROM scored", SCORE)
+#: The same scores with shares held against their bounds in whole thousandths: as doubles a share that lies on a bound may fall to either side.
+EXACT = SOURCED + """, per AS (SELECT s.company_id, s.q_index, source, count(*) AS n, CAST(sum(value) * 1000 AS HUGEINT) AS s, CAST(max(value) * 1000 AS HUGEINT) AS top, count(*) FILTER (contains(lower(name), 'operating segments')) AS whole, median(filing_date - period_end) AS lag, CAST(any_value(revenue) * 1000 AS HUGEINT) AS revenue
+    FROM sourced s LEFT JOIN entry_t USING (company_id, q_index) GROUP BY ALL),
+  scored AS (SELECT *, CASE WHEN n >= 2 THEN 22 ELSE -14 END + CASE WHEN n >= 3 THEN 5 ELSE 0 END - greatest(n - 7, 0) * 4 - greatest(n - 10, 0) * 5
+    + CASE WHEN revenue IS NULL OR revenue <= 20 THEN 0 WHEN abs(s - revenue) * 100 <= revenue * 8 THEN 18 WHEN abs(s - revenue) * 100 <= revenue * 25 THEN 10 WHEN s * 100 < revenue * 36 OR s * 100 > revenue * 140 THEN -18 ELSE 2 END - CASE WHEN top * 100 > s * 84 AND n >= 3 THEN 8 ELSE 0 END
+    - CASE WHEN whole >= 2 AND n >= 4 THEN whole * 4 ELSE 0 END + CASE WHEN lag > 900 THEN -16 WHEN lag > 540 THEN -10 WHEN lag < -2 THEN -6 WHEN lag <= 260 THEN 3 ELSE 0 END AS score FROM per)"""
+
+
+@query("b4_score_candidate", "SELECT company_id, q_index, source, score::BIGINT AS score, n FROM scored", EXACT)
 def b4(t):
     return H.score_candidate(*sourced(t)).select("company_id", "q_index", "source", "score", "n")
 

@@ -43,3 +43,9 @@ def test_rebalanced_shares_are_each_members_own(both):
     got, want = both("b23_rebalance", rows)
     assert any("rebalanced" in r for r in got)
     assert got == want
+
+
+def test_coverage_on_a_bound(both):
+    """0.3 * (v + 1.5 * v) is 0.75 of v: on the bound of 25 %, whatever v."""
+    got, want = both("b4_score_candidate", [(3 * i, 1998, 4, "SMALL", v) for i, v in enumerate((1000.0, 33333.33, 20001.49, 31415.93, 27182.81, 14142.13, 17320.51, 22360.68, 99999.97, 12345.67, 76543.21, 45678.91), 1)])
+    assert got == want
