@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 MIN_TEXTS = 3  # different texts that hold both the entity and the word
 DISCLOSE = 0.9  # of the entity's information content
 DOUBT = 1.64  # square of the normal quantile for nine in ten: of k texts that agree, k / (k + DOUBT) is the lower bound
-COMMON, FEW = 0.01, 10  # an entity in more than this share of all documents is no one's secret, unless in FEW or less
+COMMON, FEW = 1.0, 10  # a caller may leave out entities in more than a share of all documents, unless in FEW or less; none is by default
 CLASS_SIGNS = 3
 
 
@@ -87,11 +87,13 @@ def disclosing(holders: DataFrame, docs: DataFrame, text: str, *, min_texts: int
 
     holders: (_print, copies, entities, words), one row of each text that holds an entity. Words are counted over the
     whole corpus; one is left out before that only if the documents of `holders` are already too many for it to pass.
-    A small corpus is judged like a large one: FEW documents are few in any."""
+    Every entity of min_texts texts is judged, however common; one in all documents is no news anywhere. `common` leaves
+    out those above a share of all documents: FEW documents are few in any corpus."""
     total = float(docs.count())
     each = holders.select("_print", "copies", F.explode("entities").alias("entity"))
     known = each.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("texts_e"))
-    known = known.where((F.col("texts_e") >= min_texts) & ((F.col("n_entity") <= common * total) | (F.col("n_entity") <= FEW))).drop("texts_e")
+    kept = F.lit(True) if common >= 1 else (F.col("n_entity") <= common * total) | (F.col("n_entity") <= FEW)
+    known = known.where((F.col("texts_e") >= min_texts) & (F.col("n_entity") < total) & kept).drop("texts_e")
     each = each.join(known, "entity")
     # The most documents a word may be in if it discloses an entity: both / n_term >= p(entity) ** (1 - disclose).
     most = lambda n: n * F.pow(total / n, F.lit(1.0 - disclose)) * (1 + 1e-9)
