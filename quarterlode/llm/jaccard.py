@@ -30,7 +30,7 @@ from quarterlode.llm.shingles import U, mixed, shingle_sets, text_slices, words
 SMALL_SET = 32  # classes up to it take every member as a part of its own, so that none of their sets is weak
 MEDIUM_SET = 192  # classes up to it get a quarter more parts, up to half of SMALL_SET more
 PIVOTS = 8  # of the main component of a region that is in several parts
-BLOCK_ROWS = 300
+BLOCK_ROWS, BLOCK_MEMBERS = 300, 500_000  # of a block, whichever is less: a task holds two blocks
 MARGIN = 1.15
 SAMPLE_SETS, HOT_TIMES = 5_000, 10  # keys found so often in a sample of sets are dealt to SALTS tasks; results do not depend on it
 SALTS = 64
@@ -234,7 +234,7 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         labels = joined_components(labels, near)
         owned = parted(whole, nodes, labels)
     left = owned.withColumn("level", F.floor(F.log2("n") * 2 + 1e-9).cast("int"))
-    chunks = left.groupBy("region", "main", "level").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_ROWS))).cast("int").alias("chunks"))
+    chunks = left.groupBy("region", "main", "level").agg(F.count(F.lit(1)).alias("n")).select("region", "main", "level", F.ceil(F.col("n") / block_rows(F.col("level"))).cast("int").alias("chunks"))
     mine = left.join(chunks, ["region", "main", "level"]).withColumn("block", F.struct("main", "level", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))).drop("chunks")
     reach = math.ceil(2 * math.log2(100 / percent) + 1e-9)
     other = chunks.select("region", F.col("main").alias("main2"), F.col("level").alias("level2"), "chunks")
@@ -252,6 +252,11 @@ def join_components(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     return out.select("doc_id", F.col("_print").alias("print"), "n_shingles", "set_id", "group", F.when(F.col("n_shingles") > 0, F.col("_component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def block_rows(level: Column) -> Column:
+    """How many sets of a size class make a block: BLOCK_ROWS, of large sets so many that they hold BLOCK_MEMBERS at most."""
+    return F.greatest(F.least(F.lit(float(BLOCK_ROWS)), F.floor(BLOCK_MEMBERS / F.pow(F.lit(2.0), (level + 1) / 2))), F.lit(1.0))
+
+
 def parted(whole: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, n, region, component, main) of the regions that hold several components; main: of the largest one."""
     owned = whole.join(nodes.select("node", "n"), "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -14,7 +14,7 @@ BYTE = _RANDOM.integers(0, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
 BYTE[65:91] = BYTE[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
-BASE, PIECE = 0x9E3779B97F4A7C15 | 5, 1 << 20
+BASE, PIECE = 0x9E3779B97F4A7C15 | 5, 1 << 18
 PLACE = _RANDOM.integers(0, 1 << 63, 64, dtype=np.int64).astype(U) * U(2) + U(1)
 
 
