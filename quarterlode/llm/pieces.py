@@ -26,7 +26,8 @@ from quarterlode.llm.common import documents, small_batches
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-CACHE_SEGMENTS = 200_000  # in each of two generations
+CACHE_SEGMENTS = 100_000  # in each of two generations
+SLICE_ROWS = 125  # texts taken apart at a time
 CACHE_LENGTH = 48  # of a segment, in code points
 
 
@@ -229,8 +230,8 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_file)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
+            for at in range(0, whole.num_rows, SLICE_ROWS):
+                batch = whole.slice(at, SLICE_ROWS)
                 texts = [t or "" for t in batch.column("_piece_text").to_pylist()]
                 parts = [segments_of(t) for t in texts]
                 pieces.prepare(parts)
@@ -239,7 +240,7 @@ def encode(docs: DataFrame, model_file: str, *, text: str = "text", ids: bool =
                     held = pieces.library.encode(texts[0], add_bos=True, add_eos=True)
                     if struct.pack(f"<{len(held)}I", *held) != done[0][0] or pieces.library.decode(held) != done[0][1]:
                         raise AssertionError("the library encodes or decodes a text otherwise")
-                columns = [] if not ids else [pa.array([struct.unpack(f"<{len(a) // 4}I", a) for a, _ in done], pa.list_(pa.int32()))]
+                columns = [] if not ids else [pa.ListArray.from_arrays(np.cumsum([0, *(len(a) // 4 for a, _ in done)]).astype(np.int32), np.frombuffer(b"".join(a for a, _ in done), "<i4"))]
                 columns += [pa.array([len(a) // 4 for a, _ in done], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in done]), pa.array([t for _, t in done], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in done])]
                 rest = batch.drop_columns(["_piece_text"])
                 yield pa.RecordBatch.from_arrays([*rest.columns, *columns], names=[*rest.schema.names, *made.names])
