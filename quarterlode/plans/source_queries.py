@@ -23,8 +23,8 @@ def s1(t):
 @query("s5_read_segment_facts", "SELECT company_id, concept, start_date, end_date, regexp_replace(dims, '[a-z-]+:', '', 'g') AS dims, value FROM dim_facts", dates="start_date end_date", money="value")
 def s5(t):
     d = t.dim_facts
-    pair = lambda p: F.concat(F.lit('<explicitMember dimension="'), F.split(p, "=")[0], F.lit('">'), F.split(p, "=")[1], F.lit("</explicitMember>"))
-    context = F.concat(F.lit('<context id="'), "fact_id", F.lit('"><entity><identifier>x</identifier><segment>'), F.array_join(F.transform(F.split("dims", ";"), pair), ""), F.lit("</segment></entity><period><startDate>"), F.col("start_date").cast("string"), F.lit("</startDate><endDate>"), F.col("end_date").cast("string"), F.lit("</endDate></period></context>"))
+    members = F.replace(F.replace("dims", F.lit("="), F.lit('">')), F.lit(";"), F.lit('</explicitMember><explicitMember dimension="'))
+    context = F.concat(F.lit('<context id="'), "fact_id", F.lit('"><entity><identifier>x</identifier><segment>'), F.lit('<explicitMember dimension="'), members, F.lit("</explicitMember>"), F.lit("</segment></entity><period><startDate>"), F.col("start_date").cast("string"), F.lit("</startDate><endDate>"), F.col("end_date").cast("string"), F.lit("</endDate></period></context>"))
     fact = F.concat(F.lit("<us-gaap:"), "concept", F.lit(' unitRef="usd" contextRef="'), "fact_id", F.lit('">'), F.col("value").cast("string"), F.lit("</us-gaap:"), "concept", F.lit(">"))
     docs = d.groupBy("company_id", F.year("end_date").alias("y")).agg(F.concat(F.lit("<xbrl>"), F.array_join(F.collect_list(F.concat(context, fact)), ""), F.lit("</xbrl>")).alias("body"))
     dims = F.array_join(F.transform("dims", lambda x: F.concat_ws("=", x["dimension"], x["member"])), ";")

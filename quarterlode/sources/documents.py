@@ -10,6 +10,7 @@ from pyspark.sql.types import MapType
 
 from quarterlode.functions.periods import q_index
 from quarterlode.operators.dimensions import DIMS, local_name, revenue_priority
+from quarterlode.operators.phases import bound
 
 # Fixed values. What a third-party statement calls its lines.
 WIDE_LABELS = {
@@ -41,16 +42,27 @@ def read_segment_facts(docs: DataFrame, body: str = "body") -> DataFrame:
     of their context. Contexts without a period, elements without a number and other concepts give nothing."""
     keys = [c for c in docs.columns if c != body]
     context = "struct<_id:string,period:struct<startDate:string,endDate:string>,entity:struct<segment:struct<explicitMember:array<struct<_dimension:string,_VALUE:string>>>>>"
-    parsed = docs.select("*", F.from_xml(F.col(body), f"struct<context:array<{context}>>").alias("x"))
-    contexts = parsed.select(*keys, F.explode("x.context").alias("c"))
-    members = F.transform(F.coalesce("c.entity.segment.explicitMember", F.array()), lambda m: F.struct(local_name(m["_dimension"]).alias("dimension"), local_name(m["_VALUE"]).alias("member")))
-    contexts = contexts.select(*keys, F.col("c._id").alias("context"), F.col("c.period.startDate").try_cast("date").alias("start_date"), F.col("c.period.endDate").try_cast("date").alias("end_date"), members.cast(DIMS).alias("dims")).where("start_date is not null and end_date is not null")
+    parsed = F.from_xml(F.col(body), f"struct<context:array<{context}>>")["context"]
+    members = lambda c: F.transform(F.coalesce(c["entity"]["segment"]["explicitMember"], F.array()), lambda m: F.struct(local_name(m["_dimension"]).alias("dimension"), local_name(m["_VALUE"]).alias("member")))
+    day = lambda c: c.try_cast("date")
+    told = F.transform(parsed, lambda c: F.struct(c["_id"].alias("id"), day(c["period"]["startDate"]).alias("start_date"), day(c["period"]["endDate"]).alias("end_date"), members(c).cast(DIMS).alias("dims")))
+    contexts = F.filter(told, lambda c: c["id"].isNotNull() & c["start_date"].isNotNull() & c["end_date"].isNotNull())
+    # Each element is found once and its parts told by one more match of it alone; XML holds no sign 1.
     element = r'<([\w:-]+)\s[^>]*?contextRef="([^"]+)"[^>]*>\s*(-?[0-9.]+)\s*<'
-    part = lambda i: F.regexp_extract_all(F.col(body), F.lit(element), F.lit(i))
-    facts = docs.select(*keys, F.explode(F.arrays_zip(part(1).alias("tag"), part(2).alias("context"), part(3).alias("text"))).alias("f"))
-    facts = facts.select(*keys, local_name(F.col("f.tag")).alias("concept"), F.col("f.context").alias("context"), F.col("f.text").try_cast("decimal(20,2)").alias("value"))
-    facts = facts.withColumn("concept_priority", revenue_priority(F.col("concept"))).where("concept_priority > 0 and value is not null")
-    return facts.join(contexts, [*keys, "context"]).drop("context")
+    elements = F.transform(F.regexp_extract_all(F.col(body), F.lit(element), F.lit(0)), lambda m: F.split(F.regexp_replace(m, element, "$1\x01$2\x01$3"), "\x01"))
+
+    def joined(every: Column) -> Column:
+        """Elements with the contexts of the document that they name: ids are there once, and where not all of them count."""
+        ids = F.transform(every, lambda c: c["id"])
+        known = F.when(F.size(F.array_distinct(ids)) == F.size(ids), F.map_from_arrays(ids, every))
+        named = lambda k, i: F.when(k.isNotNull(), F.array_compact(F.array(k[i]))).otherwise(F.filter(every, lambda c: c["id"] == i))
+        pair = lambda e, c: F.struct(e[0].alias("tag"), e[2].alias("text"), *(c[x].alias(x) for x in ("start_date", "end_date", "dims")))
+        return bound(known, lambda k: F.flatten(F.transform(elements, lambda e: F.transform(named(k, e[1]), lambda c: pair(e, c)))))
+
+    # A document is taken apart in its own row: nothing is joined, and it is written once.
+    facts = docs.select(*keys, F.explode(bound(contexts, joined)).alias("f"))
+    facts = facts.select(*keys, local_name(F.col("f.tag")).alias("concept"), F.col("f.text").try_cast("decimal(20,2)").alias("value"), "f.start_date", "f.end_date", "f.dims")
+    return facts.withColumn("concept_priority", revenue_priority(F.col("concept"))).where("concept_priority > 0 and value is not null")
 
 
 def read_wide_statement(table: DataFrame, labels: Mapping[str, Sequence[str]] = WIDE_LABELS, scale: float = 0.001) -> DataFrame:
