@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarterlode.operators.phases import bound
+
 # Fixed values. Words of document names and links, by how much they promise.
 RESULT_WORDS = ("result", "earn", "quarter", "financial-supplement", "supplement", "stat-book")
 RELEASE_WORDS = ("release", "financial")
@@ -39,9 +41,8 @@ def parse_number(text: Column) -> Column:
     """Number of a cell: parentheses are negative; dashes, commas, signs and single letters are dropped; else null."""
     t = F.translate(text, "−–—", "---")
     t = F.regexp_replace(F.regexp_replace(t, r"\b[a-zA-Z]\b", " "), r"[^0-9().\-]+", "")
-    bare = F.regexp_replace(t, r"^[()]+|[()]+$", "")
-    value = bare.try_cast("double")
-    return F.when(t.isin("", "-", ".", "()"), F.lit(None)).when(F.startswith(t, F.lit("(")) & F.endswith(t, F.lit(")")), -value).otherwise(value)
+    value = lambda x: F.regexp_replace(x, r"^[()]+|[()]+$", "").try_cast("double")
+    return bound(t, lambda x: F.when(x.isin("", "-", ".", "()"), F.lit(None)).when(F.startswith(x, F.lit("(")) & F.endswith(x, F.lit(")")), -value(x)).otherwise(value(x)))
 
 
 def unit_scale(header: Column, largest: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterlode.operators.corpus import parse_number, unit_scale
+from quarterlode.operators.phases import bound, once
 from quarterlode.operators.taxonomy import label_key
 
 # Fixed values. Keys of statement lines by field, in order; a label's key equals, begins or ends with one.
@@ -54,14 +55,12 @@ def _date_quarter(date: Column, year: Column) -> Column:
 
 def match_field(label: Column, aliases: Mapping[str, Sequence[str]] = ROW_ALIASES) -> Column:
     """The first field one of whose keys the label's key equals, begins or ends with."""
-    key = label_key(label)
-    return F.coalesce(*(F.when(key.rlike(f"^(?:{'|'.join(a)})|(?:{'|'.join(a)})$"), f) for f, a in aliases.items()))
+    return bound(label_key(label), lambda key: F.coalesce(*(F.when(key.rlike(f"^(?:{'|'.join(a)})|(?:{'|'.join(a)})$"), f) for f, a in aliases.items())))
 
 
 def match_fields(label: Column, aliases: Mapping[str, Sequence[str]] = ROW_ALIASES) -> Column:
     """All fields one of whose keys the label's key equals, begins or ends with."""
-    key = label_key(label)
-    return F.array_compact(F.array(*(F.when(key.rlike(f"^(?:{'|'.join(a)})|(?:{'|'.join(a)})$"), f) for f, a in aliases.items())))
+    return bound(label_key(label), lambda key: F.array_compact(F.array(*(F.when(key.rlike(f"^(?:{'|'.join(a)})|(?:{'|'.join(a)})$"), f) for f, a in aliases.items()))))
 
 
 def period_columns(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -71,38 +70,57 @@ def period_columns(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     two; Chinese cumulative periods; dates with a year in any cell."""
     item = F.struct("row_no", "cells")
     docs = rows.where(F.col("row_no") < HEADER_ROWS).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(item)), lambda r: r["cells"]).alias("_h"))
-    cells = F.flatten("_h")
+    return docs.select(*keys, F.posexplode(bound(F.col("_h"), _periods)).alias("pos", "p")).select(*keys, "pos", "p.*")
+
+
+def _periods(rows: Column) -> Column:
+    """The periods that header rows (arrays of cells) name; null if there are none."""
+    cells = F.flatten(rows)
     plain = F.transform(F.filter(cells, lambda c: F.trim(c).rlike(r"^Q[1-4]\s+\d{4}$")), lambda c: F.struct((F.regexp_extract(c, r"(\d{4})", 1).cast("int") * 4 + F.regexp_extract(c, r"Q([1-4])", 1).cast("int") - 1).alias("q_index"), F.lit(1).alias("span")))
 
     def span_of(cell: Column) -> Column:
-        return F.coalesce(*(F.when(label_key(cell).rlike(p), n) for p, n in SPANS))
+        return bound(label_key(cell), lambda k: F.coalesce(*(F.when(k.rlike(p), n) for p, n in SPANS)))
 
     def under(i: Column) -> Column:
-        head = F.get(F.filter(F.get("_h", i), lambda c: span_of(c).isNotNull()), F.lit(0))
-        years = F.filter(F.transform(F.get("_h", i + 1), lambda c: F.regexp_extract(c, r"(\d{4})", 1)), lambda y: y != "")
-        made = F.filter(F.transform(F.slice(years, 1, 2), lambda y: F.struct(_date_quarter(head, y).alias("q_index"), span_of(head).alias("span"))), lambda p: p["q_index"].isNotNull())
-        return F.when(head.isNotNull() & (F.size(years) >= 2), made)
+        def of(x: Column) -> Column:
+            """x: the first cell with a span, and the years of the next row."""
+            made = F.transform(F.slice(x["years"], 1, 2), lambda y: F.struct(_date_quarter(x["head"], y).alias("q_index"), span_of(x["head"]).alias("span")))
+            return F.when(x["head"].isNotNull() & (F.size(x["years"]) >= 2), F.filter(made, lambda p: p["q_index"].isNotNull()))
+
+        head = F.get(F.filter(F.get(rows, i), lambda c: span_of(c).isNotNull()), F.lit(0))
+        years = F.filter(F.transform(F.get(rows, i + 1), lambda c: F.regexp_extract(c, r"(\d{4})", 1)), lambda y: y != "")
+        return bound(F.struct(head.alias("head"), years.alias("years")), of)
 
-    below = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size("_h") - 2, F.lit(0))), under), lambda p: F.size(p) > 0)
-    text = F.array_join(cells, " ")
+    below = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(rows) - 2, F.lit(0))), under), lambda p: F.size(p) > 0)
     cjk = r"截至\s*(\d{4})\s*年\s*(\d{1,2})\s*月\s*(?:\d{1,2})\s*日止\s*(12|[369]|十二|三|六|九)\s*个月期间"
-    part = lambda i: F.regexp_extract_all(text, F.lit(cjk), F.lit(i))
-    chinese = F.transform(F.arrays_zip(part(1).alias("y"), part(2).alias("m"), part(3).alias("s")), lambda x: F.struct((x["y"].cast("int") * 4 + F.floor((x["m"].cast("int") - 1) / 3)).cast("int").alias("q_index"), _table(CJK_SPAN)[x["s"]].alias("span")))
-    dates = F.transform(F.filter(cells, lambda c: _date_quarter(c, c).isNotNull()), lambda c: F.struct(_date_quarter(c, c).alias("q_index"), F.lit(1).alias("span")))
-    some = lambda a: F.when(F.size(a) > 0, a.cast(PERIOD))
-    found = F.coalesce(some(plain), some(F.get(below, F.lit(0))), some(chinese), some(dates))
-    return docs.select(*keys, F.posexplode(found).alias("pos", "p")).select(*keys, "pos", "p.*")
+
+    def chinese(text: Column) -> Column:
+        part = lambda i: F.regexp_extract_all(text, F.lit(cjk), F.lit(i))
+        return F.transform(F.arrays_zip(part(1).alias("y"), part(2).alias("m"), part(3).alias("s")), lambda x: F.struct((x["y"].cast("int") * 4 + F.floor((x["m"].cast("int") - 1) / 3)).cast("int").alias("q_index"), _table(CJK_SPAN)[x["s"]].alias("span")))
+
+    dates = F.filter(F.transform(cells, lambda c: F.struct(_date_quarter(c, c).alias("q_index"), F.lit(1).alias("span"))), lambda p: p["q_index"].isNotNull())
+    some = lambda a: bound(a.cast(PERIOD), lambda x: F.when(F.size(x) > 0, x))
+    return F.coalesce(some(plain), some(F.get(below, F.lit(0))), some(bound(F.array_join(cells, " "), chinese)), some(dates))
 
 
 def row_series(cells: Column, count: Column, absolute: Column) -> Column:
     """The first `count` numbers of a row after its label; null if there are fewer. A small whole number before much
     larger ones is a footnote and skipped."""
-    values = F.filter(F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells), F.lit(1))), parse_number), lambda v: v.isNotNull())
-    values = F.transform(values, lambda v: F.when(absolute, F.abs(v)).otherwise(v))
-    first, rest = F.get(values, F.lit(0)), F.slice(values, F.lit(2), F.greatest(count, F.lit(1)))
-    note = (F.size(values) > count) & (F.abs(first - F.round(first)) < 1e-9) & first.between(0, 999) & (F.array_max(F.transform(rest, lambda v: F.abs(v))) > F.greatest(F.abs(first) * 100, F.lit(10_000.0)))
-    picked = F.when(F.coalesce(note, F.lit(False)), rest).otherwise(F.slice(values, F.lit(1), F.greatest(count, F.lit(1))))
-    return F.when((count > 0) & (F.size(picked) >= count), picked)
+    return bound(_numbers(cells), lambda v: _series(v, count, absolute))
+
+
+def _numbers(cells: Column) -> Column:
+    return F.filter(F.transform(F.slice(cells, F.lit(2), F.greatest(F.size(cells), F.lit(1))), parse_number), lambda v: v.isNotNull())
+
+
+def _series(numbers: Column, count: Column, absolute: Column) -> Column:
+    def picked(values: Column) -> Column:
+        first, rest = F.get(values, F.lit(0)), F.slice(values, F.lit(2), F.greatest(count, F.lit(1)))
+        note = (F.size(values) > count) & (F.abs(first - F.round(first)) < 1e-9) & first.between(0, 999) & (F.array_max(F.transform(rest, lambda v: F.abs(v))) > F.greatest(F.abs(first) * 100, F.lit(10_000.0)))
+        return F.when(F.coalesce(note, F.lit(False)), rest).otherwise(F.slice(values, F.lit(1), F.greatest(count, F.lit(1))))
+
+    signless = F.transform(numbers, lambda v: F.when(absolute, F.abs(v)).otherwise(v))
+    return bound(bound(signless, picked), lambda x: F.when((count > 0) & (F.size(x) >= count), x))
 
 
 def table_entries(rows: DataFrame, keys: Sequence[str], fields: Sequence[str] = tuple(ROW_ALIASES)) -> DataFrame:
@@ -110,18 +128,25 @@ def table_entries(rows: DataFrame, keys: Sequence[str], fields: Sequence[str] =
     field, the unit from the header or the size of revenue; gross profit and operating expenses filled in by identity.
 
     A table whose revenue row is shorter than its header gives nothing, nor does a period without revenue above 1."""
-    columns = period_columns(rows, keys)
-    count = columns.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("_n"), F.array_sort(F.collect_list(F.struct("pos", "q_index", "span"))).alias("_p"))
-    head = rows.where(F.col("row_no") < HEADER_ROWS).groupBy(*keys).agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda r: r["cells"])), " ").alias("_head"))
-    # Each field looks for its own first row, so a row may serve several.
-    at = rows.where("size(cells) > 1").withColumn("field", F.explode(match_fields(F.get("cells", F.lit(0))))).join(count, [*keys])
-    at = at.withColumn("_v", row_series(F.col("cells"), F.col("_n"), F.col("field").isin(*ABSOLUTE)))
-    first = at.groupBy(*keys, "field").agg(F.min_by(F.struct("_v"), "row_no")["_v"].alias("_v"), F.first("_p").alias("_p"))
-    long = first.where("_v is not null").select(*keys, "field", F.explode(F.transform("_p", lambda p: F.struct(p["q_index"].alias("q_index"), p["span"].alias("span"), F.get("_v", p["pos"]).alias("value")))).alias("x")).select(*keys, "field", "x.*")
-    wide = long.groupBy(*keys, "q_index", "span").pivot("field", list(fields)).agg(F.first("value")).where(F.abs("revenue") >= 1).join(head, [*keys])
-    scale = unit_scale(F.col("_head"), F.max(F.abs("revenue")).over(Window.partitionBy(*keys)))
+    item = F.struct("row_no", "cells")
+    docs = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_r"))
+    header = F.transform(F.filter("_r", lambda r: r["row_no"] < HEADER_ROWS), lambda r: r["cells"])
+    lines = F.transform(F.filter("_r", lambda r: F.size(r["cells"]) > 1), lambda r: F.struct(match_fields(r["cells"][0]).alias("fields"), _numbers(r["cells"]).alias("numbers")))
+
+    def entries(x: Column) -> Column:
+        """x: the periods and the lines. Each field looks for its own first line, so a line may serve several."""
+        first = lambda f: F.get(F.filter(x["lines"], lambda r: F.array_contains(r["fields"], f)), F.lit(0))["numbers"]
+        series = F.struct(*(_series(first(f), F.size(x["periods"]), F.lit(f in ABSOLUTE)).alias(f) for f in fields))
+        # Of columns of one period the first counts.
+        periods = F.filter(F.transform(x["periods"], lambda p, i: F.struct(p["q_index"].alias("q_index"), p["span"].alias("span"), i.alias("pos"))), lambda p: F.array_position(x["periods"], F.struct(p["q_index"].alias("q_index"), p["span"].alias("span"))) == p["pos"] + 1)
+        made = bound(series, lambda s: F.transform(periods, lambda p: F.struct(p["q_index"].alias("q_index"), p["span"].alias("span"), *(F.get(s[f], p["pos"]).alias(f) for f in fields))))
+        return F.filter(made, lambda e: F.abs(e["revenue"]) >= 1)
+
+    at = once(docs, _head=F.array_join(F.flatten(header), " "), _e=bound(F.struct(bound(header, _periods).alias("periods"), lines.alias("lines")), entries))
+    scale = unit_scale(F.col("_head"), F.array_max(F.transform("_e", lambda e: F.abs(e["revenue"]))))
+    wide = once(at, _s=scale).select(*keys, "_s", F.explode("_e").alias("e")).select(*keys, "_s", "e.*")
     gross = F.coalesce("gross_profit", F.col("revenue") - F.col("cost_of_revenue"))
-    out = wide.withColumn("_s", scale).withColumn("gross_profit", gross).withColumn("operating_expenses", F.coalesce("operating_expenses", F.col("gross_profit") - F.col("operating_income")))
+    out = wide.withColumn("gross_profit", gross).withColumn("operating_expenses", F.coalesce("operating_expenses", F.col("gross_profit") - F.col("operating_income")))
     return out.select(*keys, "q_index", "span", F.when(F.col("span") == 1, "direct").otherwise("cumulative").alias("value_mode"), *((F.col(f) * F.col("_s")).cast("decimal(20,2)").alias(f) for f in fields))
 
 
@@ -131,20 +156,36 @@ def line_rows(pages: DataFrame, keys: Sequence[str], text: str = "text") -> Data
     most numbers, then the longest label. Words after the first number are passed over."""
     lines = pages.select(*keys, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n")).alias("line_no", "line"))
     w = Window.partitionBy(*keys).orderBy("line_no")
-    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
-    tokens = lambda c: F.filter(F.split(tidy(c), " "), lambda x: x != "")
+    tokens = lambda c: F.filter(F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "), lambda x: x != "")
     number = r"^[(]?[-−–]?[$¥€£]?\d[\d,]*(?:\.\d+)?%?[)]?$"
-    numbers = lambda c: F.filter(tokens(c), lambda x: x.rlike(number))
+    figures = lambda ts: F.filter(ts, lambda x: x.rlike(number))
     at = lines.withColumns({"_b": F.lead("line", 1).over(w), "_c": F.lead("line", 2).over(w)})
-    n, nb = F.size(numbers(F.col("line"))), F.size(numbers(F.coalesce("_b", F.lit(""))))
-    two, three = F.concat_ws(" ", "line", "_b"), F.concat_ws(" ", "line", "_b", "_c")
-    readings = F.array_compact(F.array(F.col("line"), F.when((n == 0) & (F.size(numbers(two)) > 0), two), F.when((n == 0) & F.col("_c").isNotNull() & (F.size(numbers(three)) > 0), three), F.when((n == 1) & (nb > 0), two)))
-    words = lambda c: F.array_join(F.slice(tokens(c), F.lit(1), F.when(F.size(numbers(c)) > 0, F.greatest(F.array_position(F.transform(tokens(c), lambda x: x.rlike(number)), True).cast("int") - 1, F.lit(0))).otherwise(F.size(tokens(c)))), " ")
-    parsed = F.transform(readings, lambda c: F.struct(F.size(numbers(c)).alias("n"), F.length(words(c)).alias("l"), F.regexp_replace(words(c), "[:：]+$", "").alias("label"), F.transform(numbers(c), parse_number).alias("numbers")))
-    # A line that names costs or operating expenses alone is a header and takes in nothing.
-    bare = F.filter(parsed, lambda p: (p["n"] == 0) & F.coalesce(match_field(p["label"]).isin(*HEADERS), F.lit(False)))
-    best = F.when(F.size(bare) > 0, F.get(bare, F.lit(0))).otherwise(F.array_max(F.filter(parsed, lambda p: p["label"] != "")))
-    at = at.withColumn("_best", best).where("_best is not null").select(*keys, "line_no", F.col("_best.label").alias("label"), match_field(F.col("_best.label")).alias("field"), F.col("_best.numbers").alias("numbers"), "line")
+
+    def reading(ts: Column) -> Column:
+        """A reading's tokens as (n, l, label, numbers): the words stand before the first number."""
+
+        def told(ns: Column) -> Column:
+            words = F.array_join(F.when(F.size(ns) > 0, F.slice(ts, F.lit(1), F.greatest(F.array_position(ts, ns[0]).cast("int") - 1, F.lit(0)))).otherwise(ts), " ")
+            return bound(words, lambda x: F.struct(F.size(ns).alias("n"), F.length(x).alias("l"), F.regexp_replace(x, "[:：]+$", "").alias("label"), F.transform(ns, parse_number).alias("numbers")))
+
+        return bound(figures(ts), told)
+
+    def readings(x: Column) -> Column:
+        """x: the tokens of the line and of the next two. Those of joined lines are theirs one behind the other."""
+        n, nb, nc = (F.size(figures(x[c])) for c in "abc")
+        two, three = F.concat(x["a"], x["b"]), F.concat(x["a"], x["b"], x["c"])
+        joined = lambda k: F.array_compact(F.array(x["a"], F.when((k["n"] == 0) & (k["nb"] > 0), two), F.when((k["n"] == 0) & x["more"] & (k["nb"] + k["nc"] > 0), three), F.when((k["n"] == 1) & (k["nb"] > 0), two)))
+        return F.transform(bound(F.struct(n.alias("n"), nb.alias("nb"), nc.alias("nc")), joined), reading)
+
+    def best(parsed: Column) -> Column:
+        # A line that names costs or operating expenses alone is a header and takes in nothing.
+        bare = F.filter(parsed, lambda p: (p["n"] == 0) & F.coalesce(match_field(p["label"]).isin(*HEADERS), F.lit(False)))
+        return bound(bare, lambda h: F.when(F.size(h) > 0, F.get(h, F.lit(0))).otherwise(F.array_max(F.filter(parsed, lambda p: p["label"] != ""))))
+
+    none = F.lit("")
+    x = F.struct(tokens(F.col("line")).alias("a"), tokens(F.coalesce("_b", none)).alias("b"), tokens(F.coalesce("_c", none)).alias("c"), F.col("_c").isNotNull().alias("more"))
+    at = once(at, _best=bound(bound(x, readings), best)).where("_best is not null")
+    at = once(at, field=match_field(F.col("_best.label"))).select(*keys, "line_no", F.col("_best.label").alias("label"), "field", F.col("_best.numbers").alias("numbers"), "line")
     return at.where((F.size("numbers") > 0) | F.trim("line").endswith(":") | F.coalesce(F.col("field").isin(*HEADERS), F.lit(False))).drop("line")
 
 

@@ -1,5 +1,6 @@
 """What a row costs is worked out once: plans that repeat an expression or a read grow faster than the input."""
 
+from quarterlode.operators import tables
 from quarterlode.sources import documents
 
 
@@ -21,3 +22,20 @@ def test_segment_facts_are_read_in_one_pass(spark):
         (0, 1.0, "2020-03-31", [("Axis", "M")]), (0, 5.25, "2020-03-31", [("Axis", "M")]), (1, 7.0, "2020-06-30", [("Axis", "M")]), (1, 7.0, "2020-09-30", [("Axis", "N")]),
     ]
     assert "Join" not in plan(got) and plan(got).count("from_xml") == 1
+
+
+def test_line_rows_read_each_reading_once(spark):
+    text = "Notes and things\nTotal revenue  5.5 and 6\nCost of sales:\n(7) (8)\nOperating expenses\nof which tax 9 1\nnet income 4\n3 2"
+    got = tables.line_rows(spark.createDataFrame([(1, text), (2, None)], "doc int, text string"), ["doc"])
+    assert [(r.line_no, r.label, r.field, r.numbers) for r in got.orderBy("line_no").collect()] == [
+        (0, "Notes and things Total revenue", "revenue", [5.5, 6.0]), (1, "Total revenue", "revenue", [5.5, 6.0]), (2, "Cost of sales", "revenue", [-7.0, -8.0]),
+        (4, "Operating expenses", "operating_expenses", []), (5, "of which tax", None, [9.0, 1.0]), (6, "net income", "net_income", [4.0, 3.0, 2.0]),
+    ]
+    assert len(plan(got)) < 60_000
+
+
+def test_tables_are_grouped_once(spark):
+    rows = [(1, 0, ["(in thousands)"]), (1, 1, ["", "Q1 2024", "Q1 2023", "Q1 2024"]), (1, 2, ["Net revenues", "10", "20", "30"]), (1, 3, ["Cost of sales", "(4)", "(5)", "(6)"]), (1, 4, ["Revenue", "1", "2", "3"]), (2, 0, ["", "Q1 2024"]), (2, 1, ["Gross profit", "5"])]
+    got = tables.table_entries(spark.createDataFrame(rows, "doc int, row_no int, cells array<string>"), ["doc"])
+    assert sorted((r.doc, r.q_index, r.span, float(r.revenue), float(r.cost_of_revenue), float(r.gross_profit), r.net_income) for r in got.collect()) == [(1, 8092, 1, 20000.0, 5000.0, 15000.0, None), (1, 8096, 1, 10000.0, 4000.0, 6000.0, None)]
+    assert plan(got).count("Aggregate ") == 1 and "Join" not in plan(got)
