@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarterlode.operators.phases import bound
+from quarterlode.operators.phases import bound, once
 
 # Fixed values. Shares of a page's height and width.
 ROW_BUCKET, COLUMN_GAP, CLUSTER_GAP = 0.009, 0.05, 0.065
@@ -65,15 +65,15 @@ def _anchors(rows: Column) -> Column:
 
 def _lines(at: DataFrame, keys: Sequence[str], line: Callable[[Column], Column]) -> DataFrame:
     """Rows `_r` of pages as lines, by the height of their highest box."""
-    rows = at.select(*keys, F.explode(F.transform("_r", lambda r, i: F.struct(F.array_min(F.transform(r, lambda b: b["y"])).alias("y"), i.alias("i"), line(r).alias("line")))).alias("l"))
-    kept = rows.where(F.coalesce(F.col("l.line"), F.lit("")) != "").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("l.y", "l.i", "l.line"))).alias("_l"))
-    return kept.select(*keys, F.posexplode("_l").alias("line_no", "l")).select(*keys, "line_no", "l.line")
+    rows = F.transform("_r", lambda r, i: F.struct(F.array_min(F.transform(r, lambda b: b["y"])).alias("y"), i.alias("i"), line(r).alias("line")))
+    kept = F.array_sort(F.filter(rows, lambda l: F.coalesce(l["line"], F.lit("")) != ""))
+    return at.select(*keys, F.posexplode(kept).alias("line_no", "l")).select(*keys, "line_no", "l.line")
 
 
 def grid_lines(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, line_no, line): cells of each row joined by ' | ', a box in the cell of the nearest column (the first of
     equals). Pages with one column have no lines."""
-    at = _boxes(boxes, keys).withColumn("_r", _rows(F.col("_b"))).withColumn("_a", _anchors(F.col("_r"))).where(F.size("_a") >= 2)
+    at = once(once(_boxes(boxes, keys), _r=_rows(F.col("_b"))).drop("_b"), _a=_anchors(F.col("_r"))).where(F.size("_a") >= 2)
 
     def line(r: Column) -> Column:
         place = lambda b: bound(F.transform("_a", lambda v: F.abs(v - b["x"])), lambda d: F.array_position(d, F.array_min(d)))
@@ -86,7 +86,7 @@ def grid_lines(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def spaced_lines(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, line_no, line): boxes of each row joined by a blank, or by ' | ' where the gap is wider than COLUMN_GAP."""
-    at = _boxes(boxes, keys).withColumn("_r", _rows(F.col("_b")))
+    at = once(_boxes(boxes, keys), _r=_rows(F.col("_b"))).drop("_b")
 
     def line(r: Column) -> Column:
         gap = lambda b, i: b["x"] - (F.get(r, i - 1)["x"] + F.get(r, i - 1)["width"])

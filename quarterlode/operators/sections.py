@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterlode.operators.boxes import SCALED
+from quarterlode.operators.phases import bound, once
 
 # Fixed values. Titles and totals of the sections, fields and label parts that end them.
 TITLES = {
@@ -67,9 +68,9 @@ def scaled_values(line: Column) -> Column:
     cells have one, else all of the line."""
     found = lambda c: F.transform(F.regexp_extract_all(c, F.lit(SCALED), F.lit(0)), amount)
     amount = lambda m: F.replace(F.regexp_extract(m, r"\d[\d,]*(?:\.\d+)?", 0), F.lit(",")).cast("double") * F.when(F.regexp_like(m, F.lit(r"(?i)b\s*i\s*l")), 1e9).otherwise(1e6)
-    cells = F.slice(F.split(line, r"\|"), F.lit(2), F.greatest(F.size(F.split(line, r"\|")), F.lit(1)))
+    cells = bound(F.split(line, r"\|"), lambda x: F.slice(x, F.lit(2), F.greatest(F.size(x), F.lit(1))))
     first = F.array_compact(F.transform(cells, lambda c: F.get(found(c), F.lit(0))))
-    return F.when(line.contains("|") & (F.size(first) >= 2), first).otherwise(found(line))
+    return F.when(line.contains("|"), bound(first, lambda x: F.when(F.size(x) >= 2, x).otherwise(found(line)))).otherwise(found(line))
 
 
 def _beginning(lines: str, prefix: str) -> Column:
@@ -82,23 +83,22 @@ def release_summary(pages: DataFrame, doc: str, page_no: str = "page_no", text:
 
     The header (40 lines) must name the quarter, the day it ended on and two fiscal years; rows need three amounts, of which
     the first is this quarter's and the third last year's. The year is that of the release's date, else of the filing."""
-    at = pages.where(F.col(page_no) < SUMMARY_PAGES).select(doc, page_no, filing_date, F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "").alias("_l"))
-    head = F.array_join(F.slice("_l", 1, HEADER_LINES), " ")
-    low, months = F.lower(F.col("_h")), "|".join(MONTHS)
-    at = at.withColumn("_h", head)
+    lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    at = once(pages.where(F.col(page_no) < SUMMARY_PAGES).select(doc, page_no, filing_date, text), _l=lines).drop(text)
+    at = once(at, _h=F.array_join(F.slice("_l", 1, HEADER_LINES), " "))
+    at = once(at, _low=F.lower("_h"))
+    low, months = F.col("_low"), "|".join(MONTHS)
     told = F.lit(False)
     for phrase in RELEASE:
         told = told | low.contains(phrase)
     fiscal = F.transform(F.regexp_extract_all("_h", F.lit(r"(?i)Fiscal\s+(20\d{2})"), F.lit(1)), lambda y: y.cast("int"))
     quarter = F.coalesce(*(F.when(low.contains(w), q) for w, q in QUARTER_WORDS))
-    ended = F.regexp_extract(low, rf"quarter ended\s+({months})\s+(\d{{1,2}})", 1)
-    year = F.coalesce(F.regexp_extract(low, rf"(?:{months})\s+\d{{1,2}},\s*(20\d{{2}})", 1).try_cast("int"), F.year(filing_date), F.get(fiscal, F.lit(0)))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), ended)
-    at = at.withColumns({"_f": fiscal, "_q": quarter, "_m": month, "_y": year}).where(told & (F.size("_f") >= 2) & F.col("_q").isNotNull() & (F.col("_m") > 0))
-    for prefix, field in SUMMARY_ROWS.items():
-        # The last line of three amounts decides, as later lines replace earlier ones.
-        lines = F.filter(F.transform(_beginning("_l", prefix), scaled_values), lambda v: F.size(v) >= 3)
-        at = at.withColumn(field, F.when(F.size(lines) > 0, F.element_at(lines, -1)))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, rf"quarter ended\s+({months})\s+(\d{{1,2}})", 1))
+    at = once(at.where(told), _f=fiscal, _q=quarter, _m=month).where((F.size("_f") >= 2) & F.col("_q").isNotNull() & (F.col("_m") > 0))
+    year = F.coalesce(F.regexp_extract(low, rf"(?:{months})\s+\d{{1,2}},\s*(20\d{{2}})", 1).try_cast("int"), F.year(filing_date), F.get("_f", F.lit(0)))
+    # The last line of three amounts decides, as later lines replace earlier ones.
+    amounts = lambda prefix: bound(F.filter(F.transform(_beginning("_l", prefix), scaled_values), lambda v: F.size(v) >= 3), lambda x: F.when(F.size(x) > 0, F.element_at(x, -1)))
+    at = once(at, _y=year, **{field: amounts(prefix) for prefix, field in SUMMARY_ROWS.items()})
     q_index = (F.col("_y") * 4 + F.floor((F.col("_m") - 1) / 3)).cast("int")
     entry = lambda back, i: F.struct((q_index - 4 * back).alias("q_index"), F.get("_f", F.lit(back)).alias("fiscal_year"), F.col("_q").alias("fiscal_quarter"), *(F.get(f, F.lit(i)).alias(f) for f in SUMMARY_ROWS.values()))
     both = at.select(doc, page_no, F.explode(F.array(entry(0, 0), entry(1, 2))).alias("e")).select(doc, page_no, "e.*")

@@ -1,6 +1,8 @@
 """What a row costs is worked out once: plans that repeat an expression or a read grow faster than the input."""
 
-from quarterlode.operators import tables
+from pyspark.sql import functions as F
+
+from quarterlode.operators import boxes, sections, tables
 from quarterlode.sources import documents
 
 
@@ -39,3 +41,21 @@ def test_tables_are_grouped_once(spark):
     got = tables.table_entries(spark.createDataFrame(rows, "doc int, row_no int, cells array<string>"), ["doc"])
     assert sorted((r.doc, r.q_index, r.span, float(r.revenue), float(r.cost_of_revenue), float(r.gross_profit), r.net_income) for r in got.collect()) == [(1, 8092, 1, 20000.0, 5000.0, 15000.0, None), (1, 8096, 1, 10000.0, 4000.0, 6000.0, None)]
     assert plan(got).count("Aggregate ") == 1 and "Join" not in plan(got)
+
+
+def test_a_release_is_read_once(spark):
+    head = "Some Company\nResults for the Quarter Ended July 28\nFiscal 2022   Fiscal 2021 second quarter\n"
+    body = "Revenue | $5.5 billion | 3% | 2 million and 9 billion | $7 m i l l i o n\nNet income 1 million\nNet income 2 million, 5 billion and 6.25 million\n"
+    pages = [(1, 0, head + body), (2, 0, head.replace("Fiscal 2021", "") + body), (3, 3, head + body), (4, 0, None), (5, 0, "May 2, 2001 " + head + body)]
+    got = sections.release_summary(spark.createDataFrame(pages, "doc int, page_no int, text string").withColumn("filing_date", F.lit(None).cast("date")), "doc")
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 0, 8086, 2021, 2, 7e6, None, 6.25e6), (1, 0, 8090, 2022, 2, 5.5e9, None, 2e6), (5, 0, 8002, 2021, 2, 7e6, None, 6.25e6), (5, 0, 8006, 2022, 2, 5.5e9, None, 2e6),
+    ]
+    assert plan(got).count("split(") <= 8
+
+
+def test_rows_of_a_page_are_found_once(spark):
+    boxes_ = spark.createDataFrame([(1, 0.05, 0.1, 0.1, 0.01, "Net"), (1, 0.5, 0.1, 0.1, 0.01, "7"), (1, 0.05, 0.2, 0.1, 0.01, "Tax"), (2, 0.05, 0.1, 0.1, 0.01, "alone")], "page int, x double, y double, width double, height double, text string")
+    got = boxes.grid_lines(boxes_, ("page",))
+    assert [tuple(r) for r in got.orderBy("line_no").collect()] == [(1, 0, "Net | 7"), (1, 1, "Tax")]
+    assert plan(got).count("aggregate(") == 2
