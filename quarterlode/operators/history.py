@@ -23,16 +23,20 @@ def history_rows(segments: DataFrame, statements: DataFrame) -> DataFrame:
     return rows.withColumn("_shares", F.coalesce(shares, F.lit(False))).select(*QUARTER, "member_key", amount.alias("value"), F.col("_shares").alias("was_share")).where(F.col("value") > d(0.02))
 
 
-def reconcile_to_total(rows: DataFrame, totals: DataFrame, least: float = 0.36, residual: str = "otherrevenue") -> DataFrame:
+def reconcile_to_total(rows: DataFrame, totals: DataFrame | None, least: float | Column = 0.36, residual: str = "otherrevenue") -> DataFrame:
     """Rows against the quarter's total: too little coverage leaves none, over 1.12 scales down, under 0.94 adds the rest
-    to the residual member; rows without a total stay."""
-    at = rows.join(totals.select(*QUARTER, "total"), list(QUARTER), "left").withColumn("_sum", F.sum("value").over(Window.partitionBy(*QUARTER)))
+    to the residual member; rows without a total stay. Without `totals` the rows have a `total` of their own."""
+    asked = least if isinstance(least, Column) else d(least)
+    at = (rows if totals is None else rows.join(totals.select(*QUARTER, "total"), list(QUARTER), "left")).withColumn("_sum", F.sum("value").over(Window.partitionBy(*QUARTER)))
     cover = (F.col("_sum").cast("decimal(24,4)") / F.when(F.col("total") > d(0.02), F.col("total").cast("decimal(24,4)"))).cast(D)
-    at = at.withColumn("_cover", cover).where(F.col("_cover").isNull() | (F.col("_cover") >= d(least)))
+    at = at.withColumn("_cover", cover).where(F.col("_cover").isNull() | (F.col("_cover") >= asked))
     scaled = F.when(F.col("_cover") > d(1.12), F.round((F.col("value").cast("decimal(15,3)") * F.col("total").cast("decimal(15,2)") / F.col("_sum").cast("decimal(15,3)")).cast(D), 3)).otherwise(F.col("value")).cast("decimal(24,3)")
-    out = at.select(*QUARTER, "member_key", scaled.alias("value"))
-    rest = at.where((F.col("_cover") < d(0.94)) & (F.col("total") - F.col("_sum") > d(0.03))).select(*QUARTER, (F.col("total") - F.col("_sum")).cast("decimal(24,3)").alias("value")).distinct()
-    return out.unionByName(rest.withColumn("member_key", F.lit(residual))).groupBy(*QUARTER, "member_key").agg(F.sum("value").cast("decimal(24,3)").alias("value"))
+    rest = (F.col("total") - F.col("_sum")).cast("decimal(24,3)")
+    # The rest goes with one of the quarter's rows, so the rows are read once.
+    one = F.row_number().over(Window.partitionBy(*QUARTER).orderBy("member_key")) == 1
+    both = F.array_compact(F.array(F.struct("member_key", scaled.alias("value")), F.when(one & (F.col("_cover") < d(0.94)) & (F.col("total") - F.col("_sum") > d(0.03)), F.struct(F.lit(residual).alias("member_key"), rest.alias("value")))))
+    out = at.withColumn("_x", both).select(*QUARTER, F.explode("_x").alias("x")).select(*QUARTER, "x.*")
+    return out.groupBy(*QUARTER, "member_key").agg(F.sum("value").cast("decimal(24,3)").alias("value"))
 
 
 def taxonomy_profile(rows: DataFrame, optional: tuple[str, ...] = ("otherrevenue",)) -> DataFrame:

@@ -1,8 +1,10 @@
 """What a row costs is worked out once: plans that repeat an expression or a read grow faster than the input."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
-from quarterlode.operators import boxes, sections, tables
+from quarterlode.operators import boxes, phases, sections, tables
 from quarterlode.sources import documents
 
 
@@ -59,3 +61,14 @@ def test_rows_of_a_page_are_found_once(spark):
     got = boxes.grid_lines(boxes_, ("page",))
     assert [tuple(r) for r in got.orderBy("line_no").collect()] == [(1, 0, "Net | 7"), (1, 1, "Tax")]
     assert plan(got).count("aggregate(") == 2
+
+
+def test_a_history_is_read_once_by_its_phases(spark):
+    rows = [(1, 8000 + i, k, k, Decimal(v)) for i, a in enumerate(("60", "70", "80")) for k, v in (("x", a), ("y", "30"))]
+    segments = spark.createDataFrame(rows, "company_id long, q_index int, member_key string, name string, value decimal(24,3)")
+    quarters = spark.createDataFrame([(1, 8000 + i, Decimal(t), None, True, 1.0, 1.0) for i, t in enumerate(("90", "50", "200"))] + [(2, 8000, Decimal(5), None, False, 1.0, 1.0)], "company_id long, q_index int, total decimal(20,2), style string, reliable boolean, source_score double, coverage double")
+    at = phases.phases(phases.profiles(segments, quarters))
+    assert sorted((r.company_id, r.q_index, r.phase, r.anchor, r.member) for r in at.collect()) == [(1, 8000, 0, 8002, True), (1, 8001, 0, 8002, True), (1, 8002, 0, 8002, True), (2, 8000, None, None, False)]
+    got = phases.align_to_phase(at)[1]
+    assert sorted((r.q_index, r.member_key, float(r.value)) for r in got.collect()) == [(8000, "x", 60.0), (8000, "y", 30.0), (8001, "x", 35.0), (8001, "y", 15.0)]
+    assert plan(got).count("LogicalRDD") + plan(got).count("LocalRelation") == 2
