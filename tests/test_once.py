@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from quarterlode.operators import boxes, phases, sections, tables
+from quarterlode.operators import boxes, dimensions, phases, sections, tables
 from quarterlode.sources import documents
 
 
@@ -72,3 +72,12 @@ def test_a_history_is_read_once_by_its_phases(spark):
     got = phases.align_to_phase(at)[1]
     assert sorted((r.q_index, r.member_key, float(r.value)) for r in got.collect()) == [(8000, "x", 60.0), (8000, "y", 30.0), (8001, "x", 35.0), (8001, "y", 15.0)]
     assert plan(got).count("LogicalRDD") + plan(got).count("LocalRelation") == 2
+
+
+def test_members_of_a_hierarchy_take_one_pass(spark):
+    rows = [(1, "Revenues", "d", "e", "Axis=a", Decimal(v)) for v in (5, 5)] + [(1, "Revenues", "d", "e", "Axis=b", Decimal(v)) for v in (7, 8)] + [(1, "Revenues", "d", "e", "Axis=a", None)]
+    facts = spark.createDataFrame(rows, "company_id int, concept string, start_date string, end_date string, dims string, value decimal(20,2)").withColumn("dims", dimensions.parse_dims(F.col("dims")))
+    config = [{"member_key": "a", "name": "A", "filters": {"Axis": ["a"]}}, {"member_key": "b", "name": "B", "filters": {"Axis": ["b"]}, "aggregate": True}]
+    got = dimensions.match_hierarchy(facts, config)
+    assert sorted(((r.name, r.value and float(r.value)) for r in got.collect()), key=str) == [("A", 5.0), ("A", 5.0), ("A", None), ("B", 15.0)]
+    assert "Union" not in plan(got)
