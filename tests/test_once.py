@@ -4,8 +4,9 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from quarterlode.operators import boxes, dimensions, phases, sections, tables
+from quarterlode.operators import boxes, dimensions, phases, sections, subsets, tables
 from quarterlode.sources import documents
+from test_phases import best
 
 
 def plan(df):
@@ -81,3 +82,21 @@ def test_members_of_a_hierarchy_take_one_pass(spark):
     got = dimensions.match_hierarchy(facts, config)
     assert sorted(((r.name, r.value and float(r.value)) for r in got.collect()), key=str) == [("A", 5.0), ("A", 5.0), ("A", None), ("B", 15.0)]
     assert "Union" not in plan(got)
+
+
+def test_subsets_are_searched_in_batches_and_near_scores_go_to_fewer_rows(spark):
+    names = ["Alpha", "Beta", "Gamma", "Delta", "Epsilon", "Zeta", "Eta", "Theta", "Iota", "Kappa", "Lambda", "Mu"]
+    lots = [(0, [600] * 12, 3000), (1, [900, 600, 500, 400, 399, 200, 150, 100], 1500), (2, [400, 400, 400, 399, 301, 300, 201, 99, 98, 97], 2000), (3, [100, 90], 2000)]
+    rows = [(1, q, n, v / 1000) for q, values, _ in lots for n, v in zip(names, values, strict=False)]
+    money = lambda df, c: df.withColumn(c, F.col(c).cast("decimal(24,3)"))
+    got = subsets.best_subset(
+        money(spark.createDataFrame(rows, "company_id int, q_index int, name string, value double"), "value").withColumn("member_key", F.lit(None).cast("string")),
+        money(spark.createDataFrame([(1, q, r / 1000, False, "Acme") for q, _, r in lots], "company_id int, q_index int, revenue double, styled boolean, company_name string"), "revenue"),
+        spark.createDataFrame([], "company_id int, q_index int, target string"),
+    )
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.q_index, -r.value, r.name)):
+        found.setdefault(r.q_index, (r.how, []))[1].append(r.name)
+    exhaustive = {q: best(sorted(zip(names, values, strict=False), key=lambda x: (-x[1], x[0])), revenue, [], {"acme"}) for q, values, revenue in lots}
+    assert found == exhaustive and found[3][0] == "largest"
+    assert "MapInArrow" in plan(got)  # not 4,096 subsets a quarter by interpreted expressions
