@@ -58,30 +58,40 @@ def expand_details(base: DataFrame, details: DataFrame, priority: Sequence[str]
     return base.join(took, [*QUARTER, "member_key"], "left_anti").select(columns).unionByName(inner.select(columns))
 
 
-def score_candidate(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """(company_id, q_index, source, score, coverage, n): number of rows, their share of revenue, the largest one's share,
-    labels that read like totals, median days from period end to filing. entries: revenue and period_end of a quarter."""
-    at = rows.join(entries.select(*QUARTER, "revenue", "period_end"), list(QUARTER), "left")
-    per = at.groupBy(*QUARTER, "source").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.max("value").alias("top"), F.count_if(is_aggregate(F.col("name"))).alias("whole"), F.median(F.datediff("filing_date", "period_end")).alias("lag"), F.first("revenue").alias("revenue"))
-    n, lag, cover = F.col("n"), F.col("lag"), ratio(F.col("s"), F.col("revenue"))
+def _scored(rows: DataFrame, entries: DataFrame, how: str, **more: Column) -> DataFrame:
+    """The candidates of score_candidate() with `more` aggregates of their rows and the entry's revenue; a row is shuffled once."""
+    days = F.unix_date("filing_date")
+    per = rows.repartition(*QUARTER).groupBy(*QUARTER, "source").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.max("value").alias("top"), F.count_if(is_aggregate(F.col("name"))).alias("whole"), F.median(days).alias("filed"), *(c.alias(k) for k, c in more.items()))
+    per = per.join(entries.select(*QUARTER, "revenue", "period_end"), list(QUARTER), how)
+    n, lag, cover = F.col("n"), F.col("filed") - F.unix_date("period_end"), ratio(F.col("s"), F.col("revenue"))
     top = F.coalesce(ratio(F.col("top"), F.col("s")), F.lit(1))
     off = F.abs(cover - 1)
     score = F.when(n >= 2, 22).otherwise(-14) + F.when(n >= 3, 5).otherwise(0) - F.greatest(n - 7, F.lit(0)) * 4 - F.greatest(n - 10, F.lit(0)) * 5
     score = score + F.when(cover.isNull(), 0).when(off <= d(0.08), 18).when(off <= d(0.25), 10).when((cover < d(0.36)) | (cover > d(1.4)), -18).otherwise(2)
     score = score - F.when((top > d(0.84)) & (n >= 3), 8).otherwise(0) - F.when((F.col("whole") >= 2) & (n >= 4), F.col("whole") * 4).otherwise(0)
     score = score + F.when(lag.isNull(), 0).when(lag > 900, -16).when(lag > 540, -10).when(lag < -2, -6).when(lag <= 260, 3).otherwise(0)
-    return per.select(*QUARTER, "source", score.cast("long").alias("score"), cover.alias("coverage"), "n")
+    return per.select(*QUARTER, "source", score.cast("long").alias("score"), cover.alias("coverage"), "n", "revenue", *more)
+
+
+def score_candidate(rows: DataFrame, entries: DataFrame) -> DataFrame:
+    """(company_id, q_index, source, score, coverage, n): number of rows, their share of revenue, the largest one's share,
+    labels that read like totals, median days from period end to filing. entries: revenue and period_end of a quarter, one
+    row each."""
+    return _scored(rows, entries, "left").drop("revenue")
 
 
 def pick_history_source(rows: DataFrame, entries: DataFrame) -> DataFrame:
     """Rows of the best candidate source of each quarter (score, coverage nearest 1, more rows, order of sources); a
-    quarter with revenue and no rows gets one row of it."""
+    quarter with revenue and no rows gets one row of it.
+
+    Rows travel with their candidate, so both inputs are read once."""
     rank = F.create_map(*(F.lit(x) for kv in PREFERENCE.items() for x in kv))
     order = F.struct("score", (-F.coalesce(F.abs(F.col("coverage") - 1), F.lit(1e9).cast(D))).alias("near"), "n", F.coalesce(rank[F.col("source")], F.lit(0)).alias("r"))
-    best = score_candidate(rows, entries).groupBy(*QUARTER).agg(F.max_by("source", order).alias("source"))
-    kept = rows.join(best, [*QUARTER, "source"], "left_semi").select(*QUARTER, "member_key", "name", F.col("value").cast(MONEY).alias("value"), "source")
-    bare = entries.where(F.col("revenue") > d(0.02)).join(best, list(QUARTER), "left_anti")
-    return kept.unionByName(bare.select(*QUARTER, F.lit("reportedrevenue").alias("member_key"), F.lit("Reported revenue").alias("name"), F.col("revenue").cast(MONEY).alias("value"), F.lit("fallback-reported").alias("source")))
+    item = F.struct("member_key", "name", F.col("value").cast(MONEY).alias("value"))
+    at = _scored(rows.dropna(subset=[*QUARTER, "source"]), entries, "full_outer", items=F.collect_list(item))
+    best = at.groupBy(*QUARTER).agg(F.max_by(F.struct("source", "items"), order).alias("b"), F.max("revenue").alias("revenue"))
+    bare = F.when(F.col("revenue") > d(0.02), F.array(F.struct(F.lit("reportedrevenue").alias("member_key"), F.lit("Reported revenue").alias("name"), F.col("revenue").cast(MONEY).alias("value"))))
+    return best.select(*QUARTER, F.explode(F.coalesce("b.items", bare)).alias("x"), F.coalesce("b.source", F.lit("fallback-reported")).alias("source")).select(*QUARTER, "x.*", "source")
 
 
 def merge_canonical(rows: DataFrame) -> DataFrame:

@@ -48,7 +48,11 @@ SCORE = SOURCED + """, per AS (SELECT s.company_id, s.q_index, source, count(*)
 
 
 def sourced(t):
-    return t.sql("SELECT * FROM sourced", SOURCED), t.sql("SELECT * FROM entry_t", SOURCED)
+    """The tables sourced and entry_t of SOURCED; rows of both sources are laid out from one read of base."""
+    laid_out = """SELECT company_id, q_index, x.source, member_key, x.name, x.value, filing_date FROM (SELECT *, explode(filter(array(
+      CASE WHEN q_index % 5 <> 2 THEN named_struct('source', 'official-segments', 'name', name, 'value', value) END,
+      CASE WHEN q_index % 4 <> 1 THEN named_struct('source', 'structure-history', 'name', CASE WHEN q_index % 2 = 0 THEN 'Operating segments' ELSE name END, 'value', CAST(value * CASE WHEN company_id % 3 = 0 THEN 0.3 ELSE 0.8 END AS DECIMAL(24,3))) END), y -> y IS NOT NULL)) AS x FROM base) laid"""
+    return t.sql(laid_out, BASE), t.sql("SELECT * FROM entry_t", SOURCED)
 
 
 #: The same scores with shares held against their bounds in whole thousandths: as doubles a share that lies on a bound may fall to either side.

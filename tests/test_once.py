@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from quarterlode.operators import boxes, dimensions, phases, sections, subsets, tables
+from quarterlode.operators import boxes, candidates, dimensions, phases, sections, subsets, tables
 from quarterlode.sources import documents
 from test_phases import best
 
@@ -100,3 +100,13 @@ def test_subsets_are_searched_in_batches_and_near_scores_go_to_fewer_rows(spark)
     exhaustive = {q: best(sorted(zip(names, values, strict=False), key=lambda x: (-x[1], x[0])), revenue, [], {"acme"}) for q, values, revenue in lots}
     assert found == exhaustive and found[3][0] == "largest"
     assert "MapInArrow" in plan(got)  # not 4,096 subsets a quarter by interpreted expressions
+
+
+def test_rows_travel_with_their_candidate_source(spark):
+    day = lambda df, c: df.withColumns({x: F.col(x).cast("date") for x in c}).withColumn(df.columns[-1], F.col(df.columns[-1]).cast("decimal(24,3)"))
+    rows = [(1, 1, "structure-history", k, k, "2020-05-01", 3.0) for k in "abc"] + [(1, 1, "official-segments", k, k, "2020-05-01", 2.0) for k in "de"] + [(1, 2, "official-segments", "a", "a", None, 5.0), (1, 4, None, "a", "a", None, 1.0), (None, 1, "official-segments", "z", "z", None, 1.0)]
+    entries = [(1, 1, "2020-03-31", 9.0), (1, 3, "2020-09-30", 7.0), (1, 5, "2021-03-31", 0.01)]
+    rows = day(spark.createDataFrame(rows, "company_id int, q_index int, source string, member_key string, name string, filing_date string, value double"), ["filing_date"])
+    got = candidates.pick_history_source(rows, day(spark.createDataFrame(entries, "company_id int, q_index int, period_end string, revenue double"), ["period_end"]))
+    assert sorted((r.q_index, r.member_key, float(r.value), r.source) for r in got.collect()) == [(1, k, 3.0, "structure-history") for k in "abc"] + [(2, "a", 5.0, "official-segments"), (3, "reportedrevenue", 7.0, "fallback-reported")]
+    assert plan(got).count("Join ") == 1
