@@ -13,9 +13,9 @@ import hashlib
 import heapq
 import re
 import struct
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +54,7 @@ class Pieces:
         self.bos, self.eos = struct.pack("<I", sp.bos_id()), struct.pack("<I", sp.eos_id())
         self.known: dict[str, bytes] = {}  # ids of segments met since the cache was last full
         self.older: dict[str, bytes] = {}  # those of the time before; the ones met again move over
-        self.odd: dict[str, str] = {}  # texts of segments with byte pieces; other segments decode to themselves
+        self.odd: dict[str, str] = {}  # texts of segments with byte pieces that decode otherwise than to themselves
         self.width = sp.get_piece_size() + 1  # the last number stands for signs that are no piece
         self.sign_at = np.full(1 + max(ord(p) for p in self.pieces if len(p) == 1) + 1, self.width - 1)
         for p, (_, i) in self.pieces.items():
@@ -107,8 +107,8 @@ class Pieces:
                 out.append(self.text[i])
         return "".join(out).replace(MARK, " ")
 
-    def agendas(self, segments: list[str]) -> tuple[list[list[int]], set[int]]:
-        """agenda() for many short segments at once: in each round the best pair of every segment merges.
+    def agendas(self, segments: list[str]) -> tuple[list[bytes], set[int]]:
+        """agenda() for many short segments at once, as bytes: in each round the best pair of every segment merges.
 
         Also returns which segments hold byte pieces."""
         signs = "".join(segments)
@@ -145,12 +145,13 @@ class Pieces:
         order = np.argsort(at)
         ids, at = ids[order], at[order]
         ends = np.searchsorted(at, np.cumsum([len(s) for s in segments])).tolist()
-        flat = ids.tolist()
-        out = [flat[i:j] for i, j in zip([0, *ends], ends, strict=False)]
+        flat = ids.astype("<u4").tobytes()
+        out = [flat[4 * i : 4 * j] for i, j in zip([0, *ends], ends, strict=False)]
         odd = set(np.searchsorted(ends, np.flatnonzero(ids == self.width - 1), "right").tolist())
         for k in odd:  # signs that are no piece
             begin = ends[k - 1] if k else 0
-            out[k] = [x for i, y in enumerate(out[k], begin) for x in ([y] if y != self.width - 1 else [self.bytes[b] for b in signs[at[i]].encode()])]
+            own = [x for i, y in enumerate(ids[begin : ends[k]].tolist(), begin) for x in ([y] if y != self.width - 1 else [self.bytes[b] for b in signs[at[i]].encode()])]
+            out[k] = struct.pack(f"<{len(own)}I", *own)
         return out, odd
 
     def pairs_at(self, ids: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -168,12 +169,19 @@ class Pieces:
         """Encodes, decodes and keeps new segments, and holds all of them against the library."""
         every, odd = self.agendas(segments)
         held = self.library.encode([s[1:].replace(MARK, " ") if s[0] == MARK else s for s in segments])
-        for i, (s, ids, same) in enumerate(zip(segments, every, held, strict=True)):
-            if ids != same and s[0] == MARK and s != MARK:
-                raise AssertionError(f"the library encodes {s!r} otherwise")
-            self.known[s] = array("I", ids).tobytes()
-            if i in odd:
-                self.odd[s] = self.decode(ids)
+        lengths = np.fromiter(map(len, held), np.int64, len(held))
+        flat, ends = np.fromiter(chain.from_iterable(held), "<u4", int(lengths.sum())).tobytes(), (4 * np.cumsum(lengths)).tolist()
+        if flat != b"".join(every) or [*map(len, every)] != (4 * lengths).tolist():
+            for s, ids, i, j in zip(segments, every, [0, *ends], ends, strict=False):
+                if ids != flat[i:j] and s[0] == MARK and s != MARK:
+                    raise AssertionError(f"the library encodes {s!r} otherwise")
+        self.known.update(zip(segments, every, strict=True))
+        for i in odd:
+            if (text := self.decode(self.ids_of(every[i]))) != segments[i].replace(MARK, " "):
+                self.odd[segments[i]] = text
+
+    def ids_of(self, packed: bytes) -> tuple[int, ...]:
+        return struct.unpack(f"<{len(packed) // 4}I", packed)
 
     def prepare(self, texts: list[list[str]]) -> None:
         """Learns the short segments of these texts that are not known yet; they stay known until the next call."""
@@ -181,7 +189,7 @@ class Pieces:
             self.known, self.older = {}, self.known
             self.odd = {s: x for s, x in self.odd.items() if s in self.older}
         new = set().union(*texts).difference(self.known)
-        again = new.intersection(self.older) if self.older else ()
+        again = {s for s in new if s in self.older} if self.older else ()
         for s in again:
             self.known[s] = self.older[s]
         plain = [s for s in new.difference(again) if len(s) <= CACHE_LENGTH]
@@ -198,15 +206,18 @@ class Pieces:
 
     def text_ids(self, segments: list[str]) -> tuple[bytes, str]:
         """Ids of a text's segments, with begin and end, as little-endian 32-bit integers; and the text they decode to."""
+        odd: dict[str, str] = {}
         try:
             found = [*map(self.known.__getitem__, segments)]
-        except KeyError:
+        except KeyError:  # segments too long to be kept
             found = [self.known.get(s) or self.segment(s) for s in segments]
-        long = [s for s in segments if len(s) > CACHE_LENGTH] if len(segments) and max(map(len, segments)) > CACHE_LENGTH else ()
-        if long or not self.odd.keys().isdisjoint(segments):
-            texts = [self.odd.get(s) or (self.decode(struct.unpack(f"<{len(f) // 4}I", f)) if len(s) > CACHE_LENGTH else s.replace(MARK, " ")) for s, f in zip(segments, found, strict=True)]
-            return b"".join([self.bos, *found, self.eos]), "".join(texts)[1:]
-        return b"".join([self.bos, *found, self.eos]), "".join(segments).replace(MARK, " ")[1:]
+            for s, f in zip(segments, found, strict=True):
+                if len(s) > CACHE_LENGTH and (text := self.decode(self.ids_of(f))) != s.replace(MARK, " "):
+                    odd[s] = text
+        if self.odd and not self.odd.keys().isdisjoint(segments):
+            odd |= self.odd
+        whole = "".join([odd.get(s) or s.replace(MARK, " ") for s in segments]) if odd else "".join(segments).replace(MARK, " ")
+        return b"".join([self.bos, *found, self.eos]), whole[1:]
 
 
 def segments_of(text: str) -> list[str]:

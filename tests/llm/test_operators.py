@@ -415,3 +415,12 @@ def test_languages_equal_a_plain_version(spark, sf_dir):
             continue
         order = sorted((c, name) for name, c in plain_costs(text, model).items())
         assert got[doc_id].lang_pred == order[0][1] and math.isclose(got[doc_id].score, (order[1][0] - order[0][0]) / order[1][0])
+
+
+def test_segments_with_byte_pieces_that_decode_to_themselves_take_the_short_way():
+    known = pieces.Pieces(pieces.default_model())
+    text = "a \U00012345 b ▁c  " + "x\U00012345" * 60
+    parts = pieces.segments_of(text)
+    known.prepare([parts])
+    ids = known.library.encode(text, add_bos=True, add_eos=True)
+    assert known.text_ids(parts) == (b"".join(i.to_bytes(4, "little") for i in ids), known.library.decode(ids)) and not known.odd
