@@ -178,10 +178,12 @@ def _shorter(n: int):
 def resolve_company(asked: DataFrame, companies: DataFrame, keys: Sequence[str] = ("id", "ticker", "slug")) -> DataFrame:
     """asked(name) -> the company one of whose variants (of its keys) is the name; of several the least id.
 
-    An equality join on exploded variants: a company has a few dozen."""
+    An equality join on exploded variants: a company has a few dozen. Spark takes exploded rows for as small as what they are made
+    of and would broadcast them all, so the join is told to merge sorted sides. Names asked again fall together in the one aggregate
+    behind the join, so no task holds the distinct names of its whole input."""
     c = companies.select("company_id", F.explode(name_variants(*(F.col(k) for k in keys))).alias("key"))
-    a = asked.select("name", F.lower(F.trim("name")).alias("key")).distinct()
-    return a.join(c, "key").groupBy("name").agg(F.min("company_id").alias("company_id"))
+    a = asked.select("name", F.lower(F.trim("name")).alias("key"))
+    return a.join(c.hint("merge"), "key").groupBy("name").agg(F.min("company_id").alias("company_id"))
 
 
 def overlay(base: DataFrame, official: DataFrame, fields: Sequence[str], protected: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from quarterlode.operators import boxes, candidates, dimensions, phases, sections, subsets, tables
+from quarterlode.operators import boxes, candidates, dimensions, phases, reconcile, sections, subsets, tables
 from quarterlode.sources import documents
 from test_phases import best
 
@@ -110,3 +110,11 @@ def test_rows_travel_with_their_candidate_source(spark):
     got = candidates.pick_history_source(rows, day(spark.createDataFrame(entries, "company_id int, q_index int, period_end string, revenue double"), ["period_end"]))
     assert sorted((r.q_index, r.member_key, float(r.value), r.source) for r in got.collect()) == [(1, k, 3.0, "structure-history") for k in "abc"] + [(2, "a", 5.0, "official-segments"), (3, "reportedrevenue", 7.0, "fallback-reported")]
     assert plan(got).count("Join ") == 1
+
+
+def test_companies_are_resolved_without_a_broadcast_or_a_first_distinct(spark):
+    asked = spark.createDataFrame([("acme",), ("acme",), (" ACME",), ("b-corp",), ("nobody",), ("",), (None,)], "name string")
+    companies = spark.createDataFrame([(7, "Acme Inc", None, None), (3, "x", "ACME", None), (5, None, None, "B"), (4, "", "b-corp", None)], "company_id int, id string, ticker string, slug string")
+    got = reconcile.resolve_company(asked, companies)
+    assert sorted((r.name, r.company_id) for r in got.collect()) == [(" ACME", 3), ("acme", 3), ("b-corp", 4)]
+    assert plan(got).count("Aggregate ") == 1 and "strategy=merge" in plan(got)
