@@ -65,17 +65,19 @@ def reconcile_breakdown(items: DataFrame, targets: DataFrame, residual: str = "r
     the last item by rank takes what rounding leaves. Targets of 0.05 or less leave no items."""
     keys = list(QUARTER)
     w = Window.partitionBy(*keys)
-    at = items.where(F.col("value") > F.lit("0.02").cast("decimal(4,2)")).join(targets.select(*keys, "target"), keys).where(F.col("target") > F.lit("0.05").cast("decimal(4,2)"))
-    at = at.withColumn("_sum", F.sum("value").over(w)).withColumn("_slack", limit(F.col("target"), "0.08", "0.01"))
-    order = w.orderBy(F.col("value").desc(), "category")
-    at = at.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(w))
+    # One sort serves all windows and the join: sums and ranks first, in the order of ranks, then what needs their order by quarter alone.
+    at = items.where(F.col("value") > F.lit("0.02").cast("decimal(4,2)")).select(*keys, "category", "value")
+    at = at.withColumn("_r", F.row_number().over(w.orderBy(F.col("value").desc(), "category"))).withColumns({"_sum": F.sum("value").over(w), "_n": F.count(F.lit(1)).over(w)})
+    at = at.join(targets.select(*keys, "target").where(F.col("target") > F.lit("0.05").cast("decimal(4,2)")), keys)
+    slack = limit(F.col("target"), "0.08", "0.01")
+    over = F.col("_sum") > F.col("target") + slack
     scaled = F.round((F.col("value").cast("decimal(18,2)") * F.col("target").cast("decimal(18,2)") / F.col("_sum").cast("decimal(18,2)")).cast("decimal(38,8)"), 2).cast(M)
-    at = at.withColumn("_v", F.when(F.col("_sum") <= F.col("target") + F.col("_slack"), F.col("value")).otherwise(scaled))
-    before = F.coalesce(F.sum("_v").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(M))
-    last = (F.col("_r") == F.col("_n")) & (F.col("_sum") > F.col("target") + F.col("_slack"))
-    fitted = at.select(*keys, "category", m(F.when(last, F.greatest(F.col("target") - before, F.lit(0).cast(M))).otherwise(F.col("_v"))).alias("value"))
-    rest = at.where("_r = 1").where(F.col("target") - F.col("_sum") > F.col("_slack")).select(*keys, F.lit(residual).alias("category"), m(F.col("target") - F.col("_sum")).alias("value"))
-    return fitted.unionByName(rest)
+    at = at.withColumn("_v", F.when(over, scaled).otherwise(F.col("value")))
+    others = F.sum("_v").over(w) - F.col("_v")
+    fitted = m(F.when((F.col("_r") == F.col("_n")) & over, F.greatest(F.col("target") - others, F.lit(0).cast(M))).otherwise(F.col("_v")))
+    rest = F.when((F.col("_r") == 1) & (F.col("target") - F.col("_sum") > slack), F.struct(F.lit(residual).alias("category"), m(F.col("target") - F.col("_sum")).alias("value")))
+    made = F.filter(F.array(F.struct("category", F.col("_fitted").alias("value")), F.col("_rest")), lambda x: x.isNotNull())
+    return at.withColumns({"_fitted": fitted, "_rest": rest}).select(*keys, F.explode(made).alias("x")).select(*keys, "x.*")
 
 
 def collapse_single(items: DataFrame, targets: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from quarterlode.operators import boxes, candidates, dimensions, phases, reconcile, sections, subsets, tables
+from quarterlode.operators import boxes, bridge, candidates, dimensions, phases, reconcile, sections, subsets, tables
 from quarterlode.sources import documents
 from test_phases import best
 
@@ -118,3 +118,14 @@ def test_companies_are_resolved_without_a_broadcast_or_a_first_distinct(spark):
     got = reconcile.resolve_company(asked, companies)
     assert sorted((r.name, r.company_id) for r in got.collect()) == [(" ACME", 3), ("acme", 3), ("b-corp", 4)]
     assert plan(got).count("Aggregate ") == 1 and "strategy=merge" in plan(got)
+
+
+def test_a_breakdown_is_fitted_over_one_sort(spark):
+    money = lambda df, c: df.withColumn(c, F.col(c).cast("decimal(20,2)"))
+    items = [(1, 1, "a", 5.0), (1, 1, "b", 3.0), (1, 1, "c", 3.0), (1, 1, "d", 0.01), (1, 2, "a", 5.0), (1, 2, "b", 1.0), (1, 3, "a", 1.0), (1, 4, "a", 2.0), (1, 5, "a", 2.0)]
+    targets = [(1, 1, 10.0), (1, 2, 9.0), (1, 3, 0.05), (1, 4, 2.05)]
+    got = bridge.reconcile_breakdown(money(spark.createDataFrame(items, "company_id int, q_index int, category string, value double"), "value"), money(spark.createDataFrame(targets, "company_id int, q_index int, target double"), "target"))
+    assert sorted((r.q_index, r.category, str(r.value)) for r in got.collect()) == [
+        (1, "a", "4.55"), (1, "b", "2.73"), (1, "c", "2.72"), (2, "a", "5.00"), (2, "b", "1.00"), (2, "residual", "3.00"), (4, "a", "2.00"),
+    ]
+    assert plan(got).count("Join ") == 1 and "Union" not in plan(got)
