@@ -53,7 +53,11 @@ def f4(t):
     from pyspark.sql import Window
 
     w = Window.partitionBy("company_id", "concept", "start_date", "end_date")
-    return mapped(t).select("company_id", "concept", "start_date", "end_date", "form", F.row_number().over(w.orderBy(A.fact_rank().desc())).alias("by_fact"), F.row_number().over(w.orderBy(A.field_rank().desc())).alias("by_field"))
+    # The parts of a rank as columns that both orders share, so that a row holds them once.
+    parts = mapped(t).select("company_id", "concept", "start_date", "end_date", "form", A.fact_rank().alias("r")).select("company_id", "concept", "start_date", "end_date", "form", "r.*")
+    order = lambda *names: w.orderBy(*(F.col(c).desc() for c in names))
+    by_fact, by_field = order("timely", "near", "namespace_priority", "concept_priority", "filed", "accession"), order("timely", "concept_priority", "namespace_priority", "near", "filed", "accession")
+    return parts.select("company_id", "concept", "start_date", "end_date", "form", F.row_number().over(by_fact).alias("by_fact"), F.row_number().over(by_field).alias("by_field"))
 
 
 @query("f5_dedupe_facts", "SELECT company_id, concept, start_date, end_date, form, value FROM deduped", DEDUPED, dates="start_date end_date", money="value")

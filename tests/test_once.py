@@ -5,6 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from quarterlode.operators import boxes, bridge, candidates, dimensions, phases, reconcile, sections, subsets, tables
+from quarterlode.plans.catalogue import QUERIES
 from quarterlode.sources import documents
 from test_phases import best
 
@@ -129,3 +130,7 @@ def test_a_breakdown_is_fitted_over_one_sort(spark):
         (1, "a", "4.55"), (1, "b", "2.73"), (1, "c", "2.72"), (2, "a", "5.00"), (2, "b", "1.00"), (2, "residual", "3.00"), (4, "a", "2.00"),
     ]
     assert plan(got).count("Join ") == 1 and "Union" not in plan(got)
+
+
+def test_fact_ranks_are_held_once_a_row(spark, sf_dir):
+    assert "_w0" not in plan(QUERIES["f4_fact_rank"](spark, sf_dir))  # both orders take the same columns, no struct of an own each
