@@ -40,6 +40,22 @@ def test_segment_facts_are_dealt_once(spark, sf_dir, name):
     assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_series_are_dealt_by_part_and_by_company_alone(spark, sf_dir):
+    """Where part is too large to broadcast: its join deals both sides, then companies are dealt, whatever comes behind."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical(QUERIES["g8_segment_series"](spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 3 and "Cartesian" not in plan, plan
+
+
+def test_partitions_go_by_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(fixtures, "LINES", 500)
+    plan = physical(fixtures.view(spark, sf_dir, "dim_facts"))
+    assert f", {-(-spark.read.parquet(f'{sf_dir}/lineitem.parquet').count() // 500)}), REPARTITION_BY_NUM" in plan, plan
+
+
 def test_dealt_facts_are_those_of_the_view(spark, tmp_path):
     """The piece that Spark runs in place of the grouping sets: same rows, unknown companies, parts and amounts too."""
     lines = [(i % 7, rows % 5 if rows % 11 else None, (rows % 3 or None) and rows % 4, f"199{rows % 4 + 5}-0{rows % 9 + 1}-0{rows % 7 + 1} 00:00:00", 1000.0 + rows * 1.37 if rows % 13 else None, 0.01 * (rows % 9)) for i in range(4) for rows in range(200)]
