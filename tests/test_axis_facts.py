@@ -30,9 +30,13 @@ def test_facts_on_axis_are_those_of_the_picked_axis(spark):
     key = lambda df: sorted((tuple(r) for r in df.select("company_id", "end_date", "concept_priority", "value", "axis", "axis_priority", "member").collect()), key=str)
     assert got.columns == ["company_id", "end_date", "concept_priority", "value", "axis", "axis_priority", "member"]
     assert len({r.axis for r in got.collect()}) >= 3 and key(got) == key(want)
+    scores, mark = D.axis_scores(chosen), D.pick_axis(chosen).withColumn("picked", F.lit(True))
+    want = scores.join(mark, ["company_id", "axis"], "left").withColumn("picked", F.coalesce("picked", F.lit(False)))
+    got = D.marked_axes(facts.drop("value"))
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["g6_dedupe_segment_facts", "g8_segment_series", "g5_segment_quality"])
+@pytest.mark.parametrize("name", ["g6_dedupe_segment_facts", "g8_segment_series", "g5_segment_quality", "g4_pick_axis"])
 def test_segment_facts_are_dealt_once(spark, sf_dir, name):
     """lineitem is read once and dealt once; part is broadcast at this size."""
     plan = physical(QUERIES[name](spark, sf_dir))
